@@ -6,6 +6,7 @@ import importlib
 
 _MODULES = (
     "window_queries",
+    "join_queries",
 )
 
 

@@ -7,6 +7,8 @@ import importlib
 _MODULES = (
     "window_queries",
     "join_queries",
+    "sql_queries",
+    "function_queries",
 )
 
 

@@ -133,7 +133,7 @@ SELECT k, o.o_orderstatus, c.c_mktsegment FROM (SELECT o_custkey AS k, o_orderst
 sql_query("sql_join_natural", """
 SELECT * FROM (SELECT n_regionkey AS r_regionkey, n_name, n_nationkey FROM nation) n NATURAL JOIN region""", "nation", "region")
 sql_query("join_full", """
-SELECT c_custkey, user_id, n FROM (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0) c
+SELECT c_custkey, user_id, n FROM (SELECT c_custkey FROM customer WHERE c_acctbal > 0) c
 FULL OUTER JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) e ON c.c_custkey = e.user_id""", "customer", "events")
 sql_query("join_semi", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')", "customer", "orders")
 sql_query("join_anti", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')", "customer", "orders")
@@ -226,9 +226,10 @@ def table_delete_all(spark, sf):
     return TB.delete_all(state(spark, sf), gone, ["user_id"])
 
 
-@query("table_range", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey >= 40 AND c_custkey < 120")
+@query("table_range", "SELECT o_orderdate, o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-03-01' AND o_orderdate < TIMESTAMP '1997-03-01' ORDER BY o_orderdate")
 def table_range(spark, sf):
-    return TB.key_range(table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal"), "c_custkey", 40, 120)
+    lo, hi = (F.lit(t).cast("timestamp_ntz") for t in ("1995-03-01", "1997-03-01"))
+    return TB.key_range(table(spark, sf, "orders").select("o_orderdate", "o_orderkey"), "o_orderdate", lo, hi)
 
 
 @query("table_all_sorted", f"SELECT user_id, event_id, event_type, cents FROM {STATE} WHERE event_type <> 'error' ORDER BY user_id")
@@ -254,10 +255,10 @@ def timeseries_range(spark, sf):
     )
 
 
-@query("timeseries_remove", "SELECT user_id, event_id FROM events WHERE NOT (user_id < 50 AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25')")
+@query("timeseries_remove", "SELECT user_id, event_id FROM events WHERE NOT (event_type = 'view' AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25')")
 def timeseries_remove(spark, sf):
     lo, hi = (F.lit(t).cast("timestamp_ntz") for t in ("2024-01-05", "2024-01-25"))
-    return TB.series_remove(changes(spark, sf), "user_id", "ts", lo, hi, F.col("user_id") < 50).select("user_id", "event_id")
+    return TB.series_remove(changes(spark, sf), "event_type", "ts", lo, hi, F.col("event_type") == "view").select("user_id", "event_id")
 
 
 @query("side_input_join", f"""

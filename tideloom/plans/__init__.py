@@ -9,6 +9,8 @@ _MODULES = (
     "join_queries",
     "sql_queries",
     "function_queries",
+    "flow_queries",
+    "stream_queries",
 )
 
 

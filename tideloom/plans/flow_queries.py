@@ -12,14 +12,13 @@ from tideloom.operators import joins as J
 from tideloom.operators import stateless as ST
 from tideloom.plans.join_queries import kind
 from tideloom.plans.registry import query
-from tideloom.plans.window_queries import DAY, EV, HOUR, events
+from tideloom.plans.window_queries import DAY, EV, HOUR, events, rows
 from tideloom.session import shared_folder, table
 from tideloom.sources import files as FI
 from tideloom.sources import generate as G
 from tideloom.sources import sinks as SI
 from tideloom.sources import streams as S
 
-N = F.count(F.lit(1))
 
 # --- sources ---------------------------------------------------------------------------------------
 
@@ -56,7 +55,7 @@ def scan_expanded(spark, sf):
 @query("scan_files", "SELECT 'events' AS file, event_type, count(*) AS n FROM events GROUP BY ALL")
 def scan_files(spark, sf):
     found = FI.read_files(spark, sf, "event_type string", r".*/e[^/]*\.parquet.*", r".*/embed.*")
-    return found.groupBy(F.regexp_extract("file_path", r"/([^/]*)\.parquet", 1).alias("file"), "event_type").agg(N.alias("n"))
+    return found.groupBy(F.regexp_extract("file_path", r"/([^/]*)\.parquet", 1).alias("file"), "event_type").agg(rows("n"))
 
 
 @query("file_groups", """
@@ -66,7 +65,7 @@ def file_groups(spark, sf):
     """Files whose names start alike form one logical partition, read in path order."""
     files = (
         FI.read_files(spark, sf, "unused int", r".*/[lp][^/]*\.parquet")
-        .groupBy("file_path").agg(N.alias("n"))
+        .groupBy("file_path").agg(rows("n"))
     )
     return FI.file_groups(files, r"/(?=[^/]*$)[id](?:a|i)[a-z]*\.parquet").select(
         "group_id", F.regexp_extract("file_path", r"/([^/]*)\.parquet$", 1).alias("file"), "file_no", "n"
@@ -77,7 +76,7 @@ def file_groups(spark, sf):
 def scan_memory(spark, sf):
     """A small in-memory stream of weights, joined with the events."""
     weights = S.memory_stream(spark, [("view", 1), ("click", 2), ("purchase", 5)], "event_type string, w bigint")
-    counted = table(spark, sf, "events").groupBy("event_type").agg(N.alias("n"))
+    counted = table(spark, sf, "events").groupBy("event_type").agg(rows("n"))
     return counted.join(J.broadcast_if_small(weights), "event_type").select("event_type", (F.col("n") * F.col("w")).alias("points"))
 
 
@@ -114,7 +113,7 @@ def send_to_tee(spark, sf):
     path = shared_folder(spark, "tee")
     onward = SI.send_to(events(spark, sf, "event_id", "event_type", "value").filter("value > 10"), path)
     sides = {"sink": spark.read.parquet(path), "downstream": onward}
-    parts = [d.groupBy("event_type").agg(N.alias("n")).withColumn("origin", F.lit(o)) for o, d in sides.items()]
+    parts = [d.groupBy("event_type").agg(rows("n")).withColumn("origin", F.lit(o)) for o, d in sides.items()]
     return parts[0].unionByName(parts[1])
 
 
@@ -123,7 +122,7 @@ def sink_date_bucket(spark, sf):
     path = shared_folder(spark, "buckets")
     SI.write_date_buckets(events(spark, sf, "event_id", "ts", "cents"), path, "ts", "yyyy_MM_dd")
     back = spark.read.schema("event_id bigint, bucket string").parquet(path)
-    return back.groupBy("bucket").agg(N.alias("n"), F.min("event_id").alias("first_id"))
+    return back.groupBy("bucket").agg(rows("n"), F.min("event_id").alias("first_id"))
 
 
 @query("sink_roll", "SELECT count(*) AS n, CAST(0 AS BIGINT) AS long_files, true AS rolled_by_bytes FROM lineitem")
@@ -134,7 +133,7 @@ def sink_roll(spark, sf):
     used = SI.write_rolled(source, by_bytes, size_bytes=200_000)
 
     def sizes(path):
-        return spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("f")).agg(N.alias("k"))
+        return spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("f")).agg(rows("k"))
 
     a = sizes(by_records).agg(F.sum("k").alias("n"), F.count_if(F.col("k") > 5_000).alias("long_files"))
     b = sizes(by_bytes).agg((F.max("k") <= used).alias("rolled_by_bytes"))
@@ -147,7 +146,7 @@ def sink_text(spark, sf):
     path = shared_folder(spark, "text")
     SI.write_text(table(spark, sf, "documents"), path, F.concat_ws("\t", "lang", F.col("doc_id").cast("string")), "gzip")
     lines = spark.read.text(path).select(F.split_part("value", F.lit("\t"), F.lit(1)).alias("lang"), F.length("value").alias("c"))
-    return lines.groupBy("lang").agg(N.alias("n"), F.sum("c").alias("chars"))
+    return lines.groupBy("lang").agg(rows("n"), F.sum("c").alias("chars"))
 
 
 @query("partition_method", """
@@ -157,14 +156,14 @@ def partition_method(spark, sf):
     df = events(spark, sf, "event_id", "user_id")
     here = F.spark_partition_id()
     by_key = ST.partition_by(df, 6, "user_id", "key").withColumn("here", here).groupBy("partition").agg(
-        F.lit("key").alias("method"), N.alias("n"), F.count_if(F.col("here") != F.col("partition")).alias("misplaced")
+        F.lit("key").alias("method"), rows("n"), F.count_if(F.col("here") != F.col("partition")).alias("misplaced")
     )
     robin = ST.partition_by(df, 6).withColumn("here", here).agg(
-        F.lit("round_robin").alias("method"), F.lit(None).cast("int").alias("partition"), N.alias("n"),
+        F.lit("round_robin").alias("method"), F.lit(None).cast("int").alias("partition"), rows("n"),
         F.count_if(F.col("here") > 5).alias("misplaced"),
     )
     hashed = ST.partition_by(df, 6, "user_id", "hash", spread=3).withColumn("here", F.floor(here / 3)).agg(
-        F.lit("hash").alias("method"), F.lit(None).cast("int").alias("partition"), N.alias("n"),
+        F.lit("hash").alias("method"), F.lit(None).cast("int").alias("partition"), rows("n"),
         F.count_if(F.col("here") != F.col("partition")).alias("misplaced"),
     )
     return ST.merge_all(by_key, robin, hashed)
@@ -185,7 +184,7 @@ def map_project(spark, sf):
 def flat_map_explode(spark, sf):
     return (
         ST.flat_map(table(spark, sf, "documents"), F.split("text", " "), "word", "lang")
-        .groupBy("lang", "word").agg(N.alias("n"))
+        .groupBy("lang", "word").agg(rows("n"))
     )
 
 
@@ -242,7 +241,7 @@ def merge_all(spark, sf):
         return table(spark, sf, name).select(F.col(key).alias("id"), F.lit(name[0]).alias("origin"))
 
     merged = ST.merge_all(keyed("customer", "c_custkey"), keyed("supplier", "s_suppkey"), keyed("part", "p_partkey"))
-    return merged.groupBy("origin").agg(N.alias("n"))
+    return merged.groupBy("origin").agg(rows("n"))
 
 
 @query("partition_by_null_zero", f"""

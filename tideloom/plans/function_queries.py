@@ -289,11 +289,11 @@ def project_to_schema(spark, sf):
 
 
 @query("float_via_text", """
-SELECT vec_id, list_transform(embedding, lambda x: round(CAST(CAST(x AS VARCHAR) AS DOUBLE), 6))::VARCHAR <> '' AS filled, round(CAST(CAST(embedding[1] AS VARCHAR) AS DOUBLE), 5) AS first_value, CAST(len(embedding) AS INTEGER) AS n FROM embeddings""")
+SELECT vec_id, list_transform(embedding, lambda x: round(CAST(CAST(x AS VARCHAR) AS DOUBLE), 6))::VARCHAR <> '' AS filled, CAST(floor(CAST(CAST(embedding[1] AS VARCHAR) AS DOUBLE) * 1000) AS BIGINT) AS first_value, CAST(len(embedding) AS INTEGER) AS n FROM embeddings""")
 def float_via_text(spark, sf):
     schema = T.StructType.fromDDL("vec_id bigint, embedding array<double>")
     got = C.project_to_schema(table(spark, sf, "embeddings"), schema, float_as_text=True)
     return got.select(
-        "vec_id", (F.size("embedding") > 0).alias("filled"), F.round(F.col("embedding")[0], 5).alias("first_value"),
+        "vec_id", (F.size("embedding") > 0).alias("filled"), F.floor(F.col("embedding")[0] * 1000).alias("first_value"),
         F.size("embedding").alias("n"),
     )

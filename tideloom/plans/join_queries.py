@@ -167,14 +167,13 @@ def asof_table_join(spark, sf):
 
 # --- tables --------------------------------------------------------------------------------------
 
-LAST = "arg_max({c}, event_id)"
-
 
 def changes(spark, sf):
     return events(spark, sf, "event_id", "ts", "user_id", "event_type", "cents")
 
 
-GONE = F.col("event_type") == "error"
+def gone():
+    return F.col("event_type") == "error"
 
 
 @query("table_upsert_latest", f"SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(cents, event_id) AS cents FROM {EV} GROUP BY ALL")
@@ -187,7 +186,7 @@ STATE = f"(SELECT user_id, max(event_id) AS event_id, max(ms) AS ms, arg_max(eve
 
 @query("table_tombstone", f"SELECT user_id, event_id, event_type, cents FROM {STATE} WHERE event_type <> 'error'")
 def table_tombstone(spark, sf):
-    return TB.materialise(changes(spark, sf).drop("ts"), ["user_id"], ["event_id"], GONE)
+    return TB.materialise(changes(spark, sf).drop("ts"), ["user_id"], ["event_id"], gone())
 
 
 @query("table_restore", f"""
@@ -198,7 +197,7 @@ def table_restore(spark, sf):
 
 
 def state(spark, sf, columns=("user_id", "event_id", "event_type", "cents")):
-    return TB.materialise(changes(spark, sf), ["user_id"], ["event_id"], GONE).select(*columns)
+    return TB.materialise(changes(spark, sf), ["user_id"], ["event_id"], gone()).select(*columns)
 
 
 @query("table_get_all", f"SELECT user_id, event_id, event_type, cents FROM {STATE} WHERE event_type <> 'error' AND user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")

@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from tideloom.functions.times import duration_ms
 from tideloom.operators.aggregates import cents
 from tideloom.plans.registry import query
-from tideloom.plans.window_queries import DAY, EV, HOUR
+from tideloom.plans.window_queries import DAY, EV, HOUR, rows
 from tideloom.session import table
 from tideloom.sources.streams import live
 from tideloom.streaming import stateful as SF
 from tideloom.streaming import windows as SW
 from tideloom.streaming.runs import run, run_to_table
 
-N = F.count(F.lit(1))
 DELAY, DELAY_MS = "10 minutes", 600_000
 MARK = f"(SELECT max(epoch_us(ts) // 1000) - {DELAY_MS} FROM events)"
 
@@ -27,7 +26,7 @@ def live_events(spark, sf):
 @query("stream_watermark_count", f"""
 SELECT event_type, pane_id, count(*) AS n, CAST(sum(cents) AS BIGINT) AS sum_cents FROM (SELECT *, ms - ms % {HOUR} AS pane_id FROM {EV}) WHERE pane_id + {HOUR} <= {MARK} GROUP BY ALL""")
 def stream_watermark_count(spark, sf):
-    closed = SW.tumbling(live_events(spark, sf), "ts", DELAY, "1 hour", [N.alias("n"), F.sum("cents").alias("sum_cents")], ["event_type"])
+    closed = SW.tumbling(live_events(spark, sf), "ts", DELAY, "1 hour", [rows("n"), F.sum("cents").alias("sum_cents")], ["event_type"])
     return run_to_table(closed, "watermark-count")
 
 
@@ -36,8 +35,8 @@ SELECT event_type, inner_id - inner_id % {6 * HOUR} AS pane_id, max(n) AS busies
   SELECT event_type, ms - ms % {HOUR} AS inner_id, count(*) AS n FROM {EV} GROUP BY ALL) WHERE inner_id - inner_id % {6 * HOUR} + {6 * HOUR} <= {MARK} GROUP BY ALL""")
 def stream_chained_windows(spark, sf):
     chained = SW.chained(
-        live_events(spark, sf), "ts", DELAY, "1 hour", "6 hours", N.alias("n"),
-        [F.max("n").alias("busiest"), N.alias("windows")], ["event_type"],
+        live_events(spark, sf), "ts", DELAY, "1 hour", "6 hours", rows("n"),
+        [F.max("n").alias("busiest"), rows("windows")], ["event_type"],
     )
     return run_to_table(chained, "chained")
 
@@ -47,15 +46,15 @@ SELECT user_id, min(ms) AS pane_id, count(*) AS n FROM (SELECT *, sum(brk) OVER
   SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) > {6 * HOUR}000 THEN 1 ELSE 0 END AS brk FROM {EV}))
 GROUP BY user_id, isl HAVING max(epoch_us(ts)) + {6 * HOUR}000 <= {MARK} * 1000""")
 def stream_session_count(spark, sf):
-    return run_to_table(SW.sessions(live_events(spark, sf), "ts", DELAY, "6 hours", [N.alias("n")], ["user_id"]), "sessions")
+    return run_to_table(SW.sessions(live_events(spark, sf), "ts", DELAY, "6 hours", [rows("n")], ["user_id"]), "sessions")
 
 
 @query("eos_flush", f"SELECT event_type, ms - ms % {DAY} AS pane_id, count(*) AS n FROM {EV} GROUP BY ALL")
 def eos_flush(spark, sf):
     """At the end of a bounded stream every window comes out, also those still open."""
-    closed, progress = run(SW.tumbling(live_events(spark, sf), "ts", DELAY, "1 day", [N.alias("n")], ["event_type"]), "eos")
+    closed, progress = run(SW.tumbling(live_events(spark, sf), "ts", DELAY, "1 day", [rows("n")], ["event_type"]), "eos")
     return SW.flush_open(
-        closed, table(spark, sf, "events"), "ts", "1 day", [N.alias("n")], ["event_type"], SW.watermark_ms(spark, progress)
+        closed, table(spark, sf, "events"), "ts", "1 day", [rows("n")], ["event_type"], SW.watermark_ms(spark, progress)
     )
 
 
@@ -78,7 +77,7 @@ def stream_watermark_hook(spark, sf):
 @query("stream_timer", f"""
 SELECT user_id, event_id AS armed_by, ms + {HOUR} AS due_ms FROM (
   SELECT *, lead(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS next_ms FROM {EV} WHERE event_type IN ('view', 'purchase'))
-WHERE event_type = 'view' AND (next_ms >= ms + {HOUR} OR (next_ms IS NULL AND ms + {HOUR} < (SELECT max(ms) - {DELAY_MS} FROM {EV} WHERE event_type IN ('view', 'purchase', 'click', 'signup', 'error'))))""")
+WHERE event_type = 'view' AND (next_ms >= ms + {HOUR} OR (next_ms IS NULL AND ms + {HOUR} < (SELECT max(ms) - {DELAY_MS} FROM {EV} WHERE event_type IN ('view', 'purchase'))))""")
 def stream_timer(spark, sf):
     """A view that no purchase (or newer view) follows within an hour."""
     return run_to_table(
@@ -156,7 +155,7 @@ def sink_foreach_batch(spark, sf):
     """A sink function per micro-batch writes partial sums; a repeated batch replaces its own."""
 
     def partial(batch):
-        return batch.groupBy("event_type").agg(N.alias("n"), F.sum("cents").alias("s"))
+        return batch.groupBy("event_type").agg(rows("n"), F.sum("cents").alias("s"))
 
     parts = run_to_table(live_events(spark, sf), "each-batch", transform=partial)
     return parts.groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("s").alias("sum_cents"))

@@ -23,7 +23,8 @@ def events(spark, sf, *columns):
     return df.select(*columns) if columns else df
 
 
-N = F.count(F.lit(1))
+def rows(name="n"):
+    return F.count(F.lit(1)).alias(name)
 
 
 # --- folds and collected panes -------------------------------------------------------------------
@@ -34,7 +35,7 @@ FROM {EV} GROUP BY ALL""")
 def keyed_tumbling_fold(spark, sf):
     return W.tumbling(
         events(spark, sf), "ts", "1 day",
-        [N.alias("n"), F.sum("cents").alias("sum_cents"), F.max("cents").alias("max_cents")], ["user_id"],
+        [rows("n"), F.sum("cents").alias("sum_cents"), F.max("cents").alias("max_cents")], ["user_id"],
     )
 
 
@@ -59,7 +60,7 @@ FROM {EV} GROUP BY ALL""")
 def tumbling_fold(spark, sf):
     return W.tumbling(
         events(spark, sf), "ts", "1 hour",
-        [N.alias("n"), F.sum("cents").alias("sum_cents"), F.min("cents").alias("min_cents")],
+        [rows("n"), F.sum("cents").alias("sum_cents"), F.min("cents").alias("min_cents")],
     )
 
 
@@ -87,7 +88,7 @@ def session_ms_sql(gap, by="user_id"):
 SELECT user_id, pane_id, count(*) AS n, CAST(sum(cents) AS BIGINT) AS sum_cents FROM {session_sql(6 * HOUR)} GROUP BY ALL""")
 def keyed_session_fold(spark, sf):
     return W.session(
-        events(spark, sf), "ts", "6 hours", [N.alias("n"), F.sum("cents").alias("sum_cents")], ["user_id"]
+        events(spark, sf), "ts", "6 hours", [rows("n"), F.sum("cents").alias("sum_cents")], ["user_id"]
     )
 
 
@@ -111,7 +112,7 @@ SELECT event_type, pane_id, count(*) AS n, CAST(sum(cents) AS BIGINT) AS sum_cen
   SELECT event_type, cents, ms - ms % {HOUR} - k * {HOUR} AS pane_id FROM {EV}, range(0, 4) r(k)) GROUP BY ALL""")
 def sliding_window(spark, sf):
     return W.sliding(
-        events(spark, sf), "ts", "4 hours", "1 hour", [N.alias("n"), F.sum("cents").alias("sum_cents")], ["event_type"]
+        events(spark, sf), "ts", "4 hours", "1 hour", [rows("n"), F.sum("cents").alias("sum_cents")], ["event_type"]
     )
 
 
@@ -314,9 +315,9 @@ SELECT event_type, count(*) AS n, count(CASE WHEN cents > 1000 THEN 1 END) AS n_
  min(cents) AS min_cents, max(cents) AS max_cents, CAST(sum(cents) AS DOUBLE) / count(*) AS avg_cents FROM {EV} GROUP BY ALL""")
 def agg_multi(spark, sf):
     return events(spark, sf).groupBy("event_type").agg(
-        N.alias("n"), F.count_if(F.col("cents") > 1000).alias("n_big"), F.sum("cents").alias("sum_cents"),
+        rows("n"), F.count_if(F.col("cents") > 1000).alias("n_big"), F.sum("cents").alias("sum_cents"),
         F.min("cents").alias("min_cents"), F.max("cents").alias("max_cents"),
-        (F.sum("cents").cast("double") / N).alias("avg_cents"),
+        (F.sum("cents").cast("double") / rows()).alias("avg_cents"),
     )
 
 

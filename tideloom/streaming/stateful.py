@@ -84,10 +84,13 @@ def idle_reports(stream: DataFrame, key: str, ts: str, delay: str, idle: str) ->
 
 def key_timers(stream: DataFrame, key: str, ts: str, tie: str, delay: str, after: str, arm: str, disarm: str, kind: str) -> DataFrame:
     """Timers by key: a message of kind ``arm`` (re)schedules a callback ``after`` later, one of kind
-    ``disarm`` deletes it. The callback gives (key, armed by, due_ms)."""
+    ``disarm`` deletes it. The callback gives (key, armed by, due_ms).
+
+    Only these two kinds move the clock, so they are picked before the watermark is set.
+    """
     wait = duration_ms(after)
     key_type = _type_of(stream, key)
-    rows = clocked(stream, ts, delay).filter(F.col(kind).isin(arm, disarm)).select(
+    rows = clocked(stream.filter(F.col(kind).isin(arm, disarm)), ts, delay).select(
         key, ts, millis(ts).alias("_ms"), F.col(tie).alias("_id"), (F.col(kind) == arm).alias("_arm")
     )
 

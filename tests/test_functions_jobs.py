@@ -201,4 +201,4 @@ def test_async_flat_map_fails_on_error_and_timeout(spark):
     with pytest.raises(Exception, match="boom"):
         ST.flat_map_async(df, broken, "id bigint").collect()
     with pytest.raises(Exception, match="Timeout"):
-        ST.flat_map_async(df, slow, "id bigint", timeout_s=0.1).collect()
+        ST.flat_map_async(df, slow, "id bigint", timeout_s=0.1, records_per_turn=1).collect()

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideloom.functions.times import col, duration_ms, millis, window_start
@@ -30,38 +30,62 @@ def percentiles(
     The groups are reduced to (value, count) first and the counts summed up along the value axis in
     slices, so no task ever holds the values of a whole group, which a percentile buffer would.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     if slicing is None:
-        slicing = plan_slices(counts, value)
+        slicing = plan_slices(df, value)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    placed = _placed(counts, by, value, slicing)
+    return placed.groupBy(*by).agg(*_picks(value, ps))
+
+
+def _placed(counts: DataFrame, by: Sequence[str], value: str, slicing: Slicing) -> DataFrame:
+    """Add to every (group, value, _n) the rows up to it and the rows of its group."""
     summed = running(counts, by, [value], {"_upto": Running("sum", "_n")}, slicing)
+    if not slicing.cuts:
+        return summed.withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
     totals = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
     same = [F.col(f"l.{b}").eqNullSafe(F.col(f"t.{b}")) for b in by] or [F.lit(True)]
-    joined = summed.alias("l").join(totals.alias("t"), same)
-    return joined.groupBy(*[F.col(f"l.{b}").alias(b) for b in by]).agg(
-        *[F.min(F.when(F.col("_upto") >= F.ceil(F.col("_all") * p), F.col(value))).alias(n) for n, p in ps.items()]
-    )
+    return summed.alias("l").join(totals.alias("t"), same).select("l.*", "t._all")
+
+
+def _picks(value: str, ps: dict[str, float]) -> list[Column]:
+    return [
+        F.min(F.when(F.col("_upto") >= F.ceil(F.col("_all") * p), F.col(value))).alias(n) for n, p in ps.items()
+    ]
 
 
 def snapshot(
     df: DataFrame, ts: str, size: str, slide: str, value: str, ps: dict[str, float], slicing: Slicing | None = None
 ) -> DataFrame:
-    """min, max, avg, sum, size and percentiles of ``value`` per sliding time window."""
-    copies = duration_ms(size) // duration_ms(slide)
-    first = window_start(millis(ts), slide)
-    spread = df.select(
-        F.explode(F.transform(F.sequence(F.lit(0), F.lit(copies - 1)), lambda i: first - i * duration_ms(slide))).alias(
-            "pane_id"
-        ),
-        F.col(value),
+    """min, max, avg, sum, size and percentiles of ``value`` per sliding time window.
+
+    Rows are counted per (slide, value) before each slide is copied into the windows that cover it.
+    """
+    if slicing is None:
+        slicing = plan_slices(df, value)
+    step = duration_ms(slide)
+    copies = duration_ms(size) // step
+    cells = (
+        df.filter(F.col(value).isNotNull())
+        .groupBy(window_start(millis(ts), slide).alias("_cell"), value)
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    offsets = F.sequence(F.lit(0), F.lit(copies - 1))
+    spread = cells.select(
+        F.explode(F.transform(offsets, lambda i: F.col("_cell") - i * step)).alias("pane_id"), value, "_n"
     )
-    stats = spread.groupBy("pane_id").agg(
-        F.min(value).alias("min_v"),
-        F.max(value).alias("max_v"),
-        F.sum(value).alias("sum_v"),
-        F.count(value).alias("size_v"),
+    counts = spread.groupBy("pane_id", value).agg(F.sum("_n").alias("_n"))
+    return (
+        _placed(counts, ["pane_id"], value, slicing)
+        .groupBy("pane_id")
+        .agg(
+            F.min(value).alias("min_v"),
+            F.max(value).alias("max_v"),
+            F.sum(F.col(value) * F.col("_n")).alias("sum_v"),
+            F.sum("_n").alias("size_v"),
+            *_picks(value, ps),
+        )
+        .withColumn("avg_v", F.col("sum_v") / F.col("size_v"))
     )
-    stats = stats.withColumn("avg_v", F.col("sum_v") / F.col("size_v"))
-    return stats.join(percentiles(spread, ["pane_id"], value, ps, slicing), "pane_id")
 
 
 def latencies(df: DataFrame, event: str, arrival: str, scan: str, output: str, by: Sequence[str] = ()) -> DataFrame:

@@ -72,6 +72,13 @@ def ttl_join(
     ).filter(F.col("_key").isNotNull())
     if slicing is None:
         slicing = plan_slices(both, "_ms")
+    return match_latest(both, duration_ms(ttl), slicing).select(
+        F.col("_key").alias(key), F.col("_ms").alias("joined_ms"), "_l.*", "_r.*"
+    )
+
+
+def match_latest(both: DataFrame, ttl_ms: int, slicing: Slicing) -> DataFrame:
+    """The matches of a tagged union: ``_key, _ms, _side`` (0 left, 1 right), ``_tie`` and the payloads ``_l, _r``."""
     carried = running(
         both,
         ["_key"],
@@ -84,13 +91,12 @@ def ttl_join(
     )
     from_left = F.col("_side") == 0
     other_ms = F.when(from_left, F.col("_last_r._ms")).otherwise(F.col("_last_l._ms"))
-    matched = carried.filter(other_ms > F.col("_ms") - duration_ms(ttl))
-    return matched.select(
-        F.col("_key").alias(key),
-        F.col("_ms").alias("joined_ms"),
-        F.when(from_left, F.col("_l")).otherwise(F.col("_last_l._l")).alias("_l"),
-        F.when(from_left, F.col("_last_r._r")).otherwise(F.col("_r")).alias("_r"),
-    ).select(key, "joined_ms", "_l.*", "_r.*")
+    return (
+        carried.filter(other_ms > F.col("_ms") - ttl_ms)
+        .withColumn("_l", F.when(from_left, F.col("_l")).otherwise(F.col("_last_l._l")))
+        .withColumn("_r", F.when(from_left, F.col("_last_r._r")).otherwise(F.col("_r")))
+        .drop("_last_l", "_last_r")
+    )
 
 
 def asof_join(

@@ -90,25 +90,34 @@ def flat_map_async(
     schema: str,
     max_concurrency: int = 8,
     timeout_s: float = 30.0,
+    records_per_turn: int = 16,
+    tasks: int | None = None,
 ) -> DataFrame:
     """1:n through a slow call, with up to ``max_concurrency`` calls in flight per task.
 
-    ``make`` runs once per task and returns the call (its ``close``, if any, runs at the end). With a
-    concurrency of 1 the order is kept. An error or a timeout fails the task, and Spark retries it.
+    ``make`` runs once per task and returns the call (its ``close``, if any, runs at the end). A thread
+    takes ``records_per_turn`` records at a time. An error, or a turn that takes longer than
+    ``timeout_s`` per record, fails the task, and Spark retries it. ``tasks`` deals the rows out evenly
+    first, for inputs with few partitions.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = make()
+
+        def turn(records: list[dict]) -> list[dict]:
+            return [out for record in records for out in call(record)]
+
         try:
             with ThreadPoolExecutor(max_concurrency) as pool:
                 for pdf in batches:
                     waiting, out = deque(), []
-                    for record in pdf.to_dict("records"):
+                    records = pdf.to_dict("records")
+                    for i in range(0, len(records), records_per_turn):
                         if len(waiting) >= max_concurrency:
-                            out.extend(waiting.popleft().result(timeout_s))
-                        waiting.append(pool.submit(call, record))
+                            out.extend(waiting.popleft().result(timeout_s * records_per_turn))
+                        waiting.append(pool.submit(turn, records[i : i + records_per_turn]))
                     while waiting:
-                        out.extend(waiting.popleft().result(timeout_s))
+                        out.extend(waiting.popleft().result(timeout_s * records_per_turn))
                     if out:
                         yield pd.DataFrame.from_records(out)
         finally:
@@ -116,4 +125,6 @@ def flat_map_async(
             if close:
                 close()
 
+    if tasks is not None:
+        df = df.repartition(tasks)
     return df.mapInPandas(run, schema)

@@ -5,13 +5,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tideloom.functions.times import duration_ms
 from tideloom.operators.aggregates import cents
 from tideloom.plans.registry import query
 from tideloom.plans.window_queries import DAY, EV, HOUR, rows
 from tideloom.session import table
 from tideloom.sources.streams import live
 from tideloom.streaming import stateful as SF
+from tideloom.streaming import tables as ST
 from tideloom.streaming import windows as SW
 from tideloom.streaming.runs import run, run_to_table
 
@@ -88,10 +88,10 @@ def stream_timer(spark, sf):
 @query("stream_early_panes", f"""
 WITH d AS (SELECT *, ms - ms % {DAY} AS pane_id, row_number() OVER (PARTITION BY user_id, ms - ms % {DAY} ORDER BY ms, event_id) AS rn FROM {EV}),
 p AS (SELECT user_id, pane_id, CAST(floor((rn - 1) / 2) AS BIGINT) AS pane_no, count(*) AS n, CAST(sum(cents) AS BIGINT) AS total FROM d GROUP BY ALL)
-SELECT user_id, pane_id, pane_no, CASE WHEN n = 2 THEN 'EARLY' ELSE 'DEFAULT' END AS firing_type, n, total FROM p WHERE n = 2 OR pane_id + {DAY} < {MARK}""")
+SELECT user_id, pane_id, pane_no, CASE WHEN n = 2 THEN 'EARLY' ELSE 'DEFAULT' END AS firing_type, n, total FROM p WHERE n = 2 OR pane_id + {DAY} <= {MARK}""")
 def stream_early_panes(spark, sf):
-    return run_to_table(
-        SF.count_panes(live_events(spark, sf), ["user_id"], "ts", "event_id", "cents", DELAY, "1 day", 2), "early-panes"
+    return ST.count_panes(
+        live_events(spark, sf), ["user_id"], "ts", "event_id", "cents", DELAY, "1 day", 2, "early-panes"
     )
 
 
@@ -108,9 +108,9 @@ FROM c WHERE CASE WHEN side = 0 THEN r_ms ELSE l_ms END > ms - {DAY}"""
 def stream_ttl_join(spark, sf):
     views = live_events(spark, sf).filter("event_type = 'view'").withColumn("view_id", F.col("event_id"))
     buys = live_events(spark, sf).filter("event_type = 'purchase'").withColumn("purchase_id", F.col("event_id"))
-    return run_to_table(
-        SF.ttl_join(views, buys, key="user_id", ts="ts", tie="event_id", delay=DELAY, ttl="1 day", left_id="view_id", right_id="purchase_id"),
-        "ttl-join",
+    return ST.ttl_join(
+        views, buys, key="user_id", ts="ts", tie="event_id", delay=DELAY, ttl="1 day", left_id="view_id",
+        right_id="purchase_id", name="ttl-join",
     )
 
 

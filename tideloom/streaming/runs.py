@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tideloom.session import shared_folder
 from tideloom.sources.sinks import each_batch
@@ -39,3 +40,46 @@ def run(stream: DataFrame, name: str, mode: str = "append", transform=None) -> t
     )
     started.awaitTermination()
     return spark.read.parquet(out).drop("batch"), started.lastProgress
+
+
+Step = Callable[[DataFrame, DataFrame, int, int], tuple[DataFrame, DataFrame]]
+
+
+def run_with_state(stream: DataFrame, name: str, step: Step, state_schema: str, clock: str, delay_ms: int) -> DataFrame:
+    """Process the available input with a table as state, and return the output as a table.
+
+    For each micro-batch ``step(rows, state, before, after)`` gives its output and the next state, both as
+    ordinary (batch) DataFrames: a hot key is split as in any batch job. ``before`` and ``after`` are the
+    watermark (highest ``clock`` in epoch ms so far, less ``delay_ms``) without and with this batch.
+
+    State and watermark are in the shared folder. Batch b reads what b - 1 wrote and replaces what
+    b - 2 wrote, so a batch that is repeated after a failure starts from the same state.
+    """
+    spark = stream.sparkSession
+    folder = shared_folder(spark, name)
+
+    def process(rows: DataFrame, batch_id: int) -> None:
+        session = rows.sparkSession
+        old, new = (f"{folder}/state-{i % 2}" for i in (batch_id - 1, batch_id))
+        if batch_id:
+            state = session.read.schema(state_schema).parquet(f"{old}/rows")
+            highest = session.read.parquet(f"{old}/clock").first()[0]
+        else:
+            state, highest = session.createDataFrame([], state_schema), None
+        rows.persist()
+        top = rows.agg(F.max(clock)).first()[0]
+        after = max((v for v in (highest, top) if v is not None), default=0)
+        output, following = step(rows, state, (highest or 0) - delay_ms, after - delay_ms)
+        output.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+        following.write.mode("overwrite").parquet(f"{new}/rows")
+        session.range(1).select(F.lit(after).cast("bigint")).write.mode("overwrite").parquet(f"{new}/clock")
+        rows.unpersist()
+
+    (
+        stream.writeStream.foreachBatch(process)
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    return spark.read.parquet(f"{folder}/out").drop("batch")

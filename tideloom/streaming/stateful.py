@@ -139,105 +139,3 @@ def process_by_key(
     return stream.groupBy(key).applyInPandasWithState(
         step, output, state_schema, "append", GroupStateTimeout.NoTimeout
     )
-
-
-def count_panes(
-    stream: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str, delay: str, size: str, every: int
-) -> DataFrame:
-    """Tumbling windows with an early pane after each ``every`` messages (discarding); the closing pane
-    holds the rest. Columns keys, pane_id, pane_no, firing_type, n, total."""
-    width = duration_ms(size)
-    names = [*keys, "pane_id"]
-    rows = clocked(stream, ts, delay).select(
-        *keys, ts, millis(ts).alias("_ms"), F.col(tie).alias("_id"), F.col(value).alias("_v")
-    ).withColumn("pane_id", F.col("_ms") - F.pmod("_ms", F.lit(width)))
-    schema = ", ".join(f"`{k}` {_type_of(rows, k)}" for k in names)
-
-    def pane(k: tuple, number, kind: str, n, total) -> pd.DataFrame:
-        out = pd.DataFrame({"pane_no": number, "firing_type": kind, "n": n, "total": total})
-        for name, part in zip(reversed(names), reversed(k)):
-            out.insert(0, name, part)
-        return out
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        number, n, total = state.get if state.exists else (0, 0, 0)
-        if state.hasTimedOut:
-            state.remove()
-            if n:
-                yield pane(k, [number], "DEFAULT", [n], [total])
-            return
-        pdf = _sorted(batches, ["_ms", "_id"])
-        place = (n + np.arange(len(pdf))) // every
-        sums = np.bincount(place, weights=None, minlength=place[-1] + 1)
-        values = np.zeros(len(sums), dtype="int64")
-        np.add.at(values, place, pdf["_v"].to_numpy(dtype="int64"))
-        sums[0] += n
-        values[0] += total
-        full = sums >= every
-        if full.any():
-            yield pane(k, number + np.flatnonzero(full), "EARLY", sums[full], values[full])
-        rest = (0, 0) if full[-1] else (int(sums[-1]), int(values[-1]))
-        state.update((int(number + full.sum()), *rest))
-        state.setTimeoutTimestamp(max(int(k[-1]) + width, state.getCurrentWatermarkMs() + 1))
-
-    return rows.groupBy(*names).applyInPandasWithState(
-        step, f"{schema}, pane_no bigint, firing_type string, n bigint, total bigint",
-        "number bigint, n bigint, total bigint", "append", GroupStateTimeout.EventTimeTimeout,
-    )
-
-
-def ttl_join(
-    left: DataFrame, right: DataFrame, *, key: str, ts: str, tie: str, delay: str, ttl: str, left_id: str, right_id: str
-) -> DataFrame:
-    """The live form of the latest-per-key join: two values of state per key, one per side.
-
-    Columns key, joined_ms and the ids of both messages. State of a key goes when its newer side is
-    older than ``ttl`` by the watermark.
-    """
-    alive = duration_ms(ttl)
-    key_type = _type_of(left, key)
-
-    def side(df: DataFrame, number: int, ident: str) -> DataFrame:
-        return df.select(key, F.col(ts).cast("timestamp").alias(ts), millis(ts).alias("_ms"),
-                         F.col(tie).alias("_tie"), F.col(ident).alias("_id"), F.lit(number).alias("_side"))
-
-    both = side(left, 0, left_id).unionByName(side(right, 1, right_id)).filter(F.col(key).isNotNull())
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        old = state.get if state.exists else (None, None, None, None)
-        pdf = _sorted(batches, ["_ms", "_side", "_tie"])
-        ms, ids, sides = (pdf[c].to_numpy() for c in ("_ms", "_id", "_side"))
-        # position of the latest row of each side up to every row, -1 for the one in the state
-        last = [np.maximum.accumulate(np.where(sides == s, np.arange(len(pdf)), -1)) for s in (0, 1)]
-        other = np.where(sides == 0, last[1], last[0])
-        none = np.iinfo("int64").min // 2
-        old_ms = [none if v is None else v for v in (old[0], old[2])]
-        old_id = [-1 if v is None else v for v in (old[1], old[3])]
-        kept_ms = np.where(sides == 0, old_ms[1], old_ms[0])
-        kept_id = np.where(sides == 0, old_id[1], old_id[0])
-        other_ms = np.where(other >= 0, ms[other], kept_ms)
-        other_id = np.where(other >= 0, ids[other], kept_id)
-        hit = other_ms > ms - alive
-        if hit.any():
-            yield pd.DataFrame({
-                key: [k[0]] * int(hit.sum()), "joined_ms": ms[hit],
-                left_id: np.where(sides == 0, ids, other_id)[hit], right_id: np.where(sides == 0, other_id, ids)[hit],
-            })
-        new = []
-        for s, at in enumerate((last[0][-1], last[1][-1])):
-            new += [int(ms[at]), int(ids[at])] if at >= 0 else [old[2 * s], old[2 * s + 1]]
-        state.update(tuple(new))
-        newest = max(v for v in (new[0], new[2]) if v is not None)
-        state.setTimeoutTimestamp(max(newest + alive, state.getCurrentWatermarkMs() + 1))
-
-    return (
-        both.withWatermark(ts, delay)
-        .groupBy(key)
-        .applyInPandasWithState(
-            step, f"`{key}` {key_type}, joined_ms bigint, `{left_id}` bigint, `{right_id}` bigint",
-            "l_ms bigint, l_id bigint, r_ms bigint, r_id bigint", "append", GroupStateTimeout.EventTimeTimeout,
-        )
-    )

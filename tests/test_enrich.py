@@ -88,3 +88,20 @@ def test_failing_lookup_fails_the_query(spark):
 
     with pytest.raises(Exception, match="down"):
         EN.enrich(spark.range(2), ["id"], Down, "x bigint").collect()
+
+
+def test_bulk_upsert_counts_conflicts_and_raises_on_failures(spark):
+    class Index:
+        def __call__(self, requests):
+            return ["failed" if r["id"] == 99 else "conflict" if r["id"] % 2 else "insert" for r in requests]
+
+    got = EN.bulk_upsert(spark.range(10), Index, EN.Access(batch_size=4)).groupBy("outcome").sum("n").collect()
+    assert {r[0]: r[1] for r in got} == {"insert": 5, "conflict": 5}
+    with pytest.raises(Exception, match="1 requests failed"):
+        EN.bulk_upsert(spark.range(100), Index).collect()
+
+
+def test_kept_lookups_are_read_from_the_shared_folder(spark):
+    df = EN.enrich(spark.range(9), ["id"], Squares, "sq bigint", access=EN.Access(batch_size=3), keep=True)
+    assert "FileScan parquet" in df._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: r["sq"] for r in df.collect()} == {i: None if i == 4 else i * i for i in range(9)}

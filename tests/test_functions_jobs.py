@@ -202,3 +202,24 @@ def test_async_flat_map_fails_on_error_and_timeout(spark):
         ST.flat_map_async(df, broken, "id bigint").collect()
     with pytest.raises(Exception, match="Timeout"):
         ST.flat_map_async(df, slow, "id bigint", timeout_s=0.1, records_per_turn=1).collect()
+
+
+def test_broker_startpoints():
+    from tideloom.sources.streams import broker_start
+
+    assert broker_start("oldest") == {"startingOffsets": "earliest"}
+    assert broker_start("upcoming") == {"startingOffsets": "latest"}
+    assert broker_start("offset", {"t": {0: 5}}) == {"startingOffsets": '{"t": {"0": 5}}'}
+    assert broker_start("timestamp", timestamp_ms=7)["startingTimestamp"] == "7"
+    with pytest.raises(ValueError):
+        broker_start("later")
+
+
+def test_file_groups(spark):
+    from tideloom.sources.files import file_groups
+
+    paths = ["/d/run_2016-part-3.avro", "/d/run_2017-part-3.avro", "/d/run_2016-part-12.avro", "/d/other.txt"]
+    got = file_groups(spark.createDataFrame([(p,) for p in paths], "file_path string"), r".*part-[id]\.avro").collect()
+    assert {r["file_path"]: (r["group_id"], r["file_no"]) for r in got} == {
+        paths[0]: ("3", 1), paths[1]: ("3", 2), paths[2]: ("12", 1), paths[3]: (paths[3], 1),
+    }

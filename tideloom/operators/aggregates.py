@@ -43,7 +43,9 @@ def _placed(counts: DataFrame, by: Sequence[str], value: str, slicing: Slicing)
     if not slicing.cuts:
         return summed.withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
     totals = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
-    same = [F.col(f"l.{b}").eqNullSafe(F.col(f"t.{b}")) for b in by] or [F.lit(True)]
+    if not by:
+        return summed.withColumn("_all", totals.scalar())
+    same = [F.col(f"l.{b}").eqNullSafe(F.col(f"t.{b}")) for b in by]
     return summed.alias("l").join(totals.alias("t"), same).select("l.*", "t._all")
 
 

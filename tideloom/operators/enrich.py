@@ -284,3 +284,25 @@ def write_remote(
         yield pd.DataFrame({"batches": [calls], "written": [written]})
 
     return df.mapInPandas(run, "batches bigint, written bigint")
+
+
+def bulk_upsert(
+    df: DataFrame, make: Callable[[], Callable[[list[dict]], list[str]]], access: Access = Access()
+) -> DataFrame:
+    """Bulk upsert into an index. The writer gives one outcome per request: insert, update, conflict
+    or failed. Conflicts (an older version came late) are counted; a failure fails the task once its
+    batches are flushed. One row (outcome, n) per task and outcome; lazy like :func:`write_remote`.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        write = _caller(make(), access)
+        seen: dict[str, int] = {}
+        for pdf in batches:
+            for outcomes in _batched(write, pdf.to_dict("records"), access):
+                for outcome in outcomes:
+                    seen[outcome] = seen.get(outcome, 0) + 1
+        if seen.get("failed"):
+            raise RuntimeError(f"{seen['failed']} requests failed")
+        yield pd.DataFrame({"outcome": list(seen), "n": list(seen.values())}).astype({"n": "int64"})
+
+    return df.mapInPandas(run, "outcome string, n bigint")

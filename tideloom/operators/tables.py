@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideloom.functions.times import duration_ms, millis
 from tideloom.operators.ordered import Running, Slicing, plan_slices, ranked, running
+from tideloom.operators.panes import AnyOf, Count, Repeat, SinceFirst, segments
 
 
 def latest(changes: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -108,6 +109,32 @@ def batches(
     )
 
 
+def timed_batches(
+    operations: DataFrame,
+    source: Sequence[str],
+    ts: str,
+    tie: str,
+    size: int,
+    delay: str,
+    flush_every: str = "1 minute",
+    slicing: Slicing | None = None,
+) -> DataFrame:
+    """Batches closed by size, by ``delay`` after their first operation, or by the periodic flush.
+
+    Adds ``flush_no`` (the flush interval, epoch aligned) and ``batch_no`` inside it.
+    """
+    clocked = operations.withColumn("_ms", millis(ts))
+    if slicing is None:
+        slicing = plan_slices(clocked, "_ms")
+    flushed = clocked.withColumn("flush_no", F.floor(F.col("_ms") / duration_ms(flush_every)))
+    closing = Repeat(AnyOf((Count(size), SinceFirst(delay))))
+    return (
+        segments(flushed, [*source, "flush_no"], tie, closing, slicing)
+        .withColumnRenamed("segment", "batch_no")
+        .drop("_ms")
+    )
+
+
 def compact(batched: DataFrame, source: Sequence[str], key: str, order: Sequence[str], is_query: Column) -> DataFrame:
     """Per batch the first query and the last update of each key. A batch is bounded by its size."""
     group = [*source, "batch_no", key]

@@ -93,6 +93,14 @@ def startpoint_offset(spark, sf):
     return S.from_offsets(table(spark, sf, "events"), part, "event_id", {1: 300, 2: 500}).select("event_id", "user_id")
 
 
+@query("startpoint_upcoming", "SELECT event_id, user_id FROM events WHERE event_id > (SELECT max(event_id) FROM events WHERE ts < TIMESTAMP '2024-01-20')")
+def startpoint_upcoming(spark, sf):
+    """What arrived after the reader was set up, here on the 20th."""
+    df = table(spark, sf, "events").select("event_id", "user_id", "ts")
+    known = df.filter(F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz"))
+    return S.from_upcoming(df, "event_id", known).drop("ts")
+
+
 @query("gen_events", """
 SELECT view_id, page_key, member_id, company, zip FROM (
  SELECT event_id AS view_id, ['inbox','home','search','pymk','group','job'][(event_id * 7 + event_id // 11) % 6 + 1] AS page_key, event_id * 7919 % 100 AS member_id FROM events) v
@@ -135,9 +143,12 @@ def sink_roll(spark, sf):
     def sizes(path):
         return spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("f")).agg(rows("k"))
 
-    a = sizes(by_records).agg(F.sum("k").alias("n"), F.count_if(F.col("k") > 5_000).alias("long_files"))
-    b = sizes(by_bytes).agg((F.max("k") <= used).alias("rolled_by_bytes"))
-    return a.join(F.broadcast(b))
+    longest = sizes(by_bytes).agg(F.max("k"))
+    return (
+        sizes(by_records)
+        .agg(F.sum("k").alias("n"), F.count_if(F.col("k") > 5_000).alias("long_files"))
+        .withColumn("rolled_by_bytes", longest.scalar() <= used)
+    )
 
 
 @query("sink_text", "SELECT lang, count(*) AS n, CAST(sum(length(lang) + 1 + length(CAST(doc_id AS VARCHAR))) AS BIGINT) AS chars FROM documents GROUP BY ALL")
@@ -368,6 +379,21 @@ def remote_lookup_join(spark, sf):
     return EN.enrich(df, ["member", "kind"], Rates, "rate bigint")
 
 
+@query("bulk_upsert_outcomes", f"SELECT CASE WHEN cents % 11 = 0 THEN 'conflict' WHEN event_type = 'signup' THEN 'insert' ELSE 'update' END AS outcome, count(*) AS n FROM {EV} GROUP BY ALL")
+def bulk_upsert_outcomes(spark, sf):
+    """Bulk requests to an index: conflicts are counted and not fatal."""
+
+    class Index:
+        def __call__(self, requests):
+            return [
+                "conflict" if r["cents"] % 11 == 0 else "insert" if r["event_type"] == "signup" else "update"
+                for r in requests
+            ]
+
+    done = EN.bulk_upsert(events(spark, sf, "event_id", "event_type", "cents"), Index, EN.Access(batch_size=1_000))
+    return done.groupBy("outcome").agg(F.sum("n").alias("n"))
+
+
 @query("enrich_write", "SELECT count(*) AS written FROM orders")
 def enrich_write(spark, sf):
     """Write all orders through a write function, retried and in batches of 500."""

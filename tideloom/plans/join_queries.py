@@ -238,10 +238,10 @@ def table_all_sorted(spark, sf):
 
 @query("table_ttl", f"SELECT user_id, event_id, event_type FROM {STATE} WHERE event_type <> 'error' AND ms > (SELECT max(ms) FROM {EV}) - {DAY}")
 def table_ttl(spark, sf):
-    """Entries alive at the end of the stream; the scalar subquery is one row."""
-    now = events(spark, sf, "ts").agg(F.max(millis("ts")).alias("now_ms"))
+    """Entries alive at the end of the stream: the clock is a scalar subquery."""
+    now = events(spark, sf, "ts").agg(F.max(millis("ts")))
     entries = state(spark, sf, ("user_id", "event_id", "event_type", "ts"))
-    return TB.alive(entries.join(F.broadcast(now)), "ts", "1 day", F.col("now_ms")).drop("ts", "now_ms")
+    return TB.alive(entries, "ts", "1 day", now.scalar()).drop("ts")
 
 
 @query("timeseries_range", """
@@ -314,3 +314,16 @@ def bulk_upsert_actions(spark, sf):
         (F.col("user_id") % 5).alias("routing"),
     )
     return TB.versioned_actions(requests, "doc_id", "version", ["event_id"])
+
+
+@query("batch_timed", f"""
+WITH RECURSIVE d AS (SELECT event_id, user_id % 4 AS source, ms // {HOUR} AS flush_no, ms, row_number() OVER (PARTITION BY user_id % 4, ms // {HOUR} ORDER BY ms, event_id) AS rn FROM {EV}),
+ s AS (SELECT source, flush_no, ms AS began, rn AS began_rn, 0 AS batch_no FROM d WHERE rn = 1 UNION ALL
+   SELECT source, flush_no, began, began_rn, batch_no FROM (
+     SELECT s.source, s.flush_no, d.ms AS began, d.rn AS began_rn, s.batch_no + 1 AS batch_no, row_number() OVER (PARTITION BY s.source, s.flush_no ORDER BY d.rn) AS k
+     FROM s JOIN d ON s.source = d.source AND s.flush_no = d.flush_no AND d.rn > s.began_rn AND (d.ms >= s.began + 600000 OR d.rn >= s.began_rn + 3)) WHERE k = 1)
+SELECT d.event_id, d.source, d.flush_no, CAST((SELECT max(batch_no) FROM s WHERE s.source = d.source AND s.flush_no = d.flush_no AND s.began_rn <= d.rn) AS BIGINT) AS batch_no FROM d""")
+def batch_timed(spark, sf):
+    """Batches of at most 3 operations or 10 minutes, flushed every hour."""
+    ops = events(spark, sf, "event_id", "ts", "user_id").withColumn("source", F.col("user_id") % 4)
+    return TB.timed_batches(ops, ["source"], "ts", "event_id", 3, "10 minutes", "1 hour").drop("ts", "user_id")

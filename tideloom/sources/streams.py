@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,30 @@ def from_timestamp(df: DataFrame, ts: str, start: Column) -> DataFrame:
     return df.filter(F.col(ts) >= start)
 
 
+def from_upcoming(df: DataFrame, offset: str, known: DataFrame) -> DataFrame:
+    """Only what comes after everything in ``known`` (the table as it was when the reader was set up)."""
+    return df.filter(F.col(offset) > F.coalesce(known.agg(F.max(offset)).scalar(), F.lit(-1)))
+
+
+def broker_start(
+    startpoint: str, partitions: dict[str, dict[int, int]] | None = None, timestamp_ms: int | None = None
+) -> dict[str, str]:
+    """Reader options of a log-broker source for a startpoint: oldest, upcoming, offset or timestamp.
+
+    ``partitions`` gives the offset per topic and partition. A checkpoint, where there is one, wins
+    over these options; a reset is a new checkpoint folder.
+    """
+    if startpoint == "oldest":
+        return {"startingOffsets": "earliest"}
+    if startpoint == "upcoming":
+        return {"startingOffsets": "latest"}
+    if startpoint == "offset":
+        return {"startingOffsets": json.dumps({t: {str(p): o for p, o in ps.items()} for t, ps in partitions.items()})}
+    if startpoint == "timestamp":
+        return {"startingTimestamp": str(timestamp_ms), "startingOffsetsByTimestampStrategy": "latest"}
+    raise ValueError(f"no startpoint {startpoint!r}")
+
+
 def live(
     spark: SparkSession, folder: str, name: str, max_files: int | None = None, max_bytes: int = 64 * 1024**3
 ) -> DataFrame:

@@ -16,20 +16,24 @@ def run_to_table(
     name: str,
     mode: str = "append",
     transform: Callable[[DataFrame], DataFrame] | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
     """Process the available input in micro-batches and return the output as a table.
 
     Output and checkpoint are in the shared folder; each micro-batch replaces its own part, so a
-    repeated batch after a failure does no harm.
+    repeated batch after a failure does no harm. With the ``folder`` of an earlier run the stream goes
+    on where that one ended; a new folder starts from the source's default position.
     """
-    result, _ = run(stream, name, mode, transform)
+    result, _ = run(stream, name, mode, transform, folder)
     return result
 
 
-def run(stream: DataFrame, name: str, mode: str = "append", transform=None) -> tuple[DataFrame, dict]:
+def run(
+    stream: DataFrame, name: str, mode: str = "append", transform=None, folder: str | None = None
+) -> tuple[DataFrame, dict]:
     """The output table and the last progress report."""
     spark = stream.sparkSession
-    folder = shared_folder(spark, name)
+    folder = folder or shared_folder(spark, name)
     out = f"{folder}/out"
     started = (
         stream.writeStream.foreachBatch(each_batch(out, transform))
@@ -45,7 +49,9 @@ def run(stream: DataFrame, name: str, mode: str = "append", transform=None) -> t
 Step = Callable[[DataFrame, DataFrame, int, int], tuple[DataFrame, DataFrame]]
 
 
-def run_with_state(stream: DataFrame, name: str, step: Step, state_schema: str, clock: str, delay_ms: int) -> DataFrame:
+def run_with_state(
+    stream: DataFrame, name: str, step: Step, state_schema: str, clock: str, delay_ms: int, folder: str | None = None
+) -> DataFrame:
     """Process the available input with a table as state, and return the output as a table.
 
     For each micro-batch ``step(rows, state, before, after)`` gives its output and the next state, both as
@@ -56,7 +62,7 @@ def run_with_state(stream: DataFrame, name: str, step: Step, state_schema: str,
     b - 2 wrote, so a batch that is repeated after a failure starts from the same state.
     """
     spark = stream.sparkSession
-    folder = shared_folder(spark, name)
+    folder = folder or shared_folder(spark, name)
 
     def process(rows: DataFrame, batch_id: int) -> None:
         session = rows.sparkSession

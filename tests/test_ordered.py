@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideloom.operators.aggregates import percentiles
-from tideloom.operators.ordered import Running, Slicing, islands, plan_slices, ranked, running
+from tideloom.operators.ordered import Running, Slicing, gaps, islands, plan_slices, ranked, running
 
 
 def rows(n=900, seed=3):
@@ -82,6 +82,22 @@ def test_islands(frame, closed):
     assert {r["id"]: r["island_start"] for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("cut", [False, True])
+def test_gaps_with_extra_values_in_one_pass(frame, cut):
+    slicing = plan_slices(frame, "t", 60) if cut else Slicing()
+    extra = {"rn": Running("count"), "first": Running("min", "t")}
+    got = gaps(frame, ["k"], ["t", "id"], 4, closed=False, start="s", number="n", extra=extra, slicing=slicing)
+    state, want = {}, {}
+    for i, k, t, _ in sorted(rows(), key=lambda r: (r[2], r[0])):
+        last, s, n, rn, first = state.get(k, (None, t, 0, 0, t))
+        if last is not None and t - last >= 4:
+            s, n = t, n + 1
+        state[k] = (t, s, n, rn + 1, first)
+        want[i] = state[k][1:]
+    assert {r["id"]: (r["s"], r["n"], r["rn"], r["first"]) for r in got.collect()} == want
+    assert set(got.columns) == {*frame.columns, "s", "n", *extra}
+
+
 def test_exact_percentiles_in_slices(frame):
     got = percentiles(frame, ["k"], "v", {"p10": 0.1, "p50": 0.5, "p100": 1.0}, Slicing((4.0, 9.0, 15.0)))
     groups = {}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tideloom.functions.times import millis
 from tideloom.operators import panes as P
 from tideloom.operators import windows as W
+from tideloom.operators.chains import Limits, segment_starts
 from tideloom.operators.ordered import Slicing, plan_slices
 
 EPOCH = datetime.datetime(2024, 1, 1)
@@ -91,21 +92,21 @@ def brute_segments(messages, lim):
     return out
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=500, deadline=None)
 @given(
     st.lists(st.lists(st.integers(0, 60), min_size=1, max_size=40), min_size=1, max_size=4),
     st.one_of(st.none(), st.integers(1, 5)), st.one_of(st.none(), st.integers(1, 25)), st.one_of(st.none(), st.integers(1, 12)),
     st.integers(1, 7),
 )
 def test_segment_starts(groups, count, age, silence, batch):
-    lim = P.Limits(count, age, silence, True)
+    lim = Limits(count, age, silence, True)
     ticks = []
     for g, messages in enumerate(groups):
         for ms in sorted(set(messages)):
             ticks.append((g, f"g{g}", ms, messages.count(ms)))
     frame = pd.DataFrame(ticks, columns=["k", "_group", "_ms", "_n"])
     pieces = [frame.iloc[i : i + batch].reset_index(drop=True) for i in range(0, len(frame), batch)]
-    found = pd.concat(list(P._segment_starts(iter(pieces), ["k"], lim)))
+    found = pd.concat(list(segment_starts(iter(pieces), ["k"], lim)))
     for g, messages in enumerate(groups):
         starts = found[found["k"] == g].sort_values("segment")
         got = [int((starts["_rn"] <= rn).sum()) - 1 for rn in range(1, len(messages) + 1)]
@@ -153,5 +154,5 @@ def test_throttled_counts_across_ties(spark):
     from tideloom.operators.aggregates import throttled_counts
 
     rows = [(0, 1, 0, 0), (1, 1, 0, 0), (2, 1, 100, 0), (3, 1, 101, 0), (4, 1, 101, 0), (5, 1, 400, 0), (6, 2, 50, 0)]
-    got = throttled_counts(stream(spark, rows), "k", "ts", "id", "1 second", "100 milliseconds")
+    got = throttled_counts(stream(spark, rows), "k", "ts", "1 second", "100 milliseconds")
     assert sorted((r["k"], r["emitted_ms"] % 1000, r["n"]) for r in got.collect()) == [(1, 0, 1), (1, 101, 4), (1, 400, 6), (2, 50, 1)]

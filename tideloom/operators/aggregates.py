@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideloom.functions.times import col, duration_ms, millis, window_start
-from tideloom.operators.ordered import Running, Slicing, plan_slices, running
+from tideloom.operators.chains import Limits, starts
+from tideloom.operators.ordered import Running, Slicing, plan_slices, running, settle
 
 
 def cents(value) -> Column:
@@ -39,6 +38,7 @@ def percentiles(
 
 def _placed(counts: DataFrame, by: Sequence[str], value: str, slicing: Slicing) -> DataFrame:
     """Add to every (group, value, _n) the rows up to it and the rows of its group."""
+    counts = settle(counts, slicing)
     summed = running(counts, by, [value], {"_upto": Running("sum", "_n")}, slicing)
     if not slicing.cuts:
         return summed.withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
@@ -115,44 +115,12 @@ def observed_filter(df: DataFrame, predicate: Column, observation) -> DataFrame:
     return df.observe(observation, F.count(F.lit(1)).alias("n_in"), passed.alias("n_out")).filter(predicate)
 
 
-def throttled_counts(
-    df: DataFrame, key: str, ts: str, tie: str, size: str, timeout: str, slicing: Slicing | None = None
-) -> DataFrame:
-    """Running count per (key, tumbling window), put out when ``timeout`` has passed since the last output.
+def throttled_counts(df: DataFrame, key: str, ts: str, size: str, timeout: str) -> DataFrame:
+    """Running count per (key, tumbling window), put out when more than ``timeout`` has passed since the
+    last output. The first message of a window is put out at once.
 
-    The first message of a window is put out at once. Every emission depends on the one before, but
-    only through clock ticks: each (key, window) is reduced to (tick, count) before its rows meet.
+    Every output depends on the one before: they are the starts of a chain of segments.
     """
-    clocked = df.select(F.col(key), millis(ts).alias("_ms")).withColumn("pane_id", window_start("_ms", size))
-    ticks = clocked.groupBy(key, "pane_id", "_ms").agg(F.count(F.lit(1)).alias("_n"))
-    ordered = (
-        ticks.withColumn("_group", F.to_json(F.struct(key, "pane_id")))
-        .repartition("_group")
-        .sortWithinPartitions("_group", "_ms")
-    )
-    wait = duration_ms(timeout)
-    key_type = dict(df.dtypes)[key]
-
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, due, seen = None, 0, 0
-        for pdf in batches:
-            idents, ms, n = (pdf[c].to_numpy() for c in ("_group", "_ms", "_n"))
-            edges = np.flatnonzero(idents[1:] != idents[:-1]) + 1
-            rows, counts = [], []
-            for lo, hi in zip(np.r_[0, edges], np.r_[edges, len(pdf)], strict=True):
-                if hi <= lo:
-                    continue
-                if idents[lo] != current:
-                    current, due, seen = idents[lo], ms[lo], 0
-                before = seen + np.cumsum(n[lo:hi]) - n[lo:hi]
-                i = lo + int(np.searchsorted(ms[lo:hi], due))
-                while i < hi:
-                    rows.append(i)
-                    counts.append(int(before[i - lo]) + 1)
-                    due = ms[i] + wait + 1
-                    i = lo + int(np.searchsorted(ms[lo:hi], due))
-                seen += int(n[lo:hi].sum())
-            out = pdf.iloc[rows][[key, "pane_id", "_ms"]].reset_index(drop=True)
-            yield out.rename(columns={"_ms": "emitted_ms"}).assign(n=counts)
-
-    return ordered.mapInPandas(emit, f"`{key}` {key_type}, pane_id bigint, emitted_ms bigint, n bigint")
+    clocked = df.select(key, millis(ts).alias("_ms")).withColumn("pane_id", window_start("_ms", size))
+    chain = starts(clocked, [key, "pane_id"], Limits(age=duration_ms(timeout) + 1, repeat=True))
+    return chain.select(key, "pane_id", F.col("_ms").alias("emitted_ms"), F.col("_rn").alias("n"))

@@ -10,16 +10,15 @@ one may have none and is what the DEFAULT pane of a discarding window holds.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideloom.functions.times import col, duration_ms, millis, window_start
-from tideloom.operators.ordered import Running, Slicing, islands, plan_slices, running
+from tideloom.operators.chains import Limits, starts
+from tideloom.operators.ordered import Running, Slicing, gaps, islands, plan_slices, running, settle
 
 
 @dataclass(frozen=True)
@@ -57,16 +56,6 @@ class Repeat:
     child: object
 
 
-@dataclass(frozen=True)
-class Limits:
-    """A trigger as its bounds on one segment: message count, age and silence."""
-
-    count: int | None = None
-    age: int | None = None
-    silence: int | None = None
-    repeat: bool = False
-
-
 def limits(trigger) -> Limits:
     if isinstance(trigger, Repeat):
         inner = limits(trigger.child)
@@ -103,118 +92,43 @@ def segments(
         numbered = running(df, group, order, {"_rn": Running("count")}, slicing)
         return numbered.withColumn("segment", F.floor((F.col("_rn") - 1) / lim.count)).drop("_rn")
     if lim.repeat:
-        # a silence ends the segment; islands are numbered by counting their first rows
-        marked = running(df, group, order, {"_prev": Running("last", "_ms", before=True)}, slicing)
-        broken = (F.col("_ms") - F.col("_prev") >= lim.silence).cast("bigint")
-        return running(
-            marked, group, order, {"segment": Running("sum", F.coalesce(broken, F.lit(0).cast("bigint")))}, slicing
-        ).drop("_prev")
+        return gaps(df, group, order, lim.silence, closed=False, number="segment", slicing=slicing)
     # one firing: segment 0 up to it, segment 1 after it
     wanted = {}
     if lim.count is not None:
         wanted["_rn"] = Running("count")
     if lim.age is not None:
         wanted["_first"] = Running("min", "_ms")
-    inside = F.lit(True)
-    result = df
     if lim.silence is not None:
-        result = islands(result, group, order, lim.silence, closed=False, start="_island", slicing=slicing)
-        wanted["_first"] = Running("min", "_ms")
-    result = running(result, group, order, wanted, slicing)
+        result = gaps(df, group, order, lim.silence, closed=False, number="_run", extra=wanted, slicing=slicing)
+    else:
+        result = running(df, group, order, wanted, slicing)
+    inside = F.lit(True)
     if lim.count is not None:
         inside = inside & (F.col("_rn") <= lim.count)
     if lim.age is not None:
         inside = inside & (F.col("_ms") < F.col("_first") + lim.age)
     if lim.silence is not None:
-        inside = inside & (F.col("_island") == F.col("_first"))
-    return result.withColumn("segment", F.when(inside, 0).otherwise(1).cast("bigint")).drop(
-        "_rn", "_first", "_island"
-    )
+        inside = inside & (F.col("_run") == 0)
+    return result.withColumn("segment", F.when(inside, 0).otherwise(1).cast("bigint")).drop("_rn", "_first", "_run")
 
 
 def _greedy_segments(df, group, order, lim: Limits, slicing) -> DataFrame:
-    """Repeating age triggers: where a segment starts depends on where the one before it ended.
-
-    Only that chain is sequential, and it needs no more than the number of messages per distinct
-    clock tick. So each group is reduced to its ticks first (map-side combine): a group then has at
-    most one row per millisecond of its window, however many messages it holds. The ticks stream
-    through :func:`_segment_starts` in constant memory, and the starts go back to the rows as marker
-    rows in a running window, not through a join.
-    """
-    ident = F.to_json(F.struct(*group)).alias("_group")
-    ticks = df.groupBy(*group, "_ms").agg(F.count(F.lit(1)).alias("_n")).withColumn("_group", ident)
-    ordered = ticks.repartition("_group").sortWithinPartitions("_group", "_ms")
-    types = dict(df.dtypes)
-    schema = ", ".join(
-        [f"`{g}` {types[g]}" for g in group] + ["_ms bigint", "_rn bigint", "segment bigint"]
-    )
-
-    def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _segment_starts(batches, list(group), lim)
-
-    markers = ordered.mapInPandas(starts, schema).withColumn("_marker", F.lit(1))
-    numbered = running(df, group, order, {"_rn": Running("count")}, slicing)
-    both = numbered.withColumn("_marker", F.lit(0)).unionByName(
-        markers.withColumnRenamed("segment", "_start"), allowMissingColumns=True
-    )
-    placed = both.withColumn("_place", -F.col("_marker"))
-    filled = running(placed, group, ["_ms", "_rn", "_place"], {"segment": Running("last", "_start")}, slicing)
-    return filled.filter(F.col("_marker") == 0).drop("_marker", "_place", "_start", "_rn")
-
-
-def _segment_starts(batches: Iterator[pd.DataFrame], group: list[str], lim: Limits) -> Iterator[pd.DataFrame]:
-    current = None
-    start = last = used = rank = segment = 0
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        idents = pdf["_group"].to_numpy()
-        edges = np.flatnonzero(idents[1:] != idents[:-1]) + 1
-        found: list[tuple[int, int, int, int]] = []
-        for lo, hi in zip(np.r_[0, edges], np.r_[edges, len(pdf)], strict=True):
-            ms = pdf["_ms"].to_numpy()[lo:hi]
-            n = pdf["_n"].to_numpy()[lo:hi]
-            total = np.cumsum(n)
-            gaps = None
-            fresh = idents[lo] != current
-            if fresh:
-                current, rank, segment, used = idents[lo], 0, -1, 0
-            if lim.silence is not None:
-                before = np.r_[ms[0] if fresh else last, ms[:-1]]
-                gaps = np.flatnonzero(ms - before >= lim.silence)
-            i, taken = 0, 0  # tick index, messages of this batch already placed
-            if fresh:
-                segment, start, used = 0, ms[0], 0
-                found.append((lo, int(ms[0]), 1, 0))
-            while True:
-                end, why = len(ms), "open"
-                if lim.age is not None:
-                    end = min(end, int(np.searchsorted(ms, start + lim.age)))
-                if gaps is not None:
-                    later = gaps[np.searchsorted(gaps, i):]
-                    later = later[ms[later] > start] if len(later) else later
-                    if len(later):
-                        end = min(end, int(later[0]))
-                end = max(end, i)
-                upto = int(total[end - 1]) if end else 0
-                if lim.count is not None and used + (upto - taken) > lim.count:
-                    # the count is reached first: the next segment starts with the message after it
-                    taken += lim.count - used
-                    i = int(np.searchsorted(total, taken, side="right"))
-                    why = "count"
-                elif end < len(ms):
-                    taken, i, why = upto, end, "time"
-                if why == "open":
-                    used += int(total[-1]) - taken
-                    break
-                segment, start, used = segment + 1, ms[i], 0
-                found.append((lo + i, int(ms[i]), rank + taken + 1, segment))
-            rank += int(total[-1])
-            last = ms[-1]
-        if found:
-            rows, at, rn, seg = (np.array(x) for x in zip(*found, strict=True))
-            out = pdf.iloc[rows][group].reset_index(drop=True)
-            yield out.assign(_ms=at, _rn=rn, segment=seg)
+    """Repeating age triggers. The chained starts go back to the rows as marker rows in a running
+    window, not through a join. Without a count a segment starts with a tick, else with a rank."""
+    slicing = slicing or Slicing()
+    markers = settle(starts(df, group, lim), slicing).withColumnRenamed("segment", "_start")
+    markers = markers.withColumn("_place", F.lit(0))
+    if lim.count is None:
+        rows = df.withColumn("_place", F.lit(1))
+        place = ["_ms", "_place", order[1]]
+        both = rows.unionByName(markers.drop("_rn"), allowMissingColumns=True)
+    else:
+        rows = running(df, group, order, {"_rn": Running("count")}, slicing).withColumn("_place", F.lit(1))
+        place = ["_ms", "_rn", "_place"]
+        both = settle(rows.unionByName(markers, allowMissingColumns=True), slicing)
+    filled = running(both, group, place, {"segment": Running("last", "_start")}, slicing)
+    return filled.filter(F.col("_place") == 1).drop("_place", "_start", "_rn")
 
 
 _COMBINE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
@@ -256,6 +170,7 @@ def panes(
         placed = islands(
             clocked, keys, ["_ms", tie], duration_ms(session), closed=True, start="pane_id", slicing=slicing
         )
+        placed = settle(placed, slicing)
     group = [*keys, "pane_id"]
     lim = limits(early)
     parts = (
@@ -268,6 +183,8 @@ def panes(
             *_partial(aggs),
         )
     )
+    if accumulating or session is not None:
+        parts = settle(parts, slicing)
     if tumbling is not None:
         parts = parts.withColumn("_close", F.col("pane_id") + duration_ms(tumbling))
     else:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideloom.functions.times import duration_ms, millis, window_start
-from tideloom.operators.ordered import Slicing, islands, plan_slices, ranked
+from tideloom.operators.ordered import Slicing, islands, plan_slices, ranked, settle
 
 CHUNK_ROWS = 4_096
 
@@ -65,14 +65,15 @@ def tag_tumbling(df: DataFrame, ts: str, size: str) -> DataFrame:
 
 
 def tag_session(
-    df: DataFrame, ts: str, gap: str, keys: Sequence[str], tie: str, slicing: Slicing | None = None
+    df: DataFrame, ts: str, gap: str, keys: Sequence[str], tie: str, slicing: Slicing | None = None, stored: bool = False
 ) -> DataFrame:
-    """Add the session's ``pane_id`` to every row."""
+    """Add the session's ``pane_id`` to every row. ``stored`` settles the result for a further pass."""
     clocked = df.withColumn("_ms", millis(ts))
     slicing = plan_slices(clocked, "_ms") if slicing is None else slicing
-    return islands(
+    tagged = islands(
         clocked, keys, ["_ms", tie], duration_ms(gap), closed=True, start="pane_id", slicing=slicing
     ).drop("_ms")
+    return settle(tagged, slicing) if stored else tagged
 
 
 def collect_panes(

@@ -100,7 +100,7 @@ GROUP BY ALL""")
 def keyed_session_collect(spark, sf):
     source = events(spark, sf, "event_id", "ts", "user_id", "event_type")
     slicing = plan_slices(source.select(millis("ts").alias("_ms")), "_ms")
-    tagged = W.tag_session(source, "ts", "6 hours", ["user_id"], "event_id", slicing)
+    tagged = W.tag_session(source, "ts", "6 hours", ["user_id"], "event_id", slicing, stored=True)
     got = W.collect_panes(
         tagged, "ts", ["user_id"], "event_id", ["event_id", "event_type"], chunk=4, slicing=slicing
     )
@@ -365,7 +365,7 @@ WITH RECURSIVE r AS (SELECT user_id, ms - ms % {DAY} AS pane_id, ms, row_number(
      FROM s JOIN r ON s.user_id = r.user_id AND s.pane_id = r.pane_id AND r.ms > s.ms + {2 * HOUR}) WHERE k = 1)
 SELECT user_id, pane_id, ms AS emitted_ms, n FROM s""")
 def event_window_throttled_count(spark, sf):
-    return agg.throttled_counts(events(spark, sf), "user_id", "ts", "event_id", "1 day", "2 hours")
+    return agg.throttled_counts(events(spark, sf), "user_id", "ts", "1 day", "2 hours")
 
 
 @query("latency_snapshot", f"""

@@ -21,7 +21,7 @@ def split(spark, data, tmp_path_factory):
 
 @pytest.mark.parametrize("name", [
     "stream_watermark_count", "stream_watermark_hook", "stream_timer", "stream_early_panes", "stream_ttl_join",
-    "stream_session_count", "task_process", "eos_flush",
+    "stream_session_count", "task_process", "eos_flush", "stream_table_live", "stream_table_join",
 ])
 def test_many_batches_equal_one(spark, data, split, name, monkeypatch):
     one = checking.spark_rows(getattr(Q, name)(spark, data))

@@ -9,7 +9,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tideloom.functions.codecs import project_to_schema
 from tideloom.operators import tables
 
 _INSERT = re.compile(r"(insert|upsert)\s+into\s+([\w.$`]+)\s*(?:\(([\w\s,`]+)\))?\s*(select\b.*|with\b.*|values\b.*)", re.I | re.S)
@@ -47,6 +49,15 @@ def read_insert(statement: str) -> Insert:
     return Insert(match[2], match[4], columns, match[1].lower() == "upsert")
 
 
+@dataclass(frozen=True)
+class Sink:
+    """Where a sink's rows go. With a ``schema`` unknown columns are dropped and missing ones are null."""
+
+    path: str
+    fmt: str = "parquet"
+    schema: T.StructType | None = None
+
+
 class SqlJob:
     """Sources by dotted name, and the statements that run over them.
 
@@ -58,6 +69,7 @@ class SqlJob:
     def __init__(self, spark: SparkSession) -> None:
         self._spark = spark
         self._views: dict[str, str] = {}
+        self._sinks: dict[str, Sink] = {}
 
     def source(self, name: str, df: DataFrame, keys: Iterable[str] = (), order: Iterable[str] = ()) -> SqlJob:
         self._add(name, df)
@@ -65,6 +77,31 @@ class SqlJob:
             self._add(f"{name}.$table", tables.materialise(df, list(keys), list(order)))
         return self
 
+    def sink(self, name: str, path: str, fmt: str = "parquet", schema: T.StructType | None = None) -> SqlJob:
+        self._sinks[name] = Sink(path, fmt, schema)
+        return self
+
+    def execute(self, statements: str | Iterable[str | Insert]) -> dict[str, DataFrame]:
+        """Run the statements and write every declared sink. A select over live sources runs over all
+        input there is, with its checkpoint beside the output. Returns the DataFrames by sink."""
+        outputs = self.run(statements)
+        for name, sink in self._sinks.items():
+            out = outputs[name]
+            if sink.schema is not None:
+                out = project_to_schema(out, sink.schema)
+            if out.isStreaming:
+                (
+                    out.writeStream.format(sink.fmt)
+                    .option("path", sink.path)
+                    .option("checkpointLocation", f"{sink.path.rstrip('/')}_checkpoint")
+                    .trigger(availableNow=True)
+                    .start()
+                    .awaitTermination()
+                )
+            else:
+                out.write.format(sink.fmt).mode("append").save(sink.path)
+        return outputs
+
     def _add(self, name: str, df: DataFrame) -> None:
         view = re.sub(r"\W+", "__", name)
         df.createOrReplaceTempView(view)

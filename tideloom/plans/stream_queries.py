@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideloom.operators.aggregates import cents
-from tideloom.plans.registry import query
+from tideloom.plans import join_queries  # noqa: F401  (its SQL is used here)
+from tideloom.plans.jobs import SqlJob
+from tideloom.plans.registry import ORACLES, query
 from tideloom.plans.window_queries import DAY, EV, HOUR, rows
-from tideloom.session import table
+from tideloom.session import shared_folder, table
 from tideloom.sources.streams import live
 from tideloom.streaming import stateful as SF
 from tideloom.streaming import tables as ST
@@ -114,6 +117,46 @@ def stream_ttl_join(spark, sf):
     )
 
 
+@query("stream_table_live", """
+SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'""")
+def stream_table_live(spark, sf):
+    """A table kept up to date by a change stream; an error deletes the entry."""
+    changes = live(spark, sf, "events").select("user_id", "event_id", "event_type")
+    return ST.live_table(changes, ["user_id"], ["event_id"], "table", F.col("event_type") == "error")
+
+
+@query("stream_table_join", ORACLES["asof_table_join"])
+def stream_table_join(spark, sf):
+    """Live purchases see the user's latest signup record; an error deletes the record."""
+    source = live_events(spark, sf).select("event_id", "ts", "user_id", "event_type", "cents")
+    changes = source.filter(F.col("event_type").isin("signup", "error")).withColumnRenamed("cents", "plan_cents")
+    buys = source.filter(F.col("event_type") == "purchase").select("event_id", "user_id", "ts")
+    return ST.table_join(
+        buys, changes, key="user_id", ts="ts", tie="event_id", columns=["plan_cents"], delay=DELAY, name="table-join",
+        deleted=F.col("event_type") == "error",
+    ).drop("ts")
+
+
+@query("sql_stream_insert", """
+SELECT event_id AS id, upper(event_type) AS kind, c_mktsegment AS segment, CAST(NULL AS DOUBLE) AS score FROM events JOIN customer ON user_id = c_custkey WHERE event_type IN ('view', 'click')""")
+def sql_stream_insert(spark, sf):
+    """An insert-select job over a live source, written to a sink with a schema of its own."""
+    path = shared_folder(spark, "sql-sink")
+    wanted = T.StructType.fromDDL("id bigint, kind string, segment string, score double")
+    job = (
+        SqlJob(spark)
+        .source("tracking.live", live(spark, sf, "events"))
+        .source("store.customer", table(spark, sf, "customer"))
+        .sink("out.named", path, schema=wanted)
+    )
+    job.execute("""
+      INSERT INTO picked SELECT event_id AS id, event_type, user_id FROM tracking.live WHERE event_type IN ('view', 'click')
+      INSERT INTO out.named SELECT p.id, upper(p.event_type) AS kind, c.c_mktsegment AS segment, 1 AS dropped
+        FROM picked p JOIN store.customer c ON p.user_id = c.c_custkey
+    """)
+    return spark.read.schema(wanted).parquet(path)
+
+
 @query("stream_interval_join", f"""
 SELECT c.event_id AS click_id, p.event_id AS purchase_id FROM events c JOIN events p ON c.user_id = p.user_id AND c.event_type = 'click' AND p.event_type = 'purchase'
 AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 2 HOUR""")

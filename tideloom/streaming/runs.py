@@ -63,6 +63,13 @@ def run_with_state(
     """
     spark = stream.sparkSession
     folder = folder or shared_folder(spark, name)
+    _process_all(stream, step, state_schema, clock, delay_ms, folder)
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
+def _process_all(stream: DataFrame, step: Step, state_schema: str, clock: str, delay_ms: int, folder: str) -> int:
+    """The number of the last micro-batch there was."""
+    done = -1
 
     def process(rows: DataFrame, batch_id: int) -> None:
         session = rows.sparkSession
@@ -80,6 +87,8 @@ def run_with_state(
         following.write.mode("overwrite").parquet(f"{new}/rows")
         session.range(1).select(F.lit(after).cast("bigint")).write.mode("overwrite").parquet(f"{new}/clock")
         rows.unpersist()
+        nonlocal done
+        done = batch_id
 
     (
         stream.writeStream.foreachBatch(process)
@@ -88,4 +97,16 @@ def run_with_state(
         .start()
         .awaitTermination()
     )
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+    return done
+
+
+def run_to_state(stream: DataFrame, name: str, step: Callable[[DataFrame, DataFrame], DataFrame], state_schema: str) -> DataFrame:
+    """Process the available input into a table: ``step(rows, table) -> table`` per micro-batch."""
+    folder = shared_folder(stream.sparkSession, name)
+    clocked = stream.withColumn("_clock", F.lit(0).cast("bigint"))
+
+    def both(rows: DataFrame, state: DataFrame, before: int, after: int):
+        return rows.select("_clock").limit(0), step(rows.drop("_clock"), state)
+
+    last = _process_all(clocked, both, state_schema, "_clock", 0, folder)
+    return stream.sparkSession.read.schema(state_schema).parquet(f"{folder}/state-{last % 2}/rows")

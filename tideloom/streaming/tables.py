@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideloom.functions.times import duration_ms, millis, window_start
-from tideloom.operators.joins import match_latest
+from tideloom.operators.joins import asof_join, match_latest
 from tideloom.operators.ordered import Running, plan_slices, running
-from tideloom.streaming.runs import run_with_state
+from tideloom.operators.tables import latest, materialise
+from tideloom.streaming.runs import run_to_state, run_with_state
 
 
 def count_panes(
@@ -101,3 +102,49 @@ def ttl_join(
         return output, latest
 
     return run_with_state(both, name, step, state_schema, "_ms", duration_ms(delay))
+
+
+def live_table(changes: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, deleted: Column | None = None) -> DataFrame:
+    """A table kept up to date by a change stream: the latest change per key, deletes included as
+    tombstones while the stream runs and left out of the result.
+
+    Each micro-batch is reduced to one row per key before it meets the table.
+    """
+    types = dict(changes.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in changes.columns)
+
+    def step(rows: DataFrame, table: DataFrame) -> DataFrame:
+        return latest(table.unionByName(materialise(rows, keys, order)), keys, order)
+
+    table = run_to_state(changes, name, step, schema)
+    return table if deleted is None else table.filter(~F.coalesce(deleted, F.lit(False)))
+
+
+def table_join(
+    stream: DataFrame, changes: DataFrame, *, key: str, ts: str, tie: str, columns: Sequence[str], delay: str, name: str,
+    deleted: Column | None = None, how: str = "left",
+) -> DataFrame:
+    """Join a live stream with the table that a live change stream forms, as it is when each row passes.
+
+    State: the latest change per key. Both inputs are read as one stream, so a row sees the changes
+    that stand before it on the clock, also those of the same micro-batch.
+    """
+    gone = F.lit(False) if deleted is None else F.coalesce(deleted, F.lit(False))
+    kept = list(stream.columns)
+    updates = changes.filter(F.col(key).isNotNull()).select(
+        F.col(key), F.col(ts), F.col(tie), F.struct(*columns).alias("_value"), gone.alias("_gone")
+    ).withColumn("_change", F.lit(True))
+    both = updates.unionByName(stream.withColumn("_change", F.lit(False)), allowMissingColumns=True)
+    both = both.withColumn("_clock", millis(ts))
+    state_columns = [key, ts, tie, "_value", "_gone"]
+    types = dict(both.dtypes)
+    state_schema = ", ".join(f"`{c}` {types[c]}" for c in state_columns)
+
+    def step(batch: DataFrame, state: DataFrame, before: int, after: int):
+        known = state.unionByName(batch.filter("_change").select(*state_columns))
+        rows = batch.filter("NOT _change").select(*kept)
+        opened = known.select(key, ts, tie, "_value.*", "_gone")
+        found = asof_join(rows, opened, key=key, ts=ts, tie=tie, columns=columns, deleted=F.col("_gone"), how=how)
+        return found, latest(known, [key], [ts, tie])
+
+    return run_with_state(both, name, step, state_schema, "_clock", duration_ms(delay))

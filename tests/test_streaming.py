@@ -22,11 +22,12 @@ def split(spark, data, tmp_path_factory):
 @pytest.mark.parametrize("name", [
     "stream_watermark_count", "stream_watermark_hook", "stream_timer", "stream_early_panes", "stream_ttl_join",
     "stream_session_count", "task_process", "eos_flush", "stream_table_live", "stream_table_join",
+    "stream_interval_join",
 ])
 def test_many_batches_equal_one(spark, data, split, name, monkeypatch):
     one = checking.spark_rows(getattr(Q, name)(spark, data))
     original = Q.live
-    monkeypatch.setattr(Q, "live", lambda s, folder, n: original(s, folder, n, max_files=1))
+    monkeypatch.setattr(Q, "live", lambda s, folder, n, **limits: original(s, folder, n, max_files=1))
     assert checking.spark_rows(getattr(Q, name)(spark, split)) == one
 
 

@@ -22,8 +22,8 @@ DELAY, DELAY_MS = "10 minutes", 600_000
 MARK = f"(SELECT max(epoch_us(ts) // 1000) - {DELAY_MS} FROM events)"
 
 
-def live_events(spark, sf):
-    return live(spark, sf, "events").withColumn("cents", cents("value"))
+def live_events(spark, sf, **limits):
+    return live(spark, sf, "events", **limits).withColumn("cents", cents("value"))
 
 
 @query("stream_watermark_count", f"""
@@ -80,11 +80,11 @@ def stream_watermark_hook(spark, sf):
 @query("stream_timer", f"""
 SELECT user_id, event_id AS armed_by, ms + {HOUR} AS due_ms FROM (
   SELECT *, lead(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS next_ms FROM {EV} WHERE event_type IN ('view', 'purchase'))
-WHERE event_type = 'view' AND (next_ms >= ms + {HOUR} OR (next_ms IS NULL AND ms + {HOUR} < (SELECT max(ms) - {DELAY_MS} FROM {EV} WHERE event_type IN ('view', 'purchase'))))""")
+WHERE event_type = 'view' AND (next_ms >= ms + {HOUR} OR (next_ms IS NULL AND ms + {HOUR} <= (SELECT max(ms) - {DELAY_MS} FROM {EV} WHERE event_type IN ('view', 'purchase'))))""")
 def stream_timer(spark, sf):
     """A view that no purchase (or newer view) follows within an hour."""
-    return run_to_table(
-        SF.key_timers(live_events(spark, sf), "user_id", "ts", "event_id", DELAY, "1 hour", "view", "purchase", "event_type"), "timer"
+    return ST.key_timers(
+        live_events(spark, sf), "user_id", "ts", "event_id", DELAY, "1 hour", "view", "purchase", "event_type", "timer"
     )
 
 
@@ -161,14 +161,14 @@ def sql_stream_insert(spark, sf):
 SELECT c.event_id AS click_id, p.event_id AS purchase_id FROM events c JOIN events p ON c.user_id = p.user_id AND c.event_type = 'click' AND p.event_type = 'purchase'
 AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 2 HOUR""")
 def stream_interval_join(spark, sf):
-    """Spark's own stream-stream join with a time bound on both sides."""
-    def side(kind, ident, clock, who):
-        df = SW.clocked(live_events(spark, sf).filter(F.col("event_type") == kind), "ts", DELAY)
-        return df.select(F.col("event_id").alias(ident), F.col("ts").alias(clock), F.col("user_id").alias(who))
-
-    clicks, buys = side("click", "click_id", "c_ts", "c_user"), side("purchase", "purchase_id", "p_ts", "p_user")
-    pairs = clicks.join(buys, F.expr("c_user = p_user AND p_ts BETWEEN c_ts AND c_ts + INTERVAL 2 HOURS"))
-    return run_to_table(pairs.select("click_id", "purchase_id"), "interval")
+    """Spark's own stream-stream join with a time bound, spread over time buckets."""
+    source = live_events(spark, sf)
+    clicks = source.filter("event_type = 'click'").withColumnRenamed("event_id", "click_id")
+    buys = live_events(spark, sf).filter("event_type = 'purchase'").withColumnRenamed("event_id", "purchase_id")
+    pairs = SW.interval_join(
+        clicks, buys, key="user_id", ts="ts", delay=DELAY, within="2 hours", left_id="click_id", right_id="purchase_id"
+    )
+    return run_to_table(pairs.drop("user_id"), "interval")
 
 
 def numbered(key: tuple, rows: pd.DataFrame, state: tuple | None):
@@ -184,7 +184,7 @@ def numbered(key: tuple, rows: pd.DataFrame, state: tuple | None):
 @query("task_process", f"""
 SELECT event_id, user_id, row_number() OVER w AS nth, CAST(sum(cents) OVER w AS BIGINT) AS running_cents FROM {EV} WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
 def task_process(spark, sf):
-    source = live_events(spark, sf).select("event_id", "user_id", "cents")
+    source = live_events(spark, sf, max_bytes=1024**3).select("event_id", "user_id", "cents")
     return run_to_table(
         SF.process_by_key(
             source, "user_id", ["event_id"], numbered,

@@ -1,24 +1,22 @@
-"""Steps with state per key on live streams: timers, task functions, joins and panes.
+"""Steps with state per key on live streams: idle reports and task functions.
 
-All of them use ``applyInPandasWithState``: Spark keeps the state in its state store and calls a
-function per key and micro-batch. A call sees one key's rows of one micro-batch, so its size is set by
-the admission limit of the source (``live(..., max_bytes=...)``); the steps that can, reduce the rows
-of a key before the shuffle. Inside a call rows are put in clock order, which makes the result
-independent of how in-order input was cut into micro-batches.
+Both use ``applyInPandasWithState``: Spark keeps the state in its state store and calls a function per
+key and micro-batch. Inside a call rows are put in clock order, which makes the result independent of
+how in-order input was cut into micro-batches. Idle reports reduce the rows of a key before the
+shuffle. A task function gets all rows of its key in a micro-batch: bound them by the admission limit
+of the source (``live(..., max_bytes=...)``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tideloom.functions.times import duration_ms, millis
-from tideloom.streaming.windows import clocked
 
 
 def _type_of(df: DataFrame, name: str) -> str:
@@ -82,44 +80,6 @@ def idle_reports(stream: DataFrame, key: str, ts: str, delay: str, idle: str) ->
     )
 
 
-def key_timers(stream: DataFrame, key: str, ts: str, tie: str, delay: str, after: str, arm: str, disarm: str, kind: str) -> DataFrame:
-    """Timers by key: a message of kind ``arm`` (re)schedules a callback ``after`` later, one of kind
-    ``disarm`` deletes it. The callback gives (key, armed by, due_ms).
-
-    Only these two kinds move the clock, so they are picked before the watermark is set.
-    """
-    wait = duration_ms(after)
-    key_type = _type_of(stream, key)
-    rows = clocked(stream.filter(F.col(kind).isin(arm, disarm)), ts, delay).select(
-        key, ts, millis(ts).alias("_ms"), F.col(tie).alias("_id"), (F.col(kind) == arm).alias("_arm")
-    )
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        due, by = state.get if state.exists else (-1, -1)
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({key: [k[0]], "armed_by": [by], "due_ms": [due]})
-            return
-        pdf = _sorted(batches, ["_ms", "_id"])
-        ms, ids, arms = (pdf[c].to_numpy() for c in ("_ms", "_id", "_arm"))
-        # the pending timer before each row is the one of the row before, if that armed it
-        pending = np.r_[due, np.where(arms, ms + wait, -1)].astype("int64")
-        owner = np.r_[by, np.where(arms, ids, -1)].astype("int64")
-        fired = (pending[:-1] >= 0) & (pending[:-1] <= ms)
-        if fired.any():
-            yield pd.DataFrame({key: [k[0]] * int(fired.sum()), "armed_by": owner[:-1][fired], "due_ms": pending[:-1][fired]})
-        if pending[-1] >= 0:
-            state.update((int(pending[-1]), int(owner[-1])))
-            state.setTimeoutTimestamp(max(int(pending[-1]), state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-
-    return rows.groupBy(key).applyInPandasWithState(
-        step, f"`{key}` {key_type}, armed_by bigint, due_ms bigint", "due bigint, owner bigint", "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
-
-
 def process_by_key(
     stream: DataFrame,
     key: str,

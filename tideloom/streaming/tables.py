@@ -1,4 +1,4 @@
-"""Live steps whose state is a table: early panes and the latest-per-key join.
+"""Live steps whose state is a table: early panes, timers by key, joins and tables kept up to date.
 
 They run the batch operators on each micro-batch together with the state, so they stay in the JVM and
 split hot keys by slices of the clock. See ``runs.run_with_state``.
@@ -148,3 +148,34 @@ def table_join(
         return found, latest(known, [key], [ts, tie])
 
     return run_with_state(both, name, step, state_schema, "_clock", duration_ms(delay))
+
+
+def key_timers(
+    stream: DataFrame, key: str, ts: str, tie: str, delay: str, after: str, arm: str, disarm: str, kind: str, name: str
+) -> DataFrame:
+    """Timers by key: a message of kind ``arm`` (re)schedules a callback ``after`` later, one of kind
+    ``disarm`` deletes it. The callback gives (key, armed_by, due_ms), when the next of these messages
+    of the key or the watermark has reached the due time.
+
+    State: the last arming message of each key whose timer is pending.
+    """
+    wait = duration_ms(after)
+    rows = stream.filter(F.col(kind).isin(arm, disarm)).select(
+        key, millis(ts).alias("_ms"), F.col(tie).alias("_id"), (F.col(kind) == arm).alias("_arm")
+    )
+    state_schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+
+    def callback(message: str):
+        return F.col(f"{message}._id").alias("armed_by"), (F.col(f"{message}._ms") + wait).alias("due_ms")
+
+    def step(batch: DataFrame, state: DataFrame, before: int, now: int):
+        seen = batch.unionByName(state)
+        this = F.struct("_ms", "_id", "_arm")
+        carried = running(seen, [key], ["_ms", "_id"], {"_before": Running("last", this, before=True)}, plan_slices(seen, "_ms"))
+        overtaken = carried.filter(F.col("_before._arm") & (F.col("_before._ms") + wait <= F.col("_ms")))
+        newest = latest(seen, [key], ["_ms", "_id"]).filter("_arm")
+        due = newest.filter(F.col("_ms") + wait <= now).select(key, F.struct("_ms", "_id").alias("_m"))
+        output = overtaken.select(key, *callback("_before")).unionByName(due.select(key, *callback("_m")))
+        return output, newest.filter(F.col("_ms") + wait > now)
+
+    return run_with_state(rows, name, step, state_schema, "_ms", duration_ms(delay))

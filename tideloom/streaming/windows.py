@@ -51,6 +51,29 @@ def sessions(stream: DataFrame, ts: str, delay: str, gap: str, aggs: Sequence[Co
     )
 
 
+def interval_join(
+    left: DataFrame, right: DataFrame, *, key: str, ts: str, delay: str, within: str, left_id: str, right_id: str
+) -> DataFrame:
+    """Pairs of a key whose right clock is at most ``within`` after the left one: Spark's stream-stream
+    join, with state that the time bound lets go.
+
+    Joined on (key, time bucket): a hot key is spread over its buckets. A right message is listed in the
+    two buckets that its partners can be in.
+    """
+    width = duration_ms(within)
+
+    def side(df: DataFrame, ident: str, prefix: str) -> DataFrame:
+        timed = clocked(df, ts, delay)
+        return timed.select(F.col(key).alias(f"{prefix}key"), F.col(ts).alias(f"{prefix}ts"), F.col(ident),
+                            F.floor(millis(ts) / width).alias(f"{prefix}bucket"))
+
+    ls, rs = side(left, left_id, "_l"), side(right, right_id, "_r")
+    rs = rs.withColumn("_rbucket", F.explode(F.array(F.col("_rbucket") - 1, F.col("_rbucket"))))
+    near = F.expr(f"_rts >= _lts AND _rts <= _lts + INTERVAL {width} MILLISECONDS")
+    same = (F.col("_lkey") == F.col("_rkey")) & (F.col("_lbucket") == F.col("_rbucket"))
+    return ls.join(rs, same & near).select(F.col("_lkey").alias(key), left_id, right_id)
+
+
 def deduplicated(stream: DataFrame, ts: str, delay: str, ident: Sequence[str]) -> DataFrame:
     """Each message once, as long as its copies come within the watermark delay."""
     return clocked(stream, ts, delay).dropDuplicatesWithinWatermark(list(ident))

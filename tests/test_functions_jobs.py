@@ -223,3 +223,28 @@ def test_file_groups(spark):
     assert {r["file_path"]: (r["group_id"], r["file_no"]) for r in got} == {
         paths[0]: ("3", 1), paths[1]: ("3", 2), paths[2]: ("12", 1), paths[3]: (paths[3], 1),
     }
+
+
+def test_streaming_sql_forms():
+    from tideloom.plans.jobs import in_spark_words as words
+
+    assert words("select GetNestedField(a.b, 'c.any[3].d') x") == "select a.b.`c`[3].`d` x"
+    assert words("select getsqlfield(a, 'b')") == "select CAST(a.`b` AS STRING)"
+    assert words("where t.n not similar to 'a''b%'") == "where NOT SimilarTo(t.n, 'a''b%')"
+    assert words("select Flatten(a) x") == "select explode(CASE WHEN a IS NULL THEN array(NULL) ELSE a END) x"
+    assert words("select flatten(split(a, ' ')) x").startswith("select explode(CASE WHEN split(a, ' ') IS NULL")
+
+
+def test_working_folder():
+    from types import SimpleNamespace as N
+
+    from tideloom.session import shared_folder
+
+    def session(master, configured=None):
+        context = N(master=master, getCheckpointDir=lambda: None)
+        return N(conf=N(get=lambda name, default: configured), sparkContext=context)
+
+    assert shared_folder(session("spark://x", "hdfs://shared/"), "p").startswith("hdfs://shared/tideloom-p-")
+    assert "tideloom-" in shared_folder(session("local[2]"), "p")
+    with pytest.raises(ValueError):
+        shared_folder(session("spark://x"), "p")

@@ -113,7 +113,7 @@ def unix_float(x) -> Column:
 
 # The same for SQL text: Catalyst inlines the bodies of SQL functions.
 SQL_FUNCTIONS = {
-    "TRUNCATE_NUM": (
+    "TRUNCATE": (
         "x DOUBLE, digits INT",
         "DOUBLE",
         "CAST(sign(x) * CAST(floor(CAST(abs(x) AS DECIMAL(38, 10)) * CAST(power(10, digits) AS BIGINT))"

@@ -340,17 +340,17 @@ def enrich_lookup(spark, sf):
     return EN.enrich(events(spark, sf, "event_id", "user_id"), ["user_id"], Scores, VALUES)
 
 
-@query("enrich_retry", f"SELECT event_id, user_id, {SCORE_SQL} FROM events WHERE event_type = 'view'")
+@query("enrich_retry", f"SELECT event_id, user_id, {SCORE_SQL} FROM events")
 def enrich_retry(spark, sf):
     policy = EN.Retry(attempts=3, backoff="exponential", delay_ms=1, jitter_ms=2, retriable=lambda e: isinstance(e, ConnectionError))
     access = EN.Access(batch_size=20, retry=policy, concurrency=4)
-    return EN.enrich(kind(spark, sf, "view").select("event_id", "user_id"), ["user_id"], FlakyScores, VALUES, access=access, keep=True)
+    return EN.enrich(events(spark, sf, "event_id", "user_id"), ["user_id"], FlakyScores, VALUES, access=access, keep=True)
 
 
-@query("enrich_rate_limit", f"SELECT event_id, user_id, {SCORE_SQL} FROM events WHERE event_type = 'click'")
+@query("enrich_rate_limit", f"SELECT event_id, user_id, {SCORE_SQL} FROM events")
 def enrich_rate_limit(spark, sf):
-    access = EN.Access(limit=EN.RateLimit(4_000, credits=lambda key: 2), tasks=4)
-    return EN.enrich(kind(spark, sf, "click").select("event_id", "user_id"), ["user_id"], Scores, VALUES, access=access)
+    access = EN.Access(limit=EN.RateLimit(100_000, credits=lambda key: 2), tasks=4)
+    return EN.enrich(events(spark, sf, "event_id", "user_id"), ["user_id"], Scores, VALUES, access=access)
 
 
 @query("enrich_cached", f"SELECT event_id, user_id, {SCORE_SQL} FROM events WHERE user_id % 10 <> 7")

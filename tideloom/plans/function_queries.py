@@ -34,7 +34,7 @@ def fn_math(spark, sf):
     table(spark, sf, "events").createOrReplaceTempView("events")
     return spark.sql("""
       SELECT event_id, round(power(value, 2), 4) AS a, round(value) AS b, round(sqrt(value), 6) AS c, floor(value) AS d, ceil(value) AS e,
-        TRUNCATE_NUM(value, 1) AS f, value AS raw FROM events""").withColumn("g", S.truncate(-F.col("raw"), 1)).drop("raw")
+        TRUNCATE(value, 1) AS f, value AS raw FROM events""").withColumn("g", S.truncate(-F.col("raw"), 1)).drop("raw")
 
 
 sql_query("fn_string", """

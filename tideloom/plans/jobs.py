@@ -12,12 +12,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideloom.functions.codecs import project_to_schema
+from tideloom.functions.scalar import register_sql
 from tideloom.operators import tables
 
 _INSERT = re.compile(r"(insert|upsert)\s+into\s+([\w.$`]+)\s*(?:\(([\w\s,`]+)\))?\s*(select\b.*|with\b.*|values\b.*)", re.I | re.S)
 _LITERAL = re.compile(r"('(?:[^']|'')*')")
 KEY, OP = "__key__", "__op__"
 
+_NESTED = re.compile(r"\b(GetNestedField|GetSqlField)\(\s*([\w.`]+)\s*,\s*'([^']+)'\s*\)", re.I)
+_FLATTEN = re.compile(r"\bFlatten\(\s*([^()]*(?:\([^()]*\)[^()]*)*)\)", re.I)
+_SIMILAR = re.compile(r"([\w.`]+)\s+(NOT\s+)?SIMILAR\s+TO\s+('(?:[^']|'')*')", re.I)
+_RECORD = re.compile(r"\bBuildOutputRecord\(", re.I)
+
+
+def in_spark_words(select: str) -> str:
+    """Streaming SQL forms that Spark writes differently: nested-field paths, Flatten, SIMILAR TO, records.
+
+    Arguments may be columns or, for Flatten, calls of one level. RegexMatch, TRUNCATE and
+    convertToString are session functions and need no change.
+    """
+
+    def field(match: re.Match) -> str:
+        value = match[2]
+        for segment in match[3].split("."):
+            index = re.search(r"\[\d+\]$", segment)
+            value += index[0] if index else f".`{segment}`"
+        return f"CAST({value} AS STRING)" if match[1].lower() == "getsqlfield" else value
+
+    text = _NESTED.sub(field, select)
+    text = _SIMILAR.sub(lambda m: f"{'NOT ' if m[2] else ''}SimilarTo({m[1]}, {m[3]})", text)
+    text = _FLATTEN.sub(lambda m: f"explode(CASE WHEN {m[1]} IS NULL THEN array(NULL) ELSE {m[1]} END)", text)
+    return _RECORD.sub("named_struct(", text)
+
 
 @dataclass(frozen=True)
 class Insert:
@@ -68,6 +94,7 @@ class SqlJob:
 
     def __init__(self, spark: SparkSession) -> None:
         self._spark = spark
+        register_sql(spark)
         self._views: dict[str, str] = {}
         self._sinks: dict[str, Sink] = {}
 
@@ -141,7 +168,8 @@ class SqlJob:
             for sink in ready:
                 merged = None
                 for insert in waiting.pop(sink):
-                    part = self._spark.sql(self._resolve(insert.select, self._views) if self._views else insert.select)
+                    select = in_spark_words(insert.select)
+                    part = self._spark.sql(self._resolve(select, self._views) if self._views else select)
                     if insert.columns:
                         part = part.toDF(*insert.columns)
                     merged = part if merged is None else merged.unionByName(part)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tideloom.functions.scalar import flatten_rows
 from tideloom.operators import tables as TB
+from tideloom.plans.function_queries import profiles
 from tideloom.plans.jobs import SqlJob, apply_to_table
 from tideloom.plans.join_queries import STATE, sql_query
 from tideloom.plans.registry import query
@@ -175,3 +176,28 @@ def sql_table_delete(spark, sf):
     )["store.names"]
     before = table(spark, sf, "customer").select(F.col("c_custkey").alias("__key__"), "c_name")
     return apply_to_table(before, out)
+
+
+@query("sql_function_names", """
+SELECT c_custkey AS id, CASE WHEN c_nationkey <> 3 THEN c_nationkey END AS street, CASE WHEN c_nationkey <> 3 THEN CAST(c_nationkey AS VARCHAR) END AS street_text,
+ CASE WHEN c_nationkey <> 3 THEN 'Cell' END AS third, regexp_full_match(CAST(c_custkey AS VARCHAR), '1.*') AS ones, CAST(c_custkey AS VARCHAR) AS id_text,
+ CAST(trunc(CAST(c_custkey AS DECIMAL(18,4)) / 7 * 10) / 10 AS DOUBLE) AS cut, c_custkey || '!' AS packed
+FROM customer WHERE c_nationkey <> 3 AND c_mktsegment SIMILAR TO '(BUILD|MACH).*'""")
+def sql_function_names(spark, sf):
+    """The function names of streaming SQL, in one statement."""
+    people = profiles(spark, sf).withColumns(
+        {"id_text": F.col("id").cast("string"), "segment": F.col("p.attrs")["segment"]}
+    )
+    return SqlJob(spark).source("store.profile", people).run("""
+      INSERT INTO o SELECT id, GetNestedField(p, 'address.street.number') AS street, GetSqlField(p, 'address.street.number') AS street_text,
+        GetNestedField(p, 'phones.any[2].kind') AS third, RegexMatch('1.*', id_text) AS ones, convertToString(id) AS id_text,
+        TRUNCATE(id / 7, 1) AS cut, BuildOutputRecord('a', id, 'b', '!') AS r
+      FROM store.profile WHERE segment SIMILAR TO '(BUILD|MACH)%'
+    """)["o"].withColumn("packed", F.concat(F.col("r.a").cast("string"), "r.b")).drop("r")
+
+
+@query("sql_flatten_call", "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part")
+def sql_flatten_call(spark, sf):
+    return SqlJob(spark).source("store.part", table(spark, sf, "part")).run(
+        "INSERT INTO words SELECT p_partkey, Flatten(split(p_name, ' ')) AS word FROM store.part"
+    )["words"]

@@ -103,8 +103,8 @@ def startpoint_upcoming(spark, sf):
 
 @query("gen_events", """
 SELECT view_id, page_key, member_id, company, zip FROM (
- SELECT event_id AS view_id, ['inbox','home','search','pymk','group','job'][(event_id * 7 + event_id // 11) % 6 + 1] AS page_key, event_id * 7919 % 100 AS member_id FROM events) v
-JOIN (SELECT c_custkey AS m, ['MSFT','LKND','GOOG','FB','AMZN','CSCO'][(c_custkey * 5 + c_custkey // 13) % 6 + 1] AS company, 94000 + c_custkey % 6 AS zip FROM customer) p ON member_id = m""")
+ SELECT event_id AS view_id, ['inbox','home','search','people','group','job'][(event_id * 7 + event_id // 11) % 6 + 1] AS page_key, event_id * 7919 % 100 AS member_id FROM events) v
+JOIN (SELECT c_custkey AS m, ['acme','birch','cedar','delta','ember','fjord'][(c_custkey * 5 + c_custkey // 13) % 6 + 1] AS company, 94000 + c_custkey % 6 AS zip FROM customer) p ON member_id = m""")
 def gen_events(spark, sf):
     """Generated page views per event id and profile changes per customer, joined."""
     views = G.page_views(table(spark, sf, "events"), "event_id", 100)

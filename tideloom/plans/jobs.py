@@ -87,8 +87,8 @@ class Sink:
 class SqlJob:
     """Sources by dotted name, and the statements that run over them.
 
-    ``source("kafka.views", df)`` makes ``kafka.views`` readable in the statements;
-    ``source(..., keys=..., order=...)`` also makes ``kafka.views.$table`` the keyed table that the
+    ``source("tracking.views", df)`` makes ``tracking.views`` readable in the statements;
+    ``source(..., keys=..., order=...)`` also makes ``tracking.views.$table`` the keyed table that the
     stream forms.
     """
 

@@ -23,7 +23,11 @@ RUNTIME_CONF = {
     # Session windows are merged inside each input partition before the shuffle, so a hot key
     # sends its sessions over the network and not its rows.
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
-    # Streaming state on disk and in the checkpoint, not in executor memory.
+}
+
+# Streaming state on the executors' disks and in the checkpoint, not in their memory. In a local session,
+# where state is small, opening a database per partition costs more than it saves.
+CLUSTER_CONF = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
@@ -31,13 +35,21 @@ RUNTIME_CONF = {
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply :data:`RUNTIME_CONF` to a running session and return it.
+    """Apply :data:`RUNTIME_CONF`, on a cluster also :data:`CLUSTER_CONF`, to a running session and return it.
 
     Functions of this package that run inside tasks are pickled by value, so executors need no
     installed copy of it.
     """
     cloudpickle.register_pickle_by_value(tideloom)
-    for name, value in RUNTIME_CONF.items():
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        # Streaming state has a fixed number of partitions: no more of them than threads here.
+        threads = context.defaultParallelism
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        wanted = RUNTIME_CONF | {"spark.sql.shuffle.partitions": str(min(partitions, threads))}
+    else:
+        wanted = RUNTIME_CONF | CLUSTER_CONF
+    for name, value in wanted.items():
         if spark.conf.get(name, None) != value:
             spark.conf.set(name, value)
     return spark

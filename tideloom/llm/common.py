@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import functools
+from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,14 +44,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one batch."""
+def arrow_function(kind: str):
+    """Decorator: an Arrow function as a column function. The UDF is made at the call, as parsing ``kind`` needs a session."""
 
-    def run(batches):
-        for batch in batches:
-            yield from fn(batch)
+    def wrap(fn):
+        @functools.wraps(fn)
+        def call(*columns) -> Column:
+            return F.arrow_udf(fn, kind)(*columns)
 
-    return df.mapInArrow(run, schema)
+        return call
+
+    return wrap
 
 
 def steps(sizes, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideloom.llm.common import WORD, keep
+from tideloom.llm.common import WORD, keep, key_columns
 
 #: Documents that one ranking task should hold of one length of one source.
 BUCKET = 2_000
@@ -157,13 +157,13 @@ def mix(
     text: str = "text",
     source: str = "source",
 ) -> DataFrame:
-    """One row per document: (id, source, size, source_size, target, repeats, taken).
+    """One row per document: (id, ka, kb, source, size, source_size, target, repeats, taken); ka and kb are the row's key.
 
     ``repeats`` says how often the mix holds the document, ``taken`` = repeats * size.
     """
     chosen = F.xxhash64(F.lit(seed), F.col(id), F.col(text))
     sizes = keep(
-        docs.select(F.col(id).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), chosen.alias("draw")),
+        docs.select(F.col(id).alias("id"), *key_columns(F.col(id), F.col(text)), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), chosen.alias("draw")),
         "mix-sizes",
     )
     targets = source_targets(sizes, weights, max_repeats)
@@ -193,6 +193,8 @@ def mix(
     result, t = ranked.withColumn("repeats", F.when(F.col("size") > 0, repeats).otherwise(0)).alias("r"), targets.alias("t")
     return result.join(t, F.col("r.source").eqNullSafe(F.col("t.source")), "left").select(
         F.col("id").alias(id),
+        "ka",
+        "kb",
         F.col("r.source").alias(source),
         "size",
         "source_size",

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideloom.llm.common import arrow_function
+
 #: Labelled rows that are fetched for training, at most.
 TRAINING_ROWS = 20_000
 
@@ -72,7 +74,7 @@ def _repeated_words(words: list[bytes]) -> int:
     return covered
 
 
-@F.arrow_udf(STATS)
+@arrow_function(STATS)
 def text_stats(texts: pa.Array) -> pa.Array:
     rows = [text_counts(text.as_py()) for text in texts]
     columns = zip(*rows) if rows else [()] * len(COUNTS)
@@ -140,9 +142,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS
     found = found.select("doc_id", "bad", text_stats("text").alias("s"))
     counts = lambda name: F.col(f"s.{name}")
     failed = base_failed(counts("n_words"), counts("n_repeat_words"))
+    # rows that fail the base rules are left out by learn(): a filter here would move below the join, to all documents
     return (
-        found.filter(~failed)
-        .select("doc_id", "bad", *[make(counts).alias(name) for name, make in FEATURES.items()])
+        found.select("doc_id", "bad", failed.alias("failed"), *[make(counts).alias(name) for name, make in FEATURES.items()])
         .dropDuplicates(["doc_id"])
         .limit(limit)
     )
@@ -156,6 +158,7 @@ def learn(rows: DataFrame, *, max_rules: int = 12, max_tests: int = 4, precision
     """
     names = list(FEATURES)
     table = rows.toPandas().sort_values("doc_id")
+    table = table[~table["failed"].astype(bool)]
     if table.empty:
         return []
     values = table[names].to_numpy(float)

@@ -18,6 +18,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideloom.llm.common import arrow_function
+
 # The patterns, in the order in which equal starts are listed.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -126,7 +128,7 @@ RESULT = (
 _FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())]))
 
 
-@F.arrow_udf(RESULT)
+@arrow_function(RESULT)
 def scan(texts: pa.Array) -> pa.Array:
     compressor = primed()
     out = []

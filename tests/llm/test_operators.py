@@ -169,18 +169,23 @@ def test_host():
 
 
 def test_fit_is_the_best_subset_sum():
+    import numpy as np
+
     make = random.Random(1)
-    for _ in range(200):
+    for _ in range(300):
         lengths = make.sample(range(1, 40), make.randint(1, 6))
-        counts = [make.randint(1, 4) for _ in lengths]
-        budget = make.randint(0, sum(a * b for a, b in zip(lengths, counts)) + 5)
+        counts, copies = [make.randint(1, 4) for _ in lengths], make.randint(1, 3)
+        budget = make.randint(1, sum(a * b for a, b in zip(lengths, counts)) + 5)
         sums = {0}
         for a, b in zip(lengths, counts):
             sums = {s + a * k for s in sums for k in range(b + 1)}
-        take = mixing._knapsack(*map(__import__("numpy").asarray, (lengths, counts)), budget)
-        assert sum(take * lengths) == max(s for s in sums if s <= budget)
-        fitted = mixing.fit_lengths(lengths, counts, budget)
-        assert (fitted >= 0).all() and (fitted <= counts).all() and sum(fitted * lengths) <= budget
+        take = mixing._knapsack(np.array(lengths), np.array(counts), budget)
+        assert (take <= counts).all()
+        assert abs(sum(take * lengths) - budget) == min(abs(s - budget) for s in sums)
+        fitted = mixing.fit_lengths(lengths, counts, budget, copies)
+        assert (fitted >= 0).all() and (fitted <= np.array(counts) * copies).all()
+        if budget <= 3 * max(lengths) and copies == 1:
+            assert abs(sum(fitted * lengths) - budget) == min(abs(s - budget) for s in sums)
 
 
 def plain_targets(sizes: dict, weights, most=3):

@@ -5,7 +5,7 @@
    leaves is shared again among the others by weight until none is above.
 3. Per source, documents are counted by exact length. Whole rounds of the source come first; of the rest, most is filled
    in proportion over the lengths, and a bounded-knapsack dynamic programme over the lengths that are left fits the
-   remaining budget exactly, or as near below it as any choice does.
+   remaining budget exactly, or as near as any choice of what is left does.
 4. For each (source, length) that many documents are taken in the order of a seeded hash. Crowded lengths are cut into
    hash buckets, so a length (or source) with a third of all rows is ranked in many tasks.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tideloom.llm.common import WORD, keep, key_columns
 
 #: Documents that one ranking task should hold of one length of one source.
-BUCKET = 2_000
+BUCKET = 500
 
 
 def word_count(text: Column) -> Column:
@@ -79,54 +79,62 @@ def _numbered(sources: DataFrame) -> DataFrame:
     return ranked.select("source", "source_size", (F.col("inside") + F.col("offset")).alias("number"))
 
 
-def fit_lengths(lengths, counts, budget: int) -> np.ndarray:
-    """How many documents of each length to take (at most ``counts``) so that the words are as near below ``budget``
-    as possible.
+def fit_lengths(lengths, counts, budget: int, copies: int = 1) -> np.ndarray:
+    """How many documents of each length to take (each at most ``copies`` times) so that the words are as near
+    ``budget`` as possible.
 
-    Proportional filling leaves a headroom of a few times the longest document; the dynamic programme then sees every
-    document that is left and no longer than the headroom.
+    Proportional filling, of each document once at most, leaves a headroom of a few times the longest document; the
+    dynamic programme then sees every document that is left.
     """
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
     take = np.zeros(len(lengths), np.int64)
     if budget <= 0 or not len(lengths):
         return take
     total = int((lengths * counts).sum())
-    if budget >= total:
-        return counts.copy()
     order = np.argsort(-lengths)
-    share = max(0, budget - 3 * int(lengths.max())) / total
+    share = min(1.0, max(0, budget - 3 * int(lengths.max())) / total)
     words = due = 0.0
     for i in order:
         due += share * lengths[i] * counts[i]
         take[i] = min(counts[i], max(0, int((due - words) // lengths[i])))
         words += take[i] * lengths[i]
     rest = budget - int((take * lengths).sum())
-    return take + _knapsack(lengths, counts - take, rest)
+    # short documents first, and second copies only after all first ones
+    order = order[::-1]
+    left = np.concatenate([(counts - take)[order]] + [counts[order]] * (copies - 1))
+    more = _knapsack(np.tile(lengths[order], copies), left, rest).reshape(copies, -1).sum(axis=0)
+    take[order] += more
+    return take
 
 
 def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Bounded subset sum: the reachable sum nearest below ``budget``, by first item that reached each sum."""
-    reached = np.zeros(budget + 1, bool)
+    """Bounded subset sum: how many of each item make the reachable sum nearest to the budget (below it, of two).
+
+    ``item`` remembers the first item that reached each sum; its sum without that item was reached by earlier ones.
+    """
+    top = budget + int(lengths.max())
+    reached = np.zeros(top + 1, bool)
     reached[0] = True
-    item = np.full(budget + 1, -1, np.int32)
+    item = np.full(top + 1, -1, np.int32)
     items: list[tuple[int, int]] = []
-    for i in np.argsort(lengths):
-        length, left, power = int(lengths[i]), min(int(counts[i]), budget // int(lengths[i])), 1
+    for i, length in enumerate(lengths.tolist()):
+        left, power = min(int(counts[i]), top // length), 1
         while left > 0 and not reached[budget]:
             times = min(power, left)
             step = times * length
-            new = np.zeros(budget + 1, bool)
+            new = np.zeros(top + 1, bool)
             new[step:] = reached[:-step]
             new &= ~reached
             item[new] = len(items)
-            items.append((int(i), times))
+            items.append((i, times))
             reached |= new
             left -= times
             power *= 2
         if reached[budget]:
             break
     take = np.zeros(len(lengths), np.int64)
-    at = int(np.flatnonzero(reached)[-1])
+    sums = np.flatnonzero(reached)
+    at = int(sums[np.argmin(np.abs(sums - budget))])
     while at:
         i, times = items[item[at]]
         take[i] += times
@@ -138,12 +146,11 @@ def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
     """One source's length counts (as many rows as it has different lengths) -> documents to take by length."""
     rows = rows.sort_values("size")
     target, own = float(rows["target"].iloc[0]), int(rows["source_size"].iloc[0])
-    rounds = min(int(target // own), int(rows["max_repeats"].iloc[0])) if own else 0
-    rest = int(round(target - rounds * own)) if own else 0
-    if rounds == int(rows["max_repeats"].iloc[0]):
-        rest = 0
-    rows["extra"] = fit_lengths(rows["size"], rows["n"], rest)
-    rows["rounds"] = rounds
+    most = int(rows["max_repeats"].iloc[0])
+    rounds = min(int(target // own), most)
+    rest = int(round(target - rounds * own)) if rounds < most else 0
+    extra = fit_lengths(rows["size"], rows["n"], rest, most - rounds) if rest else 0 * rows["n"]
+    rows["rounds"], rows["extra"] = rounds + extra // rows["n"], extra % rows["n"]
     return rows[["source", "size", "n", "rounds", "extra"]]
 
 

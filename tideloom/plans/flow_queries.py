@@ -102,13 +102,17 @@ def startpoint_upcoming(spark, sf):
 
 
 @query("gen_events", """
-SELECT view_id, page_key, member_id, company, zip FROM (
- SELECT event_id AS view_id, ['inbox','home','search','people','group','job'][(event_id * 7 + event_id // 11) % 6 + 1] AS page_key, event_id * 7919 % 100 AS member_id FROM events) v
-JOIN (SELECT c_custkey AS m, ['acme','birch','cedar','delta','ember','fjord'][(c_custkey * 5 + c_custkey // 13) % 6 + 1] AS company, 94000 + c_custkey % 6 AS zip FROM customer) p ON member_id = m""")
+SELECT view_id, n_name AS page, member_id, r_name AS member_group, level FROM (
+ SELECT event_id AS view_id, (event_id * event_id + 3 * event_id) % 100 AS member_id, (event_id * 17 + 2) % 25 AS page_number FROM events) v
+JOIN nation ON page_number = n_nationkey
+JOIN (SELECT c_custkey AS m, c_custkey % 9 + 1 AS level, (c_custkey * 3 + 1) % 5 AS group_number FROM customer) c ON member_id = m
+JOIN region ON group_number = r_regionkey""")
 def gen_events(spark, sf):
-    """Generated page views per event id and profile changes per customer, joined."""
-    views = G.page_views(table(spark, sf, "events"), "event_id", 100)
-    return views.join(G.profile_changes(table(spark, sf, "customer"), "c_custkey"), "member_id")
+    """Generated page views per event id and membership changes per customer, joined; nations are pages, regions groups."""
+    nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
+    views = G.page_views(table(spark, sf, "events"), "event_id", nation, "n_nationkey", "n_name", 25, 100)
+    changes = G.member_changes(table(spark, sf, "customer"), "c_custkey", region, "r_regionkey", "r_name", 5)
+    return views.join(changes, "member_id")
 
 
 # --- sinks -----------------------------------------------------------------------------------------

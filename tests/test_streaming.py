@@ -74,3 +74,78 @@ def test_state_tables_survive_a_restart(spark, data, split, tmp_path):
     assert go().count() == n  # nothing new: nothing is processed again
     states = [spark.read.parquet(str(tmp_path / "job" / f"state-{i}" / "rows")).first()["count"] for i in (0, 1)]
     assert max(states) == n
+
+
+@pytest.fixture(scope="module")
+def shuffled(spark, data, tmp_path_factory):
+    """The same events in files that overlap on the clock: every third row comes a file later, within the delay."""
+    folder = tmp_path_factory.mktemp("shuffled")
+    events = table(spark, data, "events")
+    late = F.when(F.col("event_id") % 3 == 0, 1).otherwise(0)
+    for i in range(5):
+        part = events.filter(F.floor(F.col("event_id") / 250) + late == i).coalesce(1)
+        part.write.mode("append").parquet(str(folder / "events.parquet"))
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["stream_ttl_join", "stream_table_join", "stream_table_live"])
+def test_files_out_of_order_give_the_results_of_files_in_order(spark, data, shuffled, name, monkeypatch):
+    one = checking.spark_rows(getattr(Q, name)(spark, data))
+    original = Q.live
+    monkeypatch.setattr(Q, "DELAY", "30 days")
+    monkeypatch.setattr(Q, "live", lambda s, folder, n, **limits: original(s, folder, n, max_files=1))
+    assert checking.spark_rows(getattr(Q, name)(spark, shuffled)) == one
+
+
+def _stream(spark, folder, files, schema):
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/{i}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(folder))
+
+
+CHANGES = "id bigint, k bigint, ms bigint, kind string, v bigint"
+
+
+def test_a_row_that_comes_late_finds_the_older_version(spark, tmp_path):
+    from tideloom.streaming import tables as ST
+
+    minute = 60  # a whole number is a clock in seconds
+    files = [[(1, 7, 0, "change", 10), (2, 7, 5 * minute, "change", 20)], [(3, 7, 2 * minute, "row", None)], [(4, 7, 40 * minute, "row", None)]]
+    source = _stream(spark, tmp_path / "in", files, CHANGES)
+    got = ST.table_join(
+        source.filter("kind = 'row'").select("id", "k", "ms"), source.filter("kind = 'change'"),
+        key="k", ts="ms", tie="id", columns=["v"], delay="10 minutes", name="late",
+    )
+    assert sorted((r["id"], r["v"]) for r in got.collect()) == [(3, 10), (4, 20)]
+    joined = ST.ttl_join(
+        source.filter("kind = 'change'"), source.filter("kind = 'row'"), key="k", ts="ms", tie="id", delay="10 minutes",
+        ttl="1 hour", left_id="id", right_id="v", name="late-ttl",
+    )
+    assert sorted(r["joined_ms"] // 60_000 for r in joined.collect()) == [2, 5, 40]
+
+
+def test_only_touched_buckets_are_replaced(spark, tmp_path):
+    from tideloom.streaming.buckets import BucketTable
+
+    t = BucketTable(spark, str(tmp_path / "t"), "k bigint, v bigint", ["k"], buckets=8)
+    everything = spark.range(100).selectExpr("id AS k", "0L AS v")
+    t.write(0, everything, t.touched(everything))
+    some = spark.createDataFrame([(3, 1), (4, 1)], "k bigint, v bigint")
+    touched = t.touched(some)
+    assert 0 < len(touched) <= 2
+    kept = t.read(0, touched).filter("k not in (3, 4)").unionByName(some)
+    for _ in range(2):  # a repeated batch gives the same
+        t.write(1, kept, touched)
+        assert t.read(1).count() == 100 and t.read(1).filter("v = 1").count() == 2
+    changed = {k for k, v in t.versions(1).items() if v == 1}
+    assert changed == set(touched)
+    t.write(2, kept.limit(0), touched)
+    assert t.read(2).count() == 100 - kept.count()
+
+
+@pytest.mark.parametrize("name", ["stream_ttl_join", "stream_table_join", "stream_table_live", "stream_early_panes", "stream_timer", "stream_watermark_count"])
+def test_no_input_yet_gives_an_empty_table(spark, data, tmp_path, name, monkeypatch):
+    schema = table(spark, data, "events").schema
+    (tmp_path / "none").mkdir()
+    monkeypatch.setattr(Q, "live", lambda s, *_, **__: s.readStream.schema(schema).parquet(str(tmp_path / "none")))
+    assert getattr(Q, name)(spark, data).collect() == []

@@ -43,7 +43,16 @@ def run(
         .start()
     )
     started.awaitTermination()
-    return spark.read.parquet(out).drop("batch"), started.lastProgress
+    empty = spark.createDataFrame([], stream.schema)
+    return written(out, empty if transform is None else transform(empty)), started.lastProgress
+
+
+def written(path: str, empty: DataFrame) -> DataFrame:
+    """What micro-batches wrote; ``empty`` if there was no input yet."""
+    spark = empty.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return spark.read.parquet(path).drop("batch") if files.exists(place) else empty
 
 
 Step = Callable[[DataFrame, DataFrame, int, int], tuple[DataFrame, DataFrame]]
@@ -64,7 +73,8 @@ def run_with_state(
     spark = stream.sparkSession
     folder = folder or shared_folder(spark, name)
     _process_all(stream, step, state_schema, clock, delay_ms, folder)
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+    nothing = spark.createDataFrame([], stream.schema), spark.createDataFrame([], state_schema)
+    return written(f"{folder}/out", step(*nothing, 0, 0)[0])
 
 
 def _process_all(stream: DataFrame, step: Step, state_schema: str, clock: str, delay_ms: int, folder: str) -> int:
@@ -80,13 +90,15 @@ def _process_all(stream: DataFrame, step: Step, state_schema: str, clock: str, d
         else:
             state, highest = session.createDataFrame([], state_schema), None
         rows.persist()
-        top = rows.agg(F.max(clock)).first()[0]
-        after = max((v for v in (highest, top) if v is not None), default=0)
-        output, following = step(rows, state, (highest or 0) - delay_ms, after - delay_ms)
-        output.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
-        following.write.mode("overwrite").parquet(f"{new}/rows")
-        session.range(1).select(F.lit(after).cast("bigint")).write.mode("overwrite").parquet(f"{new}/clock")
-        rows.unpersist()
+        try:
+            top = rows.agg(F.max(clock)).first()[0]
+            after = max((v for v in (highest, top) if v is not None), default=0)
+            output, following = step(rows, state, (highest or 0) - delay_ms, after - delay_ms)
+            output.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+            following.write.mode("overwrite").parquet(f"{new}/rows")
+            session.range(1).select(F.lit(after).cast("bigint")).write.mode("overwrite").parquet(f"{new}/clock")
+        finally:
+            rows.unpersist()
         nonlocal done
         done = batch_id
 
@@ -98,15 +110,3 @@ def _process_all(stream: DataFrame, step: Step, state_schema: str, clock: str, d
         .awaitTermination()
     )
     return done
-
-
-def run_to_state(stream: DataFrame, name: str, step: Callable[[DataFrame, DataFrame], DataFrame], state_schema: str) -> DataFrame:
-    """Process the available input into a table: ``step(rows, table) -> table`` per micro-batch."""
-    folder = shared_folder(stream.sparkSession, name)
-    clocked = stream.withColumn("_clock", F.lit(0).cast("bigint"))
-
-    def both(rows: DataFrame, state: DataFrame, before: int, after: int):
-        return rows.select("_clock").limit(0), step(rows.drop("_clock"), state)
-
-    last = _process_all(clocked, both, state_schema, "_clock", 0, folder)
-    return stream.sparkSession.read.schema(state_schema).parquet(f"{folder}/state-{last % 2}/rows")

@@ -1,7 +1,7 @@
 """Live steps whose state is a table: early panes, timers by key, joins and tables kept up to date.
 
 They run the batch operators on each micro-batch together with the state, so they stay in the JVM and
-split hot keys by slices of the clock. See ``runs.run_with_state``.
+split hot keys by slices of the clock. See ``buckets.run_in_order`` and ``runs.run_with_state``.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from tideloom.functions.times import duration_ms, millis, window_start
 from tideloom.operators.joins import asof_join, match_latest
 from tideloom.operators.ordered import Running, plan_slices, running
 from tideloom.operators.tables import latest, materialise
-from tideloom.streaming.runs import run_to_state, run_with_state
+from tideloom.streaming.buckets import run_in_order
+from tideloom.streaming.runs import run_with_state
 
 
 def count_panes(
@@ -73,10 +74,14 @@ def count_panes(
 
 
 def ttl_join(
-    left: DataFrame, right: DataFrame, *, key: str, ts: str, tie: str, delay: str, ttl: str, left_id: str, right_id: str, name: str
+    left: DataFrame, right: DataFrame, *, key: str, ts: str, tie: str, delay: str, ttl: str, left_id: str, right_id: str, name: str,
+    folder: str | None = None,
 ) -> DataFrame:
-    """The live form of ``joins.ttl_join``. State: the latest message per key and side, until its time
-    to live has passed. Columns key, joined_ms and the ids of both messages."""
+    """The live form of ``joins.ttl_join``: the same rows, also when files come out of order within ``delay``.
+
+    State: the messages newer than the watermark, and below it the latest one per key and side until its time to live
+    has passed. Columns key, joined_ms and the ids of both messages.
+    """
 
     def side(df: DataFrame, number: int, ident: str, payload: str) -> DataFrame:
         return df.filter(F.col(key).isNotNull()).select(
@@ -86,48 +91,52 @@ def ttl_join(
 
     both = side(left, 0, left_id, "_l").unionByName(side(right, 1, right_id, "_r"), allowMissingColumns=True)
     both = both.select("_key", "_ms", "_tie", "_side", "_l", "_r")
-    state_schema = ", ".join(f"{n} {t}" for n, t in both.dtypes)
+    schema = ", ".join(f"{n} {t}" for n, t in both.dtypes)
     alive = duration_ms(ttl)
 
-    def step(batch: DataFrame, state: DataFrame, before: int, after: int):
-        seen = batch.withColumn("_new", F.lit(True)).unionByName(state.withColumn("_new", F.lit(False)))
+    def step(ready: DataFrame, table: DataFrame, watermark: int):
+        seen = ready.withColumn("_new", F.lit(True)).unionByName(table.withColumn("_new", F.lit(False)))
         matches = match_latest(seen, alive, plan_slices(seen, "_ms")).filter("_new")
-        latest = (
-            seen.filter(F.col("_ms") > after - alive)
+        newest = (
+            seen.filter(F.col("_ms") > watermark - alive)
             .groupBy("_key", "_side")
             .agg(F.max_by(F.struct("_ms", "_tie", "_l", "_r"), F.struct("_ms", "_tie")).alias("_row"))
             .select("_key", "_row._ms", "_row._tie", "_side", "_row._l", "_row._r")
         )
-        output = matches.select(F.col("_key").alias(key), F.col("_ms").alias("joined_ms"), "_l.*", "_r.*")
-        return output, latest
+        return matches.select(F.col("_key").alias(key), F.col("_ms").alias("joined_ms"), "_l.*", "_r.*"), newest
 
-    return run_with_state(both, name, step, state_schema, "_ms", duration_ms(delay))
+    return run_in_order(both, name, step, ["_key"], schema, "_ms", duration_ms(delay), folder)[0]
 
 
-def live_table(changes: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, deleted: Column | None = None) -> DataFrame:
+def live_table(
+    changes: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, deleted: Column | None = None, folder: str | None = None
+) -> DataFrame:
     """A table kept up to date by a change stream: the latest change per key, deletes included as
     tombstones while the stream runs and left out of the result.
 
-    Each micro-batch is reduced to one row per key before it meets the table.
+    Each micro-batch is reduced to one row per key before it meets the table, and replaces only the hash buckets of the
+    keys it changes.
     """
     types = dict(changes.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in changes.columns)
 
-    def step(rows: DataFrame, table: DataFrame) -> DataFrame:
-        return latest(table.unionByName(materialise(rows, keys, order)), keys, order)
+    def step(rows: DataFrame, table: DataFrame, _: int):
+        return rows.limit(0), latest(table.unionByName(materialise(rows, keys, order)), keys, order)
 
-    table = run_to_state(changes, name, step, schema)
-    return table if deleted is None else table.filter(~F.coalesce(deleted, F.lit(False)))
+    _, table, last = run_in_order(changes, name, step, keys, schema, None, folder=folder)
+    rows = table.read(last)
+    return rows if deleted is None else rows.filter(~F.coalesce(deleted, F.lit(False)))
 
 
 def table_join(
     stream: DataFrame, changes: DataFrame, *, key: str, ts: str, tie: str, columns: Sequence[str], delay: str, name: str,
-    deleted: Column | None = None, how: str = "left",
+    deleted: Column | None = None, how: str = "left", folder: str | None = None,
 ) -> DataFrame:
     """Join a live stream with the table that a live change stream forms, as it is when each row passes.
 
-    State: the latest change per key. Both inputs are read as one stream, so a row sees the changes
-    that stand before it on the clock, also those of the same micro-batch.
+    Both inputs are read as one stream in the order of the clock, so a row sees the changes that stand before it, also
+    those that come in a later file within ``delay``. State: the rows and changes newer than the watermark, and below it
+    the latest change per key.
     """
     gone = F.lit(False) if deleted is None else F.coalesce(deleted, F.lit(False))
     kept = list(stream.columns)
@@ -138,16 +147,16 @@ def table_join(
     both = both.withColumn("_clock", millis(ts))
     state_columns = [key, ts, tie, "_value", "_gone"]
     types = dict(both.dtypes)
-    state_schema = ", ".join(f"`{c}` {types[c]}" for c in state_columns)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in state_columns)
 
-    def step(batch: DataFrame, state: DataFrame, before: int, after: int):
-        known = state.unionByName(batch.filter("_change").select(*state_columns))
-        rows = batch.filter("NOT _change").select(*kept)
+    def step(ready: DataFrame, table: DataFrame, _: int):
+        known = table.unionByName(ready.filter("_change").select(*state_columns))
+        rows = ready.filter("NOT _change").select(*kept)
         opened = known.select(key, ts, tie, "_value.*", "_gone")
         found = asof_join(rows, opened, key=key, ts=ts, tie=tie, columns=columns, deleted=F.col("_gone"), how=how)
         return found, latest(known, [key], [ts, tie])
 
-    return run_with_state(both, name, step, state_schema, "_clock", duration_ms(delay))
+    return run_in_order(both, name, step, [key], schema, "_clock", duration_ms(delay), folder)[0]
 
 
 def key_timers(

@@ -105,3 +105,132 @@ def test_kept_lookups_are_read_from_the_shared_folder(spark):
     df = EN.enrich(spark.range(9), ["id"], Squares, "sq bigint", access=EN.Access(batch_size=3), keep=True)
     assert "FileScan parquet" in df._jdf.queryExecution().executedPlan().toString()
     assert {r["id"]: r["sq"] for r in df.collect()} == {i: None if i == 4 else i * i for i in range(9)}
+
+
+# --- types, attempts, limits, caches
+
+
+BIG = 2**53 + 1
+ODD_KEYS = [(1, BIG), (2, None), (3, -BIG), (4, 5)]
+
+
+def _odd(spark):
+    return spark.createDataFrame(ODD_KEYS, "id bigint, k bigint")
+
+
+class Echo:
+    """Answers with the key itself, as it came."""
+
+    def __call__(self, keys):
+        assert all(type(k) is int for (k,) in keys), keys
+        return {(k,): {"same": k, "text": str(k)} for (k,) in keys}
+
+
+@pytest.mark.parametrize("fn", [EN.enrich, EN.enrich_in_place])
+def test_lookup_keys_and_values_keep_their_type(spark, fn):
+    got = fn(_odd(spark), ["k"], Echo, "same bigint, text string").select("id", "k", "same", "text")
+    want = [(i, k, k, None if k is None else str(k)) for i, k in ODD_KEYS]
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_written_records_keep_their_type(spark):
+    class Writer:
+        def __call__(self, records):
+            assert {(r["id"], r["k"]) for r in records} <= set(ODD_KEYS), records
+            return len(records)
+
+    class Index:
+        def __call__(self, records):
+            return ["insert" if (r["id"], r["k"]) in ODD_KEYS else "failed" for r in records]
+
+    assert EN.write_remote(_odd(spark), Writer).agg({"written": "sum"}).first()[0] == 4
+    assert EN.bulk_upsert(_odd(spark), Index).agg({"n": "sum"}).first()[0] == 4
+
+
+def test_each_attempt_takes_credits():
+    clock = Clock()
+    calls = []
+
+    def flaky(items):
+        calls.append(clock())
+        if len(calls) < 5:
+            raise ConnectionError
+        return {}
+
+    access = EN.Access(retry=EN.Retry(5, "none"), limit=EN.RateLimit(1.0), tasks=1)
+    bucket = EN.TokenBucket
+    try:
+        EN.TokenBucket = lambda rate: bucket(rate, clock, clock.sleep)
+        EN._caller(flaky, access)([1])
+    finally:
+        EN.TokenBucket = bucket
+    assert calls == [1, 2, 3, 4, 5]
+
+
+def test_threads_share_a_bucket_without_losing_credits():
+    import threading
+
+    slept = []
+    bucket = EN.TokenBucket(1_000.0, lambda: 0.0, slept.append)
+    threads = [threading.Thread(target=lambda: [bucket.take(1) for _ in range(2_000)]) for _ in range(8)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(slept) == 16_000 and max(slept) == pytest.approx(16.0)
+
+
+def test_retry_stops_after_a_total_time_and_backs_off_by_its_factor():
+    clock = Clock()
+    calls = []
+
+    def fail():
+        calls.append(clock())
+        raise ConnectionError
+
+    policy = EN.Retry(100, "exponential", delay_ms=1_000, max_delay_ms=60_000, factor=3.0, stop_after_ms=20_000)
+    with pytest.raises(ConnectionError):
+        policy.run(fail, clock=clock, sleep=clock.sleep)
+    assert calls == [0, 1, 4, 13]
+
+
+def test_limited_calls_run_in_the_given_number_of_tasks(spark):
+    access = EN.Access(limit=EN.RateLimit(1e9), tasks=2)
+    rows = spark.range(0, 100, 1, 8).withColumnRenamed("id", "k")
+    for df in (EN.enrich_in_place(rows, ["k"], Echo, "same bigint", access=access), EN.bulk_upsert(rows, lambda: lambda r: ["update"] * len(r), access)):
+        assert df.rdd.getNumPartitions() == 2
+
+
+@pytest.mark.parametrize("through", [True, False])
+def test_cached_table_writes_through_or_around(through):
+    clock = Clock()
+    remote, reads = {"a": 1}, []
+
+    def read(keys):
+        reads.append(list(keys))
+        return {k: remote[k] for k in keys if k in remote}
+
+    def write(entries):
+        for k, v in entries.items():
+            remote.pop(k, None) if v is None else remote.__setitem__(k, v * 10)
+
+    t = EN.CachedTable(read, write, EN.Cache(10, 5, clock), through)
+    assert t.get_all(["a", "b", "a"]) == {"a": 1, "b": None} and reads == [["a", "b"]]
+    t.put_all({"a": 2, "b": 3})
+    assert t.get_all(["a", "b"]) == ({"a": 2, "b": 3} if through else {"a": 20, "b": 30})
+    assert len(reads) == (1 if through else 2)
+    clock.sleep(5)  # the entries are too old since they were written
+    assert t.get_all(["a"]) == {"a": 20}
+    t.put_all({"a": None})
+    assert t.get_all(["a"]) == {"a": None}
+
+
+def test_idle_entries_end():
+    clock = Clock()
+    cache = EN.Cache(10, None, clock, idle_ttl_s=3)
+    cache.put("a", 1)
+    for _ in range(4):
+        clock.sleep(2)
+        assert cache.get("a") == (True, 1)
+    clock.sleep(3)
+    assert cache.get("a") == (False, None)

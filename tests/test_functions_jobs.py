@@ -248,3 +248,56 @@ def test_working_folder():
     assert "tideloom-" in shared_folder(session("local[2]"), "p")
     with pytest.raises(ValueError):
         shared_folder(session("spark://x"), "p")
+
+
+def test_async_calls_get_plain_values(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(1, big), (2, None)], "id bigint, k bigint")
+
+    def make():
+        return lambda r: [{"id": r["id"], "k": r["k"], "kind": type(r["k"]).__name__}]
+
+    got = ST.flat_map_async(df, make, "id bigint, k bigint, kind string")
+    assert sorted(map(tuple, got.collect())) == [(1, big, "int"), (2, None, "NoneType")]
+
+
+def test_a_call_that_hangs_fails_its_task_at_once(spark):
+    import time
+
+    def make():
+        return lambda r: time.sleep(600) or []
+
+    begun = time.time()
+    with pytest.raises(Exception, match="TimeoutError"):
+        ST.flat_map_async(spark.range(1), make, "id bigint", timeout_s=0.1, records_per_turn=1).collect()
+    assert time.time() - begun < 60
+
+
+def test_doubles_keep_nan_and_null_apart(spark):
+    from tideloom.functions import codecs
+
+    df = spark.sql("SELECT * FROM VALUES (1, CAST('NaN' AS DOUBLE)), (2, NULL), (3, -0.5D), (4, CAST('-Infinity' AS DOUBLE)) t(i, x)")
+    got = df.select("i", codecs.encode_double("x").alias("b")).select("i", F.hex("b").alias("h"), codecs.decode_double("b").alias("x")).orderBy("i").collect()
+    assert [r["h"] for r in got] == ["7FF8000000000000", None, "BFE0000000000000", "FFF0000000000000"]
+    assert str(got[0]["x"]) == "nan" and [r["x"] for r in got[1:]] == [None, -0.5, float("-inf")]
+
+
+def test_truncate_before_the_point_and_exactly(spark):
+    from tideloom.functions import scalar
+
+    scalar.register_sql(spark)
+    row = spark.sql("SELECT TRUNCATE(1234.5, -2), TRUNCATE(-1.239D, 2), TRUNCATE(1e300D, 1), TRUNCATE_WHOLE(9007199254740993L, 0), TRUNCATE_WHOLE(-1299, -2)").first()
+    assert tuple(row) == (1200.0, -1.23, 1e300, 9007199254740993, -1200)
+    x = spark.sql("SELECT 9007199254740993L AS x, CAST(-129.55 AS DECIMAL(10,2)) AS d")
+    got = x.select(scalar.truncate("x", 0, whole=True), scalar.truncate("x", -1, whole=True), scalar.truncate("d", -1, whole=True)).first()
+    assert got[0] == 9007199254740993 and got[1] == 9007199254740990 and float(got[2]) == -120
+
+
+@pytest.mark.parametrize("text,pattern,want", [("a%c", r"a\%c", True), ("abc", r"a\%c", False), ("abc", "a%", True), ("a.c", r"a\.c", True), ("xdx", r"x\dx", True), ("a\nb", "a_b", False)])
+def test_both_forms_of_similar_to_agree(spark, text, pattern, want):
+    from tideloom.functions import scalar
+
+    scalar.register_sql(spark)
+    df = spark.createDataFrame([(text, pattern)], "s string, p string")
+    assert df.select(scalar.similar_to("s", pattern)).first()[0] == want
+    assert df.selectExpr("SimilarTo(s, p)").first()[0] == want

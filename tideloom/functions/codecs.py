@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,22 +46,26 @@ def decode_int(b) -> Column:
     return F.when(unsigned >= 2**31, unsigned - 2**32).otherwise(unsigned).cast("int")
 
 
-def _double_to_bytes(x: pd.Series) -> pd.Series:
-    raw = x.to_numpy(dtype=">f8", na_value=np.nan).tobytes()
-    return pd.Series([None if gone else raw[i * 8 : i * 8 + 8] for i, gone in enumerate(x.isna())])
+def _double_to_bytes(x: pa.Array) -> pa.Array:
+    bits = x.fill_null(0.0).to_numpy(zero_copy_only=False).astype(">f8").tobytes()
+    valid = x.is_valid().buffers()[1] if x.null_count else None
+    return pa.Array.from_buffers(pa.binary(8), len(x), [valid, pa.py_buffer(bits)]).cast(pa.binary())
 
 
-def _bytes_to_double(b: pd.Series) -> pd.Series:
-    return pd.Series([None if v is None else float(np.frombuffer(v, dtype=">f8")[0]) for v in b], dtype="float64")
+def _bytes_to_double(b: pa.Array) -> pa.Array:
+    fixed = b.fill_null(bytes(8)).cast(pa.binary(8))
+    values = np.frombuffer(fixed.buffers()[1], dtype=">f8", count=len(b), offset=8 * fixed.offset).astype("f8")
+    return pa.array(values, pa.float64(), mask=b.is_null().to_numpy(zero_copy_only=False))
 
 
 def encode_double(x) -> Column:
-    """8 bytes, big-endian IEEE 754. Spark has no expression for the bits, so Arrow batches do it."""
-    return F.pandas_udf(_double_to_bytes, T.BinaryType())(col(x).cast("double"))
+    """8 bytes, big-endian IEEE 754. Spark has no expression for the bits, so whole Arrow columns are turned; NaN and
+    null stay apart."""
+    return F.arrow_udf(_double_to_bytes, T.BinaryType())(col(x).cast("double"))
 
 
 def decode_double(b) -> Column:
-    return F.pandas_udf(_bytes_to_double, T.DoubleType())(col(b))
+    return F.arrow_udf(_bytes_to_double, T.DoubleType())(col(b))
 
 
 def encode_uuid(text) -> Column:

@@ -11,11 +11,22 @@ from pyspark.sql import types as T
 from tideloom.functions.times import col
 
 
-def truncate(x, digits: int = 0) -> Column:
-    """Cut towards zero after ``digits`` decimals, on the decimal text of the value."""
+def truncate(x, digits: int = 0, whole: bool = False) -> Column:
+    """Cut towards zero after ``digits`` decimals, or before the decimal point if negative.
+
+    The result is a double, cut on the decimal text of the value. With ``whole``, for integer and decimal columns, it
+    keeps the type of the column, exactly.
+    """
+    if whole:
+        return col(x) if digits >= 0 else col(x) - col(x) % F.lit(10**-digits)
+    value = col(x).cast("double")
+    if digits < 0:
+        return value - value % F.lit(float(10**-digits))
     scale = F.lit(10**digits)
-    exact = F.abs(col(x)).cast("decimal(38,10)")
-    return (F.signum(col(x)) * (F.floor(exact * scale) / scale).cast("double")).cast("double")
+    exact = F.abs(value).cast("decimal(38,18)")
+    cut = F.signum(value) * (F.floor(exact * scale) / scale).cast("double")
+    # beyond 2^53 a double has no decimals
+    return F.when(F.abs(value) >= 2**53, value).otherwise(cut.cast("double"))
 
 
 def similar_to(s, pattern: str) -> Column:
@@ -116,14 +127,22 @@ SQL_FUNCTIONS = {
     "TRUNCATE": (
         "x DOUBLE, digits INT",
         "DOUBLE",
-        "CAST(sign(x) * CAST(floor(CAST(abs(x) AS DECIMAL(38, 10)) * CAST(power(10, digits) AS BIGINT))"
-        " / CAST(power(10, digits) AS BIGINT) AS DOUBLE) AS DOUBLE)",
+        "CASE WHEN digits < 0 THEN x - x % power(10, -digits) WHEN abs(x) >= power(2, 53) THEN x"
+        " ELSE CAST(sign(x) * CAST(floor(CAST(abs(x) AS DECIMAL(38, 18)) * CAST(power(10, digits) AS BIGINT))"
+        " / CAST(power(10, digits) AS BIGINT) AS DOUBLE) AS DOUBLE) END",
+    ),
+    "TRUNCATE_WHOLE": (
+        "x BIGINT, digits INT",
+        "BIGINT",
+        "CASE WHEN digits >= 0 THEN x ELSE x - x % CAST(power(10, -digits) AS BIGINT) END",
     ),
     "RegexMatch": ("pattern STRING, s STRING", "BOOLEAN", "s RLIKE concat('^(?:', pattern, ')$')"),
     "SimilarTo": (
         "s STRING, pattern STRING",
         "BOOLEAN",
-        "s RLIKE concat('^(?:', replace(replace(pattern, '%', '.*'), '_', '.'), ')$')",
+        # character by character, as in similar_regex
+        r"s RLIKE concat('^(?:', array_join(transform(regexp_extract_all(pattern, '(?s)\\\\.|.', 0), c -> CASE"
+        r" WHEN c = '%' THEN '.*' WHEN c = '_' THEN '.' WHEN length(c) = 2 THEN concat('\\Q', right(c, 1), '\\E') ELSE c END), ''), ')$')",
     ),
     "convertToString": ("x STRING", "STRING", "CASE WHEN x IS NULL THEN raise_error('null has no text') ELSE x END"),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,9 +51,9 @@ def _placed(counts: DataFrame, by: Sequence[str], value: str, slicing: Slicing)
 
 
 def _picks(value: str, ps: dict[str, float]) -> list[Column]:
-    return [
-        F.min(F.when(F.col("_upto") >= F.ceil(F.col("_all") * p), F.col(value))).alias(n) for n, p in ps.items()
-    ]
+    # the share as the decimal it is written as: 0.07 of 100 is 7, which doubles miss
+    share = lambda p: F.lit(Decimal(str(p)))
+    return [F.min(F.when(F.col("_upto") >= F.col("_all") * share(p), F.col(value))).alias(n) for n, p in ps.items()]
 
 
 def snapshot(

@@ -31,9 +31,10 @@ def starts(df: DataFrame, group: Sequence[str], lim: Limits) -> DataFrame:
     """Segment starts of every group: the group, clock ``_ms`` and rank ``_rn`` of the first message,
     and ``segment`` (0, 1, ...). ``df`` has the clock in ``_ms``."""
     ticks = df.groupBy(*group, "_ms").agg(F.count(F.lit(1)).alias("_n"))
-    parts = [F.coalesce(F.col(g).cast("string"), F.lit("\x00")) for g in group]
+    # JSON tells every text from every other, and null from all of them
+    ident = F.to_json(F.struct(*group), {"ignoreNullFields": "false"}) if group else F.lit("")
     ordered = (
-        ticks.withColumn("_group", F.concat_ws("\x01", *parts))
+        ticks.withColumn("_group", ident)
         .repartition("_group")
         .sortWithinPartitions("_group", "_ms")
     )

@@ -8,17 +8,18 @@ connections are opened where they are used.
 from __future__ import annotations
 
 import random
+import threading
 import time
 from collections import OrderedDict, deque
 from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideloom.functions.batches import DaemonPool, arrow_schema, batch_of
 from tideloom.session import shared_folder
 
 Read = Callable[[list[tuple]], dict[tuple, dict]]
@@ -38,6 +39,8 @@ class Retry:
     max_delay_ms: int = 1_000
     jitter_ms: int = 0
     retriable: Callable[[Exception], bool] = _any_error
+    factor: float = 2.0  # of the exponential backoff
+    stop_after_ms: float | None = None  # total time since the first call after which there is no other
 
     def wait_s(self, failures: int) -> float:
         if self.backoff == "none":
@@ -47,19 +50,23 @@ class Retry:
         elif self.backoff == "random":
             wait = random.uniform(self.delay_ms, self.max_delay_ms)
         elif self.backoff == "exponential":
-            wait = self.delay_ms * 2 ** (failures - 1)
+            wait = self.delay_ms * self.factor ** (failures - 1)
         else:
             raise ValueError(f"no backoff {self.backoff!r}")
         return (min(wait, self.max_delay_ms) + random.uniform(0, self.jitter_ms)) / 1000
 
-    def run(self, call: Callable, *args):
+    def run(self, call: Callable, *args, clock=time.monotonic, sleep=time.sleep):
+        begun = clock()
         for failures in range(1, self.attempts + 1):
             try:
                 return call(*args)
             except Exception as error:
                 if failures == self.attempts or not self.retriable(error):
                     raise
-                time.sleep(self.wait_s(failures))
+                wait = self.wait_s(failures)
+                if self.stop_after_ms is not None and (clock() - begun + wait) * 1000 > self.stop_after_ms:
+                    raise
+                sleep(wait)
 
 
 def _one_credit(key) -> int:
@@ -80,21 +87,26 @@ class TokenBucket:
     def __init__(self, per_second: float, clock=time.monotonic, sleep=time.sleep) -> None:
         self._rate, self._clock, self._sleep = per_second, clock, sleep
         self._free, self._at = 0.0, clock()
+        self._lock = threading.Lock()
 
     def take(self, credits: float) -> None:
-        now = self._clock()
-        self._free = min(self._rate, self._free + (now - self._at) * self._rate)
-        self._at = now
-        self._free -= credits
-        if self._free < 0:
-            self._sleep(-self._free / self._rate)
+        """Wait until the credits are there. Threads share the bucket: each waits for what it took."""
+        with self._lock:
+            now = self._clock()
+            self._free = min(self._rate, self._free + (now - self._at) * self._rate)
+            self._at = now
+            self._free -= credits
+            short = -self._free
+        if short > 0:
+            self._sleep(short / self._rate)
 
 
 class Cache:
-    """Least recently used entries with a time to live; also remembers missing keys."""
+    """Least recently used entries; also remembers missing keys. An entry ends ``ttl_s`` after it was written and
+    ``idle_ttl_s`` after it was last read or written."""
 
-    def __init__(self, max_size: int, ttl_s: float | None = None, clock=time.monotonic) -> None:
-        self._max, self._ttl, self._clock = max_size, ttl_s, clock
+    def __init__(self, max_size: int, ttl_s: float | None = None, clock=time.monotonic, idle_ttl_s: float | None = None) -> None:
+        self._max, self._ttl, self._idle, self._clock = max_size, ttl_s, idle_ttl_s, clock
         self._entries: OrderedDict = OrderedDict()
 
     def get(self, key):
@@ -102,15 +114,18 @@ class Cache:
         hit = self._entries.get(key)
         if hit is None:
             return False, None
-        written, value = hit
-        if self._ttl is not None and self._clock() - written >= self._ttl:
+        written, used, value = hit
+        now = self._clock()
+        if (self._ttl is not None and now - written >= self._ttl) or (self._idle is not None and now - used >= self._idle):
             del self._entries[key]
             return False, None
+        self._entries[key] = (written, now, value)
         self._entries.move_to_end(key)
         return True, value
 
     def put(self, key, value) -> None:
-        self._entries[key] = (self._clock(), value)
+        now = self._clock()
+        self._entries[key] = (now, now, value)
         self._entries.move_to_end(key)
         while len(self._entries) > self._max:
             self._entries.popitem(last=False)
@@ -119,6 +134,41 @@ class Cache:
         self._entries.pop(key, None)
 
 
+class CachedTable:
+    """A remote table behind a cache, for use in a task: ``read(keys) -> dict`` and ``write(entries)``, an entry of None
+    being a delete.
+
+    Writes go to the remote table first. Written through, they are then in the cache; written around, the cache forgets
+    the key, and the next read fetches what the remote table made of it.
+    """
+
+    def __init__(self, read: Callable[[list], dict], write: Callable[[dict], object], cache: Cache, through: bool = True) -> None:
+        self._read, self._write, self._cache, self._through = read, write, cache, through
+
+    def get_all(self, keys: Sequence) -> dict:
+        found, missing = {}, []
+        for key in dict.fromkeys(keys):
+            hit, value = self._cache.get(key)
+            if hit:
+                found[key] = value
+            else:
+                missing.append(key)
+        if missing:
+            fetched = self._read(missing)
+            for key in missing:
+                found[key] = fetched.get(key)
+                self._cache.put(key, found[key])
+        return found
+
+    def put_all(self, entries: dict) -> None:
+        self._write(entries)
+        for key, value in entries.items():
+            if self._through:
+                self._cache.put(key, value)
+            else:
+                self._cache.drop(key)
+
+
 @dataclass(frozen=True)
 class Access:
     """How a remote table is called."""
@@ -133,12 +183,17 @@ class Access:
 def _caller(call: Callable, access: Access) -> Callable[[list], object]:
     bucket = TokenBucket(access.limit.per_second / access.tasks) if access.limit else None
 
-    def run(items: list):
-        if bucket:
+    def attempt(items: list):
+        if bucket:  # a repeated call costs as much as the first
             bucket.take(sum(access.limit.credits(i) for i in items))
-        return access.retry.run(call, items) if access.retry else call(items)
+        return call(items)
+
+    return (lambda items: access.retry.run(attempt, items)) if access.retry else attempt
 
-    return run
+
+def _dealt(df: DataFrame, access: Access) -> DataFrame:
+    """A rate limit is divided among ``access.tasks``: no more of them may run."""
+    return df.repartition(access.tasks) if access.limit else df
 
 
 def _batched(calls: Callable, items: list, access: Access) -> Iterator:
@@ -146,7 +201,7 @@ def _batched(calls: Callable, items: list, access: Access) -> Iterator:
     if access.concurrency == 1:
         yield from map(calls, chunks)
         return
-    with ThreadPoolExecutor(access.concurrency) as pool:
+    with DaemonPool(access.concurrency) as pool:
         waiting: deque = deque()
         for chunk in chunks:
             if len(waiting) >= access.concurrency:
@@ -156,10 +211,9 @@ def _batched(calls: Callable, items: list, access: Access) -> Iterator:
             yield waiting.popleft().result()
 
 
-def _keys_of(pdf: pd.DataFrame, keys: Sequence[str]) -> list[tuple]:
+def _keys_of(batch: pa.RecordBatch, keys: Sequence[str]) -> list[tuple]:
     """Key tuples with plain Python values; missing parts are None."""
-    columns = [[None if pd.isna(v) else v for v in pdf[k].tolist()] for k in keys]
-    return list(zip(*columns, strict=True))
+    return list(zip(*[batch.column(k).to_pylist() for k in keys], strict=True))
 
 
 def _schema(df: DataFrame, columns: Sequence[str], extra: str) -> T.StructType:
@@ -171,25 +225,17 @@ def lookup(keys_df: DataFrame, keys: Sequence[str], make: Callable[[], Read], va
     names = T.StructType.fromDDL(values).names
     schema = _schema(keys_df, keys, values)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    wanted = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = _caller(make(), access)
-        for pdf in batches:
-            for found in _batched(read, _keys_of(pdf, keys), access):
+        for batch in batches:
+            for found in _batched(read, _keys_of(batch, keys), access):
                 if found:
-                    rows = [(*k, *(v.get(n) for n in names)) for k, v in found.items()]
-                    yield _frame(rows, schema)
+                    rows = [dict(zip(keys, k)) | {n: v.get(n) for n in names} for k, v in found.items()]
+                    yield batch_of(rows, wanted)
 
-    return keys_df.mapInPandas(run, schema)
-
-
-def _frame(rows: list[tuple], schema: T.StructType) -> pd.DataFrame:
-    pdf = pd.DataFrame(rows, columns=schema.names, dtype=object)
-    for f in schema:
-        if isinstance(f.dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
-            pdf[f.name] = pdf[f.name].astype("Int64")
-        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            pdf[f.name] = pdf[f.name].astype("float64")
-    return pdf
+    return keys_df.mapInArrow(run, schema)
 
 
 def enrich(
@@ -208,9 +254,7 @@ def enrich(
     so that a lost executor does not repeat the calls.
     """
     wanted = df.select(*keys).dropna("all").distinct()
-    if access.limit:
-        wanted = wanted.repartition(access.tasks)
-    found = lookup(wanted, keys, make, values, access)
+    found = lookup(_dealt(wanted, access), keys, make, values, access)
     if keep:
         path = shared_folder(df.sparkSession, "lookup")
         found.write.parquet(path)
@@ -239,11 +283,13 @@ def enrich_in_place(
     names = value_schema.names
     schema = _schema(df, df.columns, values)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    wanted = arrow_schema(value_schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = _caller(make(), access)
         cache = Cache(cache_size, cache_ttl_s)
-        for pdf in batches:
-            row_keys = _keys_of(pdf, keys)
+        for batch in batches:
+            row_keys = _keys_of(batch, keys)
             known: dict[tuple, dict | None] = {}
             for k in dict.fromkeys(row_keys):
                 hit, value = cache.get(k)
@@ -255,13 +301,11 @@ def enrich_in_place(
             for k in missing:
                 known.setdefault(k, None)
                 cache.put(k, known[k])
-            extra = _frame([tuple((known[k] or {}).get(n) for n in names) for k in row_keys], value_schema)
-            out = pd.concat([pdf.reset_index(drop=True), extra], axis=1)
-            if how == "inner":
-                out = out[[known[k] is not None for k in row_keys]]
-            yield out
+            extra = batch_of([{n: (known[k] or {}).get(n) for n in names} for k in row_keys], wanted)
+            out = pa.RecordBatch.from_arrays([*batch.columns, *extra.columns], names=[*batch.schema.names, *names])
+            yield out.filter(pa.array([known[k] is not None for k in row_keys])) if how == "inner" else out
 
-    return df.mapInPandas(run, schema)
+    return _dealt(df, access).mapInArrow(run, schema)
 
 
 def write_remote(
@@ -272,18 +316,16 @@ def write_remote(
     Lazy: the writes happen when the result is read. A lost task writes again, so writes have to be
     idempotent upserts.
     """
-    if access.limit:
-        df = df.repartition(access.tasks)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         write = _caller(make(), access)
         calls = written = 0
-        for pdf in batches:
-            for n in _batched(write, pdf.to_dict("records"), access):
+        for batch in batches:
+            for n in _batched(write, batch.to_pylist(), access):
                 calls, written = calls + 1, written + n
-        yield pd.DataFrame({"batches": [calls], "written": [written]})
+        yield pa.RecordBatch.from_pydict({"batches": pa.array([calls], pa.int64()), "written": pa.array([written], pa.int64())})
 
-    return df.mapInPandas(run, "batches bigint, written bigint")
+    return _dealt(df, access).mapInArrow(run, "batches bigint, written bigint")
 
 
 def bulk_upsert(
@@ -294,15 +336,16 @@ def bulk_upsert(
     batches are flushed. One row (outcome, n) per task and outcome; lazy like :func:`write_remote`.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         write = _caller(make(), access)
         seen: dict[str, int] = {}
-        for pdf in batches:
-            for outcomes in _batched(write, pdf.to_dict("records"), access):
+        for batch in batches:
+            for outcomes in _batched(write, batch.to_pylist(), access):
                 for outcome in outcomes:
                     seen[outcome] = seen.get(outcome, 0) + 1
         if seen.get("failed"):
             raise RuntimeError(f"{seen['failed']} requests failed")
-        yield pd.DataFrame({"outcome": list(seen), "n": list(seen.values())}).astype({"n": "int64"})
+        columns = [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["outcome", "n"])
 
-    return df.mapInPandas(run, "outcome string, n bigint")
+    return _dealt(df, access).mapInArrow(run, "outcome string, n bigint")

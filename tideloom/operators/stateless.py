@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideloom.functions.batches import DaemonPool, arrow_schema, batch_of
 from tideloom.functions.times import col
 
 
@@ -97,21 +97,23 @@ def flat_map_async(
 
     ``make`` runs once per task and returns the call (its ``close``, if any, runs at the end). A thread
     takes ``records_per_turn`` records at a time. An error, or a turn that takes longer than
-    ``timeout_s`` per record, fails the task, and Spark retries it. ``tasks`` deals the rows out evenly
+    ``timeout_s`` per record, fails the task at once, and Spark retries it. Records have plain Python values, None for null. ``tasks`` deals the rows out evenly
     first, for inputs with few partitions.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    wanted = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = make()
 
         def turn(records: list[dict]) -> list[dict]:
             return [out for record in records for out in call(record)]
 
         try:
-            with ThreadPoolExecutor(max_concurrency) as pool:
-                for pdf in batches:
+            with DaemonPool(max_concurrency) as pool:
+                for batch in batches:
                     waiting, out = deque(), []
-                    records = pdf.to_dict("records")
+                    records = batch.to_pylist()
                     for i in range(0, len(records), records_per_turn):
                         if len(waiting) >= max_concurrency:
                             out.extend(waiting.popleft().result(timeout_s * records_per_turn))
@@ -119,7 +121,7 @@ def flat_map_async(
                     while waiting:
                         out.extend(waiting.popleft().result(timeout_s * records_per_turn))
                     if out:
-                        yield pd.DataFrame.from_records(out)
+                        yield batch_of(out, wanted)
         finally:
             close = getattr(call, "close", None)
             if close:
@@ -127,4 +129,4 @@ def flat_map_async(
 
     if tasks is not None:
         df = df.repartition(tasks)
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)

@@ -7,7 +7,6 @@ time of its first message).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -108,6 +107,14 @@ def collect_panes(
     )
 
 
+def fold_levels(rows: int, chunk: int) -> int:
+    """How often runs of ``chunk`` states have to be merged after the first fold until one is left."""
+    levels, states = 0, -(-rows // chunk)
+    while states > 1:
+        levels, states = levels + 1, -(-states // chunk)
+    return levels
+
+
 def fold_ordered(
     df: DataFrame,
     by: Sequence[str],
@@ -137,8 +144,7 @@ def fold_ordered(
         .agg(F.array_sort(F.collect_list(F.struct("_rn", *used))).alias("_m"))
         .select(*by, "_run", F.aggregate("_m", zero, step).alias("_state"))
     )
-    levels = max(0, math.ceil(math.log(max(rows, 2), chunk) - 1e-9) - 1)
-    for _ in range(levels):
+    for _ in range(fold_levels(rows, chunk)):
         states = (
             states.withColumn("_next", F.floor(F.col("_run") / chunk))
             .groupBy(*by, "_next")

@@ -301,3 +301,43 @@ def test_both_forms_of_similar_to_agree(spark, text, pattern, want):
     df = spark.createDataFrame([(text, pattern)], "s string, p string")
     assert df.select(scalar.similar_to("s", pattern)).first()[0] == want
     assert df.selectExpr("SimilarTo(s, p)").first()[0] == want
+
+
+def _job(spark):
+    from tideloom.plans.jobs import SqlJob
+
+    rows = spark.createDataFrame([(i, "click" if i % 3 == 0 else "view", [i, None]) for i in range(10)], "id bigint, kind string, xs array<bigint>")
+    return SqlJob(spark).source("t.ev", rows)
+
+
+def test_comments_end_with_their_line(spark):
+    out = _job(spark).run("""
+      insert into o -- the sink
+        SELECT id, '-- no comment' AS c FROM t.ev -- the stream
+        /* a filter
+           over two lines */ WHERE kind = 'click'""")["o"]
+    assert out.count() == 4 and out.first()["c"] == "-- no comment"
+
+
+def test_names_keep_apart(spark):
+    from tideloom.plans.jobs import SqlJob
+
+    spark.range(7).createOrReplaceTempView("a__b")
+    job = SqlJob(spark).source("a.b", spark.range(10)).source("a__b", spark.range(1)).source("a_.b", spark.range(3))
+    got = job.run(["INSERT INTO x SELECT a.b.id FROM a.b", "INSERT INTO y SELECT * FROM a__b", "INSERT INTO z SELECT q.id FROM a_.b q, a.b r WHERE q.id = r.id"])
+    assert [got[n].count() for n in "xyz"] == [10, 1, 3]
+    assert spark.table("a__b").count() == 7
+
+
+def test_a_sink_may_have_the_name_of_a_column(spark):
+    got = _job(spark).run(["INSERT INTO id SELECT id FROM t.ev WHERE id < 3", "INSERT INTO kind SELECT id FROM id WHERE id > 0"])
+    assert got["id"].count() == 3 and got["kind"].count() == 2
+
+
+def test_literals_and_nested_calls(spark):
+    got = _job(spark).run("""
+      INSERT INTO o SELECT 'BuildOutputRecord(' AS a, 'x SIMILAR TO y' AS b, 'from t.ev' AS c, upper(lower(kind)) SIMILAR TO 'C%' AS d,
+        Flatten(filter(xs, x -> coalesce(x, abs(-1)) > 4)) AS e, BuildOutputRecord('k', id) AS r FROM t.ev""")["o"]
+    rows = got.collect()
+    assert {(r["a"], r["b"], r["c"]) for r in rows} == {("BuildOutputRecord(", "x SIMILAR TO y", "from t.ev")}
+    assert sorted((r["e"], r["d"], r["r"]["k"]) for r in rows) == [(i, i % 3 == 0, i) for i in range(5, 10)]

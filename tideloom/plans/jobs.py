@@ -3,6 +3,7 @@ here statements are only told apart, given their sources as views and joined up
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -17,19 +18,56 @@ from tideloom.operators import tables
 
 _INSERT = re.compile(r"(insert|upsert)\s+into\s+([\w.$`]+)\s*(?:\(([\w\s,`]+)\))?\s*(select\b.*|with\b.*|values\b.*)", re.I | re.S)
 _LITERAL = re.compile(r"('(?:[^']|'')*')")
+_QUIET = re.compile(r"'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/", re.S)
 KEY, OP = "__key__", "__op__"
 
 _NESTED = re.compile(r"\b(GetNestedField|GetSqlField)\(\s*([\w.`]+)\s*,\s*'([^']+)'\s*\)", re.I)
-_FLATTEN = re.compile(r"\bFlatten\(\s*([^()]*(?:\([^()]*\)[^()]*)*)\)", re.I)
-_SIMILAR = re.compile(r"([\w.`]+)\s+(NOT\s+)?SIMILAR\s+TO\s+('(?:[^']|'')*')", re.I)
-_RECORD = re.compile(r"\bBuildOutputRecord\(", re.I)
+_FLATTEN = re.compile(r"\bFlatten\s*\(", re.I)
+_SIMILAR = re.compile(r"([\w.`]+|\))\s+(NOT\s+)?SIMILAR\s+TO\s+('(?:[^']|'')*')", re.I)
+_RECORD = re.compile(r"\bBuildOutputRecord\s*\(", re.I)
+
+
+def without_comments(text: str) -> str:
+    """SQL text without ``-- ...`` and ``/* ... */``, which inside literals are no comments."""
+    return _QUIET.sub(lambda m: m[0] if m[0].startswith("'") else " ", text)
+
+
+def _outside(text: str) -> list[bool]:
+    """For each character whether it stands outside of text literals."""
+    out = [True] * len(text)
+    for m in _LITERAL.finditer(text):
+        out[m.start() : m.end()] = [False] * (m.end() - m.start())
+    return out
+
+
+def _closing(text: str, at: int) -> int:
+    """Place of the parenthesis that closes the one at ``at``."""
+    outside, depth = _outside(text), 0
+    for i in range(at, len(text)):
+        if outside[i] and text[i] in "()":
+            depth += 1 if text[i] == "(" else -1
+            if depth == 0:
+                return i
+    raise ValueError(f"no closing parenthesis after {text[:at + 1]!r}")
+
+
+def _opening(text: str, at: int) -> int:
+    """Place where the operand that ends with the parenthesis at ``at`` begins, its function's name included."""
+    outside, depth = _outside(text), 0
+    for i in range(at, -1, -1):
+        if outside[i] and text[i] in "()":
+            depth += 1 if text[i] == ")" else -1
+            if depth == 0:
+                name = re.search(r"[\w.`]+$", text[:i])
+                return name.start() if name else i
+    raise ValueError(f"no opening parenthesis before {text[at:]!r}")
 
 
 def in_spark_words(select: str) -> str:
     """Streaming SQL forms that Spark writes differently: nested-field paths, Flatten, SIMILAR TO, records.
 
-    Arguments may be columns or, for Flatten, calls of one level. RegexMatch, TRUNCATE and
-    convertToString are session functions and need no change.
+    What stands in a text literal stays as it is. The arguments of Flatten and the left side of SIMILAR TO may be calls
+    of any depth. RegexMatch, TRUNCATE and convertToString are session functions and need no change.
     """
 
     def field(match: re.Match) -> str:
@@ -39,10 +77,30 @@ def in_spark_words(select: str) -> str:
             value += index[0] if index else f".`{segment}`"
         return f"CAST({value} AS STRING)" if match[1].lower() == "getsqlfield" else value
 
-    text = _NESTED.sub(field, select)
-    text = _SIMILAR.sub(lambda m: f"{'NOT ' if m[2] else ''}SimilarTo({m[1]}, {m[3]})", text)
-    text = _FLATTEN.sub(lambda m: f"explode(CASE WHEN {m[1]} IS NULL THEN array(NULL) ELSE {m[1]} END)", text)
-    return _RECORD.sub("named_struct(", text)
+    def each(pattern: re.Pattern, change, text: str) -> str:
+        """``change(text, match)`` gives (start, end, new text) for a match outside of literals."""
+        at = 0
+        while match := pattern.search(text, at):
+            if not _outside(text)[match.start()]:
+                at = match.start() + 1
+                continue
+            start, end, new = change(text, match)
+            text, at = text[:start] + new + text[end:], start + 1
+        return text
+
+    def flatten(text: str, m: re.Match):
+        end = _closing(text, m.end() - 1)
+        inner = text[m.end() : end]
+        return m.start(), end + 1, f"explode(CASE WHEN {inner} IS NULL THEN array(NULL) ELSE {inner} END)"
+
+    def similar(text: str, m: re.Match):
+        start = _opening(text, m.start()) if m[1] == ")" else m.start()
+        return start, m.end(), f"{'NOT ' if m[2] else ''}SimilarTo({text[start : m.end(1)]}, {m[3]})"
+
+    text = each(_NESTED, lambda t, m: (m.start(), m.end(), field(m)), select)
+    text = each(_SIMILAR, similar, text)
+    text = each(_FLATTEN, flatten, text)
+    return each(_RECORD, lambda t, m: (m.start(), m.end(), "named_struct("), text)
 
 
 @dataclass(frozen=True)
@@ -54,21 +112,19 @@ class Insert:
 
 
 def split_script(text: str) -> list[str]:
-    """Statements of a script: each starts at a line beginning with insert (or upsert); lines starting with
-    ``--`` are comments."""
+    """Statements of a script: each starts at a line beginning with insert (or upsert). Comments go first."""
     statements: list[list[str]] = []
-    for line in text.splitlines():
-        line = line.strip()
-        if not line or line.startswith("--"):
+    for line in without_comments(text).splitlines():
+        if not line.strip():
             continue
-        if re.match(r"(insert|upsert)\b", line, re.I) or not statements:
+        if re.match(r"\s*(insert|upsert)\b", line, re.I) or not statements:
             statements.append([])
-        statements[-1].append(line)
+        statements[-1].append(line.strip())
     return [" ".join(s).rstrip(";").strip() for s in statements]
 
 
 def read_insert(statement: str) -> Insert:
-    match = _INSERT.fullmatch(statement.strip().rstrip(";").strip())
+    match = _INSERT.fullmatch(without_comments(statement).strip().rstrip(";").strip())
     if not match:
         raise ValueError(f"not INSERT INTO sink SELECT ...: {statement[:80]!r}")
     columns = tuple(c.strip(" `") for c in match[3].split(",")) if match[3] else ()
@@ -84,6 +140,9 @@ class Sink:
     schema: T.StructType | None = None
 
 
+_JOBS = itertools.count()
+
+
 class SqlJob:
     """Sources by dotted name, and the statements that run over them.
 
@@ -93,7 +152,7 @@ class SqlJob:
     """
 
     def __init__(self, spark: SparkSession) -> None:
-        self._spark = spark
+        self._spark, self._number = spark, next(_JOBS)
         register_sql(spark)
         self._views: dict[str, str] = {}
         self._sinks: dict[str, Sink] = {}
@@ -130,23 +189,40 @@ class SqlJob:
         return outputs
 
     def _add(self, name: str, df: DataFrame) -> None:
-        view = re.sub(r"\W+", "__", name)
+        """A view of its own for each name of each job: no other name and no view of the caller is replaced."""
+        view = self._views.setdefault(name.lower(), f"job_{self._number}_{len(self._views)}_" + re.sub(r"\W+", "_", name))
         df.createOrReplaceTempView(view)
-        self._views[name.lower()] = view
 
-    def _resolve(self, text: str, names: dict[str, str]) -> str:
-        """Replace source names by view names, outside of text literals."""
-        pattern = re.compile(
-            r"(?<![\w.$])(" + "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True)) + r")(?![\w$]|\.\$)",
+    def _names(self, names: Iterable[str]) -> re.Pattern:
+        """Names where a relation stands (after FROM, JOIN or a comma between relations) or in front of a column."""
+        some = "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True))
+        return re.compile(
+            rf"(?P<before>\b(?:from|join|table)\s+(?:\(\s*)*)(?P<relation>{some})(?![\w$]|\.[\w$])"
+            rf"|(?<![\w.$])(?P<owner>{some})(?=\.(?:\w|\*|`))(?!\.\$)",
             re.I,
         )
+
+    def _resolve(self, text: str, names: dict[str, str]) -> str:
+        """Replace source names by view names, outside of text literals and only where they name a source."""
+        pattern, listed = self._names(names), self._listed(names)
+
+        def change(m: re.Match) -> str:
+            return (m["before"] or "") + names[(m["relation"] or m["owner"]).lower()]
+
         parts = _LITERAL.split(text)
-        parts[::2] = [pattern.sub(lambda m: names[m[1].lower()], p) for p in parts[::2]]
+        for i in range(0, len(parts), 2):
+            parts[i] = pattern.sub(change, listed.sub(lambda m: m[1] + names[m[2].lower()], parts[i]))
         return "".join(parts)
 
+    def _listed(self, names: Iterable[str]) -> re.Pattern:
+        """Further names of ``FROM a, b c, d``."""
+        some = "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True))
+        return re.compile(rf"(\bfrom\s+[\w.$`]+(?:\s+(?:as\s+)?(?!join|where|group|on\b)\w+)?(?:\s*,\s*[\w.$`]+(?:\s+(?:as\s+)?\w+)?)*\s*,\s*)({some})(?![\w.$])", re.I)
+
     def _reads(self, insert: Insert, sink: str) -> bool:
         plain = "".join(_LITERAL.split(insert.select)[::2])
-        return re.search(r"(?<![\w.$])" + re.escape(sink) + r"(?![\w.$])", plain, re.I) is not None
+        relation = any(m["relation"] for m in self._names([sink]).finditer(plain))
+        return relation or self._listed([sink]).search(plain) is not None
 
     def run(self, statements: str | Iterable[str | Insert]) -> dict[str, DataFrame]:
         """One DataFrame per sink. Statements with the same sink are merged; a sink that another

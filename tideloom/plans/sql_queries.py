@@ -61,7 +61,7 @@ def sql_script(spark, sf):
 
       insert into views select event_id
         from tracking.events where event_type = 'view'
-    """.replace("-- the stream", ""))
+    """)
     return sinks["clicks"].select(F.lit("clicks").alias("sink"), "event_id").unionByName(
         sinks["views"].select(F.lit("views").alias("sink"), "event_id")
     )

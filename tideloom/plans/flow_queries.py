@@ -351,6 +351,26 @@ def enrich_retry(spark, sf):
     return EN.enrich(events(spark, sf, "event_id", "user_id"), ["user_id"], FlakyScores, VALUES, access=access, keep=True)
 
 
+class Exact:
+    """Answers with the key as it came; a key that is not a whole number fails the task."""
+
+    def __call__(self, keys):
+        if not all(type(k) is int for (k,) in keys):
+            raise TypeError(f"not whole numbers: {keys[:3]}")
+        return {(k,): {"same": k} for (k,) in keys}
+
+
+@query("enrich_exact_keys", """
+SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN 9007199254740993 + user_id END AS k, CASE WHEN event_id % 3 <> 0 THEN 9007199254740993 + user_id END AS same,
+ CASE WHEN event_id % 3 <> 0 THEN 9007199254740993 + user_id END AS called FROM events""")
+def enrich_exact_keys(spark, sf):
+    """Keys beyond 2^53 and null keys, through a lookup and through an async call."""
+    k = F.when(F.col("event_id") % 3 != 0, F.lit(9007199254740993) + F.col("user_id"))
+    df = events(spark, sf, "event_id", "user_id").select("event_id", k.alias("k"))
+    found = EN.enrich_in_place(df, ["k"], Exact, "same bigint")
+    return ST.flat_map_async(found, lambda: lambda r: [r | {"called": r["k"]}], "event_id bigint, k bigint, same bigint, called bigint")
+
+
 @query("enrich_rate_limit", f"SELECT event_id, user_id, {SCORE_SQL} FROM events")
 def enrich_rate_limit(spark, sf):
     access = EN.Access(limit=EN.RateLimit(100_000, credits=lambda key: 2), tasks=4)

@@ -230,6 +230,19 @@ def udf_polymorphic(spark, sf):
     )
 
 
+@query("sql_udf_polymorphic", "SELECT event_id, event_id * 2 AS a, CAST(length(event_type) AS BIGINT) AS b, CAST(event_id % 7 AS BIGINT) * 2 AS c FROM events")
+def sql_udf_polymorphic(spark, sf):
+    """One function name in SQL text, its body picked by the argument's type; an INT goes to the BIGINT body."""
+    fs = FunctionSet()
+    fs.method("Measure", ("bigint",), "bigint", arrow=True)(lambda config: lambda x: x * 2)
+    fs.method("Measure", ("string",), "bigint", arrow=True)(lambda config: lambda x: x.str.len())
+    fs.register(spark)
+    events = table(spark, sf, "events")
+    return spark.sql(
+        "SELECT event_id, Measure(event_id) AS a, Measure(event_type) AS b, Measure(CAST(event_id % 7 AS INT)) AS c FROM {events}", events=events
+    )
+
+
 @query("udf_array_flatten", """
 SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, p_brand || '|' || p_type AS entry FROM part""")
 def udf_array_flatten(spark, sf):
@@ -289,11 +302,12 @@ def project_to_schema(spark, sf):
 
 
 @query("float_via_text", """
-SELECT vec_id, list_transform(embedding, lambda x: round(CAST(CAST(x AS VARCHAR) AS DOUBLE), 6))::VARCHAR <> '' AS filled, CAST(floor(CAST(CAST(embedding[1] AS VARCHAR) AS DOUBLE) * 1000) AS BIGINT) AS first_value, CAST(len(embedding) AS INTEGER) AS n FROM embeddings""")
+SELECT vec_id, CAST(place - 1 AS INTEGER) AS place, CAST(CAST(embedding[place] AS VARCHAR) AS DOUBLE) AS value, CAST(len(embedding) AS INTEGER) AS n
+FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS place FROM embeddings)""")
 def float_via_text(spark, sf):
+    """Every element at full precision: the double has the decimal text of the float."""
     schema = T.StructType.fromDDL("vec_id bigint, embedding array<double>")
     got = C.project_to_schema(table(spark, sf, "embeddings"), schema, float_as_text=True)
-    return got.select(
-        "vec_id", (F.size("embedding") > 0).alias("filled"), F.floor(F.col("embedding")[0] * 1000).alias("first_value"),
-        F.size("embedding").alias("n"),
-    )
+    return got.select("vec_id", F.posexplode("embedding").alias("place", "value"), F.size("embedding").alias("n"))
+
+

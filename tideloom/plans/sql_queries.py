@@ -201,3 +201,12 @@ def sql_flatten_call(spark, sf):
     return SqlJob(spark).source("store.part", table(spark, sf, "part")).run(
         "INSERT INTO words SELECT p_partkey, Flatten(split(p_name, ' ')) AS word FROM store.part"
     )["words"]
+
+
+@query("sql_flatten_nested", "SELECT p_partkey, unnest(list_filter(string_split(upper(p_name), ' '), lambda w: length(w) > 4)) AS word FROM part")
+def sql_flatten_nested(spark, sf):
+    """Calls within calls inside Flatten, beside a literal that looks like one."""
+    return SqlJob(spark).source("store.part", table(spark, sf, "part")).run(
+        "INSERT INTO words SELECT p_partkey, Flatten(filter(split(upper(p_name), ' '), w -> length(w) > 4)) AS word"
+        " FROM store.part WHERE p_name <> 'Flatten(' -- all of them"
+    )["words"]

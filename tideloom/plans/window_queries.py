@@ -72,6 +72,15 @@ def tumbling_percentile(spark, sf):
     return agg.percentiles(tagged, ["pane_id"], "cents", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
 
 
+@query("percentile_small_share", f"""
+SELECT event_type, quantile_disc(event_id, 0.07) AS p7, quantile_disc(event_id, 0.28) AS p28, quantile_disc(event_id, 0.55) AS p55
+FROM events GROUP BY ALL""")
+def percentile_small_share(spark, sf):
+    """Shares whose product with a count is no exact double."""
+    df = table(spark, sf, "events").select("event_type", "event_id")
+    return agg.percentiles(df, ["event_type"], "event_id", {"p7": 0.07, "p28": 0.28, "p55": 0.55})
+
+
 def session_sql(gap, by="user_id"):
     return f"""(SELECT *, min(ms) OVER (PARTITION BY {by}, isl) AS pane_id FROM (
   SELECT *, sum(brk) OVER (PARTITION BY {by} ORDER BY ts, event_id) AS isl FROM (

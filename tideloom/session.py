@@ -23,6 +23,8 @@ RUNTIME_CONF = {
     # Session windows are merged inside each input partition before the shuffle, so a hot key
     # sends its sessions over the network and not its rows.
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
+    # Rows may hold whole documents: a Python worker should not get ten thousand of them at once.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 # Streaming state on the executors' disks and in the checkpoint, not in their memory. In a local session,

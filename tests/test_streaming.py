@@ -149,3 +149,43 @@ def test_no_input_yet_gives_an_empty_table(spark, data, tmp_path, name, monkeypa
     (tmp_path / "none").mkdir()
     monkeypatch.setattr(Q, "live", lambda s, *_, **__: s.readStream.schema(schema).parquet(str(tmp_path / "none")))
     assert getattr(Q, name)(spark, data).collect() == []
+
+
+@pytest.mark.parametrize("trigger,accumulating,window", [
+    (0, False, {"tumbling": "1 day"}), (1, True, {"session": "6 hours"}), (2, False, {"session": "6 hours"}), (3, True, {"tumbling": "1 day"}),
+])
+def test_live_panes_equal_batch_panes(spark, data, shuffled, window, accumulating, trigger):
+    """Every trigger over files out of order: what fired by the watermark is what the batch form gives."""
+    from tideloom.operators import panes as P
+    from tideloom.operators.aggregates import cents
+    from tideloom.streaming import tables as ST
+
+    early = [
+        P.Count(2), P.Repeat(P.SinceFirst("3 hours")), P.SinceLast("2 hours"),
+        P.Repeat(P.AnyOf((P.Count(3), P.SinceFirst("5 hours"), P.SinceLast("1 hour")))),
+    ][trigger]
+    more = {"keys": ["user_id"], "ts": "ts", "tie": "event_id", "early": early, "accumulating": accumulating, **window}
+    aggs = {"n": ("count", None), "top": ("max", "cents")}
+    events = table(spark, data, "events").withColumn("cents", cents("value"))
+    mark = events.agg(F.max(F.unix_millis(F.col("ts").cast("timestamp")))).first()[0] - 12 * 86_400_000
+    want = P.panes(events, aggs=aggs, fired="fired_ms", **more).filter(F.col("fired_ms") <= mark)
+    stream = Q.live(spark, shuffled, "events", max_files=1).withColumn("cents", cents("value"))
+    got = ST.live_panes(stream, aggs=aggs, delay="12 days", name="any", **more)
+    late = got.filter("firing_type = 'LATE'").count()
+    assert late == 0
+    assert checking.spark_rows(got) == checking.spark_rows(want)
+
+
+def test_messages_of_closed_windows_come_out_late(spark, tmp_path):
+    from tideloom.operators import panes as P
+    from tideloom.streaming import tables as ST
+
+    hour = 3600
+    files = [[(1, 7, 0, "x", 1), (2, 7, 30 * hour, "x", 2)], [(3, 7, 5 * hour, "x", 4), (4, 7, 29 * hour, "x", 8)], [(5, 7, 90 * hour, "x", 16)]]
+    for i, window in enumerate(({"tumbling": "1 day"}, {"session": "3 hours"})):
+        source = _stream(spark, tmp_path / f"in{i}", files, CHANGES).withColumn("at", F.timestamp_seconds("ms"))
+        got = ST.live_panes(
+            source, keys=["k"], ts="at", tie="id", aggs={"s": ("sum", "v")}, early=P.Count(100), delay="2 hours", name="late", **window
+        ).collect()
+        found = sorted((r["firing_type"], r["s"]) for r in got)
+        assert found == [("DEFAULT", 1), ("DEFAULT", 10), ("LATE", 4)]

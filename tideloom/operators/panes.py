@@ -134,7 +134,7 @@ def _greedy_segments(df, group, order, lim: Limits, slicing) -> DataFrame:
 _COMBINE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
 
 
-def _partial(aggs: dict[str, tuple[str, object]]) -> list[Column]:
+def partial_aggregates(aggs: dict[str, tuple[str, object]]) -> list[Column]:
     first = {"count": lambda c: F.count(F.lit(1)), "sum": F.sum, "min": F.min, "max": F.max}
     return [first[kind](col(c) if c is not None else None).alias(name) for name, (kind, c) in aggs.items()]
 
@@ -151,8 +151,10 @@ def panes(
     session: str | None = None,
     accumulating: bool = False,
     slicing: Slicing | None = None,
+    fired: str | None = None,
 ) -> DataFrame:
     """Every pane of a triggered window: keys, pane_id, pane_no, firing_type, mode and the aggregates.
+    ``fired`` names a further column for the clock of each firing.
 
     ``aggs`` maps a name to (count | sum | min | max, column). DISCARDING: each pane holds what came
     since the firing before, and the closing pane is left out if nothing came. ACCUMULATING: each
@@ -180,7 +182,7 @@ def panes(
             F.count(F.lit(1)).alias("_n"),
             F.min("_ms").alias("_from"),
             F.max("_ms").alias("_to"),
-            *_partial(aggs),
+            *partial_aggregates(aggs),
         )
     )
     if accumulating or session is not None:
@@ -192,21 +194,25 @@ def panes(
         ends = ends.select(*[F.col(g).alias(f"_{g}_e") for g in group], "_close")
         same = [F.col(g).eqNullSafe(F.col(f"_{g}_e")) for g in group]
         parts = parts.join(ends, same).drop(*[f"_{g}_e" for g in group])
-    fired = F.lit(False)
+    early_fired, at = F.lit(False), [F.col("_close"), F.lit(None).cast("bigint")]
     if lim.count is not None:
-        fired = fired | (F.col("_n") >= lim.count)
+        early_fired = early_fired | (F.col("_n") >= lim.count)
+        at.append(F.when(F.col("_n") >= lim.count, F.col("_to")))
     if lim.age is not None:
-        fired = fired | (F.col("_from") + lim.age < F.col("_close"))
+        early_fired = early_fired | (F.col("_from") + lim.age < F.col("_close"))
+        at.append(F.col("_from") + lim.age)
     if lim.silence is not None:
-        fired = fired | (F.col("_to") + lim.silence < F.col("_close"))
+        early_fired = early_fired | (F.col("_to") + lim.silence < F.col("_close"))
+        at.append(F.col("_to") + lim.silence)
     if not lim.repeat:
-        fired = fired & (F.col("segment") == 0)
-    parts = parts.withColumn("_fired", fired)
+        early_fired = early_fired & (F.col("segment") == 0)
+    parts = parts.withColumn("_fired", early_fired).withColumn("_at", F.when(F.col("_fired"), F.least(*at)).otherwise(F.col("_close")))
+    firing = [F.col("_at").alias(fired)] if fired else []
     mode = F.lit("ACCUMULATING" if accumulating else "DISCARDING").alias("mode")
     names = list(aggs)
     if not accumulating:
         kind = F.when(F.col("_fired"), "EARLY").otherwise("DEFAULT").alias("firing_type")
-        return parts.select(*group, F.col("segment").alias("pane_no"), kind, mode, *names)
+        return parts.select(*group, F.col("segment").alias("pane_no"), kind, mode, *names, *firing)
     # running totals over the panes of a window, cut along the same slices
     kinds = {n: "sum" if k == "count" else k for n, (k, _) in aggs.items()}
     so_far = running(
@@ -217,15 +223,16 @@ def panes(
         slicing,
     )
     early_panes = so_far.filter("_fired").select(
-        *group, F.col("segment").alias("pane_no"), F.lit("EARLY").alias("firing_type"), mode, *names
+        *group, F.col("segment").alias("pane_no"), F.lit("EARLY").alias("firing_type"), mode, *names, *firing
     )
     closing = (
         parts.groupBy(*group)
         .agg(
             F.sum(F.col("_fired").cast("bigint")).alias("pane_no"),
+            F.max("_close").alias("_at"),
             *[_COMBINE[k](n).alias(n) for n, k in kinds.items()],
         )
-        .select(*group, "pane_no", F.lit("DEFAULT").alias("firing_type"), mode, *names)
+        .select(*group, "pane_no", F.lit("DEFAULT").alias("firing_type"), mode, *names, *firing)
     )
     return early_panes.unionByName(closing)
 
@@ -255,5 +262,5 @@ def late_panes(
     return (
         placed.withColumn("firing_type", F.when(closed, "LATE").otherwise("DEFAULT"))
         .groupBy(*keys, "pane_id", "firing_type")
-        .agg(*_partial(aggs))
+        .agg(*partial_aggregates(aggs))
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideloom.operators.aggregates import cents
+from tideloom.operators.panes import Count, Repeat, SinceFirst
 from tideloom.plans import join_queries  # noqa: F401  (its SQL is used here)
 from tideloom.plans.jobs import SqlJob
 from tideloom.plans.registry import ORACLES, query
@@ -98,6 +99,33 @@ def stream_early_panes(spark, sf):
     )
 
 
+@query("stream_panes_accumulating", f"""
+WITH d AS (SELECT *, ms - ms % {DAY} AS pane_id, row_number() OVER (PARTITION BY user_id, ms - ms % {DAY} ORDER BY ms, event_id) AS rn FROM {EV}),
+r AS (SELECT user_id, pane_id, ms, rn, CAST(sum(cents) OVER (PARTITION BY user_id, pane_id ORDER BY ms, event_id) AS BIGINT) AS total FROM d),
+w AS (SELECT user_id, pane_id, count(*) AS n, CAST(sum(cents) AS BIGINT) AS total FROM d GROUP BY ALL)
+SELECT user_id, pane_id, CAST(rn / 2 - 1 AS BIGINT) AS pane_no, 'EARLY' AS firing_type, 'ACCUMULATING' AS mode, rn AS n, total, ms AS fired_ms FROM r WHERE rn % 2 = 0 AND ms <= {MARK}
+UNION ALL SELECT user_id, pane_id, n // 2, 'DEFAULT', 'ACCUMULATING', n, total, pane_id + {DAY} FROM w WHERE pane_id + {DAY} <= {MARK}""")
+def stream_panes_accumulating(spark, sf):
+    return ST.live_panes(
+        live_events(spark, sf), keys=["user_id"], ts="ts", tie="event_id", aggs={"n": ("count", None), "total": ("sum", "cents")},
+        early=Repeat(Count(2)), delay=DELAY, name="panes", tumbling="1 day", accumulating=True,
+    )
+
+
+@query("stream_panes_session", f"""
+WITH s AS (SELECT user_id, min(ms) AS pane_id, max(ms) + {6 * HOUR} AS closed, count(*) AS all_n, isl FROM (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS isl FROM (
+  SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) > {6 * HOUR} THEN 1 ELSE 0 END AS brk FROM {EV})) GROUP BY user_id, isl),
+m AS (SELECT e.user_id, s.pane_id, s.closed, e.ms, e.ms < s.pane_id + {HOUR} AS early FROM {EV} e JOIN s ON e.user_id = s.user_id AND e.ms BETWEEN s.pane_id AND s.closed - {6 * HOUR})
+SELECT user_id, pane_id, CAST(0 AS BIGINT) AS pane_no, 'EARLY' AS firing_type, 'DISCARDING' AS mode, count(*) AS n, pane_id + {HOUR} AS fired_ms FROM m WHERE early AND pane_id + {HOUR} <= {MARK} GROUP BY ALL
+UNION ALL SELECT user_id, pane_id, CAST(1 AS BIGINT), 'DEFAULT', 'DISCARDING', count(*), closed FROM m WHERE NOT early AND closed <= {MARK} GROUP BY user_id, pane_id, closed""")
+def stream_panes_session(spark, sf):
+    """Sessions with an early pane an hour after their first message."""
+    return ST.live_panes(
+        live_events(spark, sf), keys=["user_id"], ts="ts", tie="event_id", aggs={"n": ("count", None)},
+        early=SinceFirst("1 hour"), delay=DELAY, name="session-panes", session="6 hours",
+    )
+
+
 STREAM_TTL_SQL = f"""
 WITH u AS (SELECT user_id, ms, event_id, CASE event_type WHEN 'view' THEN 0 ELSE 1 END AS side FROM {EV} WHERE event_type IN ('view', 'purchase')),
 c AS (SELECT *, last_value(CASE WHEN side = 0 THEN event_id END IGNORE NULLS) OVER w AS l_id, last_value(CASE WHEN side = 0 THEN ms END IGNORE NULLS) OVER w AS l_ms,

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tideloom.session import shared_folder
 
-BUCKETS = 64
+BUCKETS = 32
+LONG_AGO = -(1 << 62)
 
 
 class BucketTable:
@@ -77,20 +78,21 @@ class BucketTable:
                 files.delete(place, True)
 
 
-Step = Callable[[DataFrame, DataFrame, int], tuple[DataFrame, DataFrame]]
+Step = Callable[[DataFrame, DataFrame, int, int], tuple[DataFrame, DataFrame]]
 
 
 def run_in_order(
     stream: DataFrame, name: str, step: Step, keys: Sequence[str], table_schema: str, clock: str | None, delay_ms: int = 0,
-    folder: str | None = None,
+    folder: str | None = None, flush: bool = True, all_buckets: bool = False,
 ) -> tuple[DataFrame, BucketTable, int]:
     """Process the available input in the order of ``clock``, against a table in buckets.
 
     Rows newer than the watermark (highest clock so far, less ``delay_ms``) wait: an older one may still come. Those it
-    has passed, and rows that come too late, go with the touched part of the table into ``step(rows, table, watermark)``,
-    which gives their output and the new content of that part. So files that arrive out of order within the delay give
-    the results of files in order. Waiting rows at the end of the input are given with what is known by then, and wait on
-    if the run goes on in the same ``folder``. Without a clock no row waits.
+    has passed, and rows that come too late, go with the touched part of the table into ``step(rows, table, before,
+    after)``, which gives their output and the new content of that part; the watermark moves from ``before`` to ``after``.
+    So files that arrive out of order within the delay give the results of files in order. With ``flush`` waiting rows at
+    the end of the input are given with what is known by then, and wait on if the run goes on in the same ``folder``.
+    ``all_buckets`` is for steps in which the watermark alone changes the table. Without a clock no row waits.
 
     Returns the output, the table and the number of the last micro-batch.
     """
@@ -111,17 +113,17 @@ def run_in_order(
         held, highest = waiting(batch - 1)
         rows = rows.persist()
         try:
-            ready, after = rows, 0
+            ready, before, after = rows, 0, 0
             if clock is not None:
                 top = rows.agg(F.max(clock)).first()[0]
                 newest = max((v for v in (highest, top) if v is not None), default=0)
-                after = newest - delay_ms
+                before, after = (LONG_AGO if highest is None else highest - delay_ms), newest - delay_ms
                 both = rows.unionByName(held)
                 ready, later = both.filter(F.col(clock) <= after), both.filter(F.col(clock) > after)
                 later.write.mode("overwrite").parquet(f"{folder}/waiting-{batch % 2}/rows")
                 spark.range(1).select(F.lit(newest).cast("bigint")).write.mode("overwrite").parquet(f"{folder}/waiting-{batch % 2}/clock")
-            touched = table.touched(ready)
-            output, following = step(ready, table.read(batch - 1, touched), after)
+            touched = list(range(table.buckets)) if all_buckets else table.touched(ready)
+            output, following = step(ready, table.read(batch - 1, touched), before, after)
             output.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
             table.write(batch, following, touched)
         finally:
@@ -136,8 +138,10 @@ def run_in_order(
         .awaitTermination()
     )
     held, highest = waiting(last)
-    known = table.read(last, table.touched(held)) if clock is not None else table.read(-1)
-    output, _ = step(held, known, highest or 0)
+    if not flush:
+        held = held.limit(0)
+    known = table.read(last, table.touched(held)) if clock is not None and flush else table.read(-1)
+    output, _ = step(held, known, highest or 0, highest or 0)
     if last >= 0:
         output = spark.read.schema(output.schema).parquet(*[f"{folder}/out/batch={b}" for b in range(last + 1)]).unionByName(output)
     return output, table, last

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tideloom.functions.times import duration_ms, millis, window_start
 from tideloom.operators.joins import asof_join, match_latest
-from tideloom.operators.ordered import Running, plan_slices, running
+from tideloom.operators.ordered import Running, islands, plan_slices, running
+from tideloom.operators.panes import panes, partial_aggregates
 from tideloom.operators.tables import latest, materialise
 from tideloom.streaming.buckets import run_in_order
 from tideloom.streaming.runs import run_with_state
@@ -73,6 +74,56 @@ def count_panes(
     return run_with_state(rows, name, step, state_schema, "_ms", duration_ms(delay))
 
 
+def live_panes(
+    stream: DataFrame, *, keys: Sequence[str], ts: str, tie: str, aggs: dict[str, tuple[str, str | None]], early, delay: str,
+    name: str, tumbling: str | None = None, session: str | None = None, accumulating: bool = False, folder: str | None = None,
+) -> DataFrame:
+    """The live form of ``panes.panes``: any trigger, both modes, tumbling windows and sessions.
+
+    A pane comes out, once, when the watermark has passed its firing; the column fired_ms tells the clock. Messages whose
+    window had closed by the watermark when they came are given as a LATE pane (pane_no and fired_ms null) per window and
+    micro-batch. State: the messages of open windows, in buckets of the keys.
+    """
+    gap = duration_ms(session) if session else None
+    used = [c for _, c in aggs.values() if c is not None]
+    columns = list(dict.fromkeys([*keys, tie, *used]))
+    rows = stream.select(*columns, millis(ts).alias("_ms"))
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    group = [*keys, "pane_id"]
+
+    def step(ready: DataFrame, table: DataFrame, before: int, after: int):
+        both = ready.withColumn("_new", F.lit(True)).unionByName(table.withColumn("_new", F.lit(False)))
+        slicing = plan_slices(both, "_ms")
+        if tumbling:
+            placed = both.withColumn("pane_id", window_start("_ms", tumbling))
+            placed = placed.withColumn("_close", F.col("pane_id") + duration_ms(tumbling))
+            placed = placed.withColumn("_late", F.col("_new") & (F.col("_close") <= before))
+        else:
+            placed = islands(both, keys, ["_ms", tie], gap, closed=True, start="pane_id", slicing=slicing)
+            ends = placed.groupBy(*group).agg((F.max("_ms") + gap).alias("_close"), F.bool_and("_new").alias("_fresh"))
+            ends = ends.withColumnsRenamed({g: f"_{g}_e" for g in group})
+            same = [F.col(g).eqNullSafe(F.col(f"_{g}_e")) for g in group]
+            # a session that was open when the batch came is not late
+            placed = placed.join(ends, same).drop(*[f"_{g}_e" for g in group])
+            placed = placed.withColumn("_late", F.col("_fresh") & (F.col("_close") <= before))
+        timely = placed.filter(~F.col("_late")).select(*columns, "_ms", "_close")
+        whole = timely.withColumn("_clock", F.timestamp_millis("_ms"))
+        found = panes(
+            whole, keys=keys, ts="_clock", tie=tie, aggs=aggs, early=early, tumbling=tumbling, session=session,
+            accumulating=accumulating, slicing=slicing, fired="fired_ms",
+        ).filter((F.col("fired_ms") > before) & (F.col("fired_ms") <= after))
+        mode = F.lit("ACCUMULATING" if accumulating else "DISCARDING").alias("mode")
+        nothing = F.lit(None).cast("bigint")
+        late = placed.filter("_late").groupBy(*group).agg(*partial_aggregates(aggs)).select(
+            *group, nothing.alias("pane_no"), F.lit("LATE").alias("firing_type"), mode, *aggs, nothing.alias("fired_ms")
+        )
+        return found.unionByName(late), timely.filter(F.col("_close") > after).select(*columns, "_ms")
+
+    return run_in_order(
+        rows, name, step, keys, schema, "_ms", duration_ms(delay), folder, flush=False, all_buckets=True
+    )[0]
+
+
 def ttl_join(
     left: DataFrame, right: DataFrame, *, key: str, ts: str, tie: str, delay: str, ttl: str, left_id: str, right_id: str, name: str,
     folder: str | None = None,
@@ -94,7 +145,7 @@ def ttl_join(
     schema = ", ".join(f"{n} {t}" for n, t in both.dtypes)
     alive = duration_ms(ttl)
 
-    def step(ready: DataFrame, table: DataFrame, watermark: int):
+    def step(ready: DataFrame, table: DataFrame, before: int, watermark: int):
         seen = ready.withColumn("_new", F.lit(True)).unionByName(table.withColumn("_new", F.lit(False)))
         matches = match_latest(seen, alive, plan_slices(seen, "_ms")).filter("_new")
         newest = (
@@ -120,7 +171,7 @@ def live_table(
     types = dict(changes.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in changes.columns)
 
-    def step(rows: DataFrame, table: DataFrame, _: int):
+    def step(rows: DataFrame, table: DataFrame, *_):
         return rows.limit(0), latest(table.unionByName(materialise(rows, keys, order)), keys, order)
 
     _, table, last = run_in_order(changes, name, step, keys, schema, None, folder=folder)
@@ -149,7 +200,7 @@ def table_join(
     types = dict(both.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in state_columns)
 
-    def step(ready: DataFrame, table: DataFrame, _: int):
+    def step(ready: DataFrame, table: DataFrame, *_):
         known = table.unionByName(ready.filter("_change").select(*state_columns))
         rows = ready.filter("NOT _change").select(*kept)
         opened = known.select(key, ts, tie, "_value.*", "_gone")

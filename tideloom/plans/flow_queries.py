@@ -41,15 +41,30 @@ def scan_transformed(spark, sf):
 
 @query("scan_expanded", "SELECT o_orderkey, o_custkey, l_linenumber, l_quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'")
 def scan_expanded(spark, sf):
-    """One logical input that is a pipeline of its own: closed orders with their lines."""
+    """One logical input that is a pipeline of its own, over another one: closed orders with their lines."""
+    sources = S.NamedSources()
 
-    def closed_order_lines(spark, sf):
-        o = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
-        li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-        return o.join(li, o.o_orderkey == li.l_orderkey).drop("l_orderkey")
+    @sources.expand("orders.closed")
+    def closed(read, spark, folder):
+        return read("orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
 
-    expanders = {"orders.closed_lines": closed_order_lines}
-    return expanders["orders.closed_lines"](spark, sf)
+    @sources.expand("orders.closed_lines")
+    def closed_lines(read, spark, folder):
+        li = read("lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+        return read("orders.closed").join(li, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey")
+
+    return sources.read(spark, sf, "orders.closed_lines")
+
+
+@query("file_ordered_read", """
+SELECT 'p' AS group_id, 'pages' AS file, place, place AS file_row FROM (SELECT row_number() OVER () - 1 AS place FROM pages) UNION ALL
+SELECT 'p', 'part', (SELECT count(*) FROM pages) + place, place FROM (SELECT row_number() OVER () - 1 AS place FROM part)""")
+def file_ordered_read(spark, sf):
+    """All rows of a file group, numbered in path order and row order."""
+    rows_ = FI.read_files(spark, sf, "unused int", r".*/p[^/]*\.parquet")
+    return FI.in_reading_order(rows_, r"/(?=[^/]*$)[id]a[a-z]*\.parquet").select(
+        "group_id", F.regexp_extract("file_path", r"/([^/]*)\.parquet$", 1).alias("file"), "place", "file_row"
+    )
 
 
 @query("scan_files", "SELECT 'events' AS file, event_type, count(*) AS n FROM events GROUP BY ALL")

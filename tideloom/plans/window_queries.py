@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tideloom.functions.times import millis
@@ -404,3 +405,13 @@ SELECT count(*) AS n_in, count(*) FILTER (WHERE cents > 500 AND event_type <> 'e
  count(*) - count(*) FILTER (WHERE cents > 500 AND event_type <> 'error') AS n_filtered FROM {EV}""")
 def filter_counters(spark, sf):
     return agg.counters(events(spark, sf), (F.col("cents") > 500) & (F.col("event_type") != "error"))
+
+
+@query("filter_counters_observed", f"""
+SELECT count(*) AS n_in, count(*) FILTER (WHERE cents > 500 AND event_type <> 'error') AS n_out FROM {EV}""")
+def filter_counters_observed(spark, sf):
+    """The counters of a filter in a job that does something else: they are read once its own action has run."""
+    watch = Observation("filter")
+    passed = agg.observed_filter(events(spark, sf), (F.col("cents") > 500) & (F.col("event_type") != "error"), watch)
+    passed.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(watch.get["n_in"], watch.get["n_out"])], "n_in bigint, n_out bigint")

@@ -33,13 +33,14 @@ def write_date_buckets(
 
 
 def write_rolled(df: DataFrame, path: str, records: int | None = None, size_bytes: int | None = None, fmt="parquet") -> int:
-    """Start a new file after a number of records, or of bytes (by the mean record size as JSON).
+    """Start a new file after a number of records, or before its records exceed a number of bytes (as JSON).
 
-    Returns the records per file that were used.
+    The bound on bytes holds for every file: the number of records follows from the largest record. Only a record that
+    is larger than the bound has a file of its own. Returns the records per file that were used.
     """
     if records is None:
-        mean = df.agg(F.avg(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 1
-        records = max(1, int(size_bytes / mean))
+        largest = df.agg(F.max(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 1
+        records = max(1, size_bytes // largest)
     df.write.option("maxRecordsPerFile", records).mode("append").format(fmt).save(path)
     return records
 

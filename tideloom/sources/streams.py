@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideloom.session import table
+
 
 def envelope(df: DataFrame, key: Column, value: Column, offset: Column, event_time: Column) -> DataFrame:
     """Rows as keyed messages. A message without payload is dropped."""
@@ -80,3 +82,31 @@ def live(
 def memory_stream(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small in-memory collection as a bounded stream."""
     return spark.createDataFrame(rows, schema)
+
+
+class NamedSources:
+    """Sources by name. A source may be an expander: a function of (read, spark, folder) that builds its rows from other
+    sources, which it reads by name with ``read(name)``."""
+
+    def __init__(self) -> None:
+        self._expanders: dict[str, object] = {}
+
+    def expand(self, name: str):
+        """Decorator: the pipeline that stands behind ``name``."""
+
+        def add(build):
+            if name in self._expanders:
+                raise ValueError(f"source {name} is there already")
+            self._expanders[name] = build
+            return build
+
+        return add
+
+    def read(self, spark: SparkSession, folder: str, name: str, _open: tuple[str, ...] = ()) -> DataFrame:
+        """The rows of a source: an expander's, or else those of the table of that name in the folder."""
+        if name in _open:
+            raise ValueError(f"sources expand to each other: {' -> '.join([*_open, name])}")
+        build = self._expanders.get(name)
+        if build is None:
+            return table(spark, folder, name)
+        return build(lambda other: self.read(spark, folder, other, (*_open, name)), spark, folder)

@@ -9,9 +9,11 @@ Two documents agree in a slot with a probability equal to their weighted Jaccard
 
 Texts that are equal form one node before anything is compared. Nodes that agree in a band of ``ROWS`` slots share a
 bucket (at 0.8, the chance to share none of the bands is below 3 in 100,000). Within a bucket every node is verified
-against the first and the last node; verified links are merged to classes. Only in a bucket that still holds several
-classes are the others compared, in blocks of at most ``BLOCK`` nodes, by signature first and then exactly; so a group
-of thousands of copies costs a few links a member, and no pair of a bucket between two classes is left out.
+against two leaders, the nodes with most company over all their buckets: of many copies of one text with changes of
+their own, those are the ones nearest to the text. Verified links are merged to classes. Only in a bucket that still
+holds several classes are the others compared, in blocks of at most ``BLOCK`` nodes: pairs of two classes whose whole
+signatures agree in ``AGREE`` slots (missed by a pair at 0.8 with a chance below 5 in 100,000, by closer ones less) are
+given by the first bucket that they share, and verified. So a group of thousands of copies costs a few links a member.
 
 Defined cases: a null text is alone in its class. Texts without words are duplicates only of equal texts. A text of
 fewer than five words is one shingle. Repeated rows share a class and each keeps its row. class_id is the smallest id
@@ -29,11 +31,10 @@ from tideloom.llm.common import keep, key_columns, steps
 from tideloom.llm.components import components
 from tideloom.llm.shingles import Shingler, mix
 
-SLOTS, ROWS = 80, 4
-BANDS = SLOTS // ROWS
+SLOTS, ROWS, BANDS = 256, 4, 20
 BLOCK = 256
-#: Slots in which two nodes of a bucket must agree before their texts are compared: 6 deviations below 0.8.
-AGREE = SLOTS // 2
+#: Slots in which two nodes of a bucket must agree before their texts are compared: 4 deviations below 0.8.
+AGREE = 179
 
 _GOLDEN = 0x9E3779B97F4A7C15
 
@@ -92,13 +93,13 @@ def _sketch(batches):
             signatures = signatures[has]
             band = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(has), BANDS)).copy()
             for r in range(ROWS):
-                band = mix(band * _nth(1) + signatures[:, r::ROWS])
+                band = mix(band * _nth(1) + signatures[:, r : BANDS * ROWS : ROWS])
             rows = pa.array(band.view(np.int64).ravel())
             yield pa.RecordBatch.from_arrays(
                 [
                     nodes.slice(start, end - start).take(pa.array(has)),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * BANDS), rows),
-                    pa.array([s.tobytes() for s in signatures.astype(np.uint32)], pa.binary()),
+                    pa.array([s.tobytes() for s in signatures.astype(np.uint16)], pa.binary()),
                 ],
                 names=["node", "bands", "signature"],
             )
@@ -151,20 +152,22 @@ def _compare_blocks(batches):
 
 
 def _compare(rows: pa.RecordBatch, cuts: np.ndarray):
-    nodes, roots = rows.column(3).to_pylist(), rows.column(4).dictionary_encode().indices.to_numpy()
-    side = rows.column(5).to_numpy()
-    x, y = rows.column(1).to_numpy(), rows.column(2).to_numpy()
-    signatures = np.frombuffer(b"".join(rows.column(6).to_pylist()), np.uint32).reshape(-1, SLOTS)
+    nodes, roots = rows.column("node").to_pylist(), rows.column("root").dictionary_encode().indices.to_numpy()
+    x, y, side, band = (rows.column(c).to_numpy() for c in ("x", "y", "side", "band"))
+    signatures = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint16).reshape(-1, SLOTS)
+    bands = np.stack(rows.column("bands").to_pylist())
     out = []
     for start, end in zip(cuts[:-1], cuts[1:]):
         for i in range(start, end):
             # within a block: each pair once; between two blocks: pairs across only
-            others = np.arange(i + 1, end) if x[i] == y[i] else (start + np.flatnonzero(side[start:end] == y[i]))
             if x[i] != y[i] and side[i] != x[i]:
                 continue
+            others = np.arange(i + 1, end) if x[i] == y[i] else (start + np.flatnonzero(side[start:end] == y[i]))
             others = others[roots[others] != roots[i]]
-            alike = others[(signatures[others] == signatures[i]).sum(axis=1) >= AGREE]
-            out += [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for j in alike]
+            others = others[(signatures[others] == signatures[i]).sum(axis=1) >= AGREE]
+            # given by the first bucket of both
+            others = others[~(bands[others, : band[i]] == bands[i, : band[i]]).any(axis=1)]
+            out += [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for j in others]
     a, b = zip(*out) if out else ((), ())
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
@@ -173,37 +176,42 @@ def links(docs: DataFrame, similarity: float) -> DataFrame:
     """Verified pairs (a, b) from rows (node, text), enough of them to connect whatever shares a bucket and is similar."""
     sketched = docs.filter("text is not null").mapInArrow(_sketch, SKETCH)
     sketches = keep(sketched.dropDuplicates(["node"]), "sketches")
-    buckets = sketches.select(F.explode("bands").alias("bucket"), "node")
-    ends = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    ends = ends.filter("low <> high")
-    members = keep(buckets.join(ends, "bucket"), "members")
-    pairs = members.select(F.explode(F.array("low", "high")).alias("a"), F.col("node").alias("b")).filter("a <> b")
+    buckets = sketches.select("node", F.posexplode("bands").alias("band", "bucket"))
+    crowded = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = keep(buckets.join(crowded, "bucket"), "members")
+    company = members.groupBy("node").agg(F.sum("n").alias("company"))
+    ranked = members.select("bucket", "node").join(company, "node").select("bucket", F.struct("company", "node").alias("rank"))
+    first = ranked.groupBy("bucket").agg(F.max("rank").alias("first"))
+    # the second leader: the best of those who have another company than the first
+    second = ranked.join(first, "bucket").filter("rank.company < first.company").groupBy("bucket").agg(F.max("rank").alias("second"))
+    leaders = first.join(second, "bucket", "left").select(
+        "bucket", F.array_compact(F.array("first.node", "second.node")).alias("leaders")
+    )
+    pairs = members.join(leaders, "bucket").select(F.explode("leaders").alias("a"), F.col("node").alias("b")).filter("a <> b")
     pairs = keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     wanted = members.select("node").distinct()
     texts = keep(docs.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
     stars = keep(_verified(pairs, texts, similarity), "links")
     rest = _between_classes(members, components(stars), sketches)
-    rest = rest.join(pairs, ["a", "b"], "left_anti")
     return stars.unionByName(keep(_verified(rest, texts, similarity), "links"))
 
 
 def _between_classes(members: DataFrame, classes: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs of one bucket, of different classes so far, whose signatures agree."""
-    known = members.select("bucket", "node").join(classes, "node", "left").select(
-        "bucket", "node", F.coalesce("root", "node").alias("root")
+    known = members.join(classes, "node", "left").select(
+        "bucket", "band", "n", "node", F.coalesce("root", "node").alias("root")
     )
-    mixed = known.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n"))
-    # two nodes were a star pair already
-    mixed = mixed.filter("r <> s and n > 2").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = known.join(mixed, "bucket").withColumn("side", F.pmod(F.hash("node", F.lit(1)), F.col("blocks")))
+    # pairs of two nodes were compared already
+    mixed = known.filter("n > 2").groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s")
+    rows = known.join(mixed.select("bucket"), "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = rows.withColumn("side", F.pmod(F.hash("node", F.lit(1)), F.col("blocks")))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    spread = rows.select("bucket", "node", "root", "side", F.explode(every).alias("with")).select(
-        "bucket", F.least("side", "with").alias("x"), F.greatest("side", "with").alias("y"), "node", "root", "side"
+    spread = rows.select("bucket", "band", "node", "root", "side", F.explode(every).alias("with")).select(
+        "bucket", F.least("side", "with").alias("x"), F.greatest("side", "with").alias("y"), "band", "node", "root", "side"
     )
-    spread = spread.join(sketches.select("node", "signature"), "node")
-    spread = spread.select("bucket", "x", "y", "node", "root", "side", "signature")
+    spread = spread.join(sketches, "node").select("bucket", "x", "y", "band", "node", "root", "side", "bands", "signature")
     dealt = spread.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    return dealt.mapInArrow(_compare_blocks, "a binary, b binary").distinct()
+    return dealt.mapInArrow(_compare_blocks, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, id: str = "doc_id", text: str = "text") -> DataFrame:

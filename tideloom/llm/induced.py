@@ -19,7 +19,7 @@ import tempfile
 import numpy as np
 
 #: Bytes that queues or one array hold in memory, before they go to a scratch file of the task.
-IN_MEMORY = 192 << 20
+IN_MEMORY = 48 << 20
 FAR = np.uint16(65535)
 
 
@@ -287,23 +287,20 @@ def _sorted_stars(text: Text, cap: int) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.r_[np.diff(stars) + 1, 0]
     a, b = order[:-1], order[1:]
     equal = _same_length_equal(text.symbols, stars[a], stars[b], np.where(lengths[a] == lengths[b], lengths[a], 0))
-    ranks = np.empty(m, np.int64)
+    ranks = array(m, np.int32)
     ranks[order] = np.r_[0, np.cumsum(~equal)]
     levels, width = [ranks], 1
     # names are doubled until all differ, or they agree for more symbols than the cap
     while ranks.max() < m - 1 and width < cap:
-        second = np.zeros(m, np.int64)
-        second[: m - width] = ranks[width:] + 1
-        key = ranks * (m + 1) + second
+        key = ranks.astype(np.int64) * (m + 1)
+        key[: m - width] += ranks[width:] + 1
         order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        ranks = np.empty(m, np.int64)
-        ranks[order] = np.r_[0, np.cumsum(ordered[1:] != ordered[:-1])]
+        key = key[order]
+        ranks = array(m, np.int32)
+        ranks[order] = np.r_[0, np.cumsum(key[1:] != key[:-1])]
         levels.append(ranks)
         width *= 2
     a, b = order[:-1].copy(), order[1:].copy()
-    done = np.zeros(m - 1, np.int64)
-    inside = np.ones(m - 1, bool)
     for k in range(len(levels) - 1, -1, -1):
         inside = (a < m) & (b < m)
         at = np.flatnonzero(inside)

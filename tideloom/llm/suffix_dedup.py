@@ -37,9 +37,9 @@ from tideloom.llm.shingles import _P, _P_INVERSE, mix
 
 GRAM = 64
 #: Bytes of contexts that are sorted at once, unless one anchor has more.
-SHARD = 6 << 20
+SHARD = 2 << 20
 #: Different contexts of one anchor, beyond which it is cut into windows.
-HOT = 20_000
+HOT = 4_000
 
 
 class Anchors:
@@ -135,7 +135,7 @@ def _each_context(batch, length: int):
 CONTEXTS = "anchor bigint, ca bigint, cb bigint, context binary, n bigint"
 
 
-def _contexts(batches, length: int, limit: int = 16 << 20):
+def _contexts(batches, length: int, limit: int = 8 << 20):
     """Different contexts with their numbers; merged as far as a bound on memory allows."""
     seen: dict[tuple, list] = {}
     held = 0

@@ -176,8 +176,9 @@ def learn(rows: DataFrame, *, max_rules: int = 12, max_tests: int = 4, precision
         right = min(_precision(bad[met & grow]), _precision(bad[met & prune]))
         if right < precision or (met & left & bad).sum() < 3:
             break
+        tests = _centred(values, bad, left, tests)
         rules.append(Rule(tuple((names[f], sign, float(t)) for f, sign, t in tests)))
-        left &= ~met
+        left &= ~_meets(values, tests)
     return rules
 
 
@@ -230,6 +231,23 @@ def _prune(values, bad, rows, tests):
     return max(options, key=lambda some: (worth(some), -len(some))) if options else []
 
 
+def _centred(values, bad, rows, tests):
+    """Each threshold in the middle between the bad rows it catches (but for their outermost 2 %) and the next value it
+    leaves alone: what lies between was never seen and is not rejected for being a little different from good rows."""
+    caught = rows & bad & _meets(values, tests)
+    out = []
+    for f, sign, t in tests:
+        inner, low = values[caught, f], values[:, f] <= t
+        edge = np.quantile(inner, 0.02 if sign == ">" else 0.98)
+        beyond = values[rows & (low if sign == ">" else ~low), f]
+        if len(beyond):
+            near = beyond.max() if sign == ">" else beyond.min()
+            if (edge - near) * (1 if sign == ">" else -1) > 0:
+                t = (edge + near) / 2
+        out.append((f, sign, t))
+    return out
+
+
 def judge(docs: DataFrame, rules: list[Rule], text: str = "text", out: str = "quality") -> DataFrame:
     """``docs`` with a struct column ``out``: the counts, base_failed, rule (null: none rejects) and kept."""
     counts = lambda name: F.col(f"{out}.{name}")

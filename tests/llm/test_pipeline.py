@@ -67,3 +67,15 @@ def test_stages_take_odd_and_empty_tables(spark, data, odd, empty):
 def test_run(spark, data):
     rows = entry.queries()["pipeline"](spark, data)
     assert rows.count() > 0 and {"doc_id", "text", "taken"} <= set(rows.columns)
+
+
+def test_queries_equal_their_sql(spark, data):
+    import checking
+
+    con = checking.oracle_connection(data)
+    for name, sql in entry.oracle_sql().items():
+        if name.startswith("op"):
+            df = entry.queries()[name](spark, data)
+            want = checking.oracle_rows(con, sql)
+            assert checking.spark_rows(df) == want
+            assert checking.spark_kinds(df) == checking.oracle_kinds(con, sql)

@@ -14,6 +14,7 @@ from tideloom.llm import (
     line_dedup,
     mixing,
     near_dups,
+    oracles,
     quality,
     secrets,
     suffix_dedup,
@@ -65,18 +66,18 @@ def op9(spark, folder):
     return judged.select("doc_id", *[F.col(f"quality.{n}") for n in (*quality.BASE, "base_failed", "rule", "kept")])
 
 
-@query("op6_decontaminate")
+@query("op6_decontaminate", oracles.DECONTAMINATE)
 def op6(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = decontaminate.decontaminate(docs, table(spark, folder, "benchmark").select("item_id", "text"))
     digest = F.sha2(F.array_join("items", ","), 256)
     return found.select(
         F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", digest.alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"), "n_near",
+        (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
-@query("op7_near_duplicates")
+@query("op7_near_duplicates", oracles.NEAR_DUPLICATES)
 def op7(spark, folder):
     found = near_dups.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", "class_id", "class_size")

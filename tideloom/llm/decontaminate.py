@@ -5,8 +5,8 @@
 2. One pass over the documents counts how often each benchmark word occurs in them.
 3. Each window is anchored at its rarest words (two different offsets). A second pass stores the postings (word,
    document, position) of the anchor words in the shared folder: the index.
-4. The lists of a window's two anchors, each moved back by its offset, are intersected: equal starts are candidates for
-   an exact phrase, starts that differ by at most ``slop`` are proximity matches.
+4. The lists of a window's two anchors, the second moved back by their distance, are intersected: equal places are
+   candidates for an exact phrase, places that differ by at most ``slop`` are proximity matches.
 5. A pass over the documents with candidates compares every word of the window, so phrase matches are exact.
 
 A frequent word is looked up only where a window has no two rarer ones. Benchmark tables are broadcast only after a
@@ -95,27 +95,34 @@ def matches(
     whole = known.withColumn("held", F.count("*").over(Window.partitionBy("window_id"))).join(
         phrases.select("window_id", F.size(F.split("phrase", " ")).alias("n_words")), "window_id"
     )
-    anchors = keep(
-        whole.filter("held = n_words and rank <= 2").select("window_id", "word", "offset", "rank", "n_words"), "anchors"
+    ranked = whole.filter("held = n_words and rank <= 2").groupBy("window_id").agg(
+        *[F.max(F.when(F.col("rank") == r, F.col(c))).alias(f"{c}{r}") for c in ("word", "offset") for r in (1, 2)]
     )
-    postings = index(rows, anchors.select("word").distinct())
-    moved = postings.join(_small(anchors), "word").select(
-        "ka", "kb", "window_id", "rank", "n_words", (F.col("position") - F.col("offset")).alias("start")
+    # windows of one item share their rarest words: the pair at its distance is looked up once for all of them
+    ranked = ranked.withColumn("distance", F.col("offset2") - F.col("offset1"))
+    anchors = keep(ranked.withColumn("pair", F.xxhash64("word1", "word2", "distance")), "anchors")
+    pairs = anchors.select("pair", "word1", "word2", "distance").distinct()
+    looked_up = pairs.select(F.explode(F.array("word1", "word2")).alias("word")).filter("word is not null").distinct()
+    postings = index(rows, looked_up)
+    place = ("ka", "kb", "pair")
+    first = postings.join(_small(pairs), F.col("word") == F.col("word1")).select(
+        *place, F.col("position").alias("at"), F.col("word2").isNull().alias("single")
     )
-    first = moved.filter("rank = 1")
-    single = first.filter("n_words = 1").select("ka", "kb", "window_id", "start", F.lit(None).cast("int").alias("near"))
-    # starts of the second anchor, each visible from its own bin and the two beside it
-    bin_of = F.floor(F.col("start") / (slop + 1))
-    left = first.filter("n_words > 1").withColumn("bin", bin_of)
-    right = moved.filter("rank = 2").select(
-        "ka", "kb", "window_id", F.col("start").alias("start2"),
-        F.explode(F.array(bin_of - 1, bin_of, bin_of + 1)).alias("bin"),
+    single = first.filter("single").select(*place, "at", F.lit(None).cast("int").alias("near"))
+    # the rarer list, each entry visible in its own bin and the two beside it
+    bin_of = lambda c: F.floor(c / (slop + 1))
+    bins = F.array(*[bin_of(F.col("at")) + k for k in (-1, 0, 1)])
+    left = first.filter("not single").select(*place, "at", F.explode(bins).alias("bin"))
+    right = postings.join(_small(pairs), F.col("word") == F.col("word2")).select(
+        *place, (F.col("position") - F.col("distance")).alias("at2")
     )
-    gap = F.abs(F.col("start") - F.col("start2"))
-    both = left.join(right, ["ka", "kb", "window_id", "bin"]).filter(gap <= slop).select(
-        "ka", "kb", "window_id", "start", F.when(gap > 0, gap).cast("int").alias("near")
+    gap = F.abs(F.col("at") - F.col("at2"))
+    both = left.join(right.withColumn("bin", bin_of(F.col("at2"))), [*place, "bin"]).filter(gap <= slop)
+    met = both.select(*place, "at", F.when(gap > 0, gap).cast("int").alias("near")).unionByName(single)
+    starts = met.join(_small(anchors.select("pair", "window_id", "offset1")), "pair").select(
+        "ka", "kb", "window_id", (F.col("at") - F.col("offset1")).alias("start"), "near"
     )
-    return both.unionByName(single).filter("start >= 0"), found
+    return starts.filter("start >= 0"), found
 
 
 def decontaminate(
@@ -145,7 +152,8 @@ def decontaminate(
     near = candidates.filter("near is not null").groupBy("ka", "kb").agg(F.countDistinct("window_id").alias("n_near"))
     wanted = keep(exact.join(near, ["ka", "kb"], "full"), "candidates")
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), *key_columns(F.col(id), F.col(text)))
-    tokens = rows.join(wanted, ["ka", "kb"], "left").select("id", "ka", "kb", "n_near", "maybe", words(F.col("text")).alias("w"))
+    # one plan at every size: the candidates grow with the documents and are not to be broadcast
+    tokens = rows.join(wanted.hint("merge"), ["ka", "kb"], "left").select("id", "ka", "kb", "n_near", "maybe", words(F.col("text")).alias("w"))
     verified = tokens.select(
         "id", "ka", "kb",
         F.size("w").cast("bigint").alias("n_words"),
@@ -176,17 +184,17 @@ def _length(phrase: Column) -> Column:
 
 def _with_items(verified: DataFrame, found: DataFrame) -> DataFrame:
     """Adds the items whose windows occur, per set of phrases: documents with equal sets share the lookup."""
-    listed = verified.withColumn("set", F.array_sort(F.array_distinct(F.transform("hits", lambda x: x.phrase))))
-    listed = listed.withColumns({"sa": F.xxhash64("set"), "sb": F.xxhash64(F.lit("set"), "set")})
-    sets = listed.filter(F.size("set") > 0).groupBy("sa", "sb").agg(F.first("set").alias("set"))
+    columns = ("id", "ka", "kb", "n_words", "n_hit")
+    listed = keep(verified.withColumn("set", F.array_sort(F.array_distinct(F.transform("hits", lambda x: x.phrase)))), "hits")
+    hit = listed.filter(F.size("set") > 0).withColumns({"sa": F.xxhash64("set"), "sb": F.xxhash64(F.lit("set"), "set")})
+    sets = hit.groupBy("sa", "sb").agg(F.first("set").alias("set"))
     items = (
         sets.select("sa", "sb", F.explode("set").alias("phrase"))
         .join(_small(found.select("phrase", "item")), "phrase")
         .groupBy("sa", "sb")
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
-    joined = listed.join(items, ["sa", "sb"], "left")
-    items = F.coalesce("items", F.array().cast("array<string>"))
-    return joined.select(
-        F.col("id"), "ka", "kb", "n_words", "n_hit", F.size(items).cast("bigint").alias("n_items"), "n_near", items.alias("items"), "hits"
-    )
+    some = hit.join(items, ["sa", "sb"])
+    none = listed.filter("size(set) <= 0 or set is null").withColumn("items", F.array().cast("array<string>"))
+    result = lambda df: df.select(*columns, F.size("items").cast("bigint").alias("n_items"), "n_near", "items", "hits")
+    return result(some).unionByName(result(none))

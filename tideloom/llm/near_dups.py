@@ -31,10 +31,10 @@ from tideloom.llm.common import keep, key_columns, steps
 from tideloom.llm.components import components
 from tideloom.llm.shingles import Shingler, mix
 
-SLOTS, ROWS, BANDS = 256, 4, 20
+SLOTS, ROWS, BANDS = 512, 4, 20
 BLOCK = 256
 #: Slots in which two nodes of a bucket must agree before their texts are compared: 4 deviations below 0.8.
-AGREE = 179
+AGREE = 373
 
 _GOLDEN = 0x9E3779B97F4A7C15
 

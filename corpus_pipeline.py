@@ -7,12 +7,15 @@ read again, so a lost executor repeats one stage at most.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideloom.llm import decontaminate, line_dedup, mixing, near_dups, quality
 from tideloom.llm.common import keep, key_columns, table
 from tideloom.llm.queries import WEIGHTS
+from tideloom.session import prepare
 
 #: No stage but the fixed word rules can be written in SQL.
 ORACLE_SQL = None
@@ -71,12 +74,22 @@ def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return rows.select(*[f"row.{c}" for c in docs.columns if c not in once + added], *once, *added)
 
 
+def _ready(stage):
+    """The stage in a session with the settings that the operators rely on."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+        return stage(prepare(spark), docs, folder)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality rules", quality_rules),
-    ("line dedup", dedup_lines),
-    ("near duplicates", near_duplicates),
-    ("benchmark decontamination", decontaminated),
-    ("mixing", mixed),
+    ("quality rules", _ready(quality_rules)),
+    ("line dedup", _ready(dedup_lines)),
+    ("near duplicates", _ready(near_duplicates)),
+    ("benchmark decontamination", _ready(decontaminated)),
+    ("mixing", _ready(mixed)),
 ]
 
 

@@ -30,6 +30,21 @@ def repeated(texts: list[str | None], length: int):
     return out
 
 
+def repeated_lines(texts: list[str], least: int = 2) -> list[set[int]]:
+    """Per text the lines in any run of ``least`` lines or more that stood before, in this text or an earlier one."""
+    seen, out = set(), []
+    for text in texts:
+        lines, gone = text.split("\n"), set()
+        for start in range(len(lines)):
+            for end in range(start + least, len(lines) + 1):
+                run = tuple(lines[start:end])
+                if run in seen:
+                    gone |= set(range(start, end))
+                seen.add(run)
+        out.append(gone)
+    return out
+
+
 def contamination(texts, items: list[tuple], width: int = 10):
     """Per text (n_words, n_hit, n_items, sha256 of the item ids)."""
     windows = defaultdict(set)

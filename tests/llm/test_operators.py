@@ -100,6 +100,25 @@ def test_line_dedup_equals_plain_version(spark):
     assert sum(n for _, n, _ in want) > 0.6 * 12 * (40 - 6)
 
 
+def test_line_dedup_finds_short_passages_anywhere(spark):
+    make = random.Random(11)
+    passages = [[f"shared {p} {i} {make.random()}" for i in range(2 + p % 4)] for p in range(40)]
+    rows = []
+    for doc in range(120):
+        lines = [f"own {doc} {i} {make.random()}" for i in range(make.randint(0, 5))]
+        at = make.randint(0, len(lines))
+        lines[at:at] = passages[doc % 40]
+        if doc % 7 == 0:
+            lines += passages[make.randrange(40)][1:] + ["same"] * 3
+        rows.append((doc, "\n".join(lines)))
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).select("row.doc_id", "n_removed", "kept")
+    removed = brute.repeated_lines([t for _, t in rows])
+    want = [(i, len(gone), "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)) for (i, t), gone in zip(rows, removed)]
+    assert rows_of(got) == sorted(want, key=repr)
+    # the passages of 2 to 5 lines of all documents but the first that holds each
+    assert all(len(gone) >= 2 + doc % 4 for doc, gone in enumerate(removed) if doc >= 40)
+
+
 def test_line_dedup_of_documents(spark, data):
     import hashlib
 

@@ -1,16 +1,19 @@
-"""Line dedup with content-defined chunks of lines.
+"""Line dedup with overlapping chunks of lines.
 
-A rolling hash over the hashes of neighbouring lines decides where a chunk ends, so a passage is cut alike wherever it
-stands, also when lines were added before it. Chunks of at least two lines are counted over the whole corpus by 128-bit
-hashes; of each that repeats, the first occurrence (least id, then place) stays. The others go after their bytes were
-compared with the first one's.
+A rolling hash over the hashes of two neighbouring lines names the chunk that starts at each line, so chunks are cut
+alike wherever a passage stands, and every passage of two lines or more is made of whole chunks. Chunks are counted over
+the whole corpus by 128-bit hashes; of each that repeats, the first occurrence (least id, then place) stays. The others
+go after their bytes were compared with the first one's. As chunks overlap, a line of a first occurrence may itself go
+as part of a still earlier one; an equal line before it always stays.
 
 Hashes of all chunks are shuffled, texts once, and only chunks that repeat move as text. A chunk held by a third of all
 documents is combined before the shuffle (counts, first place) and joined with skew splitting.
 
 Defined cases: a null text stays null, an empty one has one empty line. A null id sorts first. Rows that repeat id and
 text are one document in two rows and get equal results. Lines end at "\\n"; what is left is joined by "\\n" again, and a
-document whose lines all go keeps an empty text. Other columns, whatever their names, are returned as they are.
+document whose lines all go keeps an empty text. A line that repeats alone, between other neighbours, stays; so does a
+document of one line. Occurrences in one document may overlap: of equal lines in a row one stays. Other columns, whatever
+their names, are returned as they are.
 """
 
 from __future__ import annotations
@@ -24,68 +27,63 @@ from pyspark.sql import functions as F
 from tideloom.llm.common import arrow_function, keep, key_columns
 from tideloom.llm.shingles import mix
 
-#: Lines that the rolling hash sees, average lines between boundaries, least lines of a chunk that is compared.
-WINDOW, SPACING, LEAST = 2, 3, 2
+#: Lines of a chunk; one starts at every line that has so many from there on.
+LINES = 2
 
+_P = np.uint64(0x9E3779B97F4A7C15)
 
-def boundaries(hashes: np.ndarray) -> np.ndarray:
-    """Ends (exclusive) of the chunks of a document from its line hashes; the last is the number of lines."""
-    n = len(hashes)
-    rolling = np.zeros(n, np.uint64)
-    for back in range(WINDOW):
-        turn = np.uint64(back)
-        moved = hashes if not back else np.r_[np.zeros(min(back, n), np.uint64), hashes[: max(0, n - back)]]
-        rolling ^= (moved << turn) | (moved >> (np.uint64(64) - turn)) if back else moved
-    ends = np.flatnonzero(mix(rolling) % np.uint64(SPACING) == 0) + 1
-    return ends if len(ends) and ends[-1] == n else np.append(ends, n)
+
+def rolling(hashes: np.ndarray) -> np.ndarray:
+    """A hash of each run of :data:`LINES` rows from the hashes of lines, per column."""
+    out = np.zeros((max(0, len(hashes) - LINES + 1), hashes.shape[1]), np.uint64)
+    for k in range(LINES):
+        out = mix(out * _P + hashes[k : k + len(out)])
+    return out
 
 
 def chunks(text: str) -> list[tuple[int, int, str]]:
-    """(first line, lines, text) of the chunks of at least :data:`LEAST` lines."""
+    """(first line, lines, text) of all chunks."""
     lines = text.split("\n")
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(line.encode()) for line in lines), np.uint64, len(lines))
-    out, start = [], 0
-    for end in boundaries(hashes).tolist():
-        if end - start >= LEAST:
-            out.append((start, end - start, "\n".join(lines[start:end])))
-        start = end
-    return out
+    return [(i, LINES, "\n".join(lines[i : i + LINES])) for i in range(len(lines) - LINES + 1)]
 
 
 def _chunk_rows(batches):
     for batch in batches:
-        keys, rows = [], []
-        for k, text in enumerate(batch.column(3)):
-            for start, n, piece in chunks(text.as_py()):
-                digest = xxhash.xxh3_128_digest(piece.encode())
-                rows.append((start, n, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)))
-                keys.append(k)
-        at = pa.array(keys, pa.int64())
-        columns = zip(*rows) if rows else [()] * 4
+        digests, counts = [], []
+        for text in batch.column(3):
+            lines = text.as_py().split("\n")
+            digests.extend(xxhash.xxh3_128_digest(line.encode()) for line in lines)
+            counts.append(len(lines))
+        owner = np.repeat(np.arange(len(counts)), counts)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(counts, dtype=np.int64) - counts, counts)
+        hashes = rolling(np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2))
+        inside = owner[: len(hashes)] == owner[len(owner) - len(hashes) :]
+        at = pa.array(owner[: len(hashes)][inside])
+        hashes = hashes[inside].view(np.int64)
         arrays = [batch.column(c).take(at) for c in range(3)]
-        arrays += [pa.array(c, t) for c, t in zip(columns, [pa.int32(), pa.int32(), pa.int64(), pa.int64()])]
-        yield pa.RecordBatch.from_arrays(arrays, names=["id", "ka", "kb", "start", "n", "ha", "hb"])
+        arrays += [pa.array(place[: len(inside)][inside].astype(np.int32)), pa.array(hashes[:, 0]), pa.array(hashes[:, 1])]
+        yield pa.RecordBatch.from_arrays(arrays, names=["id", "ka", "kb", "start", "ha", "hb"])
 
 
 @arrow_function("array<string>")
 def _pieces(texts: pa.Array, wanted: pa.Array) -> pa.Array:
-    """The text of each wanted (start, n) run of lines."""
+    """The text of each wanted chunk."""
     out = []
     for text, some in zip(texts, wanted):
         lines = text.as_py().split("\n")
-        out.append(["\n".join(lines[w["start"] : w["start"] + w["n"]]) for w in some.as_py()])
+        out.append(["\n".join(lines[w["start"] : w["start"] + LINES]) for w in some.as_py()])
     return pa.array(out, pa.list_(pa.string()))
 
 
 @arrow_function("struct<text:string,n_lines:bigint,n_chunks:bigint>")
 def _without(texts: pa.Array, runs: pa.Array) -> pa.Array:
-    """The text without the runs (start, n, bytes) whose bytes are the document's own, lines and chunks removed."""
+    """The text without the chunks (start, bytes) whose bytes are the document's own, lines and chunks removed."""
     kept, gone, number = [], [], []
     for text, some in zip(texts, runs):
         lines = text.as_py().split("\n")
         stays, count = np.ones(len(lines), bool), 0
         for run in some.as_py():
-            start, end = run["start"], run["start"] + run["n"]
+            start, end = run["start"], run["start"] + LINES
             if "\n".join(lines[start:end]) == run["piece"]:
                 stays[start:end] = False
                 count += 1
@@ -108,13 +106,13 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", *, dige
         F.col(text).alias("text"),
     )
     kind = docs.schema[id].dataType.simpleString()
-    schema = f"id {kind}, ka bigint, kb bigint, start int, n int, ha bigint, hb bigint"
+    schema = f"id {kind}, ka bigint, kb bigint, start int, ha bigint, hb bigint"
     cut = keep(rows.filter(F.col("text").contains("\n")).select("id", "ka", "kb", "text").mapInArrow(_chunk_rows, schema), "chunks")
     place = F.struct("id", "ka", "kb", "start")
     often = cut.groupBy("ha", "hb").agg(F.count("*").alias("times"), F.min(place).alias("least")).filter("times > 1")
-    marked = cut.join(often, ["ha", "hb"]).select("ka", "kb", "start", "n", "ha", "hb", place.eqNullSafe(F.col("least")).alias("stays"))
+    marked = cut.join(often, ["ha", "hb"]).select("ka", "kb", "start", "ha", "hb", place.eqNullSafe(F.col("least")).alias("stays"))
     marked = keep(marked.distinct(), "marked")
-    wanted = marked.groupBy("ka", "kb").agg(F.collect_list(F.when(F.col("stays"), F.struct("start", "n", "ha", "hb"))).alias("firsts"))
+    wanted = marked.groupBy("ka", "kb").agg(F.collect_list(F.when(F.col("stays"), F.struct("start", "ha", "hb"))).alias("firsts"))
     joined = rows.join(wanted, ["ka", "kb"], "left")
     touched = F.col("firsts").isNotNull()
     kept = F.sha2("text", 256) if digest else F.col("text")
@@ -129,10 +127,10 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", *, dige
     originals = sources.select(F.explode(F.arrays_zip("firsts", "pieces")).alias("x")).select("x.firsts.ha", "x.firsts.hb", F.col("x.pieces").alias("piece"))
     originals = originals.dropDuplicates(["ha", "hb"])
     runs = marked.filter("not stays").join(originals, ["ha", "hb"]).groupBy("ka", "kb").agg(
-        F.collect_list(F.struct("start", "n", "piece")).alias("runs")
+        F.collect_list(F.struct("start", "piece")).alias("runs")
     )
     some = joined.filter("firsts is not null").join(runs, ["ka", "kb"], "left")
-    none = F.array().cast("array<struct<start:int,n:int,piece:string>>")
+    none = F.array().cast("array<struct<start:int,piece:string>>")
     some = some.withColumn("left", _without("text", F.coalesce("runs", none)))
     left = F.col("left.text")
     some = some.select(

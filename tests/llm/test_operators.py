@@ -275,6 +275,35 @@ def test_license_words_alone_are_no_license():
     assert licenses.confirmed("We talked about a driving license and its warranty for hours.") == []
 
 
+def test_all_licenses_of_a_block(spark):
+    short = [(name, line) for name, line in licenses.TEMPLATES if len(line) < 80]
+    long = dict((name, line) for name, line in licenses.TEMPLATES if len(line) >= 80)
+    mit = long["MIT"]
+    other = mit.replace("person", "human").replace(" without limitation", "")
+    cases = [
+        [("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("MIT", "Released under the MIT License.")],
+        short,
+        list(long.items()) + short,
+        [("MIT", mit), ("GPL-3.0-or-later", long["GPL-3.0-or-later"]), ("MIT", other), ("MIT", other)],
+        [("MIT", "Released under the MIT License.")] * 300,
+        [("Apache-2.0", "Licensed under either of the Apache License, Version 2.0"), ("CC-BY-4.0", "licensed under CC BY 4.0")],
+    ]
+    texts = [glue.join(["Notes of the third part", *[line for _, line in case], "and no more"]) for case in cases for glue in ("\n", " ")]
+    df = licenses.find_licenses(spark.createDataFrame(list(enumerate(texts)), DOCS))
+    got = {r["doc_id"]: r["licenses"] for r in df.collect()}
+    for k, text in enumerate(texts):
+        assert got[k]["n_blocks"] == 1
+        found = [(x["license"], text[x["start"] : x["end"]]) for x in got[k]["found"]]
+        assert found == [(name, line.rstrip("./")) for name, line in cases[k // 2]]
+    assert [x["exact"] for x in got[7]["found"]] == [True, True, False, False]
+
+
+def test_scattered_wording_stays_found():
+    text = "Released, as agreed on by all who ever took part in this, under the terms of the well known MIT License."
+    (found,) = licenses.confirmed(text)
+    assert found["license"] == "MIT" and text[found["start"] : found["end"]] == text[:-1]
+
+
 def test_license_query(spark, data):
     got = {r["doc_id"]: r["names"] for r in QUERIES["op5_license_scan"](spark, data).collect()}
     lines = {line: name for name, line in licenses.TEMPLATES if len(line) < 80}

@@ -1,22 +1,27 @@
 """License scans by conditional compression.
 
 Blocks of lines around license words are compressed once alone and once with each template as a raw zstandard
-dictionary. The templates that save most bytes are compared word by word with the block; the one that covers it best
-wins if enough of its words stand there in order, and the differing words are reported.
+dictionary, which ranks the templates by bytes saved. All whose words can stand in the block are compared with it word by
+word; the one that covers it best wins if enough of its words stand there in order, and the differing words are
+reported. The winner's words are then taken out and the rest is ranked and compared again until nothing is confirmed, so
+a block gives every license in it, and each as often as it stands there.
 
 Blocks are cut in an Arrow function and texts without a license word never reach it, so there is no shuffle.
 
 Defined cases: a null or empty text has no blocks. Of templates that fit equally well, the one with more words wins, then
-the one listed first. Repeated rows get equal results. Spans are in code points, end exclusive. Other columns are not
-read.
+the one listed first. Wording that stands together (fewer words added than it has) goes before wording that is scattered;
+the latter must save bytes, too. Repeated rows get equal results. Spans are in code points, from the first to the last word
+of the license's own wording, end exclusive, in the order of the text. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -42,8 +47,8 @@ TEMPLATES = (
 #: Words of which one must stand in a line to make it part of a block; lines at most REACH apart belong together.
 CUE = r"(?i)licen[cs]|copyright|permission|redistribut|free software|source code form|warrant"
 REACH = 2
-#: Templates that are compared word by word, and the part of a template's words that must be found in order.
-RANKED, COVER = 3, 0.85
+#: The part of a template's words that must be found in order.
+COVER = 0.85
 
 _CUE, _WORD = re.compile(CUE), re.compile(r"\w+(?:[.-]\w+)*")
 
@@ -84,21 +89,102 @@ def ranked(block: str) -> list[tuple[int, int]]:
     return sorted(saved, key=lambda x: (-x[0], x[1]))
 
 
+def together(wanted: list[str], own: list[str]) -> tuple[int, int, list[tuple[int, int]]] | None:
+    """(words missing and added, words found, runs of ``own``) where the template stands with the fewest such words.
+
+    An alignment whose start and end in ``own`` are free; all runs that fit equally well and do not overlap are given.
+    """
+    n, size = len(own), len(wanted)
+    number = {w: i for i, w in enumerate(dict.fromkeys(own))}
+    own_numbers = np.fromiter((number[w] for w in own), np.int64, n)
+    at, unit = np.arange(n + 1), n + 2
+    best = at.copy()  # differing words times unit, plus start, by end
+    for word in wanted:
+        step = best + unit
+        hits = np.flatnonzero(own_numbers == number.get(word, -1))
+        step[hits + 1] = np.minimum(step[hits + 1], best[hits])
+        best = np.minimum.accumulate(step - at * unit) + at * unit
+    differ, start = best // unit, best % unit
+    found = (size + at - start - differ) // 2
+    fits = np.flatnonzero(found >= COVER * size)
+    if not len(fits):
+        return None
+    first = fits[np.lexsort((fits, -found[fits], differ[fits]))[0]]
+    runs: list[tuple[int, int]] = []
+    for end in fits[(differ[fits] == differ[first]) & (found[fits] == found[first])].tolist():
+        if not runs or start[end] >= runs[-1][1]:
+            runs.append((int(start[end]), end))
+    return int(differ[first]), int(found[first]), runs
+
+
+def common(wanted: list[str], own: list[str]) -> list[tuple[int, int]]:
+    """The places (in ``wanted``, in ``own``) of a longest common subsequence."""
+    if wanted == own:
+        return [(i, i) for i in range(len(own))]
+    best = [[0] * (len(own) + 1) for _ in range(len(wanted) + 1)]
+    for i in reversed(range(len(wanted))):
+        for j in reversed(range(len(own))):
+            best[i][j] = best[i + 1][j + 1] + 1 if wanted[i] == own[j] else max(best[i + 1][j], best[i][j + 1])
+    i = j = 0
+    out = []
+    while i < len(wanted) and j < len(own):
+        if wanted[i] == own[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def scattered(wanted: list[str], own: list[str]) -> list[tuple[int, int]]:
+    """The places (in ``wanted``, in ``own``) of words found in order, however far apart."""
+    same = difflib.SequenceMatcher(None, wanted, own, autojunk=False).get_matching_blocks()
+    return [(m.a + i, m.b + i) for m in same for i in range(m.size)]
+
+
+def _best(own: list[str], saved: dict[int, int]) -> tuple[int, list[list[tuple[int, int]]]] | None:
+    """The template that fits best, and the places of its words for each time that it stands in ``own``."""
+    fits = [(fit, k) for k in saved if (fit := together(_primed()[k][1], own))]
+    if fits:
+        (_, _, runs), k = min(fits, key=lambda x: (x[0][0], -x[0][1], x[1]))
+        wanted = _primed()[k][1]
+        return k, [[(i, start + j) for i, j in common(wanted, own[start:end])] for start, end in runs]
+    loose = []
+    for k in saved:
+        wanted = _primed()[k][1]
+        pairs = scattered(wanted, own) if saved[k] > 0 else []
+        if pairs and len(pairs) >= COVER * len(wanted):
+            differ = len(wanted) + pairs[-1][1] + 1 - pairs[0][1] - 2 * len(pairs)
+            loose.append(((differ, -len(pairs), k), pairs))
+    return (min(loose)[0][2], [min(loose)[1]]) if loose else None
+
+
 def confirmed(block: str) -> list[dict]:
-    """The licenses whose wording stands in the block, with the words that are missing or added."""
-    own = words(block)
-    found = []
-    for saved, k in ranked(block)[:RANKED]:
+    """The licenses whose wording stands in the block, with its span and the words that are missing or added."""
+    left = [(m.group().lower(), m.start(), m.end()) for m in _WORD.finditer(block)]
+    rest, found = block, []
+    while True:
+        own = [w for w, _, _ in left]
+        there = Counter(own)
+        able = {k for k, (_, wanted, _) in enumerate(_primed()) if (Counter(wanted) & there).total() >= COVER * len(wanted)}
+        saved = {k: n for n, k in ranked(rest) if k in able} if able else {}
+        fit = _best(own, saved)
+        if not fit:
+            return sorted(found, key=lambda x: (x["start"], x["end"]))
+        k, times = fit
         name, wanted, _ = _primed()[k]
-        same = [m for m in difflib.SequenceMatcher(None, wanted, own, autojunk=False).get_matching_blocks() if m.size]
-        n = sum(m.size for m in same)
-        if saved <= 0 or n < COVER * len(wanted):
-            continue
-        first, last = same[0].b, same[-1].b + same[-1].size
-        missing = [w for i, w in enumerate(wanted) if not any(m.a <= i < m.a + m.size for m in same)]
-        added = [w for i, w in enumerate(own[first:last], first) if not any(m.b <= i < m.b + m.size for m in same)]
-        found.append({"license": name, "saved": saved, "missing": missing, "added": added, "words": n, "order": (len(missing) + len(added), -n, k)})
-    return sorted(found, key=lambda x: x["order"])[:1]
+        gone = set()
+        for pairs in times:
+            has, mine = {i for i, _ in pairs}, {j for _, j in pairs}
+            first, last = pairs[0][1], pairs[-1][1]
+            missing = [w for i, w in enumerate(wanted) if i not in has]
+            added = [own[j] for j in range(first, last + 1) if j not in mine]
+            found.append({"license": name, "saved": saved[k], "missing": missing, "added": added, "start": left[first][1], "end": left[last][2]})
+            gone |= mine
+        left = [x for j, x in enumerate(left) if j not in gone]
+        rest = " ".join(block[start:end] for _, start, end in left)
 
 
 RESULT = "array<struct<license:string,start:bigint,end:bigint,exact:boolean,saved:bigint,missing:array<string>,added:array<string>>>"
@@ -118,7 +204,7 @@ def scan(texts: pa.Array) -> pa.Array:
         for start, end in places:
             for x in confirmed(text[start:end]):
                 exact = not x["missing"] and not x["added"]
-                found.append({"start": start, "end": end, "exact": exact} | {c: x[c] for c in ("license", "saved", "missing", "added")})
+                found.append(x | {"start": start + x["start"], "end": start + x["end"], "exact": exact})
         number.append(len(places))
         out.append(found)
     return pa.StructArray.from_arrays([pa.array(number, pa.int64()), pa.array(out, _TYPE)], names=["n_blocks", "found"])

@@ -298,6 +298,26 @@ def test_all_licenses_of_a_block(spark):
     assert [x["exact"] for x in got[7]["found"]] == [True, True, False, False]
 
 
+def test_reserved_rights_and_further_licenses(spark):
+    gnu = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version."
+    bsd = dict(licenses.TEMPLATES)["BSD-3-Clause"]
+    cases = {
+        "All rights reserved.": "LicenseRef-All-Rights-Reserved",
+        gnu.format("program", "", "2"): "GPL-2.0-or-later",
+        gnu.format("program", "", "3"): "GPL-3.0-or-later",
+        gnu.format("library", "Lesser ", "2.1"): "LGPL-2.1-or-later",
+        gnu.format("program", "Affero ", "3"): "AGPL-3.0-or-later",
+        bsd[: bsd.index(" Neither")]: "BSD-2-Clause",
+        bsd: "BSD-3-Clause",
+        bsd.replace("the copyright holder", "Some Firm, Inc."): "BSD-3-Clause",
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "ISC",
+        "We reserved the hall for all who spoke about rights.": None,
+    }
+    df = licenses.find_licenses(spark.createDataFrame(list(enumerate(f"first\n{x}\nlast" for x in cases)), DOCS))
+    got = {r["doc_id"]: [x["license"] for x in r["licenses"]["found"]] for r in df.collect()}
+    assert got == {k: [name] if name else [] for k, name in enumerate(cases.values())}
+
+
 def test_scattered_wording_stays_found():
     text = "Released, as agreed on by all who ever took part in this, under the terms of the well known MIT License."
     (found,) = licenses.confirmed(text)

@@ -8,8 +8,8 @@ a block gives every license in it, and each as often as it stands there.
 
 Blocks are cut in an Arrow function and texts without a license word never reach it, so there is no shuffle.
 
-Defined cases: a null or empty text has no blocks. Of templates that fit equally well, the one with more words wins, then
-the one listed first. Wording that stands together (fewer words added than it has) goes before wording that is scattered;
+Defined cases: a null or empty text has no blocks. The template with most words found less words that differ fits best; of
+equal ones that with more words found wins, then the one listed first. Wording that stands together (fewer words added than it has) goes before wording that is scattered;
 the latter must save bytes, too. Repeated rows get equal results. Spans are in code points, from the first to the last word
 of the license's own wording, end exclusive, in the order of the text. Other columns are not read.
 """
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tideloom.llm.common import arrow_function
 
-# License notices by SPDX name.
+# License notices by SPDX name; the reserved-rights notice, which has none, by a reference.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
@@ -41,14 +41,26 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("GPL-2.0-only", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0-only", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0-only", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation."),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0-or-later", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LicenseRef-All-Rights-Reserved", "All rights reserved."),
 )
 
 #: Words of which one must stand in a line to make it part of a block; lines at most REACH apart belong together.
-CUE = r"(?i)licen[cs]|copyright|permission|redistribut|free software|source code form|warrant"
+CUE = r"(?i)licen[cs]|copyright|permission|redistribut|free software|source code form|warrant|rights\s+reserved"
 REACH = 2
 #: The part of a template's words that must be found in order.
 COVER = 0.85
+#: Words that a template has at least to be looked for scattered over a block.
+LOOSE = 5
 
 _CUE, _WORD = re.compile(CUE), re.compile(r"\w+(?:[.-]\w+)*")
 
@@ -148,13 +160,13 @@ def _best(own: list[str], saved: dict[int, int]) -> tuple[int, list[list[tuple[i
     """The template that fits best, and the places of its words for each time that it stands in ``own``."""
     fits = [(fit, k) for k in saved if (fit := together(_primed()[k][1], own))]
     if fits:
-        (_, _, runs), k = min(fits, key=lambda x: (x[0][0], -x[0][1], x[1]))
+        (_, _, runs), k = min(fits, key=lambda x: (x[0][0] - x[0][1], -x[0][1], x[1]))
         wanted = _primed()[k][1]
         return k, [[(i, start + j) for i, j in common(wanted, own[start:end])] for start, end in runs]
     loose = []
     for k in saved:
         wanted = _primed()[k][1]
-        pairs = scattered(wanted, own) if saved[k] > 0 else []
+        pairs = scattered(wanted, own) if saved[k] > 0 and len(wanted) >= LOOSE else []
         if pairs and len(pairs) >= COVER * len(wanted):
             differ = len(wanted) + pairs[-1][1] + 1 - pairs[0][1] - 2 * len(pairs)
             loose.append(((differ, -len(pairs), k), pairs))

@@ -1,4 +1,4 @@
-"""Suffix sorting by induction, with common prefixes, for shards that may be larger than memory.
+"""Suffix sorting by induction, with common prefixes. Queues and large arrays may go to disk, results stay in memory.
 
 The text is a row of small whole numbers. Suffixes that start where a rise follows a fall (S*) are sorted first: one
 induction sorts the pieces between them, equal pieces get equal names, and the shorter text of names is sorted in turn.

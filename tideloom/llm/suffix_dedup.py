@@ -1,4 +1,4 @@
-"""Removal of repeated substrings by external induced suffix sorting, spread over the cluster in shards.
+"""Removal of repeated substrings by induced suffix sorting, spread over the cluster in shards.
 
 A byte is removed if a string of ``length`` bytes that covers it starts anywhere else, in the same document or another.
 
@@ -8,11 +8,11 @@ A byte is removed if a string of ``length`` bytes that covers it starts anywhere
    only their texts go on.
 2. Equal contexts are merged with their number (within a task first, then by the anchor), so a group of thousands of
    copies is one context. A shard holds whole anchors.
-3. Each shard is suffix-sorted by external induction (see induced.py); the tuples carry positions and common prefixes.
+3. Each shard is suffix-sorted by induction (see induced.py); the tuples carry positions and common prefixes.
    Neighbours with a common prefix of ``length`` are one string; it repeats if its contexts stand for two starts or more.
-   A shard larger than memory is sorted with queues and arrays in scratch files of the task. An anchor with more than
-   ``HOT`` different contexts (a third of all documents may share one) is cut into its windows, which are merged again by
-   their own hash, so no shard must hold more of it.
+   Shards are cut at ``SHARD`` bytes plus one anchor, so they fit in memory and the scratch files of induced.py stay
+   idle. An anchor with more than ``HOT`` different contexts (a third of all documents may share one) is cut into its
+   windows, which are counted by their own 128-bit hash; only those that repeat are sorted, so no shard must hold more.
 4. Repeated runs go back to the documents that hold the context, and are cut out there.
 
 Defined cases: a null text counts as empty: 0 bytes, nothing removed. Repeated rows are documents of their own: their

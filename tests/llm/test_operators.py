@@ -378,6 +378,27 @@ def test_proximity(spark):
     assert got == {1: (0, 1), 2: (0, 1), 3: (0, 0)}
 
 
+def test_proximity_of_changed_copies(spark):
+    phrase = "alpha beta gamma delta epsilon zeta"
+    texts = {
+        1: phrase,
+        2: "alpha beta other delta epsilon zeta",  # a word replaced
+        3: "alpha beta gamma delta epsilon more zeta",  # a word put in outside the anchors
+        4: f"{phrase} and alpha beta other delta epsilon zeta",
+        5: "beta gamma delta epsilon zeta",  # cut off at the start of the text
+        6: "nothing of it",
+    }
+    docs = spark.createDataFrame(list(texts.items()), DOCS)
+    items = spark.createDataFrame([(1, phrase), (2, "unheld " + phrase)], "item_id bigint, text string")
+    got = {r["id"]: (r["n_hit"], r["n_near"]) for r in decontaminate.decontaminate(docs, items, width=7).collect()}
+    # the rarest words are gamma and alpha; the item with a word that no text holds is near where the other stands
+    assert got == {1: (6, 1), 2: (0, 0), 3: (0, 2), 4: (6, 1), 5: (0, 0), 6: (0, 0)}
+    docs = spark.createDataFrame([(1, "alpha x zeta beta"), (2, "alpha x y zeta"), (3, "beta q"), (4, "x y q q q")], DOCS)
+    items = spark.createDataFrame([(1, "alpha x zeta q"), (2, "alpha x zeta unheld")], "item_id bigint, text string")
+    got = {r["id"]: (r["n_hit"], r["n_near"]) for r in decontaminate.decontaminate(docs, items).collect()}
+    assert got == {1: (0, 2), 2: (0, 2), 3: (0, 0), 4: (0, 0)}
+
+
 def test_decontaminate_odd(spark, odd, empty):
     items = spark.createDataFrame([(1, "one"), (2, None)], "item_id bigint, text string")
     got = decontaminate.decontaminate(odd, items)

@@ -6,8 +6,10 @@
 3. Each window is anchored at its rarest words (two different offsets). A second pass stores the postings (word,
    document, position) of the anchor words in the shared folder: the index.
 4. The lists of a window's two anchors, the second moved back by their distance, are intersected: equal places are
-   candidates for an exact phrase, places that differ by at most ``slop`` are proximity matches.
-5. A pass over the documents with candidates compares every word of the window, so phrase matches are exact.
+   candidates for an exact phrase, places that differ by at most ``slop`` are proximity matches. A window with a word
+   that no document holds cannot occur as a phrase: its places are all proximity matches.
+5. A pass over the documents with candidates compares every word of the window, so phrase matches are exact; a candidate
+   with other words between or beside its anchors is a proximity match.
 
 A frequent word is looked up only where a window has no two rarer ones. Benchmark tables are broadcast only after a
 check of their size; else the same joins shuffle, and adaptive execution splits hot words.
@@ -81,21 +83,24 @@ def matches(
 ) -> tuple[DataFrame, DataFrame]:
     """(candidates, windows): candidates (ka, kb, window_id, start, near) with ``near`` null for equal offsets.
 
-    Candidates with ``near`` null still have to be compared word by word; see :func:`decontaminate`. The others are the
-    proximity matches: the two rarest words of a window at a distance that differs by 1 to ``slop``.
+    Candidates with ``near`` null still have to be compared word by word; see :func:`decontaminate`. The others are
+    proximity matches: the two rarest words of a window, of those that documents hold, at a distance that differs by up
+    to ``slop``; 0 only for windows that cannot occur as a whole.
     """
     rows = docs.select(*key_columns(F.col(id), F.col(text)), F.col(text).alias("text"))
     found = keep(windows(items, width, item_id, item_text), "windows")
     phrases = found.select("window_id", "phrase").distinct()
     parts = phrases.select("window_id", F.posexplode(F.split("phrase", " ")).alias("offset", "word"))
     counts = _tokens(rows, parts.select("word").distinct()).groupBy("word").agg(F.count("*").alias("n"))
-    # a window with a word that no document holds cannot occur: inner join, then all words must be there
+    # a window with a word that no document holds cannot occur as a phrase; its other words may still be near
     rare = Window.partitionBy("window_id").orderBy("n", "word", "offset")
     known = parts.join(counts, "word").withColumn("rank", F.row_number().over(rare))
     whole = known.withColumn("held", F.count("*").over(Window.partitionBy("window_id"))).join(
         phrases.select("window_id", F.size(F.split("phrase", " ")).alias("n_words")), "window_id"
     )
-    ranked = whole.filter("held = n_words and rank <= 2").groupBy("window_id").agg(
+    # one word alone is a phrase or nothing
+    ranked = whole.filter("(held = n_words or held > 1) and rank <= 2").groupBy("window_id").agg(
+        F.first(F.col("held") == F.col("n_words")).alias("whole"),
         *[F.max(F.when(F.col("rank") == r, F.col(c))).alias(f"{c}{r}") for c in ("word", "offset") for r in (1, 2)]
     )
     # windows of one item share their rarest words: the pair at its distance is looked up once for all of them
@@ -119,10 +124,11 @@ def matches(
     gap = F.abs(F.col("at") - F.col("at2"))
     both = left.join(right.withColumn("bin", bin_of(F.col("at2"))), [*place, "bin"]).filter(gap <= slop)
     met = both.select(*place, "at", F.when(gap > 0, gap).cast("int").alias("near")).unionByName(single)
-    starts = met.join(_small(anchors.select("pair", "window_id", "offset1")), "pair").select(
-        "ka", "kb", "window_id", (F.col("at") - F.col("offset1")).alias("start"), "near"
+    starts = met.join(_small(anchors.select("pair", "window_id", "offset1", "whole")), "pair").select(
+        "ka", "kb", "window_id", (F.col("at") - F.col("offset1")).alias("start"),
+        F.when(~F.col("whole"), F.coalesce("near", F.lit(0))).otherwise(F.col("near")).alias("near"),
     )
-    return starts.filter("start >= 0"), found
+    return starts, found
 
 
 def decontaminate(
@@ -139,29 +145,44 @@ def decontaminate(
     """One row per document: id, key (ka, kb), n_words, n_hit, n_items, n_near, items, hits (array of (start, n, phrase)).
 
     ``n_hit`` counts the words inside occurrences, ``items`` are the sorted item ids, ``n_near`` the windows with a
-    proximity match.
+    proximity match: both anchors near their distance, but not the phrase.
     """
     candidates, found = matches(
         docs, items, width=width, slop=slop, id=id, text=text, item_id=item_id, item_text=item_text
     )
     phrases = found.select("window_id", "phrase").distinct()
-    exact = candidates.filter("near is null").select("ka", "kb", "window_id", "start").distinct()
-    exact = exact.join(_small(phrases), "window_id").groupBy("ka", "kb").agg(
-        F.collect_list(F.struct("start", "phrase")).alias("maybe")
+    # per window: is it near anywhere, and the places that have to be compared
+    each = candidates.groupBy("ka", "kb", "window_id").agg(
+        F.max(F.col("near").isNotNull()).alias("sure"), F.collect_set(F.when(F.col("near").isNull(), F.col("start"))).alias("starts")
     )
-    near = candidates.filter("near is not null").groupBy("ka", "kb").agg(F.countDistinct("window_id").alias("n_near"))
-    wanted = keep(exact.join(near, ["ka", "kb"], "full"), "candidates")
+    compared = each.join(_small(phrases), "window_id").groupBy("ka", "kb").agg(
+        F.collect_list(F.when(F.size("starts") > 0, F.struct("starts", "phrase", "sure"))).alias("windows"),
+        F.count_if("sure").alias("n_sure"),
+    )
+    wanted = keep(compared, "candidates")
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), *key_columns(F.col(id), F.col(text)))
     # one plan at every size: the candidates grow with the documents and are not to be broadcast
-    tokens = rows.join(wanted.hint("merge"), ["ka", "kb"], "left").select("id", "ka", "kb", "n_near", "maybe", words(F.col("text")).alias("w"))
+    tokens = rows.join(wanted.hint("merge"), ["ka", "kb"], "left").select("id", "ka", "kb", "n_sure", "windows", words(F.col("text")).alias("w"))
     verified = tokens.select(
         "id", "ka", "kb",
         F.size("w").cast("bigint").alias("n_words"),
-        F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"),
+        "n_sure",
+        F.transform(
+            "windows",
+            lambda x: F.struct(
+                F.filter(x.starts, lambda s: (s >= 0) & (F.array_join(F.slice("w", F.greatest(s, F.lit(0)) + 1, _length(x.phrase)), " ") == x.phrase)).alias("starts"),
+                F.size(x.starts).alias("n"), x.phrase.alias("phrase"), x.sure.alias("sure"),
+            ),
+        ).alias("windows"),
+    )
+    # a candidate that is no phrase is near; a window counts once
+    other = F.size(F.filter("windows", lambda x: ~x.sure & (F.size(x.starts) < x.n)))
+    verified = verified.select(
+        "id", "ka", "kb", "n_words",
+        F.coalesce(F.col("n_sure") + other, F.lit(0)).cast("bigint").alias("n_near"),
         F.array_sort(
-            F.transform(
-                F.filter("maybe", lambda x: F.array_join(F.slice("w", x.start + 1, _length(x.phrase)), " ") == x.phrase),
-                lambda x: F.struct(x.start.alias("start"), _length(x.phrase).alias("n"), x.phrase.alias("phrase")),
+            F.flatten(
+                F.transform("windows", lambda x: F.transform(x.starts, lambda s: F.struct(s.alias("start"), _length(x.phrase).alias("n"), x.phrase.alias("phrase"))))
             )
         ).alias("hits"),
     )

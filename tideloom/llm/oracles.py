@@ -29,3 +29,28 @@ both_ways AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
 walk AS (SELECT r, r AS o FROM d UNION SELECT walk.r, y FROM walk JOIN both_ways ON o = x)
 SELECT d.doc_id, min(other.doc_id) AS class_id, count(*) AS class_size
 FROM d JOIN walk USING (r) JOIN d other ON other.r = walk.o GROUP BY d.r, d.doc_id"""
+
+# Terms of the source divergence: runs of ASCII letters (lower-cased) and code points from U+0080.
+TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+SOURCE_DIVERGENCE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {TERMS} AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+o AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS m FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+l AS (SELECT lang, count(*) AS v, sum(m) AS whole FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM o GROUP BY lang, source, term),
+every AS (SELECT g.lang, g.source, k.term, m, coalesce(n, 0) AS n FROM g JOIN k ON g.lang = k.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+t AS (SELECT lang, source, sum(n) AS total FROM every GROUP BY lang, source),
+p AS (SELECT e.lang, e.source, e.term, e.n,
+    1 + (CAST(1000000000 AS HUGEINT) * (e.n + 2)) // (t.total + 2 * l.v) AS p, 1 + (CAST(1000000000 AS HUGEINT) * (e.m + 2)) // (l.whole + 2 * l.v) AS q
+  FROM every e JOIN t ON t.lang = e.lang AND t.source = e.source JOIN l ON l.lang = e.lang),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideloom.llm import (
     decontaminate,
+    divergence,
     language,
     licenses,
     line_dedup,
@@ -121,3 +122,8 @@ def op5(spark, folder):
 def op10(spark, folder):
     found = suffix_dedup.repeated_substrings(table(spark, folder, "documents").select("doc_id", "text"), 400)
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
+@query("op11_source_divergence", oracles.SOURCE_DIVERGENCE)
+def op11(spark, folder):
+    return divergence.audit(table(spark, folder, "documents").select("lang", "source", "text"))

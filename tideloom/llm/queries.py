@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideloom.llm import (
+    alignment,
     decontaminate,
     divergence,
     language,
@@ -127,3 +128,9 @@ def op10(spark, folder):
 @query("op11_source_divergence", oracles.SOURCE_DIVERGENCE)
 def op11(spark, folder):
     return divergence.audit(table(spark, folder, "documents").select("lang", "source", "text"))
+
+
+@query("op12_token_alignment")
+def op12(spark, folder):
+    files = alignment.load(f"{token_counts.TOKENIZERS}/byte_bpe_50k.json", f"{token_counts.TOKENIZERS}/piece_bpe_32k.model")
+    return alignment.align_documents(table(spark, folder, "documents").select("doc_id", "text"), files)

@@ -21,6 +21,7 @@ from tideloom.llm import (
     secrets,
     suffix_dedup,
     token_counts,
+    toxicity,
 )
 from tideloom.llm.common import table
 
@@ -134,3 +135,13 @@ def op11(spark, folder):
 def op12(spark, folder):
     files = alignment.load(f"{token_counts.TOKENIZERS}/byte_bpe_50k.json", f"{token_counts.TOKENIZERS}/piece_bpe_32k.model")
     return alignment.align_documents(table(spark, folder, "documents").select("doc_id", "text"), files)
+
+
+@query("op13_toxicity")
+def op13(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.learn(docs, table(spark, folder, "labels")))
+    spans = F.array_join(F.transform("toxicity.spans", lambda x: F.concat_ws(":", x.start, x.end)), ",")
+    return scored.select(
+        "row.doc_id", toxicity.held_out(F.col("row.doc_id")).alias("held_out"), "toxicity.score", "toxicity.predicted", spans.alias("spans")
+    )

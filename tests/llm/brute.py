@@ -30,15 +30,15 @@ def repeated(texts: list[str | None], length: int):
     return out
 
 
-def repeated_lines(texts: list[str], least: int = 2) -> list[set[int]]:
-    """Per text the lines in any run of ``least`` lines or more that stood before, in this text or an earlier one."""
+def repeated_lines(texts: list[str], least: int = 2, content: int = 0) -> list[set[int]]:
+    """Per text the lines in any run of ``least`` lines and ``content`` letters or digits that stood before, here or earlier."""
     seen, out = set(), []
     for text in texts:
         lines, gone = text.split("\n"), set()
         for start in range(len(lines)):
             for end in range(start + least, len(lines) + 1):
                 run = tuple(lines[start:end])
-                if run in seen:
+                if run in seen and sum(c.isalnum() for line in run for c in line) >= content:
                     gone |= set(range(start, end))
                 seen.add(run)
         out.append(gone)

@@ -15,7 +15,7 @@ WHITE = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 # Text that one step of a vectorised task takes at a time.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def key_columns(*columns: Column) -> list[Column]:

@@ -113,27 +113,31 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def _verify(batches, similarity: float):
-    """(a, b, text_a, text_b), sorted by a -> the pairs at ``similarity`` or above."""
-    shingler, last, kept = Shingler(), None, None
+    """(a, part, b, text) sorted by (a, part, b), first the text of ``a`` itself (b is null) -> the pairs at ``similarity``."""
+    shingler, kept = Shingler(), None
     split = lambda o, s, w, n: [(s[x:y], w[x:y]) for x, y in zip(*np.searchsorted(o, [range(n), range(1, n + 1)]))]
     for batch in batches:
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        texts = batch.column(3).cast(pa.binary())
-        good = np.zeros(len(a), bool)
+        b, texts = batch.column("b"), batch.column("text").cast(pa.binary())
+        good = np.zeros(len(b), bool)
         for start, end in steps([len(t.as_buffer()) for t in texts]):
             n = end - start
             for k, mine in enumerate(split(*shingler.multisets([t.as_py() for t in texts.slice(start, n)]), n), start):
-                if a[k] != last:
-                    last, kept = a[k], split(*shingler.multisets([batch.column(2)[k].as_py().encode()]), 1)[0]
-                both, union = overlap(kept, mine)
-                good[k] = union > 0 and both >= similarity * union - 1e-9
+                if not b[k].is_valid:
+                    kept = mine
+                else:
+                    both, union = overlap(kept, mine)
+                    good[k] = union > 0 and both >= similarity * union - 1e-9
         yield batch.select(["a", "b"]).filter(pa.array(good))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
+    """The text of ``a`` goes once to each part of its pairs (:data:`BLOCK` at most), the text of ``b`` to each of its pairs."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", F.pmod(F.hash("b"), F.col("parts")).alias("part"), "b")
+    first = dealt.select("a", "part").distinct().select("a", "part", F.lit(None).cast("binary").alias("b"), F.col("a").alias("node"))
+    asked = first.unionByName(dealt.withColumn("node", F.col("b")))
+    rows = texts.join(asked, "node").select("a", "part", "b", "text")
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "b")
     return rows.mapInArrow(lambda batches: _verify(batches, similarity), "a binary, b binary")
 
 
@@ -174,8 +178,8 @@ def _compare(rows: pa.RecordBatch, cuts: np.ndarray):
 
 def links(docs: DataFrame, similarity: float) -> DataFrame:
     """Verified pairs (a, b) from rows (node, text), enough of them to connect whatever shares a bucket and is similar."""
-    sketched = docs.filter("text is not null").mapInArrow(_sketch, SKETCH)
-    sketches = keep(sketched.dropDuplicates(["node"]), "sketches")
+    texts = keep(docs.filter("text is not null").dropDuplicates(["node"]), "texts")
+    sketches = keep(texts.mapInArrow(_sketch, SKETCH), "sketches")
     buckets = sketches.select("node", F.posexplode("bands").alias("band", "bucket"))
     crowded = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = keep(buckets.join(crowded, "bucket"), "members")
@@ -189,8 +193,6 @@ def links(docs: DataFrame, similarity: float) -> DataFrame:
     )
     pairs = members.join(leaders, "bucket").select(F.explode("leaders").alias("a"), F.col("node").alias("b")).filter("a <> b")
     pairs = keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    wanted = members.select("node").distinct()
-    texts = keep(docs.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
     stars = keep(_verified(pairs, texts, similarity), "links")
     rest = _between_classes(members, components(stars), sketches)
     return stars.unionByName(keep(_verified(rest, texts, similarity), "links"))

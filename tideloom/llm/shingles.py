@@ -11,6 +11,9 @@ for _b in [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]:
 for _b in range(0x41, 0x5B):
     _MAPPED[_b] = _b + 32
 
+#: Bytes that are hashed at a time: sixty bytes of memory for each.
+BLOCK = 512 << 10
+
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -43,8 +46,22 @@ class Shingler:
             self.inverses = np.multiply.accumulate(steps)
 
     def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(text number, hash) of every word, in order."""
-        data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        """(text number, hash) of every word, in order. Works in blocks, however long a text is."""
+        data = b" ".join(texts) + b" "
+        ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+        found, start = [], 0
+        while start < len(data):
+            stop = min(start + BLOCK, len(data))
+            while _MAPPED[data[stop - 1]]:
+                stop += 1
+            at, hashes = self._block(np.frombuffer(data, np.uint8, stop - start, start))
+            found.append((np.searchsorted(ends, at + start, side="right"), hashes))
+            start = stop
+        number, hashes = zip(*found) if found else ([np.zeros(0, np.int64)], [np.zeros(0, np.uint64)])
+        return np.concatenate(number), np.concatenate(hashes)
+
+    def _block(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first byte, hash) of every word."""
         mapped = _MAPPED[data]
         inside = mapped > 0
         edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
@@ -53,9 +70,7 @@ class Shingler:
         mapped *= self.powers[: len(data)]
         total = np.cumsum(mapped)
         before = np.where(starts > 0, total[starts - 1], np.uint64(0))
-        hashes = mix((total[ends - 1] - before) * self.inverses[starts])
-        sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-        return np.searchsorted(np.cumsum(sizes), starts, side="right"), hashes
+        return starts, mix((total[ends - 1] - before) * self.inverses[starts])
 
     def shingles(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(text number, hash) of every shingle, sorted by text number."""

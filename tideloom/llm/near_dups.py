@@ -33,6 +33,8 @@ from tideloom.llm.shingles import Shingler, mix
 
 SLOTS, ROWS, BANDS = 512, 4, 20
 BLOCK = 256
+#: Nodes (16 bytes each) that a task remembers so as to sketch equal texts once.
+REMEMBERED = 100_000
 #: Slots in which two nodes of a bucket must agree before their texts are compared: 4 deviations below 0.8.
 AGREE = 373
 
@@ -82,9 +84,23 @@ def bag_min_hash(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n:
 SKETCH = "node binary, bands array<bigint>, signature binary"
 
 
+def _first_seen(nodes: pa.Array, seen: set) -> pa.Array:
+    """Rows whose node is not in ``seen`` (which then holds it); the set starts anew when it is full."""
+    rows = []
+    for i, node in enumerate(nodes.to_pylist()):
+        if node not in seen:
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            seen.add(node)
+            rows.append(i)
+    return pa.array(rows, pa.int64())
+
+
 def _sketch(batches):
-    shingler = Shingler()
+    """(node, text) -> sketches; copies that a task meets again are left out, those of other tasks are merged later."""
+    shingler, seen = Shingler(), set()
     for batch in batches:
+        batch = batch.take(_first_seen(batch.column(0), seen))
         nodes, texts = batch.column(0), batch.column(1).cast(pa.binary())
         for start, end in steps([len(t.as_buffer()) for t in texts]):
             some = [t.as_py() for t in texts.slice(start, end - start)]
@@ -178,8 +194,8 @@ def _compare(rows: pa.RecordBatch, cuts: np.ndarray):
 
 def links(docs: DataFrame, similarity: float) -> DataFrame:
     """Verified pairs (a, b) from rows (node, text), enough of them to connect whatever shares a bucket and is similar."""
-    texts = keep(docs.filter("text is not null").dropDuplicates(["node"]), "texts")
-    sketches = keep(texts.mapInArrow(_sketch, SKETCH), "sketches")
+    given = docs.filter("text is not null")
+    sketches = keep(given.mapInArrow(_sketch, SKETCH).dropDuplicates(["node"]), "sketches")
     buckets = sketches.select("node", F.posexplode("bands").alias("band", "bucket"))
     crowded = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = keep(buckets.join(crowded, "bucket"), "members")
@@ -193,6 +209,8 @@ def links(docs: DataFrame, similarity: float) -> DataFrame:
     )
     pairs = members.join(leaders, "bucket").select(F.explode("leaders").alias("a"), F.col("node").alias("b")).filter("a <> b")
     pairs = keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    wanted = members.select("node").distinct()
+    texts = keep(given.dropDuplicates(["node"]).join(wanted, "node", "left_semi"), "texts")
     stars = keep(_verified(pairs, texts, similarity), "links")
     rest = _between_classes(members, components(stars), sketches)
     return stars.unionByName(keep(_verified(rest, texts, similarity), "links"))

@@ -12,6 +12,9 @@ gives each of its distinct pairs once, with its number of links, and each text t
 summed by Spark, the sums go back to the chunks that asked for them, and each chunk is put together with its texts. So not
 every link is shuffled, no count is broadcast, and a pair that all texts share is one row per chunk.
 
+Side A is encoded by the vocabulary's own library where a text has letters beyond Latin or very long words, else by a faster
+encoder with the same entries and the same split; both give the same ids.
+
 Defined cases: a null or empty text, and one whose tokens do not give back its bytes on either side, has no tokens: zeros and
 ''. Repeated rows count as often as they stand. A text of more than ``CUT`` bytes is cut where a space stands between two
 small ASCII letters, if no piece of side B has a space after another character: there both sides begin a token whatever
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 
 import numpy as np
@@ -33,14 +37,19 @@ from pyspark.sql import functions as F
 
 from tideloom.llm.common import keep
 
-CHUNK = 2 << 20
+CHUNK = 512 << 10
 CUT = 256 << 10
 
 # The characters that byte-level vocabularies write for bytes; all other bytes follow from U+0100 on.
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTES = {chr(b): b for b in _PLAIN} | {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in set(_PLAIN))}
 
+# How byte-level vocabularies of this kind split texts before they merge bytes.
+PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 _BREAK = re.compile(r"[a-z](?= [a-z])")
+#: Letters whose classes no library's tables differ in, and words of a usual length: such texts take the faster encoder.
+_UNUSUAL = re.compile(r"[^\x00-\u024f]|[^\s]{2000}")
 
 
 def load(byte_level: str, pieces: str) -> tuple[bytes, bytes]:
@@ -53,18 +62,22 @@ class Tokenizers:
     """Both tokenizers of a task, and the bytes of every id."""
 
     def __init__(self, files: tuple[bytes, bytes]):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is all there is
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_buffer(files[0])
         self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=files[1])
         named = json.loads(files[0])
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=files[1])
         special = {t["id"]: t["content"].encode() for t in named["added_tokens"]}
         entries = named["model"]["vocab"]
         self.bytes_a = [b""] * (1 + max([*entries.values(), *special]))
         for entry, i in entries.items():
             self.bytes_a[i] = special.get(i) or bytes(_BYTES[c] for c in entry)
+        plain = {x: i for i, x in enumerate(self.bytes_a) if i not in special}
+        self.fast = tiktoken.Encoding("a", pat_str=PRE_TOKENS, mergeable_ranks=plain, special_tokens={})
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.sizes = [np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b)]
         inner = re.compile("[^▁]▁")
@@ -91,14 +104,16 @@ class Tokenizers:
 
     def encode(self, parts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """(ids of A, ids of B) of every part; None where the tokens do not give back its bytes."""
-        encode = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
-        side_a = [x.ids for x in encode([" " + p for p in parts], add_special_tokens=False)]
-        side_b = self.b.encode(parts, num_threads=1)
         out = []
-        for part, a, b in zip(parts, side_a, side_b):
-            whole = b" " + part.encode()
+        for part in parts:
+            spaced = " " + part
+            if _UNUSUAL.search(part):
+                a = self.a.encode(spaced, add_special_tokens=False).ids
+            else:
+                a = self.fast.encode_ordinary(spaced)
+            b, whole = self.b.encode(part, num_threads=1), spaced.encode()
             same = b"".join([self.bytes_a[i] for i in a]) == whole and b"".join([self.bytes_b[i] for i in b]) == whole
-            out.append((np.array(a, np.int64), np.array(b, np.int64)) if same else None)
+            out.append((np.array(a, np.int32), np.array(b, np.int32)) if same else None)
         return out
 
 
@@ -116,14 +131,23 @@ def align(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
     Ends are strictly increasing and both sides end at the same byte. Labels grow with the place.
     """
-    holds_a = np.searchsorted(ends_a, ends_b)  # the A token with the last byte of each B token
-    holds_b = np.searchsorted(ends_b, ends_a)
-    n = len(ends_a)
-    here = np.arange(len(ends_b)) + n
-    successor = np.concatenate([holds_b + n, np.where(ends_a[holds_a] == ends_b, here, holds_a)])
+    size, n = int(ends_a[-1]), len(ends_a)
+    is_a, is_b = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
+    is_a[ends_a], is_b[ends_b] = True, True
+    # the token that holds each byte
+    token_a, token_b = np.cumsum(is_a, dtype=np.int32), np.cumsum(is_b, dtype=np.int32)
+    both = is_a[ends_b]
+    successor = np.concatenate([token_b[ends_a - 1] + n, np.where(both, np.arange(len(ends_b)) + n, token_a[ends_b - 1])])
     last = doubled(successor)
-    cuts = np.union1d(ends_a, ends_b)
-    return last[:n], last[n:], np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
+    before = np.flatnonzero(is_a | is_b) - 1
+    return last[:n], last[n:], token_a[before], token_b[before]
+
+
+def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values in order of their first place, place of each value among them, how often each)."""
+    coded = pa.array(values).dictionary_encode()
+    places = coded.indices.to_numpy()
+    return coded.dictionary.to_numpy(), places, np.bincount(places, minlength=len(coded.dictionary))
 
 
 class _Chunk(list):
@@ -132,7 +156,7 @@ class _Chunk(list):
     size = 0
 
 
-# Numbers of a group's tokens are followed by "," (same side), "|" (the other side comes) or ";" (the next group).
+# Numbers of a group's tokens are followed by ",", the last of A by "|", the last of B by ";".
 _MARKS = (",", "|", ";")
 
 
@@ -151,20 +175,22 @@ class _Aligner:
         label_a, label_b, link_a, link_b = align(ends_a, ends_b)
         terminal = np.flatnonzero(label_b == np.arange(len(a), len(a) + len(b)))
         n_groups = np.diff(np.searchsorted(terminal, stop_b), prepend=0)
-        # tokens in the order group, side, place
-        ids, side, label = np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), np.concatenate([label_a, label_b])
-        order = np.argsort(2 * label + side, kind="stable")
-        ids, side, label = ids[order], side[order], label[order]
-        mark = np.full(len(ids), 2)
-        mark[:-1] = np.where(label[1:] != label[:-1], 2, np.where(side[1:] != side[:-1], 1, 0))
-        words, stops = self.words[3 * ids + mark], stop_a + stop_b
+        # a group's tokens of A, then its tokens of B
+        group_a, group_b = np.searchsorted(terminal + len(a), label_a), np.searchsorted(terminal + len(a), label_b)
+        many_a, many_b = np.bincount(group_a), np.bincount(group_b)
+        code = np.empty(len(a) + len(b), np.int64)
+        at_a = np.arange(len(a)) + (np.cumsum(many_b) - many_b)[group_a]
+        at_b = np.arange(len(b)) + np.cumsum(many_a)[group_b]
+        code[at_a], code[at_b] = 3 * a.astype(np.int64), 3 * b.astype(np.int64)
+        code[at_a[np.cumsum(many_a) - 1]] += 1
+        code[at_b[np.cumsum(many_b) - 1]] += 2
+        words, stops = self.words[code], stop_a + stop_b
         texts = ["".join(words[x:y]) for x, y in zip([0, *stops[:-1]], stops)]
         # distinct pairs of the chunk, and of each part
-        pairs, place, often = np.unique((a[link_a] << 32) | b[link_b], return_inverse=True, return_counts=True)
-        stops = np.searchsorted(link_a, stop_a)
-        n_links = np.diff(stops, prepend=0)
-        mine, times = np.unique(np.repeat(np.arange(len(chunk)), n_links) * len(pairs) + place, return_counts=True)
-        edges = np.searchsorted(mine, np.arange(len(chunk) + 1) * len(pairs))
+        pairs, place, often = _counted((a[link_a].astype(np.int64) << 32) | b[link_b])
+        n_links = np.diff(np.searchsorted(link_a, stop_a), prepend=0)
+        mine, _, times = _counted(np.repeat(np.arange(len(chunk)), n_links) * len(pairs) + place)
+        edges = np.searchsorted(mine // len(pairs), np.arange(len(chunk) + 1))
         parts = [
             (n_a[i], n_b[i], int(n_groups[i]), int(n_links[i]), texts[i], mine[x:y] - i * len(pairs), times[x:y])
             for i, (x, y) in enumerate(zip(edges[:-1], edges[1:]))

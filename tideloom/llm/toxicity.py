@@ -12,11 +12,11 @@ without a cue are left out. The field is trained on a bounded sample of these se
 with the least hash) by its exact gradient, the difference of observed and expected features from forward-backward.
 
 A document's score comes from the marginals of all its tokens: the expected number of toxic tokens, the largest marginal and
-the chance that no token is toxic, in a logistic function fitted on at most ``CALIBRATION`` labelled texts. Offending spans
-are runs of tokens of a sequence with a marginal of at least one half, as code points of the text.
+the chance that no token is toxic, in a logistic function fitted on the labelled texts. Offending spans are runs of tokens
+of a sequence with a marginal of at least one half, as code points of the text.
 
-Everything but the two samples covers all rows; the model is a table of weights of fixed size. Labels, languages, sources
-and ids are no inputs of a score.
+The model is learned from the texts of at most ``ROWS`` labelled ids and is a table of weights of fixed size; every row is
+scored. Labels, languages, sources and ids are no inputs of a score.
 
 Defined cases: a null or empty text, and one without letters, has no tokens and gets the score of a text without any toxic
 token. An id with two different labels, and equal texts with different labels, teach nothing. Null ids or labels teach
@@ -38,14 +38,14 @@ from pyspark.sql import functions as F
 from tideloom.llm.common import arrow_function, keep, steps
 from tideloom.llm.divergence import LETTERS
 from tideloom.llm.shingles import mix
-from tideloom.operators.joins import broadcast_if_small
 
 BITS = 18
 CELLS = 1 << BITS
 LONGEST = 64
 PIECE = 1 << 20
 SUPPORT, PRECISION, CHANCE = 0.01, 0.8, 15.0
-SEQUENCES, CALIBRATION = 5_000, 20_000
+#: Labelled ids that are learned from, and training sequences of each kind.
+ROWS, SEQUENCES = 20_000, 5_000
 ROUNDS, RATE, DECAY = 80, 0.1, 0.02
 
 PREFIXES, SUFFIXES = (4, 5, 6, 7, 8), (3, 4, 5, 6)
@@ -370,15 +370,16 @@ def held_out(id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str) -> DataFrame:
-    """(toxic, text, key): rows to learn from, each text once."""
-    given = labels.filter(F.col(label).isin(0, 1) & F.col(id).isNotNull()).groupBy(F.col(id).alias("id"))
+def labelled(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, rows: int = ROWS) -> DataFrame:
+    """(toxic, text, key): the texts to learn from, those of at most ``rows`` labelled ids (with the least hashes), each once."""
+    given = labels.filter(F.col(label).isin(0, 1) & ~held_out(F.col(id))).groupBy(F.col(id).alias("id"))
     given = given.agg(F.min(label).alias("toxic"), F.max(label).alias("most")).filter("toxic = most").select("id", "toxic")
-    rows = docs.filter(~held_out(F.col(id)) & (F.col(text) != "")).select(F.col(id).alias("id"), F.col(text).alias("text"))
-    rows = rows.join(broadcast_if_small(given), "id").select("id", "toxic", "text", F.xxhash64("text").alias("key"))
-    once = rows.groupBy("key").agg(F.min("id").alias("id"), F.min("toxic").alias("toxic"), F.max("toxic").alias("most"))
-    once = keep(once.filter("toxic = most").select("key", "id"), "labelled")
-    return rows.join(broadcast_if_small(once), ["key", "id"]).select("toxic", "text", "key")
+    given = given.orderBy(F.xxhash64("id"), "id").limit(rows)
+    texts = docs.filter(F.col(text) != "").select(F.col(id).alias("id"), F.col(text).alias("text"))
+    # the broadcast side has at most ``rows`` ids
+    found = keep(texts.join(F.broadcast(given), "id").select("toxic", "text", F.xxhash64("text").alias("key")), "labelled")
+    once = found.groupBy("key").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"), F.min("text").alias("text"))
+    return once.filter("toxic = most").select("toxic", "text", "key")
 
 
 def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Field:
@@ -408,7 +409,7 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     if not len(cues) or not some:
         return nothing
     field = Field(*train([(np.frombuffer(r["tags"], bool), np.frombuffer(r["cells"], np.int32).reshape(-1, width)) for r in some]), cues, nothing.logistic)
-    part = rows.orderBy("key").limit(CALIBRATION).select("toxic", measure(field, "text").alias("m"))
+    part = rows.select("toxic", measure(field, "text").alias("m"))
     seen = part.select("toxic", "m.expected", "m.most", "m.clear").toPandas()
     x = np.column_stack(_inputs(*[seen[c].to_numpy(float) for c in ("expected", "most", "clear")]))
     field.logistic = fit_logistic(x, seen["toxic"].to_numpy(float))

@@ -22,7 +22,7 @@ def split(spark, data, tmp_path_factory):
 @pytest.mark.parametrize("name", [
     "stream_watermark_count", "stream_watermark_hook", "stream_timer", "stream_early_panes", "stream_ttl_join",
     "stream_session_count", "task_process", "eos_flush", "stream_table_live", "stream_table_join",
-    "stream_interval_join",
+    "stream_interval_join", "stream_user_timers", "stream_watermark_function",
 ])
 def test_many_batches_equal_one(spark, data, split, name, monkeypatch):
     one = checking.spark_rows(getattr(Q, name)(spark, data))
@@ -143,7 +143,7 @@ def test_only_touched_buckets_are_replaced(spark, tmp_path):
     assert t.read(2).count() == 100 - kept.count()
 
 
-@pytest.mark.parametrize("name", ["stream_ttl_join", "stream_table_join", "stream_table_live", "stream_early_panes", "stream_timer", "stream_watermark_count"])
+@pytest.mark.parametrize("name", ["stream_ttl_join", "stream_table_join", "stream_table_live", "stream_early_panes", "stream_timer", "stream_user_timers", "stream_watermark_function", "stream_watermark_count"])
 def test_no_input_yet_gives_an_empty_table(spark, data, tmp_path, name, monkeypatch):
     schema = table(spark, data, "events").schema
     (tmp_path / "none").mkdir()
@@ -189,3 +189,59 @@ def test_messages_of_closed_windows_come_out_late(spark, tmp_path):
         ).collect()
         found = sorted((r["firing_type"], r["s"]) for r in got)
         assert found == [("DEFAULT", 1), ("DEFAULT", 10), ("LATE", 4)]
+
+
+def test_timers_are_rescheduled_deleted_and_fire_by_the_watermark(spark, tmp_path):
+    import datetime as D
+
+    from tideloom.streaming.runs import run_to_table
+    from tideloom.streaming.timers import with_timers
+
+    at = lambda s: D.datetime(2024, 1, 1) + D.timedelta(seconds=s)
+    big = 2**60 + 1
+    rows = [
+        ("a", at(5), 2, "set", 20), ("a", at(1), big, "set", 9), ("a", at(2), None, "drop", None), ("a", at(6), 4, "set", 30),
+        ("b", at(3), 5, "set", 4), ("b", at(7), 6, "note", None), ("b", at(50), 7, "set", 55), (None, at(2), 8, "set", 3),
+        ("c", at(90), 9, "set", 1), ("d", None, 10, "set", 1), ("b", at(4), big, "note", None),
+    ]
+    schema = "k string, ts timestamp, id bigint, kind string, due bigint"
+    for i, part in enumerate((rows[:5], rows[5:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"n={i}"))
+    base = int(at(0).replace(tzinfo=D.timezone.utc).timestamp() * 1000)
+
+    def message(context, row):
+        context.state = (context.state or []) + [row["id"]]
+        if row["kind"] == "set":
+            context.schedule("t", base + row["due"] * 1000)
+        elif row["kind"] == "drop":
+            context.delete("t")
+
+    def timer(context, name, due):
+        context.emit(context.key, name, (due - base) // 1000, str(context.state))
+
+    for limit in ({}, {"maxFilesPerTrigger": 1}):
+        stream = spark.readStream.schema(schema).options(**limit).parquet(str(tmp_path / "in" / "*"))
+        fired = with_timers(stream, "k", "ts", ["id"], "60 seconds", message, timer, "k string, name string, due bigint, seen string")
+        got = sorted(map(tuple, run_to_table(fired, "timers").collect()))
+        # the watermark ends at 90 - 60 s; a timer at 30 has not been passed, one at 4 comes before the message at 4
+        assert got == [("b", "t", 4, "[5]")]
+
+
+def test_an_output_watermark_never_goes_back(spark, tmp_path):
+    from tideloom.streaming.runs import run_to_table
+    from tideloom.streaming.timers import with_watermark
+
+    schema = "k string, ts timestamp, id bigint"
+    spark.sql("SELECT 'a' AS k, timestamp_seconds(id * 10) AS ts, id FROM range(30)").coalesce(1).write.parquet(str(tmp_path / "in"))
+    told = []
+
+    def watermark(context, mark):
+        context.emit(context.key, mark)
+        return mark - 5_000 if mark % 120_000 else mark - 100_000
+
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    out = with_watermark(stream, "k", "ts", ["id"], "10 seconds", "1 minute", lambda c, m: None, watermark, "k string, mark bigint")
+    rows = run_to_table(out, "marks").collect()
+    assert sorted(r["mark"] for r in rows if r["mark"] is not None) == [60_000, 120_000, 180_000, 240_000]
+    told = sorted(r["_mark"].timestamp() for r in rows if r["mark"] is None)
+    assert told == [55.0, 175.0]

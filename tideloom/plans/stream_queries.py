@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideloom.functions.times import millis
 from tideloom.operators.aggregates import cents
 from tideloom.operators.panes import Count, Repeat, SinceFirst
 from tideloom.plans import join_queries  # noqa: F401  (its SQL is used here)
@@ -16,8 +17,9 @@ from tideloom.session import shared_folder, table
 from tideloom.sources.streams import live
 from tideloom.streaming import stateful as SF
 from tideloom.streaming import tables as ST
+from tideloom.streaming import timers as TM
 from tideloom.streaming import windows as SW
-from tideloom.streaming.runs import run, run_to_table
+from tideloom.streaming.runs import hand_over, run, run_to_table
 
 DELAY, DELAY_MS = "10 minutes", 600_000
 MARK = f"(SELECT max(epoch_us(ts) // 1000) - {DELAY_MS} FROM events)"
@@ -89,6 +91,85 @@ def stream_timer(spark, sf):
     )
 
 
+def remind(context, message):
+    """A view asks for a reminder in an hour, a purchase calls it off."""
+    if message["event_type"] == "view":
+        context.state = [message["event_id"], 0]
+        context.schedule("reminder", context.now + HOUR)
+    elif message["event_type"] == "purchase":
+        context.delete("reminder")
+
+
+def reminded(context, name, due):
+    """Up to three reminders, an hour apart."""
+    armed_by, before = context.state
+    context.emit(context.key, armed_by, before + 1, due)
+    context.state = [armed_by, before + 1]
+    if before + 1 < 3:
+        context.schedule(name, due + HOUR)
+
+
+@query("stream_user_timers", f"""
+SELECT user_id, event_id AS armed_by, nth, ms + nth * {HOUR} AS due_ms FROM (
+  SELECT *, lead(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS next_ms FROM {EV} WHERE event_type IN ('view', 'purchase')) v,
+  (SELECT unnest([1, 2, 3])::BIGINT AS nth) t
+WHERE event_type = 'view' AND (next_ms IS NULL OR ms + nth * {HOUR} <= next_ms) AND ms + nth * {HOUR} < {MARK}""")
+def stream_user_timers(spark, sf):
+    """User functions schedule, reschedule and delete timers by key."""
+    events = live_events(spark, sf).select("user_id", "ts", "event_id", "event_type")
+    fired = TM.with_timers(
+        events, "user_id", "ts", ["event_id"], DELAY, remind, reminded, "user_id bigint, armed_by bigint, nth bigint, due_ms bigint"
+    )
+    return run_to_table(fired, "user-timers")
+
+
+def count_message(context, message):
+    """Counts of open hours: {start: messages}."""
+    hours = context.state or {}
+    start = str(message["ms"] - message["ms"] % HOUR)
+    context.state = hours | {start: hours.get(start, 0) + 1}
+
+
+def close_hours(context, mark):
+    """Hours that the watermark has passed come out; the next step may trust hours up to six before the open one."""
+    hours = context.state or {}
+    for start in sorted(h for h in hours if int(h) + HOUR <= mark):
+        context.emit(context.key, int(start), hours[start])
+    context.state = {h: n for h, n in hours.items() if int(h) + HOUR > mark}
+    return mark - 6 * HOUR
+
+
+def add_hour(context, row):
+    day = row["hour_ms"] - row["hour_ms"] % DAY
+    days = context.state or {}
+    busiest, total = days.get(str(day), (0, 0))
+    context.state = days | {str(day): (max(busiest, row["n"]), total + row["n"])}
+    context.schedule(str(day), day + DAY)
+
+
+def close_day(context, name, due):
+    context.emit(context.key, int(name), *context.state[name])
+    context.state = {day: v for day, v in context.state.items() if day != name}
+
+
+@query("stream_watermark_function", f"""
+WITH h AS (SELECT event_type, ms - ms % {HOUR} AS hour_ms, count(*) AS n FROM {EV} GROUP BY ALL),
+w AS (SELECT ({MARK} - 1) // {HOUR} * {HOUR} - {6 * HOUR} AS mark)
+SELECT event_type, hour_ms - hour_ms % {DAY} AS pane_id, max(n) AS busiest, CAST(sum(n) AS BIGINT) AS n FROM h
+WHERE hour_ms - hour_ms % {DAY} + {DAY} < (SELECT mark FROM w) GROUP BY ALL""")
+def stream_watermark_function(spark, sf):
+    """Hours by a user function with a watermark of its own, six hours behind; days of them close by that one."""
+    events = live_events(spark, sf).withColumn("ms", millis("ts")).select("event_type", "ts", "event_id", "ms")
+    hours = TM.with_watermark(
+        events, "event_type", "ts", ["event_id"], DELAY, "1 hour", count_message, close_hours, "event_type string, hour_ms bigint, n bigint"
+    )
+    days = TM.follow(
+        hand_over(hours, "closed-hours").withColumn("hour", F.timestamp_millis("hour_ms")), "event_type", "hour", ["hour_ms"], add_hour, close_day,
+        "event_type string, pane_id bigint, busiest bigint, n bigint",
+    )
+    return run_to_table(days, "watermark-function")
+
+
 @query("stream_early_panes", f"""
 WITH d AS (SELECT *, ms - ms % {DAY} AS pane_id, row_number() OVER (PARTITION BY user_id, ms - ms % {DAY} ORDER BY ms, event_id) AS rn FROM {EV}),
 p AS (SELECT user_id, pane_id, CAST(floor((rn - 1) / 2) AS BIGINT) AS pane_no, count(*) AS n, CAST(sum(cents) AS BIGINT) AS total FROM d GROUP BY ALL)

@@ -47,6 +47,19 @@ def run(
     return written(out, empty if transform is None else transform(empty)), started.lastProgress
 
 
+def hand_over(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Process the available input, and return the output as a live stream for a next step.
+
+    Between the steps is a folder of Spark's file sink, whose log shows a micro-batch's files all at once: the next step takes
+    what one micro-batch gave, watermark and rows, in one micro-batch too.
+    """
+    folder = folder or shared_folder(stream.sparkSession, name)
+    place = f"{folder}/out"
+    writer = stream.writeStream.format("parquet").outputMode("append").option("path", place)
+    writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.readStream.schema(stream.schema).parquet(place)
+
+
 def written(path: str, empty: DataFrame) -> DataFrame:
     """What micro-batches wrote; ``empty`` if there was no input yet."""
     spark = empty.sparkSession

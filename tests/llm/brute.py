@@ -122,3 +122,39 @@ def best_tokens(word: bytes, pieces: dict[bytes, int]) -> int:
         ]
         best.append(max(options))
     return -best[-1][1]
+
+
+def terms(text: str | None) -> list[str]:
+    return re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lower(text))
+
+
+def aligned(rows, tokens) -> list[tuple]:
+    """The alignment of (id, text) rows, comparing every token of one side with every one of the other."""
+    links, docs = Counter(), []
+    for doc_id, text in rows:
+        ranges, ids = [], []
+        for side, encode, content in ((0, lambda t: tokens.a.encode(" " + t, add_special_tokens=False).ids, tokens.bytes_a), (1, tokens.b.encode, tokens.bytes_b)):
+            found = encode(text) if text else []
+            at = [0]
+            for i in found:
+                at.append(at[-1] + len(content[i]))
+            ids.append(found)
+            ranges.append((list(zip(at, at[1:])), b"".join(content[i] for i in found)))
+        if not text or any(joined != b" " + text.encode() for _, joined in ranges):
+            docs.append((doc_id, 0, 0, 0, [], ""))
+            continue
+        (a, _), (b, _) = ranges
+        pairs = [(i, j) for (s, e), i in zip(a, ids[0]) for (x, y), j in zip(b, ids[1]) if s < y and x < e]
+        ends, groups, start = sorted({e for _, e in a} & {e for _, e in b}), [], 0
+        for end in ends:
+            both = [",".join(str(i) for (s, e), i in zip(r, found) if start <= s and e <= end) for r, found in ((a, ids[0]), (b, ids[1]))]
+            groups.append("|".join(both))
+            start = end
+        links.update(pairs)
+        docs.append((doc_id, len(a), len(b), len(ends), pairs, hashlib.sha256(";".join(groups).encode()).hexdigest()))
+    best = defaultdict(int)
+    for (_, b), n in links.items():
+        best[b] = max(best[b], n)
+    return [
+        (i, n_a, n_b, n, len(p), sum(links[x] == best[x[1]] for x in p), sum(links[x] for x in p), sha) for i, n_a, n_b, n, p, sha in docs
+    ]

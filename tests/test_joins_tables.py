@@ -135,3 +135,15 @@ def test_versioned_actions(spark):
     req = spark.createDataFrame([(1, "d", 5), (2, "d", 7), (3, "d", 6), (4, "d", 7), (5, "d", 8), (6, "e", 1)], "seq bigint, doc string, ver bigint")
     got = TB.versioned_actions(req, "doc", "ver", ["seq"], Slicing((3.0, 5.0)))
     assert [r["action"] for r in got.orderBy("seq").collect()] == ["insert", "update", "conflict", "conflict", "update", "insert"]
+
+
+def test_band_join_takes_bands_of_any_length(spark):
+    from tideloom.operators.joins import band_join
+
+    values = spark.range(-500, 1500).select(F.col("id").alias("v"))
+    rows = [(i, i * 7 - 300, i * 7 - 300 + n) for i, n in enumerate([0, 1, 2, 3, 8, 9, 100, 101, 1024, 1025, 5])]
+    rows += [(90, -10**12, 10**12), (91, 1499, 10**9), (92, 5, 5), (93, 9, 3), (94, None, 3)]
+    bands = spark.createDataFrame(rows, "band long, lo long, hi long")
+    got = sorted(map(tuple, band_join(values, bands, "v", "lo", "hi", 4).select("band", "v").collect()))
+    assert got == sorted((b, v) for b, lo, hi in rows if lo is not None for v in range(-500, 1500) if lo <= v < hi)
+    assert band_join(values, bands.limit(0), "v", "lo", "hi", 4).collect() == []

@@ -166,13 +166,20 @@ def interval_join(
 
 
 def band_join(df: DataFrame, bands: DataFrame, value: str, lo: str, hi: str, width: int) -> DataFrame:
-    """Theta join ``lo <= value < hi`` as an equi-join on bins of ``width``, not a nested loop.
+    """Theta join ``lo <= value < hi`` as an equi-join, not a nested loop, whatever the lengths of the bands.
 
-    Each band is listed once for every bin it touches; choose ``width`` near the usual band length.
+    Bins come in levels, each of twice the width of the one below, the lowest of ``width``. A band is listed on the first level
+    whose bins are as long as it is, so in two bins at most; a value is looked up once on every level that has bands. Their
+    numbers, at most 64, are all that comes to the driver. A bin that many values share is split as a skewed partition.
     """
-    binned = df.withColumn("_bin", F.floor(F.col(value) / width))
-    listed = bands.filter(F.col(lo) < F.col(hi)).withColumn(
-        "_band_bin", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor((F.col(hi) - 1) / width)))
-    )
+    levels = F.greatest(F.ceil(F.log2((F.col(hi) - F.col(lo)) / width)), F.lit(0)).cast("int")
+    size = lambda level: F.lit(float(width)) * F.pow(F.lit(2.0), level)
+    placed = bands.filter(F.col(lo) < F.col(hi)).withColumn("_band_level", levels)
+    used = sorted(row[0] for row in placed.select("_band_level").distinct().collect())
+    first, last = (F.floor(F.col(c) / size(F.col("_band_level"))) for c in (lo, hi))
+    listed = placed.withColumn("_band_bin", F.explode(F.sequence(first, last)))
+    probes = df.withColumn("_level", F.explode(F.array(*map(F.lit, used)).cast("array<int>")))
+    probes = probes.withColumn("_bin", F.floor(F.col(value) / size(F.col("_level"))))
     inside = (F.col(value) >= F.col(lo)) & (F.col(value) < F.col(hi))
-    return binned.join(listed, (F.col("_bin") == F.col("_band_bin")) & inside).drop("_bin", "_band_bin")
+    same = (F.col("_level") == F.col("_band_level")) & (F.col("_bin") == F.col("_band_bin"))
+    return probes.join(listed, same & inside).drop("_level", "_bin", "_band_level", "_band_bin")

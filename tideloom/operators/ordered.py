@@ -48,8 +48,8 @@ class Slicing:
         return tagged.withColumn(out, F.coalesce(F.col(out).cast("int"), F.lit(-1))).drop(raw)
 
 
-def plan_slices(df: DataFrame, column: str, rows_per_slice: int | None = None) -> Slicing:
-    """Cut the numeric ``column`` into slices of about ``rows_per_slice`` rows.
+def plan_slices(df: DataFrame, column: str, rows_per_slice: int | None = None, least: int = 1) -> Slicing:
+    """Cut the numeric ``column`` into slices of about ``rows_per_slice`` rows, into ``least`` of them at least.
 
     Takes a row count (parquet footers only, for a plain scan) and, above one slice, one sketch of
     the column. Only the cut points, at most :data:`MAX_SLICES`, come back to the driver.
@@ -57,9 +57,9 @@ def plan_slices(df: DataFrame, column: str, rows_per_slice: int | None = None) -
     if rows_per_slice is None:
         rows_per_slice = int(df.sparkSession.conf.get("spark.tideloom.rowsPerSlice", str(ROWS_PER_SLICE)))
     rows = df.count()
-    if rows <= rows_per_slice:
+    n = min(max(math.ceil(rows / rows_per_slice), min(least, rows)), MAX_SLICES)
+    if n <= 1:
         return Slicing()
-    n = min(math.ceil(rows / rows_per_slice), MAX_SLICES)
     points = df.select(F.col(column).cast("double").alias("x")).approxQuantile(
         "x", [i / n for i in range(1, n)], 0.25 / n
     )

@@ -255,7 +255,8 @@ def late_panes(
     event time that arrived so far minus ``delay``; a message is late if its window had closed by then.
     """
     clocked = df.withColumns({"_ms": millis(ts), "_at": F.col(arrival)})
-    slicing = plan_slices(clocked, "_at") if slicing is None else slicing
+    if slicing is None:  # no key spreads the rows, so there is a slice for every core
+        slicing = plan_slices(clocked, "_at", least=df.sparkSession.sparkContext.defaultParallelism)
     marked = running(clocked, [], ["_at", tie], {"_seen": Running("max", "_ms", before=True)}, slicing)
     placed = marked.withColumn("pane_id", window_start("_ms", size))
     closed = F.col("pane_id") + duration_ms(size) <= F.col("_seen") - duration_ms(delay)

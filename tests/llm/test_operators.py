@@ -655,3 +655,17 @@ def test_repeated_substrings_odd(odd, empty):
     assert got.count() == odd.count()
     assert got.filter("doc_id = 6 and n_removed = 5000 and kept = ''").count() == 1
     assert suffix_dedup.repeated_substrings(empty, 400).collect() == []
+
+
+def test_more_languages_than_one_block_are_told_apart(spark):
+    make = random.Random(9)
+    codes = [f"l{i:03}" for i in range(70)]
+    words = {c: ["".join(make.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for c in codes}
+    text = lambda c, n: " ".join(make.choices(words[c], k=n))
+    docs = spark.createDataFrame([(c, text(c, 60)) for c in codes for _ in range(3)], "lang string, text string")
+    model = language.train(docs)
+    assert model[0] == codes
+    pages = [(c, None, None, None, text(c, 120)) for c in codes]
+    rows = spark.createDataFrame(pages, "page_id string, host string, declared string, suffix string, text string")
+    got = language.identify(rows, model, ["page_id"]).select("page_id", "lang").collect()
+    assert sum(r["page_id"] == r["lang"] for r in got) >= 68

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from tideloom.llm.common import keep, steps
 
-#: Cells of the trigram table, and most languages that one model may have (the table is collected: their product bounds it).
-TABLE, MOST_LANGUAGES = 1 << 15, 64
+#: Cells of the trigram table (128 KB for each language, on the driver and in the tasks), and languages collected at a time.
+TABLE, BLOCK = 1 << 15, 64
 #: Weight of one trigram: neighbours overlap and a page repeats itself, so they are worth less than free evidence.
 TEMPER = 0.05
 #: Strength of the parent in host priors, and of the uniform part in likelihoods.
@@ -62,13 +62,13 @@ def _train(batches):
 def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list[str], np.ndarray]:
     """(languages, table of log probabilities in thousandths), from all rows with a language and a text."""
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    known = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
-    if len(known) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    known = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").collect()]
     counts = rows.mapInArrow(_train, "lang string, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    table = np.zeros((len(known), TABLE))
-    found = counts.toPandas()  # at most MOST_LANGUAGES * TABLE rows
-    table[[known.index(x) for x in found["lang"]], found["cell"]] = found["n"]
+    counts = keep(counts, "trigrams")
+    table, place = np.zeros((len(known), TABLE)), {x: i for i, x in enumerate(known)}
+    for low in range(0, len(known), BLOCK):
+        found = counts.filter(F.col("lang").isin(known[low : low + BLOCK])).toPandas()  # at most BLOCK * TABLE rows
+        table[[place[x] for x in found["lang"]], found["cell"]] = found["n"]
     table += 0.5
     table = np.log(table / table.sum(axis=1, keepdims=True)) if known else table
     return known, np.round(table * _UNIT).astype(np.int32)

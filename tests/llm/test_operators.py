@@ -329,6 +329,23 @@ def test_reserved_rights_and_further_licenses(spark):
     assert got == {k: [name] if name else [] for k, name in enumerate(cases.values())}
 
 
+def test_rank_by_bytes_saved_decides(monkeypatch):
+    """Two templates that the wording confirms: the one that saves more bytes wins, whatever it differs in."""
+    block = dict(licenses.TEMPLATES)["GPL-3.0-or-later"]
+    names = [name for name, _ in licenses.TEMPLATES]
+    two, three = names.index("GPL-2.0-or-later"), names.index("GPL-3.0-or-later")
+    own = licenses.words(block)
+    assert licenses.together(licenses.words(licenses.TEMPLATES[two][1]), own)
+    assert licenses.together(licenses.words(block), own)
+    rank = [k for _, k in licenses.ranked(block)]
+    assert rank.index(three) < rank.index(two)
+    assert [x["license"] for x in licenses.confirmed(block)] == ["GPL-3.0-or-later"]
+    plain = licenses.ranked
+    monkeypatch.setattr(licenses, "ranked", lambda text: sorted(((900 if k == two else n, k) for n, k in plain(text)), reverse=True))
+    (found,) = licenses.confirmed(block)
+    assert found["license"] == "GPL-2.0-or-later" and found["saved"] == 900 and found["added"]
+
+
 def test_scattered_wording_stays_found():
     text = "Released, as agreed on by all who ever took part in this, under the terms of the well known MIT License."
     (found,) = licenses.confirmed(text)

@@ -1,22 +1,24 @@
 """License scans by conditional compression.
 
 Blocks of lines around license words are compressed once alone and once with each template as a raw zstandard
-dictionary, which ranks the templates by bytes saved. All whose words can stand in the block are compared with it word by
-word; the one that covers it best wins if enough of its words stand there in order, and the differing words are
-reported. The winner's words are then taken out and the rest is ranked and compared again until nothing is confirmed, so
-a block gives every license in it, and each as often as it stands there.
+dictionary, which ranks the templates by bytes saved. In that order they are compared with the block word by word; the
+first one of which enough words stand there in order gives the place, the templates are ranked once more on the text of
+that place, and the first one confirmed there wins. Its differing words are reported, its words are taken out and the rest
+is ranked and compared again until nothing is confirmed, so a block gives every license in it, and each as often as it
+stands there.
 
 Blocks are cut in an Arrow function and texts without a license word never reach it, so there is no shuffle.
 
-Defined cases: a null or empty text has no blocks. The template with most words found less words that differ fits best; of
-equal ones that with more words found wins, then the one listed first. Wording that stands together (fewer words added than it has) goes before wording that is scattered;
-the latter must save bytes, too. Repeated rows get equal results. Spans are in code points, from the first to the last word
+Defined cases: a null or empty text has no blocks. Of templates that save as
+many bytes the one with most words found less words that differ wins, then the one listed first. Wording that stands
+together (fewer words added than it has) goes before wording that is scattered; the latter must save bytes, too. Repeated rows get equal results. Spans are in code points, from the first to the last word
 of the license's own wording, end exclusive, in the order of the text. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import difflib
+import itertools
 import re
 from collections import Counter
 from functools import cache
@@ -156,21 +158,40 @@ def scattered(wanted: list[str], own: list[str]) -> list[tuple[int, int]]:
     return [(m.a + i, m.b + i) for m in same for i in range(m.size)]
 
 
-def _best(own: list[str], saved: dict[int, int]) -> tuple[int, list[list[tuple[int, int]]]] | None:
-    """The template that fits best, and the places of its words for each time that it stands in ``own``."""
-    fits = [(fit, k) for k in saved if (fit := together(_primed()[k][1], own))]
-    if fits:
-        (_, _, runs), k = min(fits, key=lambda x: (x[0][0] - x[0][1], -x[0][1], x[1]))
-        wanted = _primed()[k][1]
-        return k, [[(i, start + j) for i, j in common(wanted, own[start:end])] for start, end in runs]
-    loose = []
-    for k in saved:
+def _first(own: list[str], order: list[tuple[int, int]]):
+    """(template, runs of ``own``) of the first template, in ``order`` (bytes saved, most first), that the wording
+    confirms. Templates that save as many bytes are told apart by fewest differing words."""
+    tried = ((saved, k, together(_primed()[k][1], own)) for saved, k in order)
+    for _, equals in itertools.groupby(tried, key=lambda x: x[0]):
+        fits = [(fit[0] - fit[1], -fit[1], k, fit[2]) for _, k, fit in equals if fit]
+        if fits:
+            return min(fits)[2:]
+    return None
+
+
+def _winner(left: list[tuple[str, int, int]], order: list[tuple[int, int]], block: str):
+    """(template, bytes saved, the places of its words for each time that it stands there), or None.
+
+    The best ranked template that the block confirms gives a place, with room for its missing words at both ends. The templates are ranked once more on the text of that
+    place alone, where other notices do not blur the sizes, and the first one confirmed there wins. Wording that is
+    scattered over the block is looked for only where none stands together.
+    """
+    own = [w for w, _, _ in left]
+    if fit := _first(own, order):
+        k, ((start, end), *_) = fit
+        pairs = common(_primed()[k][1], own[start:end])
+        start, end = max(0, start - pairs[0][0]), min(len(own), end + len(_primed()[k][1]) - 1 - pairs[-1][0])
+        able = dict((k, n) for n, k in order)
+        near = [(n, k) for n, k in ranked(" ".join(block[a:b] for _, a, b in left[start:end])) if k in able]
+        k, _ = _first(own[start:end], near)
+        _, _, runs = together(_primed()[k][1], own)
+        return k, able[k], [[(i, a + j) for i, j in common(_primed()[k][1], own[a:b])] for a, b in runs]
+    for saved, k in order:
         wanted = _primed()[k][1]
-        pairs = scattered(wanted, own) if saved[k] > 0 and len(wanted) >= LOOSE else []
+        pairs = scattered(wanted, own) if saved > 0 and len(wanted) >= LOOSE else []
         if pairs and len(pairs) >= COVER * len(wanted):
-            differ = len(wanted) + pairs[-1][1] + 1 - pairs[0][1] - 2 * len(pairs)
-            loose.append(((differ, -len(pairs), k), pairs))
-    return (min(loose)[0][2], [min(loose)[1]]) if loose else None
+            return k, saved, [pairs]
+    return None
 
 
 def confirmed(block: str) -> list[dict]:
@@ -181,11 +202,11 @@ def confirmed(block: str) -> list[dict]:
         own = [w for w, _, _ in left]
         there = Counter(own)
         able = {k for k, (_, wanted, _) in enumerate(_primed()) if (Counter(wanted) & there).total() >= COVER * len(wanted)}
-        saved = {k: n for n, k in ranked(rest) if k in able} if able else {}
-        fit = _best(own, saved)
+        order = [(n, k) for n, k in ranked(rest) if k in able] if able else []
+        fit = _winner(left, order, block)
         if not fit:
             return sorted(found, key=lambda x: (x["start"], x["end"]))
-        k, times = fit
+        k, saved, times = fit
         name, wanted, _ = _primed()[k]
         gone = set()
         for pairs in times:
@@ -193,7 +214,7 @@ def confirmed(block: str) -> list[dict]:
             first, last = pairs[0][1], pairs[-1][1]
             missing = [w for i, w in enumerate(wanted) if i not in has]
             added = [own[j] for j in range(first, last + 1) if j not in mine]
-            found.append({"license": name, "saved": saved[k], "missing": missing, "added": added, "start": left[first][1], "end": left[last][2]})
+            found.append({"license": name, "saved": saved, "missing": missing, "added": added, "start": left[first][1], "end": left[last][2]})
             gone |= mine
         left = [x for j, x in enumerate(left) if j not in gone]
         rest = " ".join(block[start:end] for _, start, end in left)

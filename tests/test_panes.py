@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from tideloom.functions.times import millis
 from tideloom.operators import panes as P
 from tideloom.operators import windows as W
+from tideloom.operators import chains
 from tideloom.operators.chains import Limits, segment_starts
 from tideloom.operators.ordered import Slicing, plan_slices
 
@@ -131,6 +133,57 @@ def test_segments_on_a_hot_key_in_slices(spark, trigger):
         assert [s for *_, s in mine] == brute_segments([ms for ms, *_ in mine], lim)
 
 
+LIMITS = [
+    Limits(age=7, repeat=True), Limits(age=400, repeat=True), Limits(count=3, age=50, repeat=True),
+    Limits(count=40, age=300, silence=9, repeat=True), Limits(age=90, silence=6, repeat=True), Limits(count=70, repeat=True),
+]
+
+
+@pytest.mark.parametrize("lim", LIMITS, ids=str)
+def test_chain_in_slices_equals_the_plain_chain(spark, lim):
+    """Segments shorter and longer than a slice, ties, slices without a message of a group, a null group."""
+    rng = random.Random(str(lim))
+    rows = [(rng.choice([1, 1, 1, 2, None]), rng.randrange(0, 1500)) for _ in range(700)]
+    rows += [(3, 2), (3, 1490), (4, 700)] + [(1, 777)] * 30
+    df = spark.createDataFrame(rows, "k bigint, _ms bigint")
+    slicing = plan_slices(df, "_ms", 40)
+    assert len(slicing.cuts) > 15
+    got = chains.starts(df, ["k"], lim, slicing).collect()
+    for key in (1, 2, 3, 4, None):
+        mine = sorted(ms for k, ms in rows if k == key)
+        segments = brute_segments(mine, lim)
+        firsts = [(ms, i + 1, seg) for i, (ms, seg) in enumerate(zip(mine, segments)) if i == 0 or segments[i - 1] != seg]
+        assert sorted((r["_ms"], r["_rn"], r["segment"]) for r in got if r["k"] == key) == firsts
+
+
+def test_one_group_is_spread_over_the_slices(spark):
+    df = spark.range(20_000).select(F.lit(1).alias("k"), (F.col("id") * 3).alias("_ms"))
+    slicing = plan_slices(df, "_ms", 1_000)
+    got = chains.starts(df, ["k"], Limits(age=10, repeat=True), slicing)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    partitionings = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    keys = {tuple(re.sub(r"#\d+L?", "", p).split(", ")[:-1][:2]) for p in partitionings}
+    assert "MapInArrow" in plan and ("_group", "_slice") in keys
+    # ticks are dealt by slice, whole groups only meet as one row per slice
+    assert ("_group",) not in keys
+    # the slices hold about as many ticks each, and each puts out its own starts
+    held = slicing.tag(df, "_ms", "s").groupBy("s").count().agg(F.max("count")).first()[0]
+    assert held <= 1_500
+    rows = [(r["_ms"], r["_rn"], r["segment"]) for r in got.orderBy("segment").collect()]
+    assert rows == [(12 * i, 4 * i + 1, i) for i in range(5_000)]
+
+
+def test_throttled_counts_in_slices(spark):
+    from tideloom.operators.aggregates import throttled_counts
+
+    rng = random.Random(8)
+    source = stream(spark, [(i, rng.choice([1, 1, 2]), rng.randrange(0, 3000), 0) for i in range(500)])
+    slicing = plan_slices(source.select(millis("ts").alias("_ms")), "_ms", 25)
+    args = (source, "k", "ts", "1 second", "30 milliseconds")
+    plain, cut = throttled_counts(*args, Slicing()), throttled_counts(*args, slicing)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, cut.collect()))
+
+
 def test_collected_pane_comes_in_chunks(spark):
     rows = [(i, 1, i, i * 10) for i in range(10)]
     tagged = W.tag_tumbling(stream(spark, rows), "ts", "1 second")

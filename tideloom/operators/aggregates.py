@@ -116,12 +116,16 @@ def observed_filter(df: DataFrame, predicate: Column, observation) -> DataFrame:
     return df.observe(observation, F.count(F.lit(1)).alias("n_in"), passed.alias("n_out")).filter(predicate)
 
 
-def throttled_counts(df: DataFrame, key: str, ts: str, size: str, timeout: str) -> DataFrame:
+def throttled_counts(
+    df: DataFrame, key: str, ts: str, size: str, timeout: str, slicing: Slicing | None = None
+) -> DataFrame:
     """Running count per (key, tumbling window), put out when more than ``timeout`` has passed since the
     last output. The first message of a window is put out at once.
 
     Every output depends on the one before: they are the starts of a chain of segments.
     """
     clocked = df.select(key, millis(ts).alias("_ms")).withColumn("pane_id", window_start("_ms", size))
-    chain = starts(clocked, [key, "pane_id"], Limits(age=duration_ms(timeout) + 1, repeat=True))
+    if slicing is None:
+        slicing = plan_slices(clocked, "_ms")
+    chain = starts(clocked, [key, "pane_id"], Limits(age=duration_ms(timeout) + 1, repeat=True), slicing)
     return chain.select(key, "pane_id", F.col("_ms").alias("emitted_ms"), F.col("_rn").alias("n"))

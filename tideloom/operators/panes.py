@@ -117,7 +117,7 @@ def _greedy_segments(df, group, order, lim: Limits, slicing) -> DataFrame:
     """Repeating age triggers. The chained starts go back to the rows as marker rows in a running
     window, not through a join. Without a count a segment starts with a tick, else with a rank."""
     slicing = slicing or Slicing()
-    markers = settle(starts(df, group, lim), slicing).withColumnRenamed("segment", "_start")
+    markers = settle(starts(df, group, lim, slicing), slicing).withColumnRenamed("segment", "_start")
     markers = markers.withColumn("_place", F.lit(0))
     if lim.count is None:
         rows = df.withColumn("_place", F.lit(1))

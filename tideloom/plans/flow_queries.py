@@ -10,9 +10,10 @@ from tideloom.functions.times import millis
 from tideloom.operators import enrich as EN
 from tideloom.operators import joins as J
 from tideloom.operators import stateless as ST
+from tideloom.operators import targets as TG
 from tideloom.plans.join_queries import kind
 from tideloom.plans.registry import query
-from tideloom.plans.window_queries import DAY, EV, HOUR, events, rows
+from tideloom.plans.window_queries import ARRIVALS, DAY, EV, HOUR, arrivals, events, rows
 from tideloom.session import shared_folder, table
 from tideloom.sources import files as FI
 from tideloom.sources import generate as G
@@ -157,19 +158,41 @@ def sink_roll(spark, sf):
     source = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag")
     by_records, by_bytes = shared_folder(spark, "roll"), shared_folder(spark, "roll")
     SI.write_rolled(source, by_records, records=5_000)
-    used = SI.write_rolled(source, by_bytes, size_bytes=200_000)
+    SI.write_rolled(source, by_bytes, size_bytes=200_000)
 
     def sizes(path):
-        return spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("f")).agg(rows("k"))
+        line = F.octet_length(F.to_json(F.struct(*source.columns))) + 1
+        files = spark.read.parquet(path).withColumn("f", F.col("_metadata.file_path"))
+        return files.groupBy("f").agg(rows("k"), F.sum(line).alias("line_bytes"))
 
-    longest = sizes(by_bytes).agg(F.max("k"))
+    longest = sizes(by_bytes).agg(F.max("line_bytes"))
     return (
         sizes(by_records)
         .agg(F.sum("k").alias("n"), F.count_if(F.col("k") > 5_000).alias("long_files"))
-        .withColumn("rolled_by_bytes", longest.scalar() <= used)
+        .withColumn("rolled_by_bytes", longest.scalar() <= 200_000)
     )
 
 
+@query("sink_roll_bytes", """
+WITH r AS (SELECT strlen('{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '"}') + 1 AS b FROM orders)
+SELECT count(*) AS n, CAST(sum(b) AS BIGINT) AS n_bytes, CAST(0 AS BIGINT) AS n_over, CAST(0 AS BIGINT) AS n_short FROM r""")
+def sink_roll_bytes(spark, sf):
+    """Orders as JSON files of at most 20,000 bytes, measured on the files: none is over the bound, and none but the last
+    one of a task has room for another record of the longest kind."""
+    source = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    path, bound = shared_folder(spark, "roll"), 20_000
+    SI.write_rolled(source, path, size_bytes=bound, fmt="json")
+    back = spark.read.schema(source.schema).json(path)
+    largest = back.agg(F.max(F.octet_length(F.to_json(F.struct(*source.columns))) + 1)).scalar()
+    files = spark.read.format("binaryFile").load(path).select("length", "roll_task", "roll_file")
+    last = files.groupBy("roll_task").agg(F.max("roll_file").alias("last_file"))
+    measured = files.join(last, "roll_task").agg(
+        F.sum("length").alias("n_bytes"), F.count_if(F.col("length") > bound).alias("n_over"),
+        F.count_if((F.col("roll_file") < F.col("last_file")) & (F.col("length") + largest <= bound)).alias("n_short"),
+    )
+    return measured.withColumn("n", back.agg(F.count(F.lit(1))).scalar())
+
+
 @query("sink_text", "SELECT lang, count(*) AS n, CAST(sum(length(lang) + 1 + length(CAST(doc_id AS VARCHAR))) AS BIGINT) AS chars FROM documents GROUP BY ALL")
 def sink_text(spark, sf):
     """Keyed lines (key, tab, value) in gzip text files."""
@@ -445,3 +468,23 @@ def enrich_write(spark, sf):
     return EN.write_remote(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), Writer, access).agg(
         F.sum("written").alias("written")
     )
+
+
+@query("bulk_upsert_versioned", f"""
+WITH r AS (SELECT user_id, ms, max(ms) OVER (PARTITION BY user_id ORDER BY arrived, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM {ARRIVALS})
+SELECT user_id, CAST(count_if(best IS NULL) AS BIGINT) AS n_insert, CAST(count_if(ms > best) AS BIGINT) AS n_update, CAST(count_if(ms <= best) AS BIGINT) AS n_conflict, max(ms) AS version
+FROM r WHERE user_id IS NOT NULL GROUP BY user_id""")
+def bulk_upsert_versioned(spark, sf):
+    """Events in the order of their arrival as requests to a table of users, versioned by the event clock, in two batches:
+    what came late is a conflict, with the batch's own requests or with what the first batch had stored. The second batch
+    is sent twice, as after a lost driver. The table and the outcomes are read back."""
+    requests = arrivals(spark, sf).filter(F.col("user_id").isNotNull()).select("event_id", "user_id", millis("ts").alias("version"), "arrived")
+    path = shared_folder(spark, "upserts")
+    first, last = requests.agg(F.min("arrived"), F.max("arrived")).first()
+    early = F.col("arrived") < ((first or 0) + (last or 0)) // 2
+    for batch, part in ((0, early), (1, ~early), (1, ~early)):
+        TG.upsert_batch(requests.filter(part), path, batch, ident="user_id", version="version", order=["arrived", "event_id"])
+    done = spark.read.parquet(f"{path}.outcomes")
+    counts = [F.count_if(F.col("outcome") == o).alias(f"n_{o}") for o in ("insert", "update", "conflict")]
+    there = TG.stored(spark, path, "user_id", "version").select("user_id", "version")
+    return done.groupBy("user_id").agg(*counts).join(there, "user_id")

@@ -310,6 +310,16 @@ def early_panes_sliced(spark, sf):
     )
 
 
+@query("trigger_any_sliced", discarding(
+    greedy_sql(DAYS, 3 * HOUR, 2), "segment_no", f"n >= 2 OR from_ms + {3 * HOUR} < close_ms"))
+def trigger_any_sliced(spark, sf):
+    """The chains of trigger_any_repeat, composed over slices."""
+    source = events(spark, sf, "event_id", "ts", "user_id", "cents")
+    slicing = plan_slices(source.select(millis("ts").alias("_ms")), "_ms", SLICED_ROWS)
+    early = P.Repeat(P.AnyOf((P.Count(2), P.SinceFirst("3 hours"))))
+    return P.panes(source, keys=["user_id"], ts="ts", tie="event_id", aggs=AGGS, early=early, tumbling="1 day", slicing=slicing)
+
+
 @query("session_tag_sliced", f"""
 SELECT event_id, user_id, pane_id FROM {session_ms_sql(6 * HOUR)}""")
 def session_tag_sliced(spark, sf):

@@ -234,3 +234,39 @@ def test_idle_entries_end():
         assert cache.get("a") == (True, 1)
     clock.sleep(3)
     assert cache.get("a") == (False, None)
+
+
+class _Recorded:
+    """Writes get a mark; every read of the remote table is counted by the answer."""
+
+    def __init__(self):
+        self.entries, self.reads = {}, 0
+
+    def read(self, keys):
+        self.reads += 1
+        return {k: f"{self.entries[k]}/{self.reads}" for k in keys if k in self.entries}
+
+    def write(self, entries):
+        self.entries.update({k: v for k, v in entries.items() if v is not None})
+        for k in [k for k, v in entries.items() if v is None]:
+            self.entries.pop(k, None)
+
+
+def test_cached_access_through_around_and_small(spark):
+    ops = [
+        (0, 1, "read", None), (1, 1, "write", "a"), (2, 1, "read", None), (3, 1, "read", None), (4, 1, "delete", None),
+        (5, 1, "read", None), (6, None, "write", "x"), (7, None, "read", None), (8, 2, "write", "b"), (9, 2, "write", "c"),
+        (10, 2, "read", None), (11, 1, "read", None),
+    ]
+    df = spark.createDataFrame(ops, "at bigint, k bigint, op string, value string").repartition(1)
+
+    def run(**options):
+        got = EN.cached_access(df, ["k"], ["at"], _Recorded, access=EN.Access(limit=EN.RateLimit(10_000), tasks=1), **options)
+        return {r["at"]: (r["answer"], r["hit"]) for r in got.collect() if r["op"] == "read"}
+
+    nothing = {0: (None, False), 7: (None, None)}
+    assert run(through=True) == nothing | {2: ("a", True), 3: ("a", True), 5: (None, True), 10: ("c", True), 11: (None, True)}
+    assert run(through=False) == nothing | {2: ("a/2", False), 3: ("a/2", True), 5: (None, False), 10: ("c/4", False), 11: (None, True)}
+    # one entry: what key 2 pushed out is fetched again
+    assert run(through=True, cache_size=1)[11] == (None, False)
+    assert EN.cached_access(df.limit(0), ["k"], ["at"], _Recorded).collect() == []

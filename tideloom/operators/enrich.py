@@ -7,6 +7,7 @@ connections are opened where they are used.
 
 from __future__ import annotations
 
+import itertools
 import random
 import threading
 import time
@@ -146,6 +147,10 @@ class CachedTable:
         self._read, self._write, self._cache, self._through = read, write, cache, through
 
     def get_all(self, keys: Sequence) -> dict:
+        return self.get_marked(keys)[0]
+
+    def get_marked(self, keys: Sequence) -> tuple[dict, list]:
+        """The entries, and the keys that were not in the cache and had to be fetched."""
         found, missing = {}, []
         for key in dict.fromkeys(keys):
             hit, value = self._cache.get(key)
@@ -158,7 +163,7 @@ class CachedTable:
             for key in missing:
                 found[key] = fetched.get(key)
                 self._cache.put(key, found[key])
-        return found
+        return found, missing
 
     def put_all(self, entries: dict) -> None:
         self._write(entries)
@@ -308,6 +313,59 @@ def enrich_in_place(
     return _dealt(df, access).mapInArrow(run, schema)
 
 
+def cached_access(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    make: Callable[[], object],
+    *,
+    op: str = "op",
+    value: str = "value",
+    through: bool = True,
+    cache_size: int = 10_000,
+    cache_ttl_s: float | None = None,
+    access: Access = Access(),
+) -> DataFrame:
+    """Reads and writes of a remote table through a cache, in ``order`` for each key.
+
+    ``op`` is read, write (of ``value``) or delete; ``make`` opens the table: ``read(keys) -> {key: value}`` and
+    ``write({key: value or None})``. Adds to each row ``answer``, the value read, and ``hit``, whether the cache had it;
+    both are null for writes, deletes and keys with a null part, which do not reach the table. ``through`` keeps what was
+    written in the cache, otherwise the next read of the key fetches what the table made of it.
+
+    All rows of a key are in one task, as each depends on the one before; they stream through it in constant memory.
+    Neighbouring rows that all read are fetched in batches of distinct keys, neighbouring writes are written as one. A lost
+    task repeats its writes, so they have to be idempotent.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField("answer", df.schema[value].dataType), T.StructField("hit", T.BooleanType())])
+    wanted = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remote = make()
+        read = _caller(remote.read, access)
+        fetch = lambda ks: {k: v for part in _batched(read, ks, access) for k, v in part.items()}
+        table = CachedTable(fetch, _caller(remote.write, access), Cache(cache_size, cache_ttl_s), through)
+        for batch in batches:
+            rows = list(zip(_keys_of(batch, keys), batch.column(op).to_pylist(), batch.column(value).to_pylist(), strict=True))
+            answers, hits = [None] * len(rows), [None] * len(rows)
+            whole = [i for i, (key, _, _) in enumerate(rows) if None not in key]
+            for reading, run_of in itertools.groupby(whole, key=lambda i: rows[i][1] == "read"):
+                places = list(run_of)
+                if not reading:
+                    table.put_all({rows[i][0]: rows[i][2] if rows[i][1] == "write" else None for i in places})
+                    continue
+                found, missing = table.get_marked([rows[i][0] for i in places])
+                fresh = set(missing)
+                for i in places:
+                    answers[i], hits[i] = found[rows[i][0]], rows[i][0] not in fresh
+                    fresh.discard(rows[i][0])  # a repeated read of the run comes from the cache
+            columns = [*batch.columns, pa.array(answers, wanted.field("answer").type), pa.array(hits, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=wanted.names)
+
+    dealt = df.repartition(access.tasks, *keys) if access.limit else df.repartition(*keys)
+    return dealt.sortWithinPartitions(*order).mapInArrow(run, schema)
+
+
 def write_remote(
     df: DataFrame, make: Callable[[], Callable[[list[dict]], int]], access: Access = Access()
 ) -> DataFrame:

@@ -422,6 +422,42 @@ def enrich_cached(spark, sf):
     )
 
 
+class Rounding:
+    """A remote table that keeps whole hundreds of what is written."""
+
+    def __init__(self):
+        self._entries = {}
+
+    def read(self, keys):
+        return {k: self._entries[k] for k in keys if k in self._entries}
+
+    def write(self, entries):
+        for key, value in entries.items():
+            if value is None:
+                self._entries.pop(key, None)
+            else:
+                self._entries[key] = value // 100 * 100
+
+
+@query("enrich_cached_writes", f"""
+WITH r AS (SELECT event_id, op, lag(op) OVER w AS op_before, last_value(CASE WHEN op <> 'read' THEN op || ':' || cents END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_write
+  FROM (SELECT *, CASE WHEN event_type = 'error' THEN 'delete' WHEN cents % 3 = 0 THEN 'write' ELSE 'read' END AS op FROM {EV}) WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id)),
+v AS (SELECT *, CASE WHEN last_write LIKE 'write:%' THEN CAST(substr(last_write, 7) AS BIGINT) END AS written FROM r WHERE op = 'read')
+SELECT event_id, 'through' AS mode, written AS answer, op_before IS NOT NULL AS hit FROM v UNION ALL
+SELECT event_id, 'around', CAST(written // 100 * 100 AS BIGINT), op_before IS NOT NULL AND op_before = 'read' FROM v""")
+def enrich_cached_writes(spark, sf):
+    """Reads, writes and deletes of a remote table, written through and written around its cache: what was read shows which."""
+    kind_of = F.when(F.col("event_type") == "error", "delete").when(F.col("cents") % 3 == 0, "write").otherwise("read")
+    ops = events(spark, sf, "event_id", "ts", "user_id", "event_type", "cents").withColumn("op", kind_of)
+    ops = ops.withColumn("ms", millis("ts")).drop("ts", "event_type")
+
+    def done(mode):
+        out = EN.cached_access(ops, ["user_id"], ["ms", "event_id"], Rounding, value="cents", through=mode == "through")
+        return out.filter("op = 'read'").select("event_id", F.lit(mode).alias("mode"), "answer", "hit")
+
+    return done("through").unionByName(done("around"))
+
+
 class Rates:
     """A remote table with a record as key: (member, kind), kind may be null."""
 

@@ -270,3 +270,12 @@ def test_cached_access_through_around_and_small(spark):
     # one entry: what key 2 pushed out is fetched again
     assert run(through=True, cache_size=1)[11] == (None, False)
     assert EN.cached_access(df.limit(0), ["k"], ["at"], _Recorded).collect() == []
+
+
+def test_a_limit_that_does_not_wait_is_seen(spark, data, monkeypatch):
+    from tideloom.operators import enrich
+    from tideloom.plans.flow_queries import limit_held
+
+    assert limit_held(spark, data, 400).first()["held"]
+    monkeypatch.setattr(enrich.TokenBucket, "take", lambda self, credits: None)
+    assert not limit_held(spark, data, 400).first()["held"]

@@ -245,3 +245,24 @@ def test_an_output_watermark_never_goes_back(spark, tmp_path):
     assert sorted(r["mark"] for r in rows if r["mark"] is not None) == [60_000, 120_000, 180_000, 240_000]
     told = sorted(r["_mark"].timestamp() for r in rows if r["mark"] is None)
     assert told == [55.0, 175.0]
+
+
+@pytest.mark.parametrize("max_files", [None, 1])
+def test_the_end_of_a_stream_reads_the_input_once(spark, data, split, max_files):
+    from tideloom.sources.streams import live
+    from tideloom.streaming import windows as SW
+
+    count = [F.count(F.lit(1)).alias("n")]
+    daily = lambda stream: SW.tumbling(stream, "ts", "10 minutes", "1 day", count, ["event_type"])
+    out, taken = SW.run_to_end(live(spark, split, "events", max_files=max_files), "ts", "end", daily)
+    rows = spark.read.parquet(f"{split}/events.parquet").count()
+    assert taken == rows + 1 and out.agg(F.sum("n")).first()[0] == rows
+
+
+def test_sessions_end_too(spark, data, split):
+    from tideloom.sources.streams import live
+    from tideloom.streaming import windows as SW
+
+    count = [F.count(F.lit(1)).alias("n")]
+    out, _ = SW.run_to_end(live(spark, split, "events"), "ts", "end", lambda s: SW.sessions(s, "ts", "10 minutes", "6 hours", count, ["user_id"]))
+    assert out.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{split}/events.parquet").count()

@@ -139,28 +139,10 @@ def partial_aggregates(aggs: dict[str, tuple[str, object]]) -> list[Column]:
     return [first[kind](col(c) if c is not None else None).alias(name) for name, (kind, c) in aggs.items()]
 
 
-def panes(
-    df: DataFrame,
-    *,
-    keys: Sequence[str],
-    ts: str,
-    tie: str,
-    aggs: dict[str, tuple[str, object]],
-    early,
-    tumbling: str | None = None,
-    session: str | None = None,
-    accumulating: bool = False,
-    slicing: Slicing | None = None,
-    fired: str | None = None,
-) -> DataFrame:
-    """Every pane of a triggered window: keys, pane_id, pane_no, firing_type, mode and the aggregates.
-    ``fired`` names a further column for the clock of each firing.
-
-    ``aggs`` maps a name to (count | sum | min | max, column). DISCARDING: each pane holds what came
-    since the firing before, and the closing pane is left out if nothing came. ACCUMULATING: each
-    pane holds everything so far, and the closing pane is always there. For a session the panes are
-    numbered inside the gap island.
-    """
+def segmented(
+    df: DataFrame, keys: Sequence[str], ts: str, tie: str, early, tumbling: str | None, session: str | None, slicing: Slicing | None
+) -> tuple[DataFrame, Slicing]:
+    """The rows with ``_ms``, ``pane_id`` and ``segment``, and the slicing that was planned for them."""
     if (tumbling is None) == (session is None):
         raise ValueError("give either tumbling or session")
     clocked = df.withColumn("_ms", millis(ts))
@@ -173,20 +155,11 @@ def panes(
             clocked, keys, ["_ms", tie], duration_ms(session), closed=True, start="pane_id", slicing=slicing
         )
         placed = settle(placed, slicing)
-    group = [*keys, "pane_id"]
-    lim = limits(early)
-    parts = (
-        segments(placed, group, tie, early, slicing)
-        .groupBy(*group, "segment")
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min("_ms").alias("_from"),
-            F.max("_ms").alias("_to"),
-            *partial_aggregates(aggs),
-        )
-    )
-    if accumulating or session is not None:
-        parts = settle(parts, slicing)
+    return segments(placed, [*keys, "pane_id"], tie, early, slicing), slicing
+
+
+def firings(parts: DataFrame, group: Sequence[str], lim: Limits, tumbling: str | None, session: str | None) -> DataFrame:
+    """Add ``_close``, ``_fired`` (by the trigger, inside the window) and ``_at`` to one row per segment (_n, _from, _to)."""
     if tumbling is not None:
         parts = parts.withColumn("_close", F.col("pane_id") + duration_ms(tumbling))
     else:
@@ -206,7 +179,39 @@ def panes(
         at.append(F.col("_to") + lim.silence)
     if not lim.repeat:
         early_fired = early_fired & (F.col("segment") == 0)
-    parts = parts.withColumn("_fired", early_fired).withColumn("_at", F.when(F.col("_fired"), F.least(*at)).otherwise(F.col("_close")))
+    return parts.withColumn("_fired", early_fired).withColumn("_at", F.when(F.col("_fired"), F.least(*at)).otherwise(F.col("_close")))
+
+
+def panes(
+    df: DataFrame,
+    *,
+    keys: Sequence[str],
+    ts: str,
+    tie: str,
+    aggs: dict[str, tuple[str, object]],
+    early,
+    tumbling: str | None = None,
+    session: str | None = None,
+    accumulating: bool = False,
+    slicing: Slicing | None = None,
+    fired: str | None = None,
+) -> DataFrame:
+    """Every pane of a triggered window: keys, pane_id, pane_no, firing_type, mode and the aggregates.
+    ``fired`` names a further column for the clock of each firing.
+
+    ``aggs`` maps a name to (count | sum | min | max, column). DISCARDING: each pane holds what came
+    since the firing before, and the closing pane is left out if nothing came. ACCUMULATING: each
+    pane holds everything so far, and the closing pane is always there. For a session the panes are
+    numbered inside the gap island.
+    """
+    placed, slicing = segmented(df, keys, ts, tie, early, tumbling, session, slicing)
+    group = [*keys, "pane_id"]
+    parts = placed.groupBy(*group, "segment").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_ms").alias("_from"), F.max("_ms").alias("_to"), *partial_aggregates(aggs)
+    )
+    if accumulating or session is not None:
+        parts = settle(parts, slicing)
+    parts = firings(parts, group, limits(early), tumbling, session)
     firing = [F.col("_at").alias(fired)] if fired else []
     mode = F.lit("ACCUMULATING" if accumulating else "DISCARDING").alias("mode")
     names = list(aggs)

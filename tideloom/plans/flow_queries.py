@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import threading
+import time
+import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tideloom.functions.times import millis
@@ -415,6 +418,34 @@ def enrich_rate_limit(spark, sf):
     return EN.enrich(events(spark, sf, "event_id", "user_id"), ["user_id"], Scores, VALUES, access=access)
 
 
+class Watched:
+    """A remote table that answers with its opener, and with the seconds from its opening to the call."""
+
+    def __init__(self):
+        self._opener, self._opened = uuid.uuid4().hex, time.monotonic()
+
+    def __call__(self, keys):
+        after = time.monotonic() - self._opened
+        return {k: {"opener": self._opener, "after": after} for k in keys}
+
+
+@query("enrich_limit_held", "SELECT count(*) AS n_calls, CAST(2 * count(*) AS BIGINT) AS n_credits, true AS held FROM (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL)")
+def enrich_limit_held(spark, sf):
+    """Whether the calls of a lookup kept to its rate limit, as the called side saw them: no task was given more credits
+    than its share of the rate up to the time of the call. ``held`` turns false if the limit does not wait."""
+    return limit_held(spark, sf, 20_000)
+
+
+def limit_held(spark, sf, rate, tasks=4):
+    access = EN.Access(limit=EN.RateLimit(rate, credits=lambda key: 2), tasks=tasks, batch_size=20)
+    users = events(spark, sf, "user_id").dropna().distinct()
+    seen = EN.enrich(users, ["user_id"], Watched, "opener string, after double", access=access, keep=True)
+    calls = seen.groupBy("opener", "after").agg((2 * F.count("*")).alias("credits"))
+    given = F.sum("credits").over(Window.partitionBy("opener").orderBy("after"))
+    calls = calls.withColumn("held", given <= F.col("after") * rate / tasks + 1e-6)
+    return calls.agg((F.sum("credits") / 2).cast("bigint").alias("n_calls"), F.sum("credits").alias("n_credits"), F.bool_and("held").alias("held"))
+
+
 @query("enrich_cached", f"SELECT event_id, user_id, {SCORE_SQL} FROM events WHERE user_id % 10 <> 7")
 def enrich_cached(spark, sf):
     return EN.enrich_in_place(
@@ -479,31 +510,25 @@ def remote_lookup_join(spark, sf):
 
 @query("bulk_upsert_outcomes", f"SELECT CASE WHEN cents % 11 = 0 THEN 'conflict' WHEN event_type = 'signup' THEN 'insert' ELSE 'update' END AS outcome, count(*) AS n FROM {EV} GROUP BY ALL")
 def bulk_upsert_outcomes(spark, sf):
-    """Bulk requests to an index: conflicts are counted and not fatal."""
-
-    class Index:
-        def __call__(self, requests):
-            return [
-                "conflict" if r["cents"] % 11 == 0 else "insert" if r["event_type"] == "signup" else "update"
-                for r in requests
-            ]
-
-    done = EN.bulk_upsert(events(spark, sf, "event_id", "event_type", "cents"), Index, EN.Access(batch_size=1_000))
-    return done.groupBy("outcome").agg(F.sum("n").alias("n"))
+    """Bulk requests to a table that is written, each with version 1: an event whose version 1 is stored already conflicts,
+    which is counted and not fatal, one with version 0 is updated, a signup is new. The outcomes are read back."""
+    requests = events(spark, sf, "event_id", "event_type", "cents").withColumn("version", F.lit(1).cast("bigint"))
+    path = shared_folder(spark, "index")
+    keys = {"ident": "event_id", "version": "version", "order": ["event_id"]}
+    ahead = F.col("cents") % 11 == 0
+    there = requests.filter(ahead | (F.col("event_type") != "signup")).withColumn("version", ahead.cast("bigint"))
+    TG.upsert_batch(there, path, 0, **keys)
+    return TG.upsert_batch(requests, path, 1, **keys).groupBy("outcome").agg(rows())
 
 
 @query("enrich_write", "SELECT count(*) AS written FROM orders")
 def enrich_write(spark, sf):
-    """Write all orders through a write function, retried and in batches of 500."""
-
-    class Writer:
-        def __call__(self, records):
-            return len(records)
-
-    access = EN.Access(batch_size=500, retry=EN.Retry(2, "fixed"))
-    return EN.write_remote(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), Writer, access).agg(
-        F.sum("written").alias("written")
-    )
+    """Write all orders into a keyed table, the batch sent twice as after a lost driver, and count what is stored then."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice").withColumn("version", F.lit(1).cast("bigint"))
+    path = shared_folder(spark, "orders")
+    for _ in range(2):
+        TG.upsert_batch(orders, path, 0, ident="o_orderkey", version="version", order=["o_orderkey"])
+    return TG.stored(spark, path, "o_orderkey", "version").agg(rows("written"))
 
 
 @query("bulk_upsert_versioned", f"""

@@ -19,7 +19,7 @@ from tideloom.streaming import stateful as SF
 from tideloom.streaming import tables as ST
 from tideloom.streaming import timers as TM
 from tideloom.streaming import windows as SW
-from tideloom.streaming.runs import hand_over, run, run_to_table
+from tideloom.streaming.runs import hand_over, run_to_table
 
 DELAY, DELAY_MS = "10 minutes", 600_000
 MARK = f"(SELECT max(epoch_us(ts) // 1000) - {DELAY_MS} FROM events)"
@@ -58,10 +58,8 @@ def stream_session_count(spark, sf):
 @query("eos_flush", f"SELECT event_type, ms - ms % {DAY} AS pane_id, count(*) AS n FROM {EV} GROUP BY ALL")
 def eos_flush(spark, sf):
     """At the end of a bounded stream every window comes out, also those still open."""
-    closed, progress = run(SW.tumbling(live_events(spark, sf), "ts", DELAY, "1 day", [rows("n")], ["event_type"]), "eos")
-    return SW.flush_open(
-        closed, table(spark, sf, "events"), "ts", "1 day", [rows("n")], ["event_type"], SW.watermark_ms(spark, progress)
-    )
+    daily = lambda stream: SW.tumbling(stream, "ts", DELAY, "1 day", [rows("n")], ["event_type"])
+    return SW.run_to_end(live_events(spark, sf), "ts", "eos", daily)[0]
 
 
 @query("stream_dedup", "SELECT event_id, user_id FROM events")

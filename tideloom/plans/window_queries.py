@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideloom.functions.times import millis
 from tideloom.operators import aggregates as agg
+from tideloom.operators import pane_folds as PF
 from tideloom.operators import panes as P
 from tideloom.operators import windows as W
 from tideloom.operators.aggregates import cents
@@ -288,6 +289,50 @@ def arrivals(spark, sf):
     return events(spark, sf).withColumn("arrived", millis("ts") + k * 60_000)
 
 
+# --- user folds and collected messages under triggers ---------------------------------------------
+
+@query("trigger_fold_ordered", f"""
+WITH d AS (SELECT *, CAST(floor((rn - 1) / 2) AS BIGINT) AS segment FROM {DAYS})
+SELECT user_id, pane_id, segment AS pane_no, CASE WHEN count(*) = 2 THEN 'EARLY' ELSE 'DEFAULT' END AS firing_type, 'DISCARDING' AS mode,
+  CAST(list_reduce(list(cents ORDER BY rn), lambda h, c: (h * 31 + c) % {MOD}, CAST(0 AS BIGINT)) AS BIGINT) AS chain FROM d GROUP BY user_id, pane_id, segment
+UNION ALL
+SELECT e.user_id, e.pane_id, e.segment, 'EARLY', 'ACCUMULATING', CAST(list_reduce(list(d.cents ORDER BY d.rn), lambda h, c: (h * 31 + c) % {MOD}, CAST(0 AS BIGINT)) AS BIGINT)
+FROM d e JOIN d ON d.user_id IS NOT DISTINCT FROM e.user_id AND d.pane_id = e.pane_id AND d.rn <= e.rn WHERE e.rn % 2 = 0 GROUP BY e.user_id, e.pane_id, e.segment
+UNION ALL
+SELECT user_id, pane_id, CAST(floor(count(*) / 2) AS BIGINT), 'DEFAULT', 'ACCUMULATING', CAST(list_reduce(list(cents ORDER BY rn), lambda h, c: (h * 31 + c) % {MOD}, CAST(0 AS BIGINT)) AS BIGINT)
+FROM d GROUP BY user_id, pane_id""")
+def trigger_fold_ordered(spark, sf):
+    """A hash chained over the amounts of a user's day, in every pane: of its own messages, and of all so far."""
+
+    def state(h, p):
+        return F.struct(h.cast("bigint").alias("h"), p.cast("bigint").alias("p"))
+
+    def folded(accumulating):
+        return PF.folded_panes(
+            events(spark, sf, "event_id", "ts", "user_id", "cents"), keys=["user_id"], ts="ts", tie="event_id",
+            zero=state(F.lit(0), F.lit(1)),
+            step=lambda s, m: state((s["h"] * 31 + m["cents"]) % MOD, (s["p"] * 31) % MOD),
+            merge=lambda a, b: state((a["h"] * b["p"] + b["h"]) % MOD, (a["p"] * b["p"]) % MOD),
+            finish=lambda s: s["h"], out="chain", early=P.Repeat(P.Count(2)), tumbling="1 day", accumulating=accumulating,
+        )
+
+    return folded(False).unionByName(folded(True))
+
+
+@query("trigger_collect", f"""
+SELECT user_id, pane_id, CAST(floor((rn - 1) / 3) AS BIGINT) AS pane_no, CASE WHEN count(*) = 3 THEN 'EARLY' ELSE 'DEFAULT' END AS firing_type,
+  string_agg(event_id || ':' || event_type, ',' ORDER BY rn) AS messages
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id, pane_id ORDER BY ms, event_id) AS rn FROM {session_ms_sql(12 * HOUR)})
+GROUP BY user_id, pane_id, floor((rn - 1) / 3)""")
+def trigger_collect(spark, sf):
+    """The messages of every pane of a user's sessions."""
+    got = PF.collected_panes(
+        events(spark, sf, "event_id", "ts", "user_id", "event_type"), keys=["user_id"], ts="ts", tie="event_id",
+        columns=["event_id", "event_type"], early=P.Repeat(P.Count(3)), session="12 hours",
+    )
+    return got.select("user_id", "pane_id", "pane_no", "firing_type", _joined().alias("messages"))
+
+
 # --- the same operators with the order axis cut into slices ---------------------------------------
 
 SLICED_ROWS = 1_500

@@ -24,14 +24,17 @@ def run_to_table(
     repeated batch after a failure does no harm. With the ``folder`` of an earlier run the stream goes
     on where that one ended; a new folder starts from the source's default position.
     """
-    result, _ = run(stream, name, mode, transform, folder)
+    result, _ = _run(stream, name, mode, transform, folder)
     return result
 
 
-def run(
-    stream: DataFrame, name: str, mode: str = "append", transform=None, folder: str | None = None
-) -> tuple[DataFrame, dict]:
-    """The output table and the last progress report."""
+def run_counted(stream: DataFrame, name: str, folder: str) -> tuple[DataFrame, int]:
+    """The output table so far and the number of rows that this run took in."""
+    out, query = _run(stream, name, "append", None, folder)
+    return out, sum(p["numInputRows"] for p in query.recentProgress)
+
+
+def _run(stream: DataFrame, name: str, mode: str, transform, folder: str | None):
     spark = stream.sparkSession
     folder = folder or shared_folder(spark, name)
     out = f"{folder}/out"
@@ -44,7 +47,7 @@ def run(
     )
     started.awaitTermination()
     empty = spark.createDataFrame([], stream.schema)
-    return written(out, empty if transform is None else transform(empty)), started.lastProgress
+    return written(out, empty if transform is None else transform(empty)), started
 
 
 def hand_over(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:

@@ -1,13 +1,15 @@
-"""Event-time windows on live streams, and the flush at the end of a bounded one."""
+"""Event-time windows on live streams, and the end of a bounded one."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideloom.functions.times import duration_ms, millis, window_start
+from tideloom.functions.times import duration_ms, millis
+from tideloom.session import shared_folder
+from tideloom.streaming.runs import run_counted
 
 
 def clocked(stream: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -79,19 +81,30 @@ def deduplicated(stream: DataFrame, ts: str, delay: str, ident: Sequence[str]) -
     return clocked(stream, ts, delay).dropDuplicatesWithinWatermark(list(ident))
 
 
-def watermark_ms(spark, progress: dict) -> Column:
-    """The watermark of a progress report in epoch ms."""
-    return F.unix_millis(F.to_timestamp(F.lit(progress["eventTime"]["watermark"])))
+#: The clock of the row that ends a stream: later than any of its messages less the watermark delay.
+END = "9999-01-01 00:00:00"
 
 
-def flush_open(
-    closed: DataFrame, source: DataFrame, ts: str, size: str, aggs: Sequence[Column], keys: Sequence[str], watermark: Column
-) -> DataFrame:
-    """End of a bounded stream: the closed windows, and those the watermark had not passed.
+def run_to_end(
+    source: DataFrame, ts: str, name: str, plan: Callable[[DataFrame], DataFrame], folder: str | None = None
+) -> tuple[DataFrame, int]:
+    """Run ``plan(stream)`` over a bounded ``source``; at its end every open window comes out. The output table, and how
+    many rows the stream took in.
 
-    The open ones are computed from the stored input; only rows of open windows are read for it.
+    The stream is the source with a second, empty one. When the source has been read to its end, the second one gives one
+    row with the clock :data:`END`: the same query goes on from its checkpoint, the watermark passes all messages, and the
+    windows still open come out of the state. The input is read once. The closing row has nulls elsewhere, and its own
+    window stays open. A run that was interrupted goes on in its ``folder``; a second closing row changes nothing.
     """
-    start = window_start(millis(ts), size)
-    open_rows = source.withColumn("pane_id", start).filter(F.col("pane_id") + duration_ms(size) > watermark)
-    rest = open_rows.groupBy(*keys, "pane_id").agg(*aggs)
-    return closed.unionByName(rest)
+    spark = source.sparkSession
+    folder = folder or shared_folder(spark, name)
+    closing = f"{folder}/closing"
+    clock = source.schema[ts]
+    marker = spark.range(1).select(F.lit(END).cast(clock.dataType).alias(ts))
+    marker.limit(0).write.mode("append").parquet(closing)
+    ends = spark.readStream.schema(marker.schema).parquet(closing)
+    whole = plan(source.unionByName(ends, allowMissingColumns=True))
+    _, rows = run_counted(whole, name, folder)
+    marker.write.mode("append").parquet(closing)
+    out, more = run_counted(whole, name, folder)
+    return out, rows + more

@@ -258,6 +258,25 @@ def test_mix_meets_targets(spark):
         assert abs(taken[s] - want[s]) <= 1
 
 
+def test_mix_reaches_the_nearest_sum(spark):
+    """Every source gets the sum nearest to its target that 0 to 3 copies of each of its documents can give."""
+    for seed in range(4):
+        rng = random.Random(seed)
+        rows = [
+            (f"s{s}" if s else None, " ".join(["w"] * rng.choice([7, 12, 30, 55, 200])))
+            for s in range(8) for _ in range(rng.randrange(1, 9))
+        ]
+        docs = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(rows)], "doc_id bigint, text string, source string")
+        got = mixing.mix(docs, WEIGHTS).toPandas()
+        assert (got["taken"] <= 3 * got["size"]).all() and (got["taken"] == got["repeats"] * got["size"]).all()
+        for _, own in got.groupby("source", dropna=False):
+            sums = {0}
+            for size in own["size"]:
+                sums = {a + k * size for a in sums for k in range(4)}
+            target = own["target"].iloc[0]
+            assert abs(own["taken"].sum() - target) == pytest.approx(min(abs(a - target) for a in sums))
+
+
 def test_mix_odd(odd, empty):
     got = mixing.mix(odd, WEIGHTS)
     assert got.count() == odd.count() and got.filter("taken > 3 * size").count() == 0

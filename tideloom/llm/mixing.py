@@ -5,7 +5,9 @@
    leaves is shared again among the others by weight until none is above.
 3. Per source, documents are counted by exact length. Whole rounds of the source come first; of the rest, most is filled
    in proportion over the lengths, and a bounded-knapsack dynamic programme over the lengths that are left fits the
-   remaining budget exactly, or as near as any choice of what is left does.
+   remaining budget. Where that misses the target, the programme sees more: fewer lengths are filled before, and fewer
+   rounds, until the target is met or every number of copies of every document was open to it. It then gives the nearest
+   sum there is; :data:`WIDEST` bounds its table where the target is still missed.
 4. For each (source, length) that many documents are taken in the order of a seeded hash. Crowded lengths are cut into
    hash buckets, so a length (or source) with a third of all rows is ranked in many tasks.
 
@@ -25,6 +27,8 @@ from tideloom.llm.common import WORD, keep, key_columns
 
 #: Documents that one ranking task should hold of one length of one source.
 BUCKET = 500
+#: Words that the dynamic programme's table may span beyond its first attempt (5 bytes of memory each).
+WIDEST = 1 << 22
 
 
 def word_count(text: Column) -> Column:
@@ -79,20 +83,38 @@ def _numbered(sources: DataFrame) -> DataFrame:
     return ranked.select("source", "source_size", (F.col("inside") + F.col("offset")).alias("number"))
 
 
-def fit_lengths(lengths, counts, budget: int, copies: int = 1) -> np.ndarray:
+def fit_lengths(lengths, counts, budget: float, copies: int = 1) -> np.ndarray:
     """How many documents of each length to take (each at most ``copies`` times) so that the words are as near
     ``budget`` as possible.
 
     Proportional filling, of each document once at most, leaves a headroom of a few times the longest document; the
-    dynamic programme then sees every document that is left.
+    dynamic programme then sees every document that is left. A missed budget is tried again with a wider headroom.
     """
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
-    take = np.zeros(len(lengths), np.int64)
+    best = np.zeros(len(lengths), np.int64)
     if budget <= 0 or not len(lengths):
-        return take
-    total = int((lengths * counts).sum())
+        return best
+    longest, headroom = int(lengths.max()), 3
+    while True:
+        take = _filled(lengths, counts, budget, headroom * longest, copies)
+        if _miss(lengths, take, budget) < _miss(lengths, best, budget):
+            best = take
+        headroom *= 4
+        if _miss(lengths, best, budget) <= 0.5 or 3 * longest >= budget or min(headroom * longest, budget) > WIDEST:
+            return best
+        if headroom * longest >= 4 * budget:  # nothing was filled before this programme
+            return best
+
+
+def _miss(lengths: np.ndarray, take: np.ndarray, budget: float) -> float:
+    return abs(float((lengths * take).sum()) - budget)
+
+
+def _filled(lengths: np.ndarray, counts: np.ndarray, budget: float, headroom: int, copies: int) -> np.ndarray:
+    """Proportional filling up to ``headroom`` below the budget, then the dynamic programme."""
+    take = np.zeros(len(lengths), np.int64)
     order = np.argsort(-lengths)
-    share = min(1.0, max(0, budget - 3 * int(lengths.max())) / total)
+    share = min(1.0, max(0, budget - headroom) / int((lengths * counts).sum()))
     words = due = 0.0
     for i in order:
         due += share * lengths[i] * counts[i]
@@ -107,19 +129,38 @@ def fit_lengths(lengths, counts, budget: int, copies: int = 1) -> np.ndarray:
     return take
 
 
-def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+def fit_copies(lengths, counts, target: float, most: int) -> np.ndarray:
+    """How many copies of documents to take of each length, at most ``most`` of a document, for a sum near ``target``.
+
+    As many whole rounds as the target holds come first; fewer are tried where these miss it.
+    """
+    lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
+    rounds = min(int(target // int((lengths * counts).sum())), most)
+    best = rounds * counts
+    for kept in range(rounds, -1, -1):
+        rest = target - kept * int((lengths * counts).sum())
+        take = kept * counts + (fit_lengths(lengths, counts, rest, most - kept) if kept < most else 0)
+        if _miss(lengths, take, target) < _miss(lengths, best, target):
+            best = take
+        if _miss(lengths, best, target) <= 0.5:
+            break
+    return best
+
+
+def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
     """Bounded subset sum: how many of each item make the reachable sum nearest to the budget (below it, of two).
 
     ``item`` remembers the first item that reached each sum; its sum without that item was reached by earlier ones.
     """
-    top = budget + int(lengths.max())
+    goal = max(0, round(budget))
+    top = goal + int(lengths.max())
     reached = np.zeros(top + 1, bool)
     reached[0] = True
     item = np.full(top + 1, -1, np.int32)
     items: list[tuple[int, int]] = []
     for i, length in enumerate(lengths.tolist()):
         left, power = min(int(counts[i]), top // length), 1
-        while left > 0 and not reached[budget]:
+        while left > 0 and not reached[goal]:
             times = min(power, left)
             step = times * length
             new = np.zeros(top + 1, bool)
@@ -130,7 +171,7 @@ def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarra
             reached |= new
             left -= times
             power *= 2
-        if reached[budget]:
+        if reached[goal]:
             break
     take = np.zeros(len(lengths), np.int64)
     sums = np.flatnonzero(reached)
@@ -145,12 +186,8 @@ def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarra
 def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
     """One source's length counts (as many rows as it has different lengths) -> documents to take by length."""
     rows = rows.sort_values("size")
-    target, own = float(rows["target"].iloc[0]), int(rows["source_size"].iloc[0])
-    most = int(rows["max_repeats"].iloc[0])
-    rounds = min(int(target // own), most)
-    rest = int(round(target - rounds * own)) if rounds < most else 0
-    extra = fit_lengths(rows["size"], rows["n"], rest, most - rounds) if rest else 0 * rows["n"]
-    rows["rounds"], rows["extra"] = rounds + extra // rows["n"], extra % rows["n"]
+    take = fit_copies(rows["size"], rows["n"], float(rows["target"].iloc[0]), int(rows["max_repeats"].iloc[0]))
+    rows["rounds"], rows["extra"] = take // rows["n"], take % rows["n"]
     return rows[["source", "size", "n", "rounds", "extra"]]
 
 

@@ -139,15 +139,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS
         .limit(limit)
     )
     found = docs.select("doc_id", "text").join(F.broadcast(one), F.col("doc_id") == F.col("label_id"))
-    found = found.select("doc_id", "bad", text_stats("text").alias("s"))
+    found = found.select("doc_id", "bad", F.xxhash64("text").alias("text_hash"), text_stats("text").alias("s"))
     counts = lambda name: F.col(f"s.{name}")
     failed = base_failed(counts("n_words"), counts("n_repeat_words"))
     # rows that fail the base rules are left out by learn(): a filter here would move below the join, to all documents
-    return (
-        found.select("doc_id", "bad", failed.alias("failed"), *[make(counts).alias(name) for name, make in FEATURES.items()])
-        .dropDuplicates(["doc_id"])
-        .limit(limit)
-    )
+    row = F.struct("text_hash", "bad", failed.alias("failed"), *[make(counts).alias(name) for name, make in FEATURES.items()])
+    # of several texts of one id the one with the least hash, so that reruns learn the same rules
+    one_text = found.groupBy("doc_id").agg(F.min(row).alias("row")).limit(limit)
+    return one_text.select("doc_id", "row.bad", "row.failed", *[f"row.{name}" for name in FEATURES])
 
 
 def learn(rows: DataFrame, *, max_rules: int = 12, max_tests: int = 4, precision: float = 0.95) -> list[Rule]:

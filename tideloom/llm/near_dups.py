@@ -35,6 +35,8 @@ SLOTS, ROWS, BANDS = 512, 4, 20
 BLOCK = 256
 #: Nodes (16 bytes each) that a task remembers so as to sketch equal texts once.
 REMEMBERED = 100_000
+#: Text that is sketched or compared at a time.
+STEP = 512 << 10
 #: Slots in which two nodes of a bucket must agree before their texts are compared: 4 deviations below 0.8.
 AGREE = 373
 
@@ -102,7 +104,7 @@ def _sketch(batches):
     for batch in batches:
         batch = batch.take(_first_seen(batch.column(0), seen))
         nodes, texts = batch.column(0), batch.column(1).cast(pa.binary())
-        for start, end in steps([len(t.as_buffer()) for t in texts]):
+        for start, end in steps([len(t.as_buffer()) for t in texts], STEP):
             some = [t.as_py() for t in texts.slice(start, end - start)]
             signatures = bag_min_hash(*shingler.multisets(some), len(some))
             has = np.flatnonzero(signatures.any(axis=1))
@@ -135,7 +137,7 @@ def _verify(batches, similarity: float):
     for batch in batches:
         b, texts = batch.column("b"), batch.column("text").cast(pa.binary())
         good = np.zeros(len(b), bool)
-        for start, end in steps([len(t.as_buffer()) for t in texts]):
+        for start, end in steps([len(t.as_buffer()) for t in texts], STEP):
             n = end - start
             for k, mine in enumerate(split(*shingler.multisets([t.as_py() for t in texts.slice(start, n)]), n), start):
                 if not b[k].is_valid:

@@ -12,7 +12,7 @@ for _b in range(0x41, 0x5B):
     _MAPPED[_b] = _b + 32
 
 #: Bytes that are hashed at a time: sixty bytes of memory for each.
-BLOCK = 512 << 10
+BLOCK = 256 << 10
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,23 @@ def arrow_function(kind: str):
     return wrap
 
 
+def returning_memory(fn):
+    """Decorator of a function of batches: at its end the task's Python worker, which waits for another task and beside which
+    the JVM works on, gives what its allocators hold back to the machine."""
+
+    @functools.wraps(fn)
+    def run(batches, *args):
+        try:
+            yield from fn(batches, *args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return run
+
+
 def steps(sizes, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose sizes add up to about ``limit``; a larger row is a range of its own."""
     start, total = 0, 0

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideloom.llm.common import arrow_function, keep, key_columns, steps
+from tideloom.llm.common import arrow_function, keep, key_columns, returning_memory, steps
 from tideloom.llm.shingles import mix
 
 #: Letters and digits (and characters beyond ASCII) that a chunk has at least.
@@ -86,6 +86,7 @@ def chunks(text: str) -> list[tuple[int, int, str]]:
     return [(i, n, "\n".join(lines[i : i + n])) for i, n in zip(start.tolist(), size.tolist())]
 
 
+@returning_memory
 def _chunk_rows(batches):
     for batch in batches:
         texts = batch.column(3).cast(pa.binary())

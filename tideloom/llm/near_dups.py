@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideloom.llm.common import keep, key_columns, steps
+from tideloom.llm.common import keep, key_columns, returning_memory, steps
 from tideloom.llm.components import components
 from tideloom.llm.shingles import Shingler, mix
 
@@ -98,6 +98,7 @@ def _first_seen(nodes: pa.Array, seen: set) -> pa.Array:
     return pa.array(rows, pa.int64())
 
 
+@returning_memory
 def _sketch(batches):
     """(node, text) -> sketches; copies that a task meets again are left out, those of other tasks are merged later."""
     shingler, seen = Shingler(), set()
@@ -130,6 +131,7 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return both, int(a[1].sum() + b[1].sum()) - both
 
 
+@returning_memory
 def _verify(batches, similarity: float):
     """(a, part, b, text) sorted by (a, part, b), first the text of ``a`` itself (b is null) -> the pairs at ``similarity``."""
     shingler, kept = Shingler(), None
@@ -159,6 +161,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return rows.mapInArrow(lambda batches: _verify(batches, similarity), "a binary, b binary")
 
 
+@returning_memory
 def _compare_blocks(batches):
     """Rows sorted by (bucket, x, y): pairs of different classes whose signatures agree, block by block."""
     held = None

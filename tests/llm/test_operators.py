@@ -50,6 +50,34 @@ def test_trie_counts_like_plain_dynamic_programming(pieces):
         assert trie.count(word) == want
 
 
+def test_trie_looks_up_only_pieces_that_end_there(pieces):
+    class Looked(dict):
+        asked = 0
+
+        def get(self, *key):
+            Looked.asked += 1
+            return dict.get(self, *key)
+
+    trie = token_counts.Trie(pieces)
+    for table in (trie, getattr(trie, "endings", None)):
+        for name, held in vars(table or object).items() if table else ():
+            if isinstance(held, dict) and len(held) >= len(pieces):
+                setattr(table, name, Looked(held))
+    words = ["".join(random.Random(seed).choices(["ein", "ver", "lich", "zu", "ge"], k=4)) for seed in range(3000)]
+    for word in words:
+        assert trie.count(word) == trie.count(word)
+    assert [trie.count(w) for w in words[:50]] == [brute.best_tokens(w.encode(), pieces) for w in words[:50]]
+    # a lookup for each new state, not one for each length at each new node
+    assert Looked.asked < len(trie.values if hasattr(trie, "values") else trie.scores)
+
+
+def test_trie_keeps_counts_when_it_is_emptied(pieces):
+    trie = token_counts.Trie(pieces, max_nodes=40)
+    for word in ("first", " second", " third", " fourth" * 9, " fifth"):
+        trie.count(word)
+    assert "first" in trie.counts and trie.count("first") == brute.best_tokens(b"first", pieces)
+
+
 def test_token_counts_of_documents(spark, data, pieces):
     import regex
 

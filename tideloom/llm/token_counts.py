@@ -3,7 +3,8 @@
 The best segmentation of a pre-token is found by forward dynamic programming: the score of a prefix is the best, over
 the pieces that end there, of the score of the shorter prefix plus the piece's. That score depends on the prefix alone,
 so distinct pre-tokens are inserted in a trie whose nodes keep it: a shared prefix is scored once, and a node at the
-end of a pre-token gives its token count. There is no shuffle; each task keeps one trie, emptied at ``MAX_NODES``.
+end of a pre-token gives its token count. Which pieces end at a node follows from the longest suffix of the prefix that
+begins a piece, which a node keeps too. There is no shuffle; each task keeps one trie, emptied at ``MAX_NODES``.
 
 A piece's score is a log probability by Zipf's law from its rank in the vocabulary file, rounded to a millionth, so
 that sums are exact; equal scores go to the segmentation with fewer tokens.
@@ -28,8 +29,11 @@ from pyspark.sql import functions as F
 TOKENIZERS = "/opt/tokenizers"
 #: Pre-tokens as byte-level vocabularies define them (a fixed value).
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MAX_NODES = 400_000
+#: About 200 bytes each.
+MAX_NODES = 1_000_000
 KEPT = 64
+#: A millionth of a score in values that hold a number of tokens too; no pre-token has as many.
+ONE = 1 << 40
 
 
 def load_pieces(path: str) -> dict[bytes, int]:
@@ -42,32 +46,62 @@ def load_pieces(path: str) -> dict[bytes, int]:
     return {piece: round(-1e6 * (math.log(rank + 2.7) + total)) for piece, rank in ranks.items()}
 
 
+class Endings:
+    """Which pieces end at a place: states are the beginnings of pieces, a text is in that of its longest suffix among them.
+
+    States and steps are made when they are first met. ``ends`` holds (length, value) for each piece that ends in a state.
+    """
+
+    def __init__(self, pieces: dict[bytes, int]):
+        self.values = {piece: score * ONE - 1 for piece, score in pieces.items()}
+        self.longest = max(map(len, pieces))
+        self.beginnings = {piece[:n] for piece in pieces for n in range(1, len(piece) + 1)}
+        self.numbers: dict[bytes, int] = {b"": 0}
+        self.names, self.ends = [b""], [()]
+        self.steps: dict[int, int] = {}  # by 256 * state + byte
+
+    def step(self, after: int) -> int:
+        """The state after 256 * state + byte."""
+        state = self.steps.get(after)
+        if state is None:
+            tail = self.names[after >> 8] + bytes((after & 255,))
+            while tail not in self.beginnings:
+                tail = tail[1:]
+            state = self.numbers.get(tail)
+            if state is None:
+                state = self.numbers[tail] = len(self.names)
+                self.names.append(tail)
+                found = ((n, self.values.get(tail[-n:])) for n in range(1, len(tail) + 1))
+                self.ends.append(tuple((n, value) for n, value in found if value is not None))
+            self.steps[after] = state
+        return state
+
+
 class Trie:
-    """Forward scores of all prefixes seen, and the token counts at their ends."""
+    """Forward scores of all prefixes seen, and the token counts at their ends.
+
+    A score and its number of tokens are one value, ``score * ONE - tokens``: the greatest has the best score, of equal
+    scores the fewest tokens.
+    """
 
     def __init__(self, pieces: dict[bytes, int], max_nodes: int = MAX_NODES):
-        # pieces by their last byte: only those can end at a node
-        self.pieces = pieces
-        self.longest = max(map(len, pieces))
-        self.lengths: dict[int, list[int]] = {}
-        for piece in pieces:
-            self.lengths.setdefault(piece[-1], set()).add(len(piece))
-        self.lengths = {last: sorted(some) for last, some in self.lengths.items()}
+        self.endings = Endings(pieces)
         self.max_nodes = max_nodes
         self.counts: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.children: list[dict[int, int]] = [{}]
-        self.scores: list[int] = [0]
-        self.tokens: list[int] = [0]
+        self.children: dict[int, int] = {}  # by 256 * node + byte
+        self.values: list[int] = [0]
+        self.states: list[int] = [0]
 
     def count(self, pre_token: str) -> int:
         """Tokens of the best segmentation; remembered at the end of the pre-token."""
         n = self.counts.get(pre_token)
         if n is None:
-            if len(self.scores) >= self.max_nodes or len(self.counts) >= self.max_nodes:
+            if len(self.values) >= self.max_nodes:
                 self.clear()
+            if len(self.counts) >= self.max_nodes:
                 self.counts.clear()
             n = self._insert(pre_token.encode())
             if len(pre_token) <= KEPT:
@@ -75,37 +109,28 @@ class Trie:
         return n
 
     def _insert(self, word: bytes) -> int:
-        node, path = 0, [(0, 0)]  # (score, tokens) of each prefix
-        for depth, byte in enumerate(word[:KEPT], 1):
-            child = self.children[node].get(byte)
+        children, values, states = self.children, self.values, self.states
+        step, steps, ends, longest = self.endings.step, self.endings.steps, self.endings.ends, self.endings.longest
+        node, path = 0, [0]  # the value of each prefix
+        for byte in word[:KEPT]:
+            child = children.get(node << 8 | byte)
             if child is None:
-                score, tokens = self._best(word, depth, path)
-                child = len(self.scores)
-                self.children[node][byte] = child
-                self.children.append({})
-                self.scores.append(score)
-                self.tokens.append(tokens)
+                after = states[node] << 8 | byte
+                state = steps.get(after)
+                if state is None:
+                    state = step(after)
+                child = children[node << 8 | byte] = len(values)
+                values.append(max([path[-length] + value for length, value in ends[state]]))
+                states.append(state)
             node = child
-            path.append((self.scores[node], self.tokens[node]))
-        for depth in range(KEPT + 1, len(word) + 1):
-            path.append(self._best(word, depth, path))
-            if len(path) > 2 * self.longest:
-                del path[: len(path) - self.longest]
-        return path[-1][1]
-
-    def _best(self, word: bytes, depth: int, path) -> tuple[int, int]:
-        """``path`` ends with the scores of the prefix one byte shorter."""
-        best = None
-        for length in self.lengths[word[depth - 1]]:
-            if length > depth:
-                break
-            score = self.pieces.get(word[depth - length : depth])
-            if score is not None:
-                before, tokens = path[-length]
-                option = (before + score, -tokens - 1)
-                if best is None or option > best:
-                    best = option
-        return best[0], -best[1]
+            path.append(values[node])
+        state = states[node]
+        for byte in word[KEPT:]:
+            state = step(state << 8 | byte)
+            path.append(max([path[-length] + value for length, value in ends[state]]))
+            if len(path) > 2 * longest:
+                del path[: len(path) - longest]
+        return -path[-1] % ONE
 
 
 def _count_batches(batches, pieces, pattern):

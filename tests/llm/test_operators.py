@@ -555,6 +555,60 @@ def test_blocks_find_pairs_between_classes(spark, monkeypatch):
     assert set(got) == want - {(b"\0", b"\x03")} and len(got) == len(want) - 1
 
 
+def test_near_duplicates_next_to_a_crowded_class(spark, monkeypatch):
+    """Texts a little too far from all members of a large class: no row for each of their pairs."""
+    make = random.Random(5)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for k in range(100):
+        words = list(base)
+        for at in make.sample(range(4, 195), 1 if k < 60 else 5):
+            words[at] = f"x{k}y{at}"
+        rows.append(" ".join(words))
+    asked, verified = [], near_dups._verified
+
+    def counted(pairs, texts, similarity):
+        asked.append(pairs.count())
+        return verified(pairs, texts, similarity)
+
+    monkeypatch.setattr(near_dups, "_verified", counted)
+    found = {}
+    for r in near_dups.near_duplicates(spark.createDataFrame(list(enumerate(rows)), DOCS)).collect():
+        found.setdefault(r["class_id"], set()).add(r["doc_id"])
+    assert sorted(map(frozenset, found.values()), key=min) == brute.classes(rows)
+    print(asked)
+    assert sum(asked) < 8 * len(rows)
+
+
+def test_links_of_a_block_connect_what_is_similar():
+    from collections import Counter
+
+    import numpy as np
+
+    make = np.random.default_rng(4)
+    for _ in range(30):
+        n = 24
+        base = make.choice(4000, 60, replace=False)
+        sets, roots = {}, [f"r{k}" if k < 4 else "big" for k in range(n)]
+        for k in range(n):
+            words = np.unique(np.r_[base[make.random(60) < make.choice([0.8, 0.9, 1.0])], make.choice(4000, 3) + 5000]).astype(np.uint64)
+            sets[k] = words, make.integers(1, 4, len(words)) if k % 5 == 0 else np.ones(len(words), np.int64)
+        pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if roots[i] != roots[j]]
+        similar = lambda i, j: (lambda o: 10 * o[0] >= 7 * o[1])(near_dups.overlap(sets[i], sets[j]))
+        got = near_dups._linked(pairs, sets, roots, Counter(roots), 0.7)
+        assert all(similar(i, j) for i, j in got)
+
+        def classes(links):
+            leads = {r: r for r in roots}
+            for i, j in links:
+                a, b = leads[roots[i]], leads[roots[j]]
+                leads = {r: a if v == b else v for r, v in leads.items()}
+            return {frozenset(r for r in leads if leads[r] == v) for v in leads.values()}
+
+        assert classes(got) == classes([p for p in pairs if similar(*p)])
+        assert len(got) == len(set(roots)) - len(classes(got))
+
+
 def test_near_duplicates_of_documents(spark, data):
     docs = texts_of(spark, data)
     got = {}

@@ -11,9 +11,12 @@ Texts that are equal form one node before anything is compared. Nodes that agree
 bucket (at 0.8, the chance to share none of the bands is below 3 in 100,000). Within a bucket every node is verified
 against two leaders, the nodes with most company over all their buckets: of many copies of one text with changes of
 their own, those are the ones nearest to the text. Verified links are merged to classes. Only in a bucket that still
-holds several classes are the others compared, in blocks of at most ``BLOCK`` nodes: pairs of two classes whose whole
+holds several classes are the others compared, in blocks of about ``BLOCK`` nodes that hold their texts: the blocks of
+the bucket's largest class meet those of the other nodes, which also meet each other. Pairs of two classes whose whole
 signatures agree in ``AGREE`` slots (missed by a pair at 0.8 with a chance below 5 in 100,000, by closer ones less) are
-given by the first bucket that they share, and verified. So a group of thousands of copies costs a few links a member.
+verified in the block, in the first bucket that they share, as long as nothing in the block connects their classes. A
+node that shares too little with all members of a class together is similar to none of them and is not compared with
+each. No pair leaves its block but links, so a group of thousands of copies costs a few rows a member.
 
 Defined cases: a null text is alone in its class. Texts without words are duplicates only of equal texts. A text of
 fewer than five words is one shingle. Repeated rows share a class and each keeps its row. class_id is the smallest id
@@ -22,6 +25,8 @@ of the class (null if no row has one). Other columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +38,10 @@ from tideloom.llm.shingles import Shingler, mix
 
 SLOTS, ROWS, BANDS = 512, 4, 20
 BLOCK = 256
+#: Bytes of text of a block, unless it is one text.
+BLOCK_BYTES = 4 << 20
+#: Members of a class in a block, from which on their shingles are looked up together first.
+TOGETHER = 4
 #: Nodes (16 bytes each) that a task remembers so as to sketch equal texts once.
 REMEMBERED = 100_000
 #: Text that is sketched or compared at a time.
@@ -83,7 +92,7 @@ def bag_min_hash(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n:
     return marks.reshape(n, slots)
 
 
-SKETCH = "node binary, bands array<bigint>, signature binary"
+SKETCH = "node binary, bands array<bigint>, signature binary, size int"
 
 
 def _first_seen(nodes: pa.Array, seen: set) -> pa.Array:
@@ -109,7 +118,7 @@ def _sketch(batches):
             some = [t.as_py() for t in texts.slice(start, end - start)]
             signatures = bag_min_hash(*shingler.multisets(some), len(some))
             has = np.flatnonzero(signatures.any(axis=1))
-            signatures = signatures[has]
+            signatures, sizes = signatures[has], np.array([len(t) for t in some], np.int32)[has]
             band = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(has), BANDS)).copy()
             for r in range(ROWS):
                 band = mix(band * _nth(1) + signatures[:, r : BANDS * ROWS : ROWS])
@@ -119,8 +128,9 @@ def _sketch(batches):
                     nodes.slice(start, end - start).take(pa.array(has)),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * BANDS), rows),
                     pa.array([s.tobytes() for s in signatures.astype(np.uint16)], pa.binary()),
+                    pa.array(sizes),
                 ],
-                names=["node", "bands", "signature"],
+                names=["node", "bands", "signature", "size"],
             )
 
 
@@ -154,35 +164,64 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     """The text of ``a`` goes once to each part of its pairs (:data:`BLOCK` at most), the text of ``b`` to each of its pairs."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     dealt = pairs.join(parts, "a").select("a", F.pmod(F.hash("b"), F.col("parts")).alias("part"), "b")
-    first = dealt.select("a", "part").distinct().select("a", "part", F.lit(None).cast("binary").alias("b"), F.col("a").alias("node"))
+    every = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    first = every.select("a", "part", F.lit(None).cast("binary").alias("b"), F.col("a").alias("node"))
     asked = first.unionByName(dealt.withColumn("node", F.col("b")))
     rows = texts.join(asked, "node").select("a", "part", "b", "text")
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "b")
     return rows.mapInArrow(lambda batches: _verify(batches, similarity), "a binary, b binary")
 
 
-@returning_memory
-def _compare_blocks(batches):
-    """Rows sorted by (bucket, x, y): pairs of different classes whose signatures agree, block by block."""
+def _whole_blocks(batches):
+    """Rows sorted by (bucket, x, y) as batches of whole blocks, each with the places where its blocks start and its end."""
     held = None
     for batch in batches:
         held = batch if held is None else pa.concat_batches([held, batch])
         marks = np.rec.fromarrays([held.column(i).to_numpy() for i in range(3)])
         cuts = np.flatnonzero(marks[1:] != marks[:-1]) + 1
         if len(cuts):
-            yield from _compare(held.slice(0, cuts[-1]), np.r_[0, cuts])
+            yield held.slice(0, cuts[-1]), np.r_[0, cuts]
             held = held.slice(cuts[-1])
     if held is not None and held.num_rows:
-        yield from _compare(held, np.array([0, held.num_rows]))
+        yield held, np.array([0, held.num_rows])
+
+
+@returning_memory
+def _compare_blocks(batches):
+    """Rows sorted by (bucket, x, y): pairs of different classes whose signatures agree, block by block."""
+    for rows, cuts in _whole_blocks(batches):
+        yield _node_pairs(rows, [pair for _, _, pairs in _compare(rows, cuts) for pair in pairs])
+
+
+@returning_memory
+def _link_blocks(batches, similarity: float):
+    """The same rows with texts: links enough to connect the classes of each block that have a pair at ``similarity``."""
+    shingler = Shingler()
+    for rows, cuts in _whole_blocks(batches):
+        roots, texts = rows.column("root").to_pylist(), rows.column("text").cast(pa.binary())
+        found = []
+        for start, end, pairs in _compare(rows, cuts):
+            if pairs:
+                sets = _multisets(shingler, texts, sorted({i for pair in pairs for i in pair}))
+                found += _linked(pairs, sets, roots, Counter(roots[start:end]), similarity)
+        yield _node_pairs(rows, found)
+
+
+def _node_pairs(rows: pa.RecordBatch, pairs) -> pa.RecordBatch:
+    nodes = rows.column("node")
+    both = [sorted((nodes[int(i)].as_py(), nodes[int(j)].as_py())) for i, j in pairs]
+    a, b = zip(*both) if both else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
 def _compare(rows: pa.RecordBatch, cuts: np.ndarray):
-    nodes, roots = rows.column("node").to_pylist(), rows.column("root").dictionary_encode().indices.to_numpy()
+    """For each block (start, end, pairs of rows of different classes whose signatures agree)."""
+    roots = rows.column("root").dictionary_encode().indices.to_numpy()
     x, y, side, band = (rows.column(c).to_numpy() for c in ("x", "y", "side", "band"))
     signatures = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint16).reshape(-1, SLOTS)
     bands = np.stack(rows.column("bands").to_pylist())
-    out = []
     for start, end in zip(cuts[:-1], cuts[1:]):
+        out = []
         for i in range(start, end):
             # within a block: each pair once; between two blocks: pairs across only
             if x[i] != y[i] and side[i] != x[i]:
@@ -192,16 +231,77 @@ def _compare(rows: pa.RecordBatch, cuts: np.ndarray):
             others = others[(signatures[others] == signatures[i]).sum(axis=1) >= AGREE]
             # given by the first bucket of both
             others = others[~(bands[others, : band[i]] == bands[i, : band[i]]).any(axis=1)]
-            out += [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for j in others]
-    a, b = zip(*out) if out else ((), ())
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            out += [(i, j) for j in others.tolist()]
+        yield start, end, out
+
+
+def _multisets(shingler: Shingler, texts: pa.Array, wanted: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Row -> (sorted shingles, counts), for the rows ``wanted``."""
+    sets = {}
+    for start, end in steps([len(texts[i].as_buffer()) for i in wanted], STEP):
+        owner, shingle, weight = shingler.multisets([texts[i].as_py() for i in wanted[start:end]])
+        cuts = np.searchsorted(owner, np.arange(end - start + 1))
+        sets |= {i: (shingle[x:y], weight[x:y]) for i, x, y in zip(wanted[start:end], cuts[:-1], cuts[1:])}
+    return sets
+
+
+def _union(sets) -> tuple[np.ndarray, np.ndarray]:
+    """The least multiset that holds each of some: sorted shingles, greatest counts."""
+    shingle, weight = (np.concatenate(x) for x in zip(*sets))
+    order = np.argsort(shingle)
+    shingle, weight = shingle[order], weight[order]
+    first = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
+    return shingle[first], np.maximum.reduceat(weight, first)
+
+
+def _linked(pairs, sets, roots, company: Counter, similarity: float) -> list[tuple[int, int]]:
+    """Pairs at ``similarity`` among the candidates of a block, one at most for classes that others connect already.
+
+    The candidates of a node in one class are first compared with the node as one multiset, their union.
+    """
+    leads: dict = {}
+
+    def lead(root):
+        while leads.get(root, root) != root:
+            root = leads[root]
+        return root
+
+    by: dict[tuple, list[int]] = {}
+    for i, j in pairs:
+        if (company[roots[i]], roots[i]) > (company[roots[j]], roots[j]):
+            i, j = j, i
+        by.setdefault((i, roots[j]), []).append(j)
+    members: dict = {}
+    for (_, root), some in by.items():
+        members.setdefault(root, set()).update(some)
+    weights = {i: int(weight.sum()) for i, (_, weight) in sets.items()}
+    unions: dict = {}
+    out = []
+    for (i, root), some in by.items():
+        if lead(roots[i]) == lead(root):
+            continue
+        if len(some) >= TOGETHER:
+            if root not in unions:
+                unions[root] = _union([sets[j] for j in sorted(members[root])])
+            shingle, weight = unions[root]
+            at = np.minimum(np.searchsorted(shingle, sets[i][0]), len(shingle) - 1)
+            most = int(np.where(shingle[at] == sets[i][0], np.minimum(weight[at], sets[i][1]), 0).sum())
+            least = lambda j: weights[i] + weights[j] - min(most, weights[j])
+            some = [j for j in some if min(most, weights[j]) >= similarity * least(j) - 1e-9]
+        for j in some:
+            both, union = overlap(sets[i], sets[j])
+            if union > 0 and both >= similarity * union - 1e-9:
+                out.append((i, j))
+                leads[lead(roots[i])] = lead(root)
+                break
+    return out
 
 
 def links(docs: DataFrame, similarity: float) -> DataFrame:
     """Verified pairs (a, b) from rows (node, text), enough of them to connect whatever shares a bucket and is similar."""
     given = docs.filter("text is not null")
     sketches = keep(given.mapInArrow(_sketch, SKETCH).dropDuplicates(["node"]), "sketches")
-    buckets = sketches.select("node", F.posexplode("bands").alias("band", "bucket"))
+    buckets = sketches.select("node", "size", F.posexplode("bands").alias("band", "bucket"))
     crowded = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = keep(buckets.join(crowded, "bucket"), "members")
     company = members.groupBy("node").agg(F.sum("n").alias("company"))
@@ -217,26 +317,36 @@ def links(docs: DataFrame, similarity: float) -> DataFrame:
     wanted = members.select("node").distinct()
     texts = keep(given.dropDuplicates(["node"]).join(wanted, "node", "left_semi"), "texts")
     stars = keep(_verified(pairs, texts, similarity), "links")
-    rest = _between_classes(members, components(stars), sketches)
-    return stars.unionByName(keep(_verified(rest, texts, similarity), "links"))
+    return stars.unionByName(keep(_between_classes(members, components(stars), sketches, texts, similarity), "links"))
 
 
-def _between_classes(members: DataFrame, classes: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs of one bucket, of different classes so far, whose signatures agree."""
+def _between_classes(members: DataFrame, classes: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links of one bucket between what are different classes so far."""
     known = members.join(classes, "node", "left").select(
-        "bucket", "band", "n", "node", F.coalesce("root", "node").alias("root")
+        "bucket", "band", "n", "size", "node", F.coalesce("root", "node").alias("root")
     )
     # pairs of two nodes were compared already
-    mixed = known.filter("n > 2").groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s")
-    rows = known.join(mixed.select("bucket"), "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rows = rows.withColumn("side", F.pmod(F.hash("node", F.lit(1)), F.col("blocks")))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    spread = rows.select("bucket", "band", "node", "root", "side", F.explode(every).alias("with")).select(
+    held = known.filter("n > 2").groupBy("bucket", "root").agg(F.count("*").alias("m"), F.sum("size").alias("bytes"))
+    mixed = held.groupBy("bucket").agg(
+        F.max(F.struct("m", "root", "bytes")).alias("main"), F.sum("m").alias("m"), F.sum("bytes").alias("bytes")
+    ).filter("main.m < m")
+    blocks = lambda m, size: F.greatest(F.ceil(m / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    # the largest class has the first blocks, which need not meet each other
+    shape = mixed.select(
+        "bucket", F.col("main.root").alias("main"), blocks(F.col("main.m"), F.col("main.bytes")).alias("p"),
+        blocks(F.col("m") - F.col("main.m"), F.col("bytes") - F.col("main.bytes")).alias("q"),
+    )
+    part = lambda n: F.pmod(F.hash("node", F.lit(1)), F.col(n))
+    rows = known.join(shape, "bucket").withColumn("first", F.col("root") == F.col("main"))
+    rows = rows.withColumn("side", F.when(F.col("first"), part("p")).otherwise(F.col("p") + part("q")))
+    met = F.sequence(F.when(F.col("first"), F.col("p")).otherwise(F.lit(0)), F.col("p") + F.col("q") - 1)
+    spread = rows.select("bucket", "band", "node", "root", "side", F.explode(met).alias("with")).select(
         "bucket", F.least("side", "with").alias("x"), F.greatest("side", "with").alias("y"), "band", "node", "root", "side"
     )
-    spread = spread.join(sketches, "node").select("bucket", "x", "y", "band", "node", "root", "side", "bands", "signature")
+    spread = spread.join(sketches, "node").join(texts, "node")
+    spread = spread.select("bucket", "x", "y", "band", "node", "root", "side", "bands", "signature", "text")
     dealt = spread.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    return dealt.mapInArrow(_compare_blocks, "a binary, b binary")
+    return dealt.mapInArrow(lambda batches: _link_blocks(batches, similarity), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, id: str = "doc_id", text: str = "text") -> DataFrame:

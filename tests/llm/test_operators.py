@@ -555,6 +555,28 @@ def test_blocks_find_pairs_between_classes(spark, monkeypatch):
     assert set(got) == want - {(b"\0", b"\x03")} and len(got) == len(want) - 1
 
 
+def test_only_shared_names_are_sorted_again(monkeypatch):
+    import numpy as np
+
+    make = np.random.default_rng(8)
+    data = make.integers(1, 30, 6000).astype(np.uint16)
+    data[4000:4300] = data[1000:1300]
+    symbols = np.r_[data, 0].astype(np.uint16)
+    sort, sorted_ = np.argsort, []
+
+    def counted(keys, *args, **named):
+        if keys.dtype == np.int64:
+            sorted_.append(len(keys))
+        return sort(keys, *args, **named)
+
+    monkeypatch.setattr(np, "argsort", counted)
+    got = np.concatenate([positions for positions, _ in induced.suffixes(symbols)])
+    whole = symbols.tolist()
+    assert got.tolist() == sorted(range(len(whole)), key=lambda i: whole[i:])
+    stars = len(induced.Text(symbols).stars)
+    assert sorted_ and sum(sorted_) < 2 * stars
+
+
 def test_near_duplicates_next_to_a_crowded_class(spark, monkeypatch):
     """Texts a little too far from all members of a large class: no row for each of their pairs."""
     make = random.Random(5)

@@ -797,6 +797,33 @@ def test_repeated_substrings_odd(odd, empty):
     assert suffix_dedup.repeated_substrings(empty, 400).collect() == []
 
 
+def test_repeated_substrings_spread_a_crowded_anchor(spark, monkeypatch):
+    """A passage in all documents: its anchors' rows, contexts and the sort are dealt to many tasks."""
+    make = random.Random(3)
+    letters = lambda n: "".join(make.choice("abcdefgh ") for _ in range(n))
+    common = letters(600)
+    rows = [(i, letters(300) + common + letters(300)) for i in range(80)]
+    kept, sorted_ = {}, []
+    keep, runs = suffix_dedup.keep, suffix_dedup._runs
+    monkeypatch.setattr(suffix_dedup, "keep", lambda df, purpose: kept.setdefault(purpose, df) and keep(df, purpose))
+    monkeypatch.setattr(suffix_dedup, "_runs", lambda *args: sorted_.append(runs(*args)) or sorted_[-1])
+    monkeypatch.setattr(suffix_dedup, "TASK", 4_000, raising=False)
+    want = [(r[0], *w) for r, w in zip(rows, brute.repeated([t for _, t in rows], 128))]
+    assert repeated_rows(spark, rows, 128) == sorted(want, key=repr)
+    # the plain join of numbers can be split
+    assert "count(" not in kept["candidates"]._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(suffix_dedup, "keep", keep)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        parts = kept["contexts"].select("anchor", F.spark_partition_id().alias("task")).groupBy("anchor")
+        crowded = parts.agg(F.collect_list("task").alias("tasks")).orderBy(F.desc(F.size("tasks"))).first()
+    finally:
+        spark.conf.unset(coalesce)
+    assert len(crowded["tasks"]) > 40 and len(set(crowded["tasks"])) > 4
+    assert sorted_[0].select(F.spark_partition_id()).distinct().count() > 4
+
+
 def test_more_languages_than_one_block_are_told_apart(spark):
     make = random.Random(9)
     codes = [f"l{i:03}" for i in range(70)]

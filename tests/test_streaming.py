@@ -266,3 +266,100 @@ def test_sessions_end_too(spark, data, split):
     count = [F.count(F.lit(1)).alias("n")]
     out, _ = SW.run_to_end(live(spark, split, "events"), "ts", "end", lambda s: SW.sessions(s, "ts", "10 minutes", "6 hours", count, ["user_id"]))
     assert out.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{split}/events.parquet").count()
+
+
+def test_a_hot_key_is_never_held_whole(spark, tmp_path):
+    """All messages of one key come at once: each is taken in order, and few of them are in memory at a time."""
+    import gc
+
+    from tideloom.streaming.runs import run_to_table
+    from tideloom.streaming.timers import with_timers
+
+    n = 40_000
+    mixed = f"SELECT 'a' AS k, timestamp_seconds(1 + id * 7919 % {n}) AS ts, id * 7919 % {n} AS id FROM range({n})"
+    spark.sql(mixed).coalesce(1).write.parquet(str(tmp_path / "in"))
+
+    def message(context, row):
+        nth = (context.state or 0) + 1
+        context.state = nth
+        if nth % 5_000 == 100:
+            alive = sum(type(o) is dict and "id" in o and "ts" in o for o in gc.get_objects())
+            context.emit(context.key, nth, row["id"], alive)
+
+    stream = spark.readStream.schema("k string, ts timestamp, id bigint").parquet(str(tmp_path / "in"))
+    out = with_timers(stream, "k", "ts", ["id"], "0 seconds", message, lambda *_: None, "k string, nth bigint, id bigint, alive bigint")
+    rows = sorted(map(tuple, run_to_table(out, "hot").collect()))
+    assert [r[:3] for r in rows] == [("a", i + 100, i + 99) for i in range(0, n, 5_000)]
+    assert 0 < max(r[3] for r in rows) < 5_000
+
+
+class _Parts(dict):
+    getValue, removeKey = dict.__getitem__, dict.__delitem__
+
+    def updateValue(self, place, value):
+        assert place not in self
+        self[place] = value
+
+
+def test_waiting_messages_come_in_order_from_many_runs(monkeypatch):
+    import json
+    import random
+
+    import pyarrow as pa
+
+    from tideloom.streaming import timers as TM
+
+    for name, value in {"RUN_BYTES": 3_000, "PART_ROWS": 7, "MAX_RUNS": 4, "TAIL_BYTES": 400}.items():
+        monkeypatch.setattr(TM, name, value)
+    chance, parts, runs, tail = random.Random(5), _Parts(), [], None
+    big = 2**60
+    given = [(chance.randrange(300), chance.choice([None, "x", "y", "z"]), chance.choice([None, big + i]), i) for i in range(3_000)]
+    order = lambda r: (r[0], r[1] is None, r[1] or "", r[2] is None, r[2] or 0)
+    got, most = [], 0
+    for call, mark in enumerate([0, 0, 40, 40, 200, 120, 250, 999]):
+        waiting = TM.Waiting(parts, json.loads(json.dumps(runs)), tail, ["s", "big"], ["big", "nth"])
+        for at in range(call * 500, min(call * 500 + 500, len(given)), 50):
+            block = list(zip(*given[at : at + 50]))
+            schema = pa.schema([("_clock", pa.int64()), ("s", pa.string()), ("big", pa.int64()), ("nth", pa.int64())])
+            waiting.add(pa.table([pa.array(c, t) for c, t in zip(block, schema.types)], schema=schema))
+        taken = [tuple(m[c] for c in ("_clock", "s", "big", "nth")) for m in waiting.take(mark)]
+        assert [order(r) for r in taken] == sorted(order(r) for r in taken) and all(r[0] < mark for r in taken)
+        got += taken
+        tail = waiting.kept()
+        runs, most = waiting.runs, max(most, len(parts))
+        left = [r[0] for r in given[: call * 500 + 500] if r[0] >= mark and r not in got]
+        assert waiting.clock() == min(left, default=None) and len(runs) <= TM.MAX_RUNS
+    assert sorted(got, key=lambda r: r[3]) == given
+    assert most > 100 and not parts and not runs and tail is None
+
+
+def test_small_runs_and_parts_give_the_same_rows(spark, data, split, monkeypatch):
+    from tideloom.streaming import timers as TM
+
+    one = checking.spark_rows(Q.stream_user_timers(spark, data))
+    for name, value in {"RUN_BYTES": 500, "PART_ROWS": 3, "MAX_RUNS": 2, "TAIL_BYTES": 100, "OUTPUT_ROWS": 2}.items():
+        monkeypatch.setattr(TM, name, value)
+    original = Q.live
+    monkeypatch.setattr(Q, "live", lambda s, folder, n, **limits: original(s, folder, n, max_files=2))
+    assert checking.spark_rows(Q.stream_user_timers(spark, split)) == one
+
+
+@pytest.mark.parametrize("key", ["timestamp_seconds(1.5)", "CAST('2024-03-10 02:30:00' AS timestamp_ntz)", "named_struct('a', 1L)", "DATE '2024-01-01'", "1.25BD"])
+def test_a_timer_sees_the_key_that_a_message_sees(spark, tmp_path, key):
+    from tideloom.streaming.runs import run_to_table
+    from tideloom.streaming.timers import with_timers
+
+    spark.sql(f"SELECT {key} AS k, timestamp_seconds(id * 100) AS ts, id FROM range(4)").coalesce(1).write.parquet(str(tmp_path / "in"))
+
+    def message(context, row):
+        context.emit("message", repr(row["k"]))
+        context.emit("message", repr(context.key))
+        context.schedule("t", context.now + 50_000)
+
+    def timer(context, name, due):
+        context.emit("timer", repr(context.key))
+
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    out = run_to_table(with_timers(stream, "k", "ts", ["id"], "0 seconds", message, timer, "what string, key string"), "keys")
+    rows = [tuple(r) for r in out.collect()]
+    assert {w for w, _ in rows} == {"message", "timer"} and len({k for _, k in rows}) == 1
